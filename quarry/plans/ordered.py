@@ -14,9 +14,9 @@ partitions instead:
    configuration and by the number of groups, never by the row count) that is
    broadcast back to stitch the slices together.
 
-The windowed frame is consumed twice (rows and boundary table); both read the
-same exchange output (Spark reuses the identical exchange), so slice numbers
-agree between the two consumers.
+The slice-tagged rows are consumed twice (rows and boundary table); they are
+checkpointed once (``spark.checkpoint.dir``) so both consumers see the same
+slice numbers.
 """
 
 from __future__ import annotations
@@ -24,16 +24,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import shuffle_partitions
+from quarry.session import ensure_checkpoint_dir, shuffle_partitions
 
 _PID = "__slice"
 
 
 def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str],
             parts: int | None) -> DataFrame:
-    n = parts or shuffle_partitions(df.sparkSession)
+    """Range-partition and tag every row with its slice number, then cut the
+    lineage with a reliable checkpoint.
+
+    The range bounds come from sampling.  Two consumers of the tagged rows
+    that Spark planned as two separate exchanges (for example after different
+    column pruning) would each sample again and could disagree on slice
+    numbers; reading one checkpointed copy makes the numbering a stored fact,
+    which also holds when executors are lost and tasks are re-run.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = parts or shuffle_partitions(spark)
     return (df.repartitionByRange(n, *group_cols, *order_cols)
-              .withColumn(_PID, F.spark_partition_id()))
+              .withColumn(_PID, F.spark_partition_id())
+              .checkpoint(eager=True))
 
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
