@@ -10,20 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import q_catalog, q_profile
+from quarry.plans import q_catalog, q_io, q_profile, q_reports
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
+MODULES = (q_profile, q_catalog, q_reports, q_io)
 
 
 def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
-    for mod in (q_profile, q_catalog):
+    for mod in MODULES:
         out.update(mod.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for mod in (q_profile, q_catalog):
+    for mod in MODULES:
         out.update(mod.ORACLE)
     return out
