@@ -26,6 +26,22 @@ def exact_mean(x: Column) -> Column:
             .otherwise(F.round(F.avg(x), 6))
 
 
+def mean_parts(x: Column) -> list[Column]:
+    """Aggregates from which :func:`mean_from_parts` builds the mean: the
+    decimal-exact average, whether every value fit the decimal type, and the
+    floating-point average as fallback."""
+    dec = x.try_cast(f"decimal(38,{MEAN_SCALE})")
+    return [F.try_avg(dec), (F.count(dec) == F.count(x)), F.avg(x)]
+
+
+def mean_from_parts(dmean: Column, fits: Column, fmean: Column) -> tuple[Column, Column]:
+    """(mean rounded half-up to 6 digits, unrounded mean as double)."""
+    ok = fits & dmean.isNotNull()
+    rounded = F.when(ok, F.round(dmean, 6).cast("double")).otherwise(F.round(fmean, 6))
+    raw = F.when(ok, dmean.cast("double")).otherwise(fmean)
+    return rounded, raw
+
+
 def exact_mean_sql(x: str) -> str:
     """DuckDB twin of :func:`exact_mean`: exact sum in HUGEINT units of 1e-12,
     divided by the count with half-up rounding at 6 digits."""

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metric_name,
                                     normalized)
-from quarry.functions.numeric import exact_mean
+from quarry.functions.numeric import exact_mean, mean_from_parts, mean_parts
 from quarry.plans.ordered import prefix_sum
+from quarry.session import ensure_checkpoint_dir
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
 
@@ -56,30 +57,39 @@ def _data_specs(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[ColumnS
 
 def _moments(norm: DataFrame, specs: list[ColumnSpec], keys: list[str],
              exact: bool) -> DataFrame:
+    """Pass A over the rows.
+
+    exact=True: row and non-null counts only; mean, min, max and the central
+    moments then come from the value counts.  exact=False: decimal-exact
+    mean, the built-in moment aggregates, approximate distinct counts and
+    quantiles.
+    """
     aggs = [F.count(F.lit(1)).alias("__rows")]
     per_col = []
+    none_d = lambda n: F.lit(None).cast("double").alias(n)
     for s in specs:
         c = _q(s.name)
         i = s.ordinal
         aggs.append(F.count(c).alias(f"n{i}"))
         fields = [F.lit(i).alias("cidx"), F.col(f"n{i}").alias("n")]
-        if s.numeric:
+        if s.numeric and exact:
+            fields += [none_d(m) for m in ["mean", "std", "min", "max", "skew", "kurt"]]
+            fields += [none_d(n) for n, _ in QUANTILES]
+        elif s.numeric:
             x = c.cast("double")
-            aggs += [exact_mean(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                     F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                     F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}")]
-            names = ["mean", "std", "min", "max", "skew", "kurt"]
-            fields += [F.col(f"{m}{i}").alias(m) for m in names]
-            if not exact:
-                aggs.append(F.percentile_approx(x, [q for _, q in QUANTILES], 100000)
-                            .alias(f"pq{i}"))
-                fields += [F.col(f"pq{i}")[j].alias(n) for j, (n, _) in enumerate(QUANTILES)]
-            else:
-                fields += [F.lit(None).cast("double").alias(n) for n, _ in QUANTILES]
+            dm, fits, fm = mean_parts(x)
+            aggs += [dm.alias(f"dm{i}"), fits.alias(f"fit{i}"), fm.alias(f"fm{i}")]
+            mean, _ = mean_from_parts(F.col(f"dm{i}"), F.col(f"fit{i}"), F.col(f"fm{i}"))
+            fields.append(mean.alias("mean"))
+            aggs += [F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
+                     F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"skew{i}"),
+                     F.kurtosis(x).alias(f"kurt{i}"),
+                     F.percentile_approx(x, [q for _, q in QUANTILES]).alias(f"pq{i}")]
+            fields += [F.col(f"{m}{i}").alias(m) for m in ["std", "min", "max", "skew", "kurt"]]
+            fields += [F.col(f"pq{i}")[j].alias(n) for j, (n, _) in enumerate(QUANTILES)]
         else:
-            fields += [F.lit(None).cast("double").alias(m)
-                       for m in ["mean", "std", "min", "max", "skew", "kurt"]]
-            fields += [F.lit(None).cast("double").alias(n) for n, _ in QUANTILES]
+            fields += [none_d(m) for m in ["mean", "std", "min", "max", "skew", "kurt"]]
+            fields += [none_d(n) for n, _ in QUANTILES]
         if not exact:
             aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
             fields.append(F.col(f"u{i}").alias("approx_unique"))
@@ -91,6 +101,69 @@ def _moments(norm: DataFrame, specs: list[ColumnSpec], keys: list[str],
                           F.inline(F.array(*per_col)))
 
 
+# Values of fractional columns are summed exactly as integers in units of
+# 1e-9 when every value is such an integer (true for decimal-like data).
+SCALE_DIGITS = 9
+
+
+def _exact_sum_parts(keys: list[str], grp: list[str]):
+    """Aggregates over value counts for an exact, order-independent sum."""
+    scale = 10 ** SCALE_DIGITS
+    d = F.col("d")
+    scaled = F.round(d * F.lit(float(scale))).try_cast("long")
+    ok = (F.abs(d) < 9.0e9) & ((scaled.cast("double") / F.lit(float(scale))) == d)
+    as_units = F.when(F.col("d").isNull(), F.col("l")).when(ok, scaled)
+    units = F.when(F.col("d").isNull(), F.lit(0)).otherwise(F.lit(SCALE_DIGITS))
+    return [F.try_sum(F.try_multiply(as_units, F.col("cnt"))).alias("isum"),
+            F.count(as_units).alias("iok"), F.count(F.lit(1)).alias("nvals"),
+            F.max(units).alias("digits")]
+
+
+def _central_moments(vc: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
+    """(keys, cidx, mean, min, max, std, skew, kurt) from the value counts.
+
+    Mean: exact integer sum (value x count, in units of 1e-9 for fractional
+    columns) divided by the count as a decimal, rounded half-up at 6 digits;
+    falls back to the floating-point mean when a value is not such an integer
+    or the sum overflows.  Central moments: two passes, deviations from the
+    full-precision floating mean (the decimal quotient carries only 6 digits)
+    summed with the counts as weights (m2 with the usual correction term).  Formulas
+    are Spark's: sample std, population skewness sqrt(n)*m3/m2^1.5 and excess
+    kurtosis n*m4/m2^2 - 3 (NULL when m2 = 0).
+    """
+    numeric = [s.ordinal for s in specs if s.numeric]
+    grp = [*keys, "cidx"]
+    base = vc.where(F.col("cidx").isin(numeric))
+    v = _value_num()
+    w = F.col("cnt").cast("double")
+    s1 = base.groupBy(*grp).agg(F.sum("cnt").alias("n"), F.min(v).alias("min"),
+                                F.max(v).alias("max"), F.sum(w * v).alias("fsum"),
+                                *_exact_sum_parts(keys, grp))
+    exact_ok = (F.col("iok") == F.col("nvals")) & F.col("isum").isNotNull()
+    dmean = (F.col("isum").cast("decimal(38,0)")
+             / (F.col("n").cast("decimal(38,0)")
+                * F.pow(F.lit(10), F.col("digits")).cast("decimal(38,0)")))
+    fmean = F.col("fsum") / F.col("n").cast("double")
+    s1 = s1.select(*grp, "n", "min", "max",
+                   F.when(exact_ok, F.round(dmean, 6).cast("double"))
+                    .otherwise(F.round(fmean, 6)).alias("mean"),
+                   fmean.alias("mu"))
+    # s1 holds one row per (group, column): bounded by the schema width when
+    # there are no keys, so it is broadcast; with keys AQE decides.
+    mu_side = F.broadcast(s1.select(*grp, "mu")) if not keys else s1.select(*grp, "mu")
+    dev = v - F.col("mu")
+    s2 = (base.join(mu_side, grp, "inner").groupBy(*grp).agg(
+        F.sum(w * dev).alias("c1"), F.sum(w * dev * dev).alias("c2"),
+        F.sum(w * dev * dev * dev).alias("c3"), F.sum(w * dev * dev * dev * dev).alias("c4")))
+    n = F.col("n").cast("double")
+    m2 = F.col("c2") - F.col("c1") * F.col("c1") / n
+    return s1.join(s2, grp, "inner").select(
+        *grp, "mean", "min", "max",
+        F.when(F.col("n") > 1, F.sqrt(m2 / (n - 1))).alias("std"),
+        F.when(m2 > 0, F.sqrt(n) * F.col("c3") / F.sqrt(m2 * m2 * m2)).alias("skew"),
+        F.when(m2 > 0, n * F.col("c4") / (m2 * m2) - 3.0).alias("kurt"))
+
+
 # --------------------------------------------------------------------------
 # pass B: value counts
 # --------------------------------------------------------------------------
@@ -113,21 +186,38 @@ def _cell(s: ColumnSpec) -> Column:
                     parts[1].alias("d"), parts[2].alias("s"))
 
 
-def value_counts(norm: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
-    """(keys, cidx, l, d, s, cnt) for every non-null value of every column."""
+def value_counts(norm: DataFrame, specs: list[ColumnSpec], keys: list[str],
+                 include_nulls: bool = False) -> DataFrame:
+    """(keys, cidx, l, d, s, cnt) for every value of every column.
+
+    With ``include_nulls`` the NULL cells of a column form one more group
+    (l, d and s all NULL), which gives row and null counts from the same pass.
+    """
     if not specs:
         schema = ", ".join([f"`{k}` string" for k in keys] +
                            ["cidx int", "l bigint", "d double", "s string", "cnt bigint"])
         return norm.sparkSession.createDataFrame([], schema)
-    cells = norm.select(*[_q(k) for k in keys],
-                        F.explode(F.array(*[_cell(s) for s in specs])).alias("c"))
-    return (cells.select(*keys, "c.*")
-                 .where(F.coalesce(F.col("l").isNotNull(), F.lit(False))
-                        | F.col("d").isNotNull() | F.col("s").isNotNull())
-                 .groupBy(*keys, "cidx", "l", "d", "s")
+    cells = (norm.select(*[_q(k) for k in keys],
+                         F.explode(F.array(*[_cell(s) for s in specs])).alias("c"))
+                 .select(*keys, "c.*"))
+    if not include_nulls:
+        cells = cells.where(_not_null_cell())
+    return (cells.groupBy(*keys, "cidx", "l", "d", "s")
                  .agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def _not_null_cell() -> Column:
+    return F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+
+
+def _counts_from_vc(vc_all: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
+    """(keys, row_count, cidx, n) from value counts that include the NULL cells."""
+    return (vc_all.groupBy(*keys, "cidx")
+                  .agg(F.sum("cnt").alias("row_count"),
+                       F.sum(F.when(_not_null_cell(), F.col("cnt")).otherwise(F.lit(0)))
+                        .alias("n")))
+
+
 def _value_text(specs: list[ColumnSpec]) -> Column:
     bools = [s.ordinal for s in specs if s.kind == "bool"]
     as_bool = bool_text(F.col("l") == 1)
@@ -206,24 +296,39 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
     spark = df.sparkSession
     meta = spark.createDataFrame([(s.ordinal, s.name, s.dtype) for s in specs],
                                  "cidx int, column string, dtype string")
-    mom = _moments(norm, specs, keys, exact)
     grp = [*keys, "cidx"]
-    if exact:
-        vc = value_counts(norm, specs, keys)
+    if exact and specs:
+        # One pass over the rows: the value counts (NULL cells included) are
+        # materialised once with a reliable checkpoint and feed every
+        # statistic; without it each consumer would re-run the scan and the
+        # shuffle (the consumers' filters differ, so Spark cannot reuse it).
+        ensure_checkpoint_dir(spark)
+        vc_all = value_counts(norm, specs, keys, include_nulls=True).checkpoint(eager=True)
+        vc = vc_all.where(_not_null_cell())
+        mom = _counts_from_vc(vc_all, specs, keys)
         summ = _vc_summary(vc, specs, keys)
         quant = _exact_quantiles(vc, specs, keys)
-        out = (mom.drop(*[n for n, _ in QUANTILES])
-                  .join(summ, grp, "left")
+        cm = _central_moments(vc, specs, keys)
+        out = (mom.join(summ, grp, "left")
                   .join(quant, grp, "left")
+                  .join(cm, grp, "left")
                   .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long"))))
     else:
+        mom = _moments(norm, specs, keys, exact)
         cats = [s for s in specs if s.categorical]
         vc = value_counts(norm, cats, keys)
         summ = _vc_summary(vc, specs, keys).drop("unique_count")
         out = (mom.join(summ, grp, "left")
                   .withColumn("unique_count", F.col("approx_unique")))
+    if keys:
+        out = out.join(F.broadcast(meta), "cidx", "left")
+    else:
+        # Every column gets a row, also when the table is empty.
+        out = (meta.join(out, "cidx", "left")
+                   .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))
+                   .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+                   .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long"))))
     nulls = F.col("row_count") - F.col("n")
-    out = out.join(F.broadcast(meta), "cidx", "left")
     r6 = lambda c: F.round(F.col(c), 6)
     r4 = lambda c: F.round(F.col(c), 4)
     return out.select(

@@ -68,7 +68,7 @@ def profile_context(df: DataFrame, file_name: str, file_type: str,
 
 
 def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str | None = None,
-                 exact: bool = False) -> DataFrame:
+                 exact: bool = True) -> DataFrame:
     """One-sentence report of a dataset (rows, columns, first numeric column's
     mean and range, first categorical column's top value, up to two high-null
     columns, metric peaks)."""
