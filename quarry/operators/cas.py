@@ -170,8 +170,32 @@ def verify_chain(stored: DataFrame, group_cols=("project_id", "branch"),
         F.col("parent_hash").eqNullSafe(F.col("expected_commit_hash")).alias("parent_ok"))
 
 
+EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
+
+
+def _empty_files(spark, path_glob: str) -> list[str]:
+    """Paths of zero-length files matching the glob (file statuses only)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path_glob)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    statuses = fs.globStatus(path) or []
+    return [st.getPath().toString() for st in statuses if st.isFile() and st.getLen() == 0]
+
+
 def hash_files(spark, path_glob: str) -> DataFrame:
-    """SHA-256 and byte size of every file under a path (binaryFile source)."""
-    return (spark.read.format("binaryFile").load(path_glob)
-                 .select(F.col("path"), F.sha2(F.col("content"), 256).alias("blob_hash"),
-                         F.col("length").alias("size_bytes")))
+    """SHA-256 and byte size of every file under a path (binaryFile source).
+
+    Spark's file sources produce no row for a zero-length file, so those are
+    taken from the file listing (metadata only) with the hash of no bytes.
+    Files are hashed whole, one task per file; a file above the 2 GB a binary
+    value can hold must be hashed by rows instead (content_hash).
+    """
+    files = (spark.read.format("binaryFile").load(path_glob)
+                  .select(F.col("path"), F.sha2(F.col("content"), 256).alias("blob_hash"),
+                          F.col("length").alias("size_bytes")))
+    empty = _empty_files(spark, path_glob)
+    if empty:
+        extra = spark.createDataFrame([(p, EMPTY_SHA256, 0) for p in empty],
+                                      "path string, blob_hash string, size_bytes long")
+        files = files.unionByName(extra)
+    return files
