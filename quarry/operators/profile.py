@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metric_name,
-                                    normalized)
+                                    kind_of, normalized)
 from quarry.functions.numeric import exact_mean, mean_from_parts, mean_parts
 from quarry.plans.ordered import prefix_sum
 from quarry.session import ensure_checkpoint_dir
@@ -101,69 +101,6 @@ def _moments(norm: DataFrame, specs: list[ColumnSpec], keys: list[str],
                           F.inline(F.array(*per_col)))
 
 
-# Values of fractional columns are summed exactly as integers in units of
-# 1e-9 when every value is such an integer (true for decimal-like data).
-SCALE_DIGITS = 9
-
-
-def _exact_sum_parts(keys: list[str], grp: list[str]):
-    """Aggregates over value counts for an exact, order-independent sum."""
-    scale = 10 ** SCALE_DIGITS
-    d = F.col("d")
-    scaled = F.round(d * F.lit(float(scale))).try_cast("long")
-    ok = (F.abs(d) < 9.0e9) & ((scaled.cast("double") / F.lit(float(scale))) == d)
-    as_units = F.when(F.col("d").isNull(), F.col("l")).when(ok, scaled)
-    units = F.when(F.col("d").isNull(), F.lit(0)).otherwise(F.lit(SCALE_DIGITS))
-    return [F.try_sum(F.try_multiply(as_units, F.col("cnt"))).alias("isum"),
-            F.count(as_units).alias("iok"), F.count(F.lit(1)).alias("nvals"),
-            F.max(units).alias("digits")]
-
-
-def _central_moments(vc: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
-    """(keys, cidx, mean, min, max, std, skew, kurt) from the value counts.
-
-    Mean: exact integer sum (value x count, in units of 1e-9 for fractional
-    columns) divided by the count as a decimal, rounded half-up at 6 digits;
-    falls back to the floating-point mean when a value is not such an integer
-    or the sum overflows.  Central moments: two passes, deviations from the
-    full-precision floating mean (the decimal quotient carries only 6 digits)
-    summed with the counts as weights (m2 with the usual correction term).  Formulas
-    are Spark's: sample std, population skewness sqrt(n)*m3/m2^1.5 and excess
-    kurtosis n*m4/m2^2 - 3 (NULL when m2 = 0).
-    """
-    numeric = [s.ordinal for s in specs if s.numeric]
-    grp = [*keys, "cidx"]
-    base = vc.where(F.col("cidx").isin(numeric))
-    v = _value_num()
-    w = F.col("cnt").cast("double")
-    s1 = base.groupBy(*grp).agg(F.sum("cnt").alias("n"), F.min(v).alias("min"),
-                                F.max(v).alias("max"), F.sum(w * v).alias("fsum"),
-                                *_exact_sum_parts(keys, grp))
-    exact_ok = (F.col("iok") == F.col("nvals")) & F.col("isum").isNotNull()
-    dmean = (F.col("isum").cast("decimal(38,0)")
-             / (F.col("n").cast("decimal(38,0)")
-                * F.pow(F.lit(10), F.col("digits")).cast("decimal(38,0)")))
-    fmean = F.col("fsum") / F.col("n").cast("double")
-    s1 = s1.select(*grp, "n", "min", "max",
-                   F.when(exact_ok, F.round(dmean, 6).cast("double"))
-                    .otherwise(F.round(fmean, 6)).alias("mean"),
-                   fmean.alias("mu"))
-    # s1 holds one row per (group, column): bounded by the schema width when
-    # there are no keys, so it is broadcast; with keys AQE decides.
-    mu_side = F.broadcast(s1.select(*grp, "mu")) if not keys else s1.select(*grp, "mu")
-    dev = v - F.col("mu")
-    s2 = (base.join(mu_side, grp, "inner").groupBy(*grp).agg(
-        F.sum(w * dev).alias("c1"), F.sum(w * dev * dev).alias("c2"),
-        F.sum(w * dev * dev * dev).alias("c3"), F.sum(w * dev * dev * dev * dev).alias("c4")))
-    n = F.col("n").cast("double")
-    m2 = F.col("c2") - F.col("c1") * F.col("c1") / n
-    return s1.join(s2, grp, "inner").select(
-        *grp, "mean", "min", "max",
-        F.when(F.col("n") > 1, F.sqrt(m2 / (n - 1))).alias("std"),
-        F.when(m2 > 0, F.sqrt(n) * F.col("c3") / F.sqrt(m2 * m2 * m2)).alias("skew"),
-        F.when(m2 > 0, n * F.col("c4") / (m2 * m2) - 3.0).alias("kurt"))
-
-
 # --------------------------------------------------------------------------
 # pass B: value counts
 # --------------------------------------------------------------------------
@@ -210,14 +147,6 @@ def _not_null_cell() -> Column:
     return F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
 
 
-def _counts_from_vc(vc_all: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
-    """(keys, row_count, cidx, n) from value counts that include the NULL cells."""
-    return (vc_all.groupBy(*keys, "cidx")
-                  .agg(F.sum("cnt").alias("row_count"),
-                       F.sum(F.when(_not_null_cell(), F.col("cnt")).otherwise(F.lit(0)))
-                        .alias("n")))
-
-
 def _value_text(specs: list[ColumnSpec]) -> Column:
     bools = [s.ordinal for s in specs if s.kind == "bool"]
     as_bool = bool_text(F.col("l") == 1)
@@ -231,45 +160,126 @@ def _value_num() -> Column:
     return F.coalesce(F.col("d"), F.col("l").cast("double"))
 
 
-def _exact_quantiles(vc: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
-    """(keys, cidx, q1, median, q3) by linear interpolation between ranks."""
+# Values of fractional columns are summed exactly as integers in units of
+# 1e-9 when every value is such an integer (true for decimal-like data).
+SCALE_DIGITS = 9
+
+
+def _column_stats(vc_all: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
+    """One aggregation over the value counts (NULL cells included) per
+    (group, column): row and non-null counts, distinct count, mode, and for
+    numeric columns min, max and the mean.
+
+    Mean: exact integer sum (value x count, in units of 1e-9 for fractional
+    columns) divided by the count as a decimal, rounded half-up at 6 digits;
+    it falls back to the floating-point mean when a value is not such an
+    integer or the sum overflows.  ``mu`` is the full-precision floating mean
+    used to centre the moments (the decimal quotient carries 6 digits only).
+    """
+    numeric = [s.ordinal for s in specs if s.numeric]
+    nn = _not_null_cell()
+    isnum = F.col("cidx").isin(numeric) if numeric else F.lit(False)
+    v = F.when(nn & isnum, _value_num())
+    w = F.col("cnt").cast("double")
+    order_key = F.when(nn, F.struct((-F.col("cnt")).alias("nc"), v.alias("v"),
+                                    F.col("s").alias("s"), F.col("l").alias("l")))
+    scale = float(10 ** SCALE_DIGITS)
+    d = F.when(isnum, F.col("d"))
+    scaled = F.round(d * F.lit(scale)).try_cast("long")
+    ok = (F.abs(d) < 9.0e9) & ((scaled.cast("double") / F.lit(scale)) == d)
+    units = F.when(nn & isnum, F.when(d.isNull(), F.col("l")).when(ok, scaled))
+    stats = vc_all.groupBy(*keys, "cidx").agg(
+        F.sum("cnt").alias("row_count"),
+        F.sum(F.when(nn, F.col("cnt")).otherwise(F.lit(0))).alias("n"),
+        F.count(F.when(nn, F.lit(1))).alias("unique_count"),
+        F.min_by(F.when(nn, _value_text(specs)), order_key).alias("mode"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(w * v).alias("fsum"),
+        F.try_sum(F.try_multiply(units, F.col("cnt"))).alias("isum"),
+        F.count(units).alias("iok"), F.count(v).alias("nvals"),
+        F.max(F.when(nn & isnum, F.when(d.isNull(), F.lit(0)).otherwise(F.lit(SCALE_DIGITS))))
+         .alias("digits"))
+    exact_ok = (F.col("iok") == F.col("nvals")) & F.col("isum").isNotNull()
+    dmean = (F.col("isum").cast("decimal(38,0)")
+             / (F.col("n").cast("decimal(38,0)")
+                * F.pow(F.lit(10), F.col("digits")).cast("decimal(38,0)")))
+    fmean = F.col("fsum") / F.col("n").cast("double")
+    return stats.select(
+        *keys, "cidx", "row_count", "n", "unique_count", "mode", "min", "max",
+        F.when(F.col("nvals") > 0, F.when(exact_ok, F.round(dmean, 6).cast("double"))
+               .otherwise(F.round(fmean, 6))).alias("mean"),
+        F.when(F.col("nvals") > 0, fmean).alias("mu"))
+
+
+def _central_moments(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
+                     keys: list[str]) -> DataFrame:
+    """(keys, cidx, std, skew, kurt): second pass over the value counts.
+
+    Deviations from ``mu`` summed with the counts as weights (m2 with the
+    usual correction term).  Formulas are Spark's: sample std, population
+    skewness sqrt(n)*m3/m2^1.5 and excess kurtosis n*m4/m2^2 - 3 (NULL when
+    m2 = 0).
+    """
+    numeric = [s.ordinal for s in specs if s.numeric]
+    grp = [*keys, "cidx"]
+    mu = stats.where(F.col("mu").isNotNull()).select(*grp, "mu", "n")
+    # One row per (group, column): bounded by the schema width when there
+    # are no keys, so it is broadcast; with keys AQE decides from its size.
+    mu_side = F.broadcast(mu) if not keys else mu
+    dev = _value_num() - F.col("mu")
+    w = F.col("cnt").cast("double")
+    s2 = (vc.where(F.col("cidx").isin(numeric)).join(mu_side, grp, "inner")
+            .groupBy(*grp).agg(F.max("n").alias("n"), F.sum(w * dev).alias("c1"),
+                               F.sum(w * dev * dev).alias("c2"),
+                               F.sum(w * dev * dev * dev).alias("c3"),
+                               F.sum(w * dev * dev * dev * dev).alias("c4")))
+    n = F.col("n").cast("double")
+    m2 = F.col("c2") - F.col("c1") * F.col("c1") / n
+    return s2.select(
+        *grp,
+        F.when(F.col("n") > 1, F.sqrt(m2 / (n - 1))).alias("std"),
+        F.when(m2 > 0, F.sqrt(n) * F.col("c3") / F.sqrt(m2 * m2 * m2)).alias("skew"),
+        F.when(m2 > 0, n * F.col("c4") / (m2 * m2) - 3.0).alias("kurt"))
+
+
+def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
+                     keys: list[str]) -> DataFrame:
+    """(keys, cidx, q1, median, q3): linear interpolation between the values at
+    ranks floor((n-1)q) and ceil((n-1)q).
+
+    Ranks come from a skew-safe prefix sum of the counts in value order; each
+    column then needs the rows whose rank range holds one of its 6 target
+    ranks, found by a join with the (small) target table and gathered in one
+    conditional aggregate.
+    """
     numeric = [s.ordinal for s in specs if s.numeric]
+    grp = [*keys, "cidx"]
     nv = (vc.where(F.col("cidx").isin(numeric))
             .select(*keys, "cidx", _value_num().alias("v"), "cnt"))
-    grp = [*keys, "cidx"]
     ranked = prefix_sum(nv, grp, ["v"], "cnt", out="cb")
-    # Target ranks: at most 6 rows per (group, column).
-    n = nv.groupBy(*grp).agg(F.sum("cnt").alias("n"))
-    tq = []
+    ends = []
     for name, q in QUANTILES:
         pos = (F.col("n") - 1).cast("double") * F.lit(q)
-        tq.append(F.struct(F.lit(name).alias("qn"), pos.alias("pos")))
-    targets = (n.select(*grp, F.explode(F.array(*tq)).alias("t"))
-                .select(*grp, "t.qn", "t.pos")
-                .withColumn("lo", F.floor("pos").cast("long"))
-                .withColumn("hi", F.ceil("pos").cast("long"))
-                .withColumn("frac", F.col("pos") - F.col("lo")))
-    ends = targets.select(*grp, "qn", "frac",
-                          F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("r")),
-                                            F.struct(F.lit(1).alias("side"), F.col("hi").alias("r"))))
-                          .alias("e")).select(*grp, "qn", "frac", "e.side", "e.r")
+        ends.append(F.struct(F.lit(f"{name}_lo").alias("e"), F.floor(pos).cast("long").alias("r")))
+        ends.append(F.struct(F.lit(f"{name}_hi").alias("e"), F.ceil(pos).cast("long").alias("r")))
+    targets = (stats.where(F.col("cidx").isin(numeric) & (F.col("n") > 0))
+                    .select(*grp, F.explode(F.array(*ends)).alias("t"))
+                    .select(*grp, "t.e", "t.r"))
     r = ranked.alias("r")
-    e = ends.alias("e")
-    cond = [F.col(f"r.{g}").eqNullSafe(F.col(f"e.{g}")) for g in grp]
-    cond.append(F.col("e.r") >= F.col("r.cb"))
-    cond.append(F.col("e.r") < F.col("r.cb") + F.col("r.cnt"))
-    # The target table holds 6 rows per (group, column): bounded by the
-    # number of groups and columns, so it is broadcast (keys=[] -> 6*C rows).
-    target_side = F.broadcast(e) if not keys else e
-    hit = (r.join(target_side, reduce(lambda a, b: a & b, cond), "inner")
-             .select(*[F.col(f"e.{g}").alias(g) for g in grp], "e.qn", "e.frac", "e.side", "r.v"))
-    vals = (hit.groupBy(*grp, "qn")
-               .agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("vlo"),
-                    F.max(F.when(F.col("side") == 1, F.col("v"))).alias("vhi"),
-                    F.max("frac").alias("frac"))
-               .withColumn("qv", F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))))
-    return vals.groupBy(*grp).agg(*[F.max(F.when(F.col("qn") == name, F.col("qv"))).alias(name)
-                                    for name, _ in QUANTILES])
+    t = (F.broadcast(targets) if not keys else targets).alias("t")
+    cond = [F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}")) for g in grp]
+    cond += [F.col("t.r") >= F.col("r.cb"), F.col("t.r") < F.col("r.cb") + F.col("r.cnt")]
+    hit = (r.join(t, reduce(lambda a, b: a & b, cond), "inner")
+            .select(*[F.col(f"r.{g}").alias(g) for g in grp], "t.e", "r.v"))
+    names = [f"{n}_{side}" for n, _ in QUANTILES for side in ("lo", "hi")]
+    return hit.groupBy(*grp).agg(*[F.max(F.when(F.col("e") == e, F.col("v"))).alias(e)
+                                   for e in names])
+
+
+def _interpolated(name: str, q: float) -> Column:
+    pos = (F.col("n") - 1).cast("double") * F.lit(q)
+    frac = pos - F.floor(pos)
+    lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+    return lo + frac * (hi - lo)
 
 
 def _vc_summary(vc: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
@@ -305,14 +315,11 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
         ensure_checkpoint_dir(spark)
         vc_all = value_counts(norm, specs, keys, include_nulls=True).checkpoint(eager=True)
         vc = vc_all.where(_not_null_cell())
-        mom = _counts_from_vc(vc_all, specs, keys)
-        summ = _vc_summary(vc, specs, keys)
-        quant = _exact_quantiles(vc, specs, keys)
-        cm = _central_moments(vc, specs, keys)
-        out = (mom.join(summ, grp, "left")
-                  .join(quant, grp, "left")
-                  .join(cm, grp, "left")
-                  .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long"))))
+        stats = _column_stats(vc_all, specs, keys)
+        quant = _exact_quantiles(vc, stats, specs, keys)
+        cm = _central_moments(vc, stats, specs, keys)
+        out = (stats.join(quant, grp, "left").join(cm, grp, "left")
+                    .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
     else:
         mom = _moments(norm, specs, keys, exact)
         cats = [s for s in specs if s.categorical]

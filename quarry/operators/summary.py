@@ -76,8 +76,12 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
     rows = prof.agg(F.max("row_count").alias("rows"))
     num = prof.where(F.col("mean").isNotNull()).agg(
         F.min_by(F.struct("column", "mean", "min", "max"), "ordinal").alias("nm"))
-    tops = (P.top_values(df, k=1).join(prof.select("column", "ordinal"), "column")
-             .agg(F.min_by(F.struct("column", "value"), "ordinal").alias("tv")))
+    # The top value of a categorical column is its mode (count desc, value asc).
+    cats = [f.name for f in df.schema.fields
+            if P.kind_of(f.dataType) in ("string", "bool")]
+    tops = (prof.where(F.col("column").isin(cats) & F.col("mode").isNotNull())
+                .agg(F.min_by(F.struct("column", F.col("mode").alias("value")), "ordinal")
+                     .alias("tv")))
     nulls = prof.where(F.col("null_pct") > 5).agg(F.slice(F.array_sort(F.collect_list(F.struct(
         "ordinal", F.concat("column", F.lit(" ("), F.col("null_pct").cast("string"), F.lit("%)"))
         .alias("t")))), 1, 2).alias("hn"))
