@@ -44,6 +44,12 @@ def _try_ts(text: str | None):
         return None
 
 
+def _ntz(ts: datetime):
+    """Timestamp literal without time zone, built from ISO text so neither the
+    Python process zone nor the session zone can shift it."""
+    return F.lit(ts.replace(tzinfo=None).isoformat()).cast("timestamp_ntz")
+
+
 def filter_log(commits: DataFrame, project_ids: DataFrame | None = None, branch: str | None = None,
                since: str | None = None, until: str | None = None) -> DataFrame:
     """F2 + F4: optional branch equality and inclusive time bounds."""
@@ -52,9 +58,9 @@ def filter_log(commits: DataFrame, project_ids: DataFrame | None = None, branch:
         out = out.where(F.col("branch") == branch)
     lo, hi = _try_ts(since), _try_ts(until)
     if lo is not None:
-        out = out.where(F.col("created_at") >= F.lit(lo).cast("timestamp_ntz"))
+        out = out.where(F.col("created_at") >= _ntz(lo))
     if hi is not None:
-        out = out.where(F.col("created_at") <= F.lit(hi).cast("timestamp_ntz"))
+        out = out.where(F.col("created_at") <= _ntz(hi))
     return out
 
 
@@ -143,7 +149,7 @@ def ancestry(commits: DataFrame, of: DataFrame) -> DataFrame:
 def state_at(commits: DataFrame, entries: DataFrame, as_of: str, branch: str | None = None) -> DataFrame:
     """For every (project, branch, file name) the object it had as of ``as_of``:
     the entry of the newest commit at or before that time (as-of by max_by)."""
-    ts = F.lit(_try_ts(as_of)).cast("timestamp_ntz")
+    ts = _ntz(_try_ts(as_of))
     c = commits.where(F.col("created_at") <= ts)
     if branch is not None:
         c = c.where(F.col("branch") == branch)
