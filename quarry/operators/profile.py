@@ -452,13 +452,24 @@ def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> D
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: number of rows equal to an earlier row (NULLs compare equal).
 
-    Exact: groups by every column (a 64-bit row hash could merge distinct
-    rows).  Hot duplicates are pre-aggregated map-side.
+    Exact, in two phases so that whole rows are only shuffled when they may be
+    duplicates:
+
+    1. count rows per 96-bit row hash (``xxhash64`` and ``hash`` of all
+       columns); this shuffles 12-byte keys, pre-aggregated per task;
+    2. rows whose hash occurs more than once (semi join; AQE broadcasts the
+       candidate hashes when they are few) are grouped by the hash *and* every
+       column - already partitioned by the hash, so no second shuffle - which
+       removes any hash collision from the count.
     """
     cols = [_q(c) for c in df.columns]
-    return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
-              .agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0).cast("long"))
-                   .alias("duplicate_rows")))
+    keyed = df.select(F.xxhash64(*cols).alias("__h1"), F.hash(*cols).alias("__h2"), *cols)
+    cand = (keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__c"))
+                 .where(F.col("__c") > 1).select("__h1", "__h2"))
+    groups = (keyed.join(cand, ["__h1", "__h2"], "left_semi")
+                   .groupBy("__h1", "__h2", *cols).agg(F.count(F.lit(1)).alias("__c")))
+    return groups.agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0).cast("long"))
+                      .alias("duplicate_rows"))
 
 
 def row_and_column_count(df: DataFrame) -> DataFrame:
