@@ -67,11 +67,58 @@ def profile_context(df: DataFrame, file_name: str, file_type: str,
                  F.lit("\nStatistics:\n"), F.col("lines")).alias("context"))
 
 
+def _metrics_text(df: DataFrame, order_by: str | None, external_metrics: str | None):
+    """One-row frame with ``mt``: the metric sentences in merge order.
+
+    Detected metrics (dicts with a peak) come first in column order; metrics
+    supplied as a JSON object override them by name (U4: the supplied value
+    wins and keeps the detected position) or follow in their own order.  A
+    supplied object with ``max`` reads as a peak, a supplied scalar as
+    ``Name: value.``; other supplied values add nothing.
+    """
+    spark = df.sparkSession
+    frames = []
+    if order_by is not None and P.metric_columns(df):
+        order = {name: i for i, name in enumerate(df.columns)}
+        pos = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
+        frames.append(P.custom_metrics(df, order_by).select(
+            "metric", pos[F.col("metric")].cast("long").alias("dpos"),
+            F.concat(F.lit(" Recorded '"), F.col("metric"), F.lit("' peak: "),
+                     F.col("max").cast("string"), F.lit(".")).alias("dt")))
+    if external_metrics:
+        entries = F.posexplode(F.map_entries(F.from_json(F.lit(external_metrics),
+                                                         "map<string,string>")))
+        ext = spark.range(1).select(entries).select(
+            F.col("col.key").alias("metric"), F.col("pos").cast("long").alias("epos"),
+            F.col("col.value").alias("raw"))
+        peak = F.get_json_object(F.col("raw"), "$.max")
+        is_obj = F.ltrim(F.col("raw")).startswith("{")
+        is_list = F.ltrim(F.col("raw")).startswith("[")
+        text = (F.when(is_obj & peak.isNotNull(),
+                       F.concat(F.lit(" Recorded '"), F.col("metric"), F.lit("' peak: "), peak,
+                                F.lit(".")))
+                 .when(is_obj | is_list | F.col("raw").isNull(), F.lit(""))
+                 .otherwise(F.concat(F.lit(" "), capitalize(F.col("metric")), F.lit(": "),
+                                     F.col("raw"), F.lit("."))))
+        frames.append(ext.select("metric", "epos", text.alias("et")))
+    if not frames:
+        return None
+    if len(frames) == 1:
+        f = frames[0]
+        p, t = ("dpos", "dt") if "dpos" in f.columns else ("epos", "et")
+        merged = f.select(F.col(p).alias("p"), F.col(t).alias("t"))
+    else:
+        merged = (frames[0].join(frames[1], "metric", "full_outer")
+                  .select(F.coalesce(F.col("dpos"), F.lit(1 << 20) + F.col("epos")).alias("p"),
+                          F.coalesce(F.col("et"), F.col("dt")).alias("t")))
+    return merged.agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("mt"))
+
+
 def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str | None = None,
-                 exact: bool = True) -> DataFrame:
+                 exact: bool = True, external_metrics: str | None = None) -> DataFrame:
     """One-sentence report of a dataset (rows, columns, first numeric column's
     mean and range, first categorical column's top value, up to two high-null
-    columns, metric peaks)."""
+    columns, metric peaks and supplied metric values)."""
     prof = P.profile_table(df, exact=exact)
     rows = prof.agg(F.max("row_count").alias("rows"))
     num = prof.where(F.col("mean").isNotNull()).agg(
@@ -87,14 +134,8 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
         .alias("t")))), 1, 2).alias("hn"))
     parts = [rows, num, tops, nulls]
     metrics_txt = F.lit("")
-    if order_by is not None and P.metric_columns(df):
-        m = P.custom_metrics(df, order_by)
-        order = {name: i for i, name in enumerate(df.columns)}
-        pos = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
-        mt = m.agg(F.array_sort(F.collect_list(F.struct(
-            pos[F.col("metric")].alias("p"),
-            F.concat(F.lit(" Recorded '"), F.col("metric"), F.lit("' peak: "),
-                     F.col("max").cast("string"), F.lit(".")).alias("t")))).alias("mt"))
+    mt = _metrics_text(df, order_by, external_metrics)
+    if mt is not None:
         parts.append(mt)
         metrics_txt = F.coalesce(F.array_join(F.transform("mt", lambda e: e["t"]), ""), F.lit(""))
     one = _one_row_join(parts)

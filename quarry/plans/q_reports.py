@@ -63,7 +63,8 @@ def q_merge_metrics(spark, sf):
 
 def q_rule_summary(spark, sf):
     li = S.rule_summary(table(spark, sf, "lineitem"), "lineitem.parquet", "parquet")
-    ev = S.rule_summary(_events_scored(spark, sf), "events.parquet", "parquet", order_by="event_id")
+    ev = S.rule_summary(_events_scored(spark, sf), "events.parquet", "parquet", order_by="event_id",
+                        external_metrics=EXTERNAL_METRICS)
     return li.unionByName(ev)
 
 
@@ -132,16 +133,25 @@ _SETS = {
 }
 
 
-def _rule_summary_sql(source: str, file_name: str, cols: list[Col], metric_cols=(), order_col=None):
+def _rule_summary_sql(source: str, file_name: str, cols: list[Col], metric_cols=(), external=None):
     prof = profile_sql(file_name, cols, source=source)
     tv = top_values_sql(source, cols, k=1)
     ordinals = " ".join(f"WHEN '{c.name}' THEN {i}" for i, c in enumerate(cols))
     metric_txt = "''"
-    if metric_cols:
-        parts = " || ".join(
-            f"' Recorded ''{m}'' peak: ' || CAST({R(f'(SELECT max({m}) FROM {source})', 6)} AS VARCHAR) || '.'"
-            for m in metric_cols)
-        metric_txt = parts
+    if metric_cols or external:
+        det = " UNION ALL ".join(
+            f"SELECT '{m}' AS metric, {i} AS dpos, ' Recorded ''{m}'' peak: ' || "
+            f"CAST({R(f'(SELECT max({m}) FROM {source})', 6)} AS VARCHAR) || '.' AS dt"
+            for i, m in metric_cols) or "SELECT NULL AS metric, NULL AS dpos, NULL AS dt WHERE FALSE"
+        ext = "SELECT NULL AS metric, NULL AS epos, NULL AS et WHERE FALSE"
+        if external:
+            ext = (f"SELECT k AS metric, row_number() OVER () - 1 AS epos, "
+                   f"' ' || upper(k[1]) || lower(k[2:]) || ': ' || "
+                   f"json_extract_string('{external}', '$.\"' || k || '\"') || '.' AS et "
+                   f"FROM (SELECT unnest(json_keys('{external}')) AS k)")
+        metric_txt = (f"coalesce((SELECT string_agg(coalesce(e.et, d.dt), '' ORDER BY "
+                      f"coalesce(d.dpos, 1048576 + e.epos)) FROM ({det}) d FULL OUTER JOIN ({ext}) e "
+                      f"ON d.metric = e.metric), '')")
     return f"""
 WITH prof AS ({prof}),
 tv AS (SELECT t."column", t.value, CASE t."column" {ordinals} END AS ordinal FROM ({tv}) t),
@@ -213,7 +223,8 @@ ORACLE = {
     "rule_summary": ("SELECT * FROM (" + _rule_summary_sql("lineitem", "lineitem.parquet", LINEITEM)
                      + ")\nUNION ALL\nSELECT * FROM ("
                      + _rule_summary_sql(_EV_SCORED, "events.parquet", _EV_COLS,
-                                         metric_cols=("score",), order_col="event_id") + ")"),
+                                         metric_cols=((4, "score"),), external=EXTERNAL_METRICS)
+                     + ")"),
     "profile_context": _CONTEXT,
     "stats_preview": _PREVIEW,
     "preview_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",

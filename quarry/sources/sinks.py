@@ -41,6 +41,22 @@ def json_sink(df: DataFrame, path: str) -> str:
     return path
 
 
+def export_version(df: DataFrame, path: str, file_type: str) -> str:
+    """Write a resolved version out in its own format (csv with header,
+    json lines, parquet)."""
+    t = file_type.lower().strip(".")
+    w = df.write.mode("overwrite")
+    if t == "csv":
+        w.option("header", True).csv(path)
+    elif t == "json":
+        w.json(path)
+    elif t in ("parquet", "pq"):
+        w.parquet(path)
+    else:
+        raise ValueError(f"Unsupported file type: {t}")
+    return path
+
+
 def as_json_text(df: DataFrame) -> DataFrame:
     """S10 as a column: one JSON object per row."""
     return df.select(F.to_json(F.struct("*")).alias("json"))

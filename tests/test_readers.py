@@ -44,3 +44,16 @@ def test_preview_rows_orders_and_limits(spark):
     o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     got = [r["o_orderkey"] for r in R.preview_rows(o, ["o_orderkey"], 5).collect()]
     assert got == sorted(got) and len(got) == 5
+
+
+def test_export_version_round_trip(spark, tmp_folder):
+    from quarry.sources.sinks import export_version
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice")
+    for t in ("csv", "json", "parquet"):
+        path = export_version(o, os.path.join(tmp_folder, t), t)
+        back = R.load_dataset(spark, path, t)
+        assert sorted(tuple(r) for r in back.select(*o.columns).collect()) == \
+            sorted(tuple(r) for r in o.collect())
+    with pytest.raises(ValueError):
+        export_version(o, os.path.join(tmp_folder, "x"), "xlsx")
