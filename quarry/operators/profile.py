@@ -33,6 +33,10 @@ from quarry.session import ensure_checkpoint_dir
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
 
+# Per-(group, column) tables up to this many rows are broadcast; the count is
+# read from the checkpointed table before the plan is built.
+BROADCAST_ROWS = 200_000
+
 PROFILE_COLUMNS = ["column", "ordinal", "dtype", "row_count", "null_count", "null_pct",
                    "unique_count", "mean", "std", "min", "max", "median", "q1", "q3",
                    "skewness", "kurtosis", "mode"]
@@ -211,7 +215,7 @@ def _column_stats(vc_all: DataFrame, specs: list[ColumnSpec], keys: list[str]) -
 
 
 def _central_moments(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
-                     keys: list[str]) -> DataFrame:
+                     keys: list[str], small: bool = True) -> DataFrame:
     """(keys, cidx, std, skew, kurt): second pass over the value counts.
 
     Deviations from ``mu`` summed with the counts as weights (m2 with the
@@ -222,9 +226,8 @@ def _central_moments(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     numeric = [s.ordinal for s in specs if s.numeric]
     grp = [*keys, "cidx"]
     mu = stats.where(F.col("mu").isNotNull()).select(*grp, "mu", "n")
-    # One row per (group, column): bounded by the schema width when there
-    # are no keys, so it is broadcast; with keys AQE decides from its size.
-    mu_side = F.broadcast(mu) if not keys else mu
+    # One row per (group, column); broadcast when its checked size is small.
+    mu_side = F.broadcast(mu) if small else mu
     dev = _value_num() - F.col("mu")
     w = F.col("cnt").cast("double")
     s2 = (vc.where(F.col("cidx").isin(numeric)).join(mu_side, grp, "inner")
@@ -242,7 +245,7 @@ def _central_moments(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
 
 
 def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
-                     keys: list[str]) -> DataFrame:
+                     keys: list[str], small: bool = True) -> DataFrame:
     """(keys, cidx, q1, median, q3): linear interpolation between the values at
     ranks floor((n-1)q) and ceil((n-1)q).
 
@@ -255,7 +258,7 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     grp = [*keys, "cidx"]
     nv = (vc.where(F.col("cidx").isin(numeric))
             .select(*keys, "cidx", _value_num().alias("v"), "cnt"))
-    ranked = prefix_sum(nv, grp, ["v"], "cnt", out="cb")
+    ranked = prefix_sum(nv, grp, ["v"], "cnt", out="cb", broadcast_offsets=small)
     ends = []
     for name, q in QUANTILES:
         pos = (F.col("n") - 1).cast("double") * F.lit(q)
@@ -265,7 +268,7 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
                     .select(*grp, F.explode(F.array(*ends)).alias("t"))
                     .select(*grp, "t.e", "t.r"))
     r = ranked.alias("r")
-    t = (F.broadcast(targets) if not keys else targets).alias("t")
+    t = (F.broadcast(targets) if small else targets).alias("t")
     cond = [F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}")) for g in grp]
     cond += [F.col("t.r") >= F.col("r.cb"), F.col("t.r") < F.col("r.cb") + F.col("r.cnt")]
     hit = (r.join(t, reduce(lambda a, b: a & b, cond), "inner")
@@ -315,9 +318,12 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
         ensure_checkpoint_dir(spark)
         vc_all = value_counts(norm, specs, keys, include_nulls=True).checkpoint(eager=True)
         vc = vc_all.where(_not_null_cell())
-        stats = _column_stats(vc_all, specs, keys)
-        quant = _exact_quantiles(vc, stats, specs, keys)
-        cm = _central_moments(vc, stats, specs, keys)
+        # The per-(group, column) stats feed three consumers; checkpointed
+        # once, and their row count is the size check for the broadcasts.
+        stats = _column_stats(vc_all, specs, keys).checkpoint(eager=True)
+        small = (not keys) or stats.count() <= BROADCAST_ROWS
+        quant = _exact_quantiles(vc, stats, specs, keys, small)
+        cm = _central_moments(vc, stats, specs, keys, small)
         out = (stats.join(quant, grp, "left").join(cm, grp, "left")
                     .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
     else:

@@ -49,7 +49,8 @@ def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
-               weight: str, out: str = "cum_before", parts: int | None = None) -> DataFrame:
+               weight: str, out: str = "cum_before", parts: int | None = None,
+               broadcast_offsets: bool = True) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over the rows before each row of its group.
 
     Rows must be totally ordered within a group by ``order_cols`` (ties get an
@@ -69,7 +70,10 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(_PID, *group_cols,
                             F.coalesce(F.sum("__t").over(off_w), F.lit(0)).alias("__off"))
-    return (local.join(F.broadcast(offsets), [_PID, *group_cols], "inner")
+    # offsets has at most P + #groups rows; callers with an unbounded number
+    # of groups pass broadcast_offsets=False after checking that count.
+    off_side = F.broadcast(offsets) if broadcast_offsets else offsets
+    return (local.join(off_side, [_PID, *group_cols], "inner")
                  .withColumn(out, F.col("__off") + F.col("__local"))
                  .drop("__off", "__local", "__slice_total", _PID))
 
