@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.ordered import lag_in_group
-from quarry.session import shuffle_partitions
 
 
 def content_hash(df: DataFrame, col: str, out: str = "content_hash") -> DataFrame:
@@ -145,8 +144,9 @@ def commit_chain(commits: DataFrame, group_cols=("project_id", "branch"),
     group_cols, order_cols = list(group_cols), list(order_cols)
     src = commits.select(*group_cols, *[c for c in order_cols if c not in group_cols],
                          *([] if "id" in order_cols else ["id"]), message_col, blob_col)
-    n = shuffle_partitions(commits.sparkSession)
-    ordered = src.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    # Partitioned by chain without a fixed count, so AQE can coalesce small
+    # partitions (fewer Python workers on small data) and keep many on big.
+    ordered = src.repartition(*group_cols).sortWithinPartitions(*group_cols, *order_cols)
     return ordered.mapInPandas(_fold_chains(group_cols, message_col, blob_col), CHAIN_SCHEMA)
 
 

@@ -478,11 +478,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
                       .alias("duplicate_rows"))
 
 
-def row_and_column_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("row_count"),
-                  F.lit(len(df.columns)).alias("column_count"))
-
-
 def metric_columns(df: DataFrame) -> list[str]:
     """Names of model-metric columns (F10): keyword in the name and numeric
     (booleans count here, as for the reference)."""

@@ -156,11 +156,6 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
     return one.select(F.lit(file_name).alias("file_name"), F.trim(text).alias("summary"))
 
 
-def scalar_metric_text(name: str, value) -> str:
-    """Text of a user-supplied scalar metric (``Name: value.``)."""
-    return f" {name.capitalize()}: {value}."
-
-
 def profile_document(df: DataFrame, file_name: str, file_type: str,
                      order_by: str | None = None, exact: bool = True) -> DataFrame:
     """S8 document: one row with the profile of a dataset and its JSON ``stats``.
@@ -198,6 +193,3 @@ def profile_document(df: DataFrame, file_name: str, file_type: str,
         schema_map.alias("columns_schema"), "statistics", "distributions", "custom_metrics")
     return doc.withColumn("stats", F.to_json(F.struct(*[c for c in doc.columns])))
 
-
-__all__ = ["stats_preview", "profile_context", "rule_summary", "profile_document",
-           "scalar_metric_text", "capitalize"]

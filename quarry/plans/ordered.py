@@ -21,7 +21,7 @@ slice numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir, shuffle_partitions
@@ -117,6 +117,3 @@ def row_index_in_group(df: DataFrame, group_cols: list[str], order_cols: list[st
     return (prefix_sum(with_one, group_cols, order_cols, "__one", out="__cb", parts=parts)
             .withColumn(out, F.col("__cb") + 1).drop("__cb", "__one"))
 
-
-def col_list(cols) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import iso_sql
 from quarry.operators import lineage as L
-from quarry.operators import profile as P
 from quarry.operators import summary as S
 from quarry.plans.catalog import Catalog, with_catalog
 from quarry.plans.q_profile import LINEITEM
@@ -144,4 +142,3 @@ FROM commits GROUP BY project_id, branch""", "commits"),
     "audit_stream": with_catalog(_AUDIT, "audit_log"),
 }
 
-__all__ = ["QUERIES", "ORACLE", "iso_sql", "P"]

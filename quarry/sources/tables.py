@@ -23,11 +23,18 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Round-robin a small input over the available cores (size-checked)."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = planned_bytes(df)
-    if SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES and df.rdd.getNumPartitions() < cores:
+    """Round-robin a small input over the available cores (size-checked).
+
+    Needs the classic session's plan statistics; elsewhere the input is
+    returned as it is.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        size = planned_bytes(df)
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no JVM-side plan access (e.g. a remote session)
+        return df
+    if SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES and parts < cores:
         return df.repartition(cores)
     return df
 
