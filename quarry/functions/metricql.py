@@ -53,11 +53,16 @@ def parse(expr: str, strict: bool = False) -> list[list[tuple[str, str, float |
     return groups
 
 
-def metric_value(metrics_json: Column, key: str) -> Column:
-    """Numeric value of metric ``key`` in a JSON object column, reference rules."""
-    as_map = F.from_json(metrics_json, "map<string,string>")
-    raw = as_map.getItem(key)
-    present = F.coalesce(F.map_contains_key(as_map, key), F.lit(False))
+def metrics_map(stats_json: Column, field: str = "custom_metrics") -> Column:
+    """The metrics object of a stats JSON document as map<string,string>,
+    parsed once (nested objects stay JSON text)."""
+    return F.from_json(stats_json, f"struct<{field}:map<string,string>>")[field]
+
+
+def metric_value(m: Column, key: str) -> Column:
+    """Numeric value of metric ``key`` in a parsed metrics map, reference rules."""
+    raw = m.getItem(key)
+    present = F.coalesce(F.map_contains_key(m, key), F.lit(False))
     inner = F.from_json(raw, "map<string,string>")
     is_obj = F.ltrim(raw).startswith("{")
     latest = F.when(F.coalesce(F.map_contains_key(inner, "latest"), F.lit(False)),
@@ -72,23 +77,35 @@ def _compare(v: Column, op: str, num: float) -> Column:
     return {">": v > lit, "<": v < lit, ">=": v >= lit, "<=": v <= lit, "==": v == lit}[op]
 
 
-def metric_predicate(expr: str | None, metrics_json: Column, strict: bool = False) -> Column:
-    """Boolean column: does the record's metrics JSON satisfy ``expr``."""
-    if expr is None or not expr.strip():
-        return F.lit(True)
+def _predicate_on(m: Column, groups) -> Column:
     ors = []
-    for conds in parse(expr, strict):
+    for conds in groups:
         ands = []
         for key, op, num in conds:
             if num is None:
                 ands.append(F.lit(False))
             else:
-                ands.append(F.coalesce(_compare(metric_value(metrics_json, key), op, num),
-                                       F.lit(False)))
+                ands.append(F.coalesce(_compare(metric_value(m, key), op, num), F.lit(False)))
         ors.append(reduce(lambda a, b: a & b, ands, F.lit(True)))
     return reduce(lambda a, b: a | b, ors)
 
 
+def metric_predicate(expr: str | None, metrics: Column, strict: bool = False,
+                     parsed: bool = False) -> Column:
+    """Boolean column: do the record's metrics satisfy ``expr``.
+
+    ``metrics`` is the metrics object as JSON text, or (``parsed=True``) as the
+    map from :func:`metrics_map`.  The map is bound once per row as a lambda
+    variable, so every condition reads the same parsed value; a NULL map reads
+    as an empty one (every metric missing).
+    """
+    if expr is None or not expr.strip():
+        return F.lit(True)
+    groups = parse(expr, strict)
+    m = metrics if parsed else F.from_json(metrics, "map<string,string>")
+    return F.exists(F.array(m), lambda x: _predicate_on(x, groups))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB twin, used by the oracle SQL
 # ---------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.metricql import metric_predicate
+from quarry.functions.metricql import metric_predicate, metrics_map
 from quarry.functions.text import iso, to_mb
 from quarry.operators.cas import first_tree_entry
 from quarry.plans.ordered import lag_in_group, row_index_in_group
@@ -83,7 +83,7 @@ def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, proje
     c = filter_log(commits.join(proj, "project_id", "inner"), branch=branch, since=since, until=until)
     authors = users.select(F.col("id").alias("author_id"), F.col("username").alias("author"))
     c = c.join(authors, "author_id", "left")
-    md = (metadata.where(metric_predicate(metric, json_field("stats", "custom_metrics")))
+    md = (metadata.where(metric_predicate(metric, metrics_map(F.col("stats")), parsed=True))
           .select(F.col("target_id").alias("id"), F.col("id").alias("metadata_id"),
                   json_field("stats", "file_name").alias("file_name"),
                   json_field("stats", "row_count").try_cast("long").alias("row_count"),

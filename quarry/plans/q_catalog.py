@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.metricql import metric_predicate, metric_predicate_sql
+from quarry.functions.metricql import metric_predicate, metric_predicate_sql, metrics_map
 from quarry.functions.text import iso_sql
 from quarry.operators import cas
 from quarry.operators import lineage as L
@@ -165,7 +165,7 @@ def q_commits_matching_metric(spark, sf):
 
 def _metric_rows(spark, sf, expr):
     md = _cat(spark, sf).metadata
-    return (md.where(metric_predicate(expr, L.json_field("stats", "custom_metrics")))
+    return (md.where(metric_predicate(expr, metrics_map(F.col("stats")), parsed=True))
               .select("id", L.json_field("stats", "file_name").alias("file_name")))
 
 
