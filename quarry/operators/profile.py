@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metric_name,
                                     kind_of, normalized)
 from quarry.functions.numeric import exact_mean, mean_from_parts, mean_parts
-from quarry.plans.ordered import prefix_sum
-from quarry.session import ensure_checkpoint_dir
+from quarry.plans.ordered import SLICE, prefix_sum, range_slices
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
 
@@ -257,8 +256,8 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     numeric = [s.ordinal for s in specs if s.numeric]
     grp = [*keys, "cidx"]
     nv = (vc.where(F.col("cidx").isin(numeric))
-            .select(*keys, "cidx", _value_num().alias("v"), "cnt"))
-    ranked = prefix_sum(nv, grp, ["v"], "cnt", out="cb", broadcast_offsets=small)
+            .select(*keys, "cidx", F.col("__v").alias("v"), "cnt", SLICE))
+    ranked = prefix_sum(nv, grp, ["v"], "cnt", out="cb", broadcast_offsets=small, presliced=True)
     ends = []
     for name, q in QUANTILES:
         pos = (F.col("n") - 1).cast("double") * F.lit(q)
@@ -315,8 +314,14 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
         # materialised once with a reliable checkpoint and feed every
         # statistic; without it each consumer would re-run the scan and the
         # shuffle (the consumers' filters differ, so Spark cannot reuse it).
-        ensure_checkpoint_dir(spark)
-        vc_all = value_counts(norm, specs, keys, include_nulls=True).checkpoint(eager=True)
+        # It is range-partitioned by (group, column, value) first: the slices
+        # give the quantile ranks their order without another shuffle, and
+        # text values are part of the key so no column lands in one slice.
+        numeric = [s.ordinal for s in specs if s.numeric]
+        vc_all = value_counts(norm, specs, keys, include_nulls=True).withColumn(
+            "__v", F.when(F.col("cidx").isin(numeric), _value_num()) if numeric
+            else F.lit(None).cast("double"))
+        vc_all = range_slices(vc_all, [*keys, "cidx"], ["__v", "s", "l"])
         vc = vc_all.where(_not_null_cell())
         # The per-(group, column) stats feed three consumers; checkpointed
         # once, and their row count is the size check for the broadcasts.

@@ -48,15 +48,29 @@ def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str],
               .checkpoint(eager=True))
 
 
+SLICE = _PID
+
+
+def range_slices(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                 parts: int | None = None) -> DataFrame:
+    """Rows tagged with a stable slice number (column ``SLICE``), range
+    partitioned by ``group_cols + order_cols`` and checkpointed.  Any subset
+    of the rows can then be handed to :func:`prefix_sum` with
+    ``presliced=True`` for a prefix in (a prefix of) that order."""
+    return _ranged(df, group_cols, order_cols, parts)
+
+
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
                weight: str, out: str = "cum_before", parts: int | None = None,
-               broadcast_offsets: bool = True) -> DataFrame:
+               broadcast_offsets: bool = True, presliced: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over the rows before each row of its group.
 
     Rows must be totally ordered within a group by ``order_cols`` (ties get an
     arbitrary but consistent order).  Exclusive prefix: the first row gets 0.
+    ``presliced``: ``df`` already carries slice numbers from
+    :func:`range_slices` over an ordering that starts with these columns.
     """
-    ranged = _ranged(df, group_cols, order_cols, parts)
+    ranged = df if presliced else _ranged(df, group_cols, order_cols, parts)
     local_w = (Window.partitionBy(_PID, *group_cols).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, -1))
     whole_w = Window.partitionBy(_PID, *group_cols)
