@@ -29,19 +29,32 @@ from pyspark.sql import functions as F
 
 # Fixed value: the condition pattern of the reference's metric filter.
 CONDITION = re.compile(r"([a-zA-Z_0-9]+)\s*(>|<|>=|<=|==)\s*([0-9.]+)")
+# Strict mode reads a whole condition and also signed / scientific numbers.
+STRICT_CONDITION = re.compile(
+    r"\s*([a-zA-Z_0-9]+)\s*(>=|<=|==|>|<)\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)\s*")
 OR_SPLIT = re.compile(r"\s+OR\s+", re.IGNORECASE)
 
 
 def parse(expr: str, strict: bool = False) -> list[list[tuple[str, str, float | None]]]:
-    """Expression -> OR-groups of (key, op, value); value None = unparsable."""
+    """Expression -> OR-groups of (key, op, value); value None = unparsable.
+
+    Default: the reference's unanchored search (unreadable conditions are
+    skipped).  ``strict=True``: every condition must be a whole
+    ``key op number`` (signed and scientific numbers allowed) or ValueError.
+    """
     groups = []
     for part in OR_SPLIT.split(expr.strip()):
         conds = []
         for raw in (c.strip() for c in part.split(",")):
+            if strict:
+                m = STRICT_CONDITION.fullmatch(raw)
+                if not m:
+                    raise ValueError(f"cannot read metric condition {raw!r}")
+                key, op, val = m.groups()
+                conds.append((key, op, float(val)))
+                continue
             m = CONDITION.search(raw)
             if not m:
-                if strict:
-                    raise ValueError(f"cannot read metric condition {raw!r}")
                 continue
             key, op, val = m.groups()
             try:

@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 from quarry.plans.ordered import lag_in_group
 
 
-def content_hash(df: DataFrame, col: str, out: str = "content_hash") -> DataFrame:
-    """H1 (row level): SHA-256 of a text/binary column."""
-    return df.withColumn(out, F.sha2(F.col(col), 256))
+def content_hash(df: DataFrame, cols: str | list[str], out: str = "content_hash") -> DataFrame:
+    """H1 (row level): SHA-256 of a text/binary column, or of the JSON text of
+    several columns (field names and NULLs included, so it is unambiguous)."""
+    if isinstance(cols, str):
+        return df.withColumn(out, F.sha2(F.col(cols), 256))
+    doc = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    return df.withColumn(out, F.sha2(doc, 256))
 
 
 def table_fingerprint(df: DataFrame, hash_col: str) -> DataFrame:

@@ -44,3 +44,23 @@ def test_state_at_takes_latest_entry(spark):
                                     "tree_id long, name string, object_hash string")
     got = L.state_at(commits, entries, "2020-01-02T12:00:00").collect()
     assert [(r["name"], r["object_hash"]) for r in got] == [("f.csv", "h2")]
+
+
+def test_nested_log_gathers_records_per_commit(spark):
+    from quarry.plans.catalog import Catalog
+    cat = Catalog(spark, "/root/testdata/sf0.001")
+    flat = L.project_log(cat.commits, cat.users, cat.metadata, cat.projects, project="NATION_1")
+    nested = L.project_log(cat.commits, cat.users, cat.metadata, cat.projects, project="NATION_1",
+                           nested=True)
+    rows = nested.collect()
+    assert len(rows) == flat.select("commit_id").distinct().count()
+    assert sum(len(r["metadata"]) for r in rows) == flat.where(F.col("metadata_id").isNotNull()).count()
+    ts = [r["created_at"] for r in rows]
+    assert ts == sorted(ts, reverse=True)
+
+
+def test_content_hash_of_several_columns(spark):
+    from quarry.operators.cas import content_hash
+    df = spark.createDataFrame([(1, None), (None, 1)], "a int, b int")
+    hs = [r["content_hash"] for r in content_hash(df, ["a", "b"]).collect()]
+    assert len(set(hs)) == 2

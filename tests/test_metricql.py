@@ -34,10 +34,16 @@ def test_unreadable_condition_is_skipped_and_numbers_stop_at_letters():
     assert parse("a > 1.2.3") == [[("a", ">", None)]]
 
 
-def test_strict_raises():
+def test_strict_raises_on_unreadable_condition():
     with pytest.raises(ValueError):
-        parse("a > -1", strict=True)
+        parse("a ~ 1", strict=True)
 
 
 def test_dict_without_latest_and_null(spark):
     assert _match(spark, "a < 1", ['{"a":{"max":5}}', '{"a":null}', '{"a":"0.5"}']) == [True, False, True]
+
+
+def test_strict_reads_signed_and_scientific_numbers():
+    assert parse("a > -1, b <= 1e-3", strict=True) == [[("a", ">", -1.0), ("b", "<=", 0.001)]]
+    with pytest.raises(ValueError):
+        parse("a > 1.2.3", strict=True)

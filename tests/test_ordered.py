@@ -39,3 +39,12 @@ def test_row_index_matches_row_number(spark):
     w = Window.partitionBy("g").orderBy("t", "id")
     want = {r["id"]: r["rn"] for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
     assert got == want
+
+
+def test_hot_group_is_spread_over_slices(spark):
+    from quarry.plans.ordered import SLICE, range_slices
+    df = _data(spark)  # one group holds 80% of the rows
+    sizes = [r["n"] for r in range_slices(df, ["g"], ["t", "id"], parts=6)
+             .groupBy(SLICE).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 5
+    assert max(sizes) < 3000 * 0.8 / 2  # the hot group is not in one task
