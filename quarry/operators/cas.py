@@ -11,9 +11,10 @@ stored chain is fully parallel.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.ordered import lag_in_group
@@ -82,26 +83,49 @@ def dedup_savings(uploads: DataFrame, hash_col: str, size_col: str) -> DataFrame
         "saved_bytes", F.col("logical_bytes") - F.col("stored_bytes"))
 
 
-def _json_text(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
+TREE_SCHEMA = "tree_id long, tree_hash string, entries long"
+
+
+def _fold_trees(tree_col, name_col, object_col):
+    """Hash ``{"name": "hash", ...}`` (keys sorted, json.dumps spacing and
+    escapes) for every tree while its entries stream by in name order."""
+    def emit(tree, h, n):
+        h.update(b"}")
+        return tree, h.hexdigest(), n
+
+    def fold(batches):
+        cur, h, n = None, None, 0
+        for pdf in batches:
+            out = []
+            for tree, name, obj in zip(pdf[tree_col], pdf[name_col], pdf[object_col]):
+                if h is None or tree != cur:
+                    if h is not None:
+                        out.append(emit(cur, h, n))
+                    cur, h, n = tree, hashlib.sha256(b"{"), 0
+                if n:
+                    h.update(b", ")
+                h.update((json.dumps(name) + ": " + json.dumps(obj)).encode("utf-8"))
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=["tree_id", "tree_hash", "entries"])
+        if h is not None:
+            yield pd.DataFrame([emit(cur, h, n)], columns=["tree_id", "tree_hash", "entries"])
+    return fold
 
 
 def tree_hash(entries: DataFrame, tree_col: str = "tree_id", name_col: str = "name",
               object_col: str = "object_hash") -> DataFrame:
     """H4: SHA-256 of the manifest text ``{"name": "hash", ...}`` sorted by name.
 
-    The manifest of one tree is collected (a tree lists the files of one
-    commit, so its size is bounded by that, not by the table).
+    A hash of a sorted text is a sequential fold, so entries are partitioned
+    by tree, sorted by (tree, name) within partitions and hashed while the
+    Arrow batches stream by: constant memory, whatever a tree's size, and
+    trees in parallel.  Returns (tree_id, tree_hash, entries).
     """
-    item = F.struct(F.col(name_col).alias("n"), F.col(object_col).alias("h"))
-    manifest = F.concat(
-        F.lit("{"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)),
-                                 lambda e: F.concat(F.lit('"'), _json_text(e["n"]), F.lit('": "'),
-                                                    _json_text(e["h"]), F.lit('"'))), ", "),
-        F.lit("}"))
-    return entries.groupBy(tree_col).agg(F.sha2(manifest, 256).alias("tree_hash"),
-                                         F.count(F.lit(1)).alias("entries"))
+    src = entries.select(F.col(tree_col).cast("long").alias("tree_id"),
+                         F.col(name_col).alias("name"), F.col(object_col).alias("object_hash"))
+    ordered = src.repartition("tree_id").sortWithinPartitions("tree_id", "name")
+    return ordered.mapInPandas(_fold_trees("tree_id", "name", "object_hash"), TREE_SCHEMA)
 
 
 def first_tree_entry(entries: DataFrame, tree_col: str = "tree_id", id_col: str = "id",

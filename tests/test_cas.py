@@ -65,3 +65,11 @@ def test_dedup_and_first_occurrence(spark):
     assert [(r["blob_hash"], r["first_seq"], r["copies"]) for r in new] == [("h1", 1, 2)]
     s = cas.dedup_savings(up, "blob_hash", "size_bytes").collect()[0]
     assert (s["logical_bytes"], s["stored_bytes"], s["saved_bytes"]) == (40, 30, 10)
+
+
+def test_tree_hash_escapes_like_json_dumps(spark):
+    import json
+    entries = [(5, 'café "x".csv', "aa"), (5, "b.csv", "bb")]
+    e = spark.createDataFrame(entries, "tree_id int, name string, object_hash string")
+    text = json.dumps({n: h for _, n, h in entries}, sort_keys=True)
+    assert cas.tree_hash(e).collect()[0]["tree_hash"] == hashlib.sha256(text.encode()).hexdigest()
