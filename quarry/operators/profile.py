@@ -1,21 +1,24 @@
 """Column profiles of any DataFrame.
 
-Plan shape of :func:`profile_table` (``exact=True``):
-
-* pass A - one wide ``agg`` over the rows: counts, non-null counts and the
-  moment aggregates (avg, stddev, min, max, skewness, kurtosis).  Constant-size
-  buffers, partial aggregation per task, no distinct aggregates (several
-  ``count_distinct`` in one ``agg`` would expand every row once per column).
-* pass B - the value-count table ``vc(keys, cidx, l, d, s, cnt)``: every cell
-  is exploded to (column index, typed value) and counted with
-  ``groupBy().count()``.  Map-side partial aggregation collapses hot values
-  before the shuffle.  ``vc`` feeds distinct counts, mode, top values and the
-  exact quantiles (ranks from a range-partitioned prefix sum of counts, see
-  :mod:`quarry.plans.ordered`) - no task ever holds a whole column.
-
-``exact=False`` swaps pass B for ``approx_count_distinct`` and
-``percentile_approx`` inside pass A and keeps ``vc`` for categorical columns
-only (their top values).
+Plan shape of :func:`profile_table` (``exact=True``) - one pass over the rows:
+
+* the value-count table ``vc(keys, cidx, l, d, s, cnt)``: every cell is
+  exploded to (column index, typed value) and counted with
+  ``groupBy().count()``; map-side partial aggregation collapses hot values
+  before the shuffle, NULL cells form one group per column.  It is
+  range-partitioned by (group, column, value), tagged with slice numbers and
+  checkpointed once;
+* one aggregate over ``vc`` per (group, column): row and null counts,
+  distinct count, mode, min, max and the exact mean;
+* a second pass over ``vc`` for the central moments (std, skewness, kurtosis);
+* exact quantiles from ranks: prefix sums of the counts inside the slices
+  (:mod:`quarry.plans.ordered`), so no task ever holds a whole column.
+
+``exact=False`` is the sketch path: one wide ``agg`` over the rows with
+``approx_count_distinct``, ``percentile_approx`` and the built-in moment
+aggregates, plus value counts of the categorical columns only (their mode).
+Several ``count_distinct`` in one ``agg`` are avoided on both paths (they
+would expand every row once per column).
 """
 
 from __future__ import annotations
@@ -55,49 +58,37 @@ def _data_specs(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[ColumnS
 
 
 # --------------------------------------------------------------------------
-# pass A: moments
+# sketch path
 # --------------------------------------------------------------------------
 
-def _moments(norm: DataFrame, specs: list[ColumnSpec], keys: list[str],
-             exact: bool) -> DataFrame:
-    """Pass A over the rows.
-
-    exact=True: row and non-null counts only; mean, min, max and the central
-    moments then come from the value counts.  exact=False: decimal-exact
-    mean, the built-in moment aggregates, approximate distinct counts and
-    quantiles.
-    """
+def _sketch_pass(norm: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
+    """One wide aggregate over the rows (exact=False): counts, decimal-exact
+    mean, the built-in moments, approximate distinct counts and quantiles."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     per_col = []
     none_d = lambda n: F.lit(None).cast("double").alias(n)
+    moments = ["std", "min", "max", "skew", "kurt"]
     for s in specs:
         c = _q(s.name)
         i = s.ordinal
-        aggs.append(F.count(c).alias(f"n{i}"))
-        fields = [F.lit(i).alias("cidx"), F.col(f"n{i}").alias("n")]
-        if s.numeric and exact:
-            fields += [none_d(m) for m in ["mean", "std", "min", "max", "skew", "kurt"]]
-            fields += [none_d(n) for n, _ in QUANTILES]
-        elif s.numeric:
+        aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"u{i}")]
+        fields = [F.lit(i).alias("cidx"), F.col(f"n{i}").alias("n"),
+                  F.col(f"u{i}").alias("approx_unique")]
+        if s.numeric:
             x = c.cast("double")
             dm, fits, fm = mean_parts(x)
-            aggs += [dm.alias(f"dm{i}"), fits.alias(f"fit{i}"), fm.alias(f"fm{i}")]
-            mean, _ = mean_from_parts(F.col(f"dm{i}"), F.col(f"fit{i}"), F.col(f"fm{i}"))
-            fields.append(mean.alias("mean"))
-            aggs += [F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
+            aggs += [dm.alias(f"dm{i}"), fits.alias(f"fit{i}"), fm.alias(f"fm{i}"),
+                     F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
                      F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"skew{i}"),
                      F.kurtosis(x).alias(f"kurt{i}"),
                      F.percentile_approx(x, [q for _, q in QUANTILES]).alias(f"pq{i}")]
-            fields += [F.col(f"{m}{i}").alias(m) for m in ["std", "min", "max", "skew", "kurt"]]
+            mean, _ = mean_from_parts(F.col(f"dm{i}"), F.col(f"fit{i}"), F.col(f"fm{i}"))
+            fields.append(mean.alias("mean"))
+            fields += [F.col(f"{m}{i}").alias(m) for m in moments]
             fields += [F.col(f"pq{i}")[j].alias(n) for j, (n, _) in enumerate(QUANTILES)]
         else:
-            fields += [none_d(m) for m in ["mean", "std", "min", "max", "skew", "kurt"]]
+            fields += [none_d(m) for m in ["mean", *moments]]
             fields += [none_d(n) for n, _ in QUANTILES]
-        if not exact:
-            aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
-            fields.append(F.col(f"u{i}").alias("approx_unique"))
-        else:
-            fields.append(F.lit(None).cast("long").alias("approx_unique"))
         per_col.append(F.struct(*fields))
     grouped = norm.groupBy(*keys).agg(*aggs) if keys else norm.agg(*aggs)
     return grouped.select(*keys, F.col("__rows").alias("row_count"),
@@ -332,7 +323,7 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
         out = (stats.join(quant, grp, "left").join(cm, grp, "left")
                     .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
     else:
-        mom = _moments(norm, specs, keys, exact)
+        mom = _sketch_pass(norm, specs, keys)
         cats = [s for s in specs if s.categorical]
         vc = value_counts(norm, cats, keys)
         summ = _vc_summary(vc, specs, keys).drop("unique_count")
