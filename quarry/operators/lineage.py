@@ -259,6 +259,21 @@ def resolve_blob(metadata: DataFrame, commits: DataFrame, entries: DataFrame) ->
                              .alias("blob_hash")))
 
 
+def version_details(metadata: DataFrame, commits: DataFrame, projects: DataFrame,
+                    entries: DataFrame) -> DataFrame:
+    """Every version with its project name ('unknown' when missing) and its
+    blob (J11), reading the metadata once: metadata -> commit -> project and
+    commit -> tree -> first entry, all left joins."""
+    first = first_tree_entry(entries).select("tree_id", F.col("object_hash").alias("entry_blob"))
+    c = commits.select(F.col("id").alias("target_id"), "project_id", "tree_id")
+    p = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
+    return (metadata.join(c, "target_id", "left").join(p, "project_id", "left")
+                    .join(first, "tree_id", "left")
+                    .withColumn("project_name", F.coalesce("project_name", F.lit("unknown")))
+                    .withColumn("blob_hash", F.coalesce(F.col("entry_blob"),
+                                                        F.col("target_id").cast("string"))))
+
+
 def metadata_with_project(metadata: DataFrame, commits: DataFrame, projects: DataFrame) -> DataFrame:
     """Metadata -> commit -> project name, 'unknown' when missing."""
     c = commits.select(F.col("id").alias("target_id"), "project_id")

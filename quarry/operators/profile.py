@@ -294,6 +294,14 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
     rounded the way the reference rounds them (6 digits, skew/kurtosis 4,
     null_pct 2).
     """
+    return profile_tables(df, keys, exact)[0]
+
+
+def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = True,
+                   bins: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(profile, histogram) of ``df``.  With ``exact=True`` the histograms come
+    from the same checkpointed value counts as the profile (no second pass
+    over the rows)."""
     keys = list(keys or [])
     norm, specs = _data_specs(df, keys)
     spark = df.sparkSession
@@ -322,7 +330,13 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
         cm = _central_moments(vc, stats, specs, keys, small)
         out = (stats.join(quant, grp, "left").join(cm, grp, "left")
                     .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
+        hs = [s for s in specs if s.histogram]
+        hist = (_histogram_of(vc.where(F.col("cidx").isin([s.ordinal for s in hs]))
+                                .select(*keys, "cidx", _value_num().alias("v"),
+                                        F.col("cnt").alias("w")), hs, keys, bins, spark)
+                if hs else spark.createDataFrame([], _EMPTY_HIST))
     else:
+        hist = histogram(df, bins, keys)
         mom = _sketch_pass(norm, specs, keys)
         cats = [s for s in specs if s.categorical]
         vc = value_counts(norm, cats, keys)
@@ -340,7 +354,7 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
     nulls = F.col("row_count") - F.col("n")
     r6 = lambda c: F.round(F.col(c), 6)
     r4 = lambda c: F.round(F.col(c), 4)
-    return out.select(
+    prof = out.select(
         *keys,
         F.col("column"), F.col("cidx").alias("ordinal"), F.col("dtype"),
         F.col("row_count"), nulls.alias("null_count"),
@@ -350,6 +364,14 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
         r6("max").alias("max"), r6("median").alias("median"), r6("q1").alias("q1"),
         r6("q3").alias("q3"), r4("skew").alias("skewness"), r4("kurt").alias("kurtosis"),
         F.col("mode"))
+    return prof, hist
+
+
+def column_presence(df: DataFrame) -> DataFrame:
+    """(column, n): every column of a dataset with its non-null count - one
+    aggregate over the rows, enough for schema comparisons (U1-U3)."""
+    cols = [F.struct(F.lit(c).alias("column"), F.count(_q(c)).alias("n")) for c in df.columns]
+    return df.agg(F.array(*cols).alias("a")).select(F.inline("a"))
 
 
 def profile_by_group(df: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
@@ -398,29 +420,13 @@ def mode(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return res.join(F.broadcast(names), "cidx").select(*keys, "column", "mode", "mode_count")
 
 
-def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> DataFrame:
-    """(column, bin, lo, hi, n): equal-width bins, last bin closed.
-
-    Edges are ``min + i*((max-min)/bins)`` and a value's bin is the number of
-    inner edges <= value (edge comparison, so values that sit on an edge land
-    where NumPy puts them).  A constant column is widened to [v-0.5, v+0.5];
-    columns with fewer than 2 values get no histogram; empty bins are emitted.
-    Plan: the per-column (min, max) table (one row per group and column) is
-    joined to the exploded numeric cells, the bin counts are partially
-    aggregated per task, so the shuffle carries bins x columns rows per task.
-    """
-    keys = list(keys or [])
-    norm, specs = _data_specs(df, keys)
-    hs = [s for s in specs if s.histogram]
-    if not hs:
-        return df.sparkSession.createDataFrame(
-            [], "column string, bin int, lo double, hi double, n bigint")
-    cells = norm.select(*[_q(k) for k in keys], F.explode(F.array(*[
-        F.struct(F.lit(s.ordinal).alias("cidx"), _q(s.name).cast("double").alias("v"))
-        for s in hs])).alias("c")).select(*keys, "c.*").where(F.col("v").isNotNull())
+def _histogram_of(cells: DataFrame, hs: list[ColumnSpec], keys: list[str], bins: int,
+                  spark) -> DataFrame:
+    """Histograms from weighted cells ``(keys, cidx, v, w)``: rows with w = 1,
+    or value counts with w = cnt (then no pass over the rows is needed)."""
     grp = [*keys, "cidx"]
     rng = (cells.groupBy(*grp)
-                .agg(F.min("v").alias("mn0"), F.max("v").alias("mx0"), F.count("v").alias("nv"))
+                .agg(F.min("v").alias("mn0"), F.max("v").alias("mx0"), F.sum("w").alias("nv"))
                 .where(F.col("nv") >= 2)
                 .withColumn("mn", F.when(F.col("mn0") == F.col("mx0"), F.col("mn0") - 0.5)
                             .otherwise(F.col("mn0")))
@@ -436,11 +442,10 @@ def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> D
     rng_side = F.broadcast(rng) if not keys else rng
     counts = (cells.join(rng_side, grp)
                    .withColumn("bin", bin_expr)
-                   .groupBy(*grp, "bin").agg(F.count(F.lit(1)).alias("n")))
+                   .groupBy(*grp, "bin").agg(F.sum("w").alias("n")))
     all_bins = rng.select(*grp, "mn", "mx", "step",
                           F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    names = df.sparkSession.createDataFrame([(s.ordinal, s.name) for s in hs],
-                                            "cidx int, column string")
+    names = spark.createDataFrame([(s.ordinal, s.name) for s in hs], "cidx int, column string")
     lo = F.col("bin").cast("double") * F.col("step") + F.col("mn")
     hi = F.when(F.col("bin") == bins - 1, F.col("mx")).otherwise(
         (F.col("bin") + 1).cast("double") * F.col("step") + F.col("mn"))
@@ -448,7 +453,33 @@ def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> D
                     .join(F.broadcast(names), "cidx")
                     .select(*keys, "column", F.col("bin").cast("int").alias("bin"),
                             F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"),
-                            F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n")))
+                            F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+
+
+_EMPTY_HIST = "column string, bin int, lo double, hi double, n bigint"
+
+
+def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """(column, bin, lo, hi, n): equal-width bins, last bin closed.
+
+    Edges are ``min + i*((max-min)/bins)`` and a value's bin is the number of
+    inner edges <= value (edge comparison, so values that sit on an edge land
+    where NumPy puts them).  A constant column is widened to [v-0.5, v+0.5];
+    columns with fewer than 2 values get no histogram; empty bins are emitted.
+    Plan: the per-column (min, max) table (one row per group and column) is
+    joined to the exploded numeric cells, the bin counts are partially
+    aggregated per task, so the shuffle carries bins x columns rows per task.
+    """
+    keys = list(keys or [])
+    norm, specs = _data_specs(df, keys)
+    hs = [s for s in specs if s.histogram]
+    if not hs:
+        return df.sparkSession.createDataFrame([], _EMPTY_HIST)
+    cells = norm.select(*[_q(k) for k in keys], F.explode(F.array(*[
+        F.struct(F.lit(s.ordinal).alias("cidx"), _q(s.name).cast("double").alias("v"))
+        for s in hs])).alias("c")).select(*keys, "c.*", F.lit(1).cast("long").alias("w")) \
+        .where(F.col("v").isNotNull())
+    return _histogram_of(cells, hs, keys, bins, df.sparkSession)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -163,8 +163,7 @@ def profile_document(df: DataFrame, file_name: str, file_type: str,
     The per-column lists are schema-width; the rows themselves are only
     touched by the profile, histogram, duplicate and metric jobs.
     """
-    prof = P.profile_table(df, exact=exact)
-    hist = P.histogram(df)
+    prof, hist = P.profile_tables(df, exact=exact)
     stats = prof.agg(F.array_sort(F.collect_list(F.struct(*P.PROFILE_COLUMNS[1:2], "column",
                                                            *P.PROFILE_COLUMNS[2:])))
                      .alias("statistics"),

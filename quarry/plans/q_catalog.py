@@ -215,9 +215,8 @@ def q_metadata_in_project(spark, sf):
 
 def q_version_detail(spark, sf):
     cat = _cat(spark, sf)
-    m = L.metadata_with_project(cat.metadata, cat.commits, cat.projects)
-    rb = L.resolve_blob(cat.metadata, cat.commits, cat.tree_entries).select("id", "blob_hash")
-    return (m.join(rb, "id").select(
+    m = L.version_details(cat.metadata, cat.commits, cat.projects, cat.tree_entries)
+    return (m.select(
         "id", "project_name", "blob_hash",
         L.json_field("stats", "file_name").alias("file_name"),
         L.json_field("stats", "row_count").try_cast("long").alias("row_count"),

@@ -38,7 +38,9 @@ def q_compare_commits(spark, sf):
 
 def _set(name):
     def q(spark, sf):
-        return L.schema_sets(*_profiles(spark, sf))[name]
+        pa = P.column_presence(_version(spark, sf, YEAR_A, drop=("o_orderpriority",)))
+        pb = P.column_presence(_version(spark, sf, YEAR_B))
+        return L.schema_sets(pa, pb)[name]
     return q
 
 
