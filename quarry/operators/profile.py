@@ -48,6 +48,13 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _by_ordinal(specs: list[ColumnSpec], attr: str) -> Column:
+    """Per-row lookup of a column's name/dtype from its ordinal ``cidx``: a
+    literal array indexed in the expression, no join and no driver table."""
+    values = F.array(*[F.lit(getattr(s, attr)) for s in sorted(specs, key=lambda x: x.ordinal)])
+    return F.element_at(values, F.col("cidx") + 1)
+
+
 def _data_specs(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[ColumnSpec]]:
     """Normalise values and classify the non-key columns."""
     norm = normalized(df)
@@ -305,8 +312,9 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
     keys = list(keys or [])
     norm, specs = _data_specs(df, keys)
     spark = df.sparkSession
-    meta = spark.createDataFrame([(s.ordinal, s.name, s.dtype) for s in specs],
-                                 "cidx int, column string, dtype string")
+    meta = (spark.range(len(specs)).select(F.col("id").cast("int").alias("cidx"))
+                 .select("cidx", _by_ordinal(specs, "name").alias("column"),
+                         _by_ordinal(specs, "dtype").alias("dtype")))
     grp = [*keys, "cidx"]
     if exact and specs:
         # One pass over the rows: the value counts (NULL cells included) are
@@ -328,12 +336,16 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
         small = (not keys) or stats.count() <= BROADCAST_ROWS
         quant = _exact_quantiles(vc, stats, specs, keys, small)
         cm = _central_moments(vc, stats, specs, keys, small)
+        # quant and cm hold one row per (group, column): broadcast behind the
+        # same size check as above.
+        if small:
+            quant, cm = F.broadcast(quant), F.broadcast(cm)
         out = (stats.join(quant, grp, "left").join(cm, grp, "left")
                     .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
         hs = [s for s in specs if s.histogram]
         hist = (_histogram_of(vc.where(F.col("cidx").isin([s.ordinal for s in hs]))
                                 .select(*keys, "cidx", _value_num().alias("v"),
-                                        F.col("cnt").alias("w")), hs, keys, bins, spark)
+                                        F.col("cnt").alias("w")), specs, keys, bins, spark)
                 if hs else spark.createDataFrame([], _EMPTY_HIST))
     else:
         hist = histogram(df, bins, keys)
@@ -344,10 +356,11 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
         out = (mom.join(summ, grp, "left")
                   .withColumn("unique_count", F.col("approx_unique")))
     if keys:
-        out = out.join(F.broadcast(meta), "cidx", "left")
+        out = out.select("*", _by_ordinal(specs, "name").alias("column"),
+                         _by_ordinal(specs, "dtype").alias("dtype"))
     else:
         # Every column gets a row, also when the table is empty.
-        out = (meta.join(out, "cidx", "left")
+        out = (F.broadcast(meta).join(out, "cidx", "left")
                    .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))
                    .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
                    .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long"))))
@@ -396,9 +409,7 @@ def top_values(df: DataFrame, k: int = 5, keys: list[str] | None = None) -> Data
     vc = value_counts(norm, cats, keys).withColumn("value", _value_text(specs))
     w = Window.partitionBy(*keys, "cidx").orderBy(F.col("cnt").desc(), F.col("value"))
     top = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    names = df.sparkSession.createDataFrame([(s.ordinal, s.name) for s in cats] or [(-1, "")],
-                                            "cidx int, column string")
-    return (top.join(F.broadcast(names), "cidx")
+    return (top.withColumn("column", _by_ordinal(specs, "name"))
                .select(*keys, "column", F.col("rank").cast("int").alias("rank"),
                        "value", F.col("cnt").alias("n")))
 
@@ -415,15 +426,15 @@ def mode(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     res = (vc.withColumn("txt", _value_text(specs))
              .groupBy(*keys, "cidx")
              .agg(F.min_by("txt", order_key).alias("mode"), F.max("cnt").alias("mode_count")))
-    names = df.sparkSession.createDataFrame([(s.ordinal, s.name) for s in specs],
-                                            "cidx int, column string")
-    return res.join(F.broadcast(names), "cidx").select(*keys, "column", "mode", "mode_count")
+    return (res.withColumn("column", _by_ordinal(specs, "name"))
+               .select(*keys, "column", "mode", "mode_count"))
 
 
-def _histogram_of(cells: DataFrame, hs: list[ColumnSpec], keys: list[str], bins: int,
+def _histogram_of(cells: DataFrame, specs: list[ColumnSpec], keys: list[str], bins: int,
                   spark) -> DataFrame:
     """Histograms from weighted cells ``(keys, cidx, v, w)``: rows with w = 1,
-    or value counts with w = cnt (then no pass over the rows is needed)."""
+    or value counts with w = cnt (then no pass over the rows is needed).
+    ``specs`` is the full column list (names are looked up by ordinal)."""
     grp = [*keys, "cidx"]
     rng = (cells.groupBy(*grp)
                 .agg(F.min("v").alias("mn0"), F.max("v").alias("mx0"), F.sum("w").alias("nv"))
@@ -442,18 +453,24 @@ def _histogram_of(cells: DataFrame, hs: list[ColumnSpec], keys: list[str], bins:
     rng_side = F.broadcast(rng) if not keys else rng
     counts = (cells.join(rng_side, grp)
                    .withColumn("bin", bin_expr)
-                   .groupBy(*grp, "bin").agg(F.sum("w").alias("n")))
-    all_bins = rng.select(*grp, "mn", "mx", "step",
-                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    names = spark.createDataFrame([(s.ordinal, s.name) for s in hs], "cidx int, column string")
+                   .groupBy(*grp, "bin")
+                   .agg(F.sum("w").alias("n"), F.first("mn").alias("mn"),
+                        F.first("mx").alias("mx"), F.first("step").alias("step")))
+    # Empty bins: each column's counts (at most ``bins`` entries) as a map,
+    # then every bin index looked up in it - rng is used once, so the rows
+    # (or value counts) are not read again for it.
+    per_col = counts.groupBy(*grp).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"),
+        F.first("mn").alias("mn"), F.first("mx").alias("mx"), F.first("step").alias("step"))
+    all_bins = per_col.select(*grp, "m", "mn", "mx", "step",
+                              F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     lo = F.col("bin").cast("double") * F.col("step") + F.col("mn")
     hi = F.when(F.col("bin") == bins - 1, F.col("mx")).otherwise(
         (F.col("bin") + 1).cast("double") * F.col("step") + F.col("mn"))
-    return (all_bins.join(counts, [*grp, "bin"], "left")
-                    .join(F.broadcast(names), "cidx")
+    return (all_bins.withColumn("column", _by_ordinal(specs, "name"))
                     .select(*keys, "column", F.col("bin").cast("int").alias("bin"),
                             F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"),
-                            F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+                            F.coalesce(F.col("m")[F.col("bin")], F.lit(0)).cast("long").alias("n")))
 
 
 _EMPTY_HIST = "column string, bin int, lo double, hi double, n bigint"
@@ -479,7 +496,7 @@ def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> D
         F.struct(F.lit(s.ordinal).alias("cidx"), _q(s.name).cast("double").alias("v"))
         for s in hs])).alias("c")).select(*keys, "c.*", F.lit(1).cast("long").alias("w")) \
         .where(F.col("v").isNotNull())
-    return _histogram_of(cells, hs, keys, bins, df.sparkSession)
+    return _histogram_of(cells, specs, keys, bins, df.sparkSession)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

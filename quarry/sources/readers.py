@@ -50,18 +50,18 @@ def infer_types(df: DataFrame) -> DataFrame:
                               .when(c.isin(*_BOOL_FALSE), F.lit(False)),
         "timestamp_ntz": lambda c: c.try_cast("timestamp_ntz"),
     }
-    for name in df.columns:
+    for i, name in enumerate(df.columns):
         c = F.col(f"`{name}`")
-        checks.append(F.count(c).alias(f"{name}\u0001n"))
-        for t, fn in casts.items():
-            checks.append(F.count(fn(c)).alias(f"{name}\u0001{t}"))
+        checks.append(F.count(c).alias(f"c{i}_n"))
+        for j, fn in enumerate(casts.values()):
+            checks.append(F.count(fn(c)).alias(f"c{i}_t{j}"))
     counts = df.agg(*checks).first().asDict()  # one row, width = columns x 5
     out = []
-    for name in df.columns:
-        n = counts[f"{name}\u0001n"]
+    for i, name in enumerate(df.columns):
+        n = counts[f"c{i}_n"]
         chosen = None
-        for t in casts:
-            if n > 0 and counts[f"{name}\u0001{t}"] == n:
+        for j, t in enumerate(casts):
+            if n > 0 and counts[f"c{i}_t{j}"] == n:
                 chosen = t
                 break
         c = F.col(f"`{name}`")
