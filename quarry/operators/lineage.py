@@ -94,7 +94,9 @@ def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, proje
         iso(F.col("created_at")).alias("created_at"), F.col("created_at").alias("__ts"),
         "metadata_id", "file_name", "row_count", "column_count")
     if not nested:
-        return flat.drop("__ts")
+        # L1: newest first (commit id breaks ties between equal times).
+        return flat.orderBy(F.col("__ts").desc(), F.col("commit_id").desc(),
+                            F.col("metadata_id")).drop("__ts")
     rec = F.struct("metadata_id", "file_name", "row_count", "column_count")
     return (flat.groupBy("project", "commit_id", "message", "branch", "author", "created_at", "__ts")
                 .agg(F.filter(F.collect_list(rec), lambda r: r["metadata_id"].isNotNull())

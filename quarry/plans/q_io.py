@@ -112,8 +112,8 @@ def _incremental_sql():
     for c in _NUMERIC_LINEITEM:
         x = f"CAST({c.name} AS DOUBLE)"
         parts.append(f"SELECT 'lineitem.parquet' AS file_name, '{c.name}' AS \"column\", "
-                     f"count({x}) AS n, {exact_mean_sql(x)} AS mean, min({x}) AS min, max({x}) AS max "
-                     f"FROM lineitem")
+                     f"count(*) AS row_count, count({x}) AS n, count(*) - count({x}) AS null_count, "
+                     f"{exact_mean_sql(x)} AS mean, min({x}) AS min, max({x}) AS max FROM lineitem")
     return "\nUNION ALL\n".join(parts)
 
 

@@ -6,10 +6,11 @@ and a checkpoint folder, so a restarted query resumes exactly where it
 stopped.  No ``foreachBatch`` (its Python callback needs a local port): the
 callback-free sinks are used instead.
 
-* ST1 ``incremental_profile`` - per-file profile aggregates (count, exact mean,
-  min, max of every numeric column), a stateful streaming aggregation written
-  in complete mode to the in-memory table ``queryName`` (one row per file and
-  column: bounded by files x schema width).
+* ST1 ``incremental_profile`` - per-file profile aggregates (rows, non-null
+  and null counts, exact mean, min, max of every numeric column), a stateful
+  streaming aggregation written in complete mode to the in-memory table
+  ``queryName`` (one row per file and column: bounded by files x schema
+  width).
 * ST2 ``stream_dedup`` - ``dropDuplicates(["blob_hash"])`` with no watermark:
   a content hash never expires, so the state store *is* the blob registry;
   new blobs go to a Parquet sink (append).
@@ -52,7 +53,7 @@ def incremental_profile(stream: DataFrame, query_name: str | None = None,
     spark = stream.sparkSession
     numeric = [f.name for f in stream.schema.fields if isinstance(f.dataType, INTEGRAL + FRACTIONAL)]
     src = stream.withColumn("file_name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(numeric):
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), exact_mean(x).alias(f"m{i}"),
@@ -62,7 +63,9 @@ def incremental_profile(stream: DataFrame, query_name: str | None = None,
     ckpt = checkpoint or scratch_dir(spark, f"ckpt-{name}")
     _run_available(per_file.writeStream.format("memory").queryName(name).outputMode("complete"), ckpt)
     table = spark.table(name)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"),
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("rows").alias("row_count"),
+                              F.col(f"n{i}").alias("n"),
+                              (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
                               F.col(f"m{i}").alias("mean"), F.col(f"lo{i}").alias("min"),
                               F.col(f"hi{i}").alias("max")) for i, c in enumerate(numeric)])
     return table.select("file_name", F.inline(rows))
