@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metric_name,
                                     kind_of, normalized)
 from quarry.functions.numeric import exact_mean, mean_from_parts, mean_parts
-from quarry.plans.ordered import SLICE, prefix_sum, range_slices
+from quarry.plans.ordered import SLICE, join_on, prefix_sum, range_slices
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
 
@@ -227,7 +227,7 @@ def _central_moments(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     mu_side = F.broadcast(mu) if small else mu
     dev = _value_num() - F.col("mu")
     w = F.col("cnt").cast("double")
-    s2 = (vc.where(F.col("cidx").isin(numeric)).join(mu_side, grp, "inner")
+    s2 = (join_on(vc.where(F.col("cidx").isin(numeric)), mu_side, grp, "inner")
             .groupBy(*grp).agg(F.max("n").alias("n"), F.sum(w * dev).alias("c1"),
                                F.sum(w * dev * dev).alias("c2"),
                                F.sum(w * dev * dev * dev).alias("c3"),
@@ -340,7 +340,7 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
         # same size check as above.
         if small:
             quant, cm = F.broadcast(quant), F.broadcast(cm)
-        out = (stats.join(quant, grp, "left").join(cm, grp, "left")
+        out = (join_on(join_on(stats, quant, grp, "left"), cm, grp, "left")
                     .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
         hs = [s for s in specs if s.histogram]
         hist = (_histogram_of(vc.where(F.col("cidx").isin([s.ordinal for s in hs]))
@@ -353,7 +353,7 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
         cats = [s for s in specs if s.categorical]
         vc = value_counts(norm, cats, keys)
         summ = _vc_summary(vc, specs, keys).drop("unique_count")
-        out = (mom.join(summ, grp, "left")
+        out = (join_on(mom, summ, grp, "left")
                   .withColumn("unique_count", F.col("approx_unique")))
     if keys:
         out = out.select("*", _by_ordinal(specs, "name").alias("column"),
@@ -451,7 +451,7 @@ def _histogram_of(cells: DataFrame, specs: list[ColumnSpec], keys: list[str], bi
     # rng has one row per (group, column); without keys that is bounded by the
     # schema width and is broadcast, with keys AQE decides from its size.
     rng_side = F.broadcast(rng) if not keys else rng
-    counts = (cells.join(rng_side, grp)
+    counts = (join_on(cells, rng_side, grp)
                    .withColumn("bin", bin_expr)
                    .groupBy(*grp, "bin")
                    .agg(F.sum("w").alias("n"), F.first("mn").alias("mn"),

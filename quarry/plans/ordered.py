@@ -29,6 +29,21 @@ from quarry.session import ensure_checkpoint_dir, shuffle_partitions
 _PID = "__slice"
 
 
+def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` where NULL matches NULL (group keys may be NULL),
+    keeping the left side's key columns.  Spark plans ``<=>`` keys as
+    ordinary hash / sort-merge / broadcast join keys."""
+    if not cols:
+        raise ValueError("join_on needs at least one column")
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c)
+                             for c in right.columns])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(renamed[f"__r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
+
+
 def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str],
             parts: int | None) -> DataFrame:
     """Range-partition and tag every row with its slice number, then cut the
@@ -87,7 +102,7 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
     # offsets has at most P + #groups rows; callers with an unbounded number
     # of groups pass broadcast_offsets=False after checking that count.
     off_side = F.broadcast(offsets) if broadcast_offsets else offsets
-    return (local.join(off_side, [_PID, *group_cols], "inner")
+    return (join_on(local, off_side, [_PID, *group_cols], "inner")
                  .withColumn(out, F.col("__off") + F.col("__local"))
                  .drop("__off", "__local", "__slice_total", _PID))
 

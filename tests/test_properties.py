@@ -62,3 +62,11 @@ def test_histogram_matches_numpy(spark, vals):
     else:
         counts, _ = np.histogram(clean, bins=10)
         assert got == counts.tolist()
+
+
+def test_grouped_profile_with_null_group_key(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 4.0), ("a", 6.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in P.profile_by_group(df, ["g"]).collect()}
+    assert got[None]["median"] == 2.0 and got[None]["mean"] == 2.0 and got[None]["std"] == 1.414214
+    assert got["a"]["median"] == 4.0 and got["a"]["row_count"] == 3
