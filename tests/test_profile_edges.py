@@ -102,3 +102,22 @@ def test_custom_metrics_latest_is_last_non_null(spark):
 def test_metric_columns_need_numeric_type(spark):
     df = spark.createDataFrame([(1, "x", True)], "val_loss int, loss_name string, f1_ok boolean")
     assert P.metric_columns(df) == ["val_loss", "f1_ok"]
+
+
+def test_text_only_and_bool_only_tables(spark):
+    s = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "s string")
+    p = P.profile_table(s).collect()[0]
+    assert (p["unique_count"], p["null_count"], p["mode"], p["mean"]) == (2, 1, "x", None)
+    b = spark.createDataFrame([(True,), (True,), (False,)], "b boolean")
+    q = P.profile_table(b).collect()[0]
+    assert (q["unique_count"], q["mode"], q["median"]) == (2, "True", None)
+    g = spark.createDataFrame([("k", "x"), ("k", "y"), ("j", "x")], "g string, s string")
+    rows = {r["g"]: r for r in P.profile_by_group(g, ["g"]).collect()}
+    assert rows["k"]["unique_count"] == 2 and rows["j"]["row_count"] == 1
+
+
+def test_nested_columns_profile_as_json_text(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    p = {r["column"]: r for r in P.profile_table(e).collect()}
+    assert p["embedding"]["dtype"] == "array<float>"
+    assert p["embedding"]["unique_count"] > 0 and p["embedding"]["mean"] is None
