@@ -19,6 +19,7 @@ from quarry.functions.metricql import metric_predicate, metrics_map
 from quarry.functions.text import iso, to_mb
 from quarry.operators.cas import first_tree_entry
 from quarry.plans.ordered import lag_in_group, row_index_in_group
+from quarry.session import ensure_checkpoint_dir
 
 QUOTA_BYTES = 100 * 1024 * 1024
 
@@ -148,6 +149,57 @@ def ancestry(commits: DataFrame, of: DataFrame) -> DataFrame:
                       (F.col("start_pos") - F.col("pos")).alias("depth"))
 
 
+def rank_by_pointers(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(id, root_id, depth) for parent pointers ``edges(id, parent_id)``
+    (NULL parent = root), by pointer jumping.
+
+    Every node keeps a pointer to its farthest known ancestor and the
+    distance to it; each round replaces the pointer by the pointer of the
+    node it points to, so a chain of length L is resolved in ceil(log2 L)
+    rounds.  A round is one equi-join on the node id (unique on the looked-up
+    side; a pointer target shared by many nodes is a skewed key that AQE
+    splits) and ends with a reliable checkpoint.  The only driver-side work is
+    counting the unresolved nodes after each round.
+    """
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    state = edges.select(
+        F.col("id"), F.col("parent_id").alias("nxt"),
+        F.when(F.col("parent_id").isNull(), F.col("id")).alias("root_id"),
+        F.when(F.col("parent_id").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("d"))
+    state = state.checkpoint(eager=True)
+    for _ in range(max_rounds):
+        if state.where(F.col("root_id").isNull()).limit(1).count() == 0:
+            return state.select("id", "root_id", F.col("d").alias("depth"))
+        other = state.select(F.col("id").alias("o_id"), F.col("nxt").alias("o_nxt"),
+                             F.col("root_id").alias("o_root"), F.col("d").alias("o_d"))
+        j = state.join(other, state.nxt == other.o_id, "left")
+        done = F.col("root_id").isNotNull()
+        hit_root = F.col("o_root").isNotNull()
+        state = j.select(
+            "id",
+            F.when(done | hit_root, F.lit(None).cast(state.schema["nxt"].dataType))
+             .otherwise(F.col("o_nxt")).alias("nxt"),
+            F.when(done, F.col("root_id")).otherwise(F.col("o_root")).alias("root_id"),
+            F.when(done, F.col("d")).otherwise(F.col("d") + F.col("o_d")).alias("d"),
+        ).checkpoint(eager=True)
+    raise RuntimeError("parent pointers did not resolve (cycle or deeper than 2^max_rounds)")
+
+
+def ancestry_by_pointers(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """G2 for stored parent pointers: (start_id, ancestor_id, depth) for the
+    commits in ``of``.  Chains are linear (one parent, one child per branch),
+    so the ancestors of a commit are the commits with the same root and a
+    smaller depth; depth comes from :func:`rank_by_pointers`."""
+    ranks = rank_by_pointers(edges)
+    start = (of.select("id").join(ranks, "id", "inner")
+               .select(F.col("id").alias("start_id"), F.col("root_id"),
+                       F.col("depth").alias("start_depth")))
+    anc = ranks.join(start, "root_id", "inner").where(F.col("depth") < F.col("start_depth"))
+    return anc.select("start_id", F.col("id").alias("ancestor_id"),
+                      (F.col("start_depth") - F.col("depth")).alias("depth"))
+
+
 def state_at(commits: DataFrame, entries: DataFrame, as_of: str, branch: str | None = None) -> DataFrame:
     """For every (project, branch, file name) the object it had as of ``as_of``:
     the entry of the newest commit at or before that time (as-of by max_by)."""

@@ -64,3 +64,35 @@ def test_content_hash_of_several_columns(spark):
     df = spark.createDataFrame([(1, None), (None, 1)], "a int, b int")
     hs = [r["content_hash"] for r in content_hash(df, ["a", "b"]).collect()]
     assert len(set(hs)) == 2
+
+
+def test_pointer_jumping_ranks_and_ancestry(spark):
+    import random
+    rng = random.Random(3)
+    parent = {}
+    nid = 0
+    for _ in range(4):  # four linear chains of random length, one very long
+        prev = None
+        for _ in range(rng.randint(1, 40) if _ else 300):
+            parent[nid] = prev
+            prev, nid = nid, nid + 1
+    edges = spark.createDataFrame(list(parent.items()), "id long, parent_id long")
+    got = {r["id"]: (r["root_id"], r["depth"]) for r in L.rank_by_pointers(edges).collect()}
+
+    def walk(v):
+        d = 0
+        while parent[v] is not None:
+            v, d = parent[v], d + 1
+        return v, d
+    assert got == {v: walk(v) for v in parent}
+    heads = [v for v in parent if v not in set(parent.values())]
+    of = spark.createDataFrame([(h,) for h in heads], "id long")
+    anc = {(r["start_id"], r["ancestor_id"], r["depth"])
+           for r in L.ancestry_by_pointers(edges, of).collect()}
+    want = set()
+    for h in heads:
+        v, d = parent[h], 1
+        while v is not None:
+            want.add((h, v, d))
+            v, d = parent[v], d + 1
+    assert anc == want
