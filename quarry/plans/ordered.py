@@ -44,6 +44,22 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in cols])
 
 
+SLICE_BYTES = 64 << 20
+
+
+def slice_count(df: DataFrame) -> int:
+    """Number of range slices: about one per 64 MB of planned input, at least
+    the number of cores and at most ``spark.sql.shuffle.partitions``."""
+    spark = df.sparkSession
+    upper = shuffle_partitions(spark)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM-side plan access: use the configured count
+        return upper
+    return max(1, min(upper, max(cores, -(-size // SLICE_BYTES))))
+
+
 def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str],
             parts: int | None) -> DataFrame:
     """Range-partition and tag every row with its slice number, then cut the
@@ -57,7 +73,7 @@ def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str],
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = parts or shuffle_partitions(spark)
+    n = parts or slice_count(df)
     return (df.repartitionByRange(n, *group_cols, *order_cols)
               .withColumn(_PID, F.spark_partition_id())
               .checkpoint(eager=True))
