@@ -4,9 +4,10 @@ A floating-point ``avg`` depends on the order in which partial sums are
 merged, which on a cluster is the order shuffle blocks arrive.  Means of
 decimal-like data (prices with two decimals) often sit exactly on a rounding
 tie at the 6th digit, so that order would decide the reported digit.  The mean
-is therefore taken over ``DECIMAL(38,12)`` (an exact, order-independent sum of
-the values' decimal forms) and rounded half-up; when a value or the sum does
-not fit that type it falls back to the floating-point mean.
+is therefore an exact, order-independent integer sum: every value as a whole
+number of 1e-9 units (a long, cheap per row), summed with overflow checks,
+divided by the count as a decimal and rounded half-up.  When a value is not
+such a whole number or the sum overflows, the floating-point mean is used.
 """
 
 from __future__ import annotations
@@ -14,37 +15,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MEAN_SCALE = 12
+UNIT_DIGITS = 9
+_UNIT = float(10 ** UNIT_DIGITS)
 
 
-def exact_mean(x: Column) -> Column:
-    """Aggregate: mean of ``x`` (double) as a decimal-exact value (double result)."""
-    dec = x.try_cast(f"decimal(38,{MEAN_SCALE})")
-    fits = F.count(dec) == F.count(x)
-    dmean = F.try_avg(dec)
-    return F.when(fits & dmean.isNotNull(), F.round(dmean, 6).cast("double")) \
-            .otherwise(F.round(F.avg(x), 6))
+def _units(x: Column, integral: bool) -> Column:
+    """``x`` as a long count of 1e-9 units, NULL when that is not exact."""
+    if integral:
+        return x.cast("long")
+    scaled = F.round(x * F.lit(_UNIT)).try_cast("long")
+    return F.when((F.abs(x) < 9.0e9) & ((scaled.cast("double") / F.lit(_UNIT)) == x), scaled)
 
 
-def mean_parts(x: Column) -> list[Column]:
-    """Aggregates from which :func:`mean_from_parts` builds the mean: the
-    decimal-exact average, whether every value fit the decimal type, and the
-    floating-point average as fallback."""
-    dec = x.try_cast(f"decimal(38,{MEAN_SCALE})")
-    return [F.try_avg(dec), (F.count(dec) == F.count(x)), F.avg(x)]
+def mean_parts(x: Column, integral: bool = False) -> list[Column]:
+    """Aggregates from which :func:`mean_from_parts` builds the mean: the exact
+    unit sum, the counts of exact and of all values, and the floating mean."""
+    u = _units(x, integral)
+    return [F.try_sum(u), F.count(u), F.count(x), F.avg(x.cast("double"))]
 
 
-def mean_from_parts(dmean: Column, fits: Column, fmean: Column) -> tuple[Column, Column]:
-    """(mean rounded half-up to 6 digits, unrounded mean as double)."""
-    ok = fits & dmean.isNotNull()
+def mean_from_parts(isum: Column, n_units: Column, n: Column, fmean: Column,
+                    integral: bool = False) -> tuple[Column, Column]:
+    """(mean rounded half-up to 6 digits, floating mean for centring)."""
+    ok = (n_units == n) & isum.isNotNull() & (n > 0)
+    scale = 1 if integral else 10 ** UNIT_DIGITS
+    dmean = (isum.cast("decimal(38,0)")
+             / (n.cast("decimal(38,0)") * F.lit(scale).cast("decimal(38,0)")))
     rounded = F.when(ok, F.round(dmean, 6).cast("double")).otherwise(F.round(fmean, 6))
-    raw = F.when(ok, dmean.cast("double")).otherwise(fmean)
-    return rounded, raw
+    return rounded, fmean
+
+
+def exact_mean(x: Column, integral: bool = False) -> Column:
+    """Aggregate: mean of ``x``, exact when every value is a whole number of
+    1e-9 units (always for integral columns), rounded half-up to 6 digits."""
+    isum, n_units, n, fmean = mean_parts(x, integral)
+    return mean_from_parts(isum, n_units, n, fmean, integral)[0]
+
+
+MEAN_SCALE = 12
 
 
 def exact_mean_sql(x: str) -> str:
     """DuckDB twin of :func:`exact_mean`: exact sum in HUGEINT units of 1e-12,
-    divided by the count with half-up rounding at 6 digits."""
+    divided by the count with half-up rounding at 6 digits (equal to the
+    Spark result whenever the values have at most 9 decimals)."""
     s = f"CAST(sum(CAST({x} AS DECIMAL(38,{MEAN_SCALE}))) * 1000000000000 AS HUGEINT)"
     n = f"CAST(count({x}) AS HUGEINT) * 1000000"
     return (f"(CASE WHEN count({x}) = 0 THEN NULL ELSE "

@@ -83,13 +83,16 @@ def _sketch_pass(norm: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> D
                   F.col(f"u{i}").alias("approx_unique")]
         if s.numeric:
             x = c.cast("double")
-            dm, fits, fm = mean_parts(x)
-            aggs += [dm.alias(f"dm{i}"), fits.alias(f"fit{i}"), fm.alias(f"fm{i}"),
+            integral = s.kind == "integral"
+            isum, nu, nn, fm = mean_parts(c if integral else x, integral)
+            aggs += [isum.alias(f"is{i}"), nu.alias(f"nu{i}"), nn.alias(f"nn{i}"),
+                     fm.alias(f"fm{i}"),
                      F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
                      F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"skew{i}"),
                      F.kurtosis(x).alias(f"kurt{i}"),
                      F.percentile_approx(x, [q for _, q in QUANTILES]).alias(f"pq{i}")]
-            mean, _ = mean_from_parts(F.col(f"dm{i}"), F.col(f"fit{i}"), F.col(f"fm{i}"))
+            mean, _ = mean_from_parts(F.col(f"is{i}"), F.col(f"nu{i}"), F.col(f"nn{i}"),
+                                      F.col(f"fm{i}"), integral)
             fields.append(mean.alias("mean"))
             fields += [F.col(f"{m}{i}").alias(m) for m in moments]
             fields += [F.col(f"pq{i}")[j].alias(n) for j, (n, _) in enumerate(QUANTILES)]
@@ -544,10 +547,14 @@ def custom_metrics(df: DataFrame, order_by: str | list[str], keys: list[str] | N
     norm = normalized(df)
     ord_struct = F.struct(*[_q(o) for o in order])
     aggs, fields = [], []
+    kinds = {sp.name: sp.kind for sp in column_specs(df)}
     for i, n in enumerate(names):
         x = _q(n).cast("double")
+        integral = kinds[n] in ("integral", "bool")
+        src = _q(n).cast("long") if integral else x
         aggs += [F.max_by(x, F.when(x.isNotNull(), ord_struct)).alias(f"lt{i}"),
-                 F.max(x).alias(f"mx{i}"), exact_mean(x).alias(f"mn{i}"), F.count(x).alias(f"c{i}")]
+                 F.max(x).alias(f"mx{i}"), exact_mean(src, integral).alias(f"mn{i}"),
+                 F.count(x).alias(f"c{i}")]
         fields.append(F.struct(F.lit(n).alias("metric"), F.col(f"lt{i}").alias("latest"),
                                F.col(f"mx{i}").alias("max"), F.col(f"mn{i}").alias("mean"),
                                F.col(f"c{i}").alias("n")))

@@ -54,9 +54,12 @@ def incremental_profile(stream: DataFrame, query_name: str | None = None,
     numeric = [f.name for f in stream.schema.fields if isinstance(f.dataType, INTEGRAL + FRACTIONAL)]
     src = stream.withColumn("file_name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
     aggs = [F.count(F.lit(1)).alias("rows")]
+    integral = {f.name for f in stream.schema.fields if isinstance(f.dataType, INTEGRAL)}
     for i, c in enumerate(numeric):
         x = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), exact_mean(x).alias(f"m{i}"),
+        mean = (exact_mean(F.col(f"`{c}`").cast("long"), True) if c in integral
+                else exact_mean(x))
+        aggs += [F.count(x).alias(f"n{i}"), mean.alias(f"m{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     per_file = src.groupBy("file_name").agg(*aggs)
     name = query_name or f"profile_{uuid.uuid4().hex[:10]}"
