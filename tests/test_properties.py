@@ -70,3 +70,11 @@ def test_grouped_profile_with_null_group_key(spark):
     got = {r["g"]: r for r in P.profile_by_group(df, ["g"]).collect()}
     assert got[None]["median"] == 2.0 and got[None]["mean"] == 2.0 and got[None]["std"] == 1.414214
     assert got["a"]["median"] == 4.0 and got["a"]["row_count"] == 3
+
+
+def test_grouped_profile_same_with_shuffle_joins(spark, monkeypatch):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    broadcast = sorted(tuple(r) for r in P.profile_by_group(li, ["l_returnflag"]).collect())
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
+    shuffled = sorted(tuple(r) for r in P.profile_by_group(li, ["l_returnflag"]).collect())
+    assert broadcast == shuffled
