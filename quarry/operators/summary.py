@@ -115,11 +115,13 @@ def _metrics_text(df: DataFrame, order_by: str | None, external_metrics: str | N
 
 
 def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str | None = None,
-                 exact: bool = True, external_metrics: str | None = None) -> DataFrame:
+                 exact: bool = True, external_metrics: str | None = None,
+                 prof: DataFrame | None = None) -> DataFrame:
     """One-sentence report of a dataset (rows, columns, first numeric column's
     mean and range, first categorical column's top value, up to two high-null
-    columns, metric peaks and supplied metric values)."""
-    prof = P.profile_table(df, exact=exact)
+    columns, metric peaks and supplied metric values).  ``prof``: an already
+    computed :func:`profile_table` of ``df`` to reuse."""
+    prof = prof if prof is not None else P.profile_table(df, exact=exact)
     rows = prof.agg(F.max("row_count").alias("rows"))
     num = prof.where(F.col("mean").isNotNull()).agg(
         F.min_by(F.struct("column", "mean", "min", "max"), "ordinal").alias("nm"))
@@ -164,6 +166,7 @@ def profile_document(df: DataFrame, file_name: str, file_type: str,
     touched by the profile, histogram, duplicate and metric jobs.
     """
     prof, hist = P.profile_tables(df, exact=exact)
+    summary = rule_summary(df, file_name, file_type, order_by, prof=prof).select("summary")
     stats = prof.agg(F.array_sort(F.collect_list(F.struct(*P.PROFILE_COLUMNS[1:2], "column",
                                                            *P.PROFILE_COLUMNS[2:])))
                      .alias("statistics"),
@@ -176,7 +179,7 @@ def profile_document(df: DataFrame, file_name: str, file_type: str,
                                                       F.array(F.element_at("h", -1)["hi"]))
                                              .alias("bin_edges"))).alias("distributions")))
     dup = P.duplicate_rows(df)
-    parts = [stats, dist, dup]
+    parts = [stats, dist, dup, summary]
     if order_by is not None and P.metric_columns(df):
         parts.append(P.custom_metrics(df, order_by).agg(
             F.collect_list(F.struct("metric", "latest", "max", "mean")).alias("custom_metrics")))
@@ -189,6 +192,7 @@ def profile_document(df: DataFrame, file_name: str, file_type: str,
     doc = one.select(
         F.lit(file_name).alias("file_name"), F.lit(file_type).alias("file_type"),
         F.col("row_count"), F.lit(len(df.columns)).alias("column_count"), "duplicate_rows",
-        schema_map.alias("columns_schema"), "statistics", "distributions", "custom_metrics")
+        schema_map.alias("columns_schema"), "statistics", "distributions", "custom_metrics",
+        "summary")
     return doc.withColumn("stats", F.to_json(F.struct(*[c for c in doc.columns])))
 
