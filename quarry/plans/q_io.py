@@ -107,13 +107,14 @@ _NUMERIC_LINEITEM = [c for c in LINEITEM if c.kind in ("integral", "fractional")
 
 
 def _incremental_sql():
-    from quarry.functions.numeric import exact_mean_sql
+    from quarry.functions.numeric import exact_mean_sql, round_sql
     parts = []
     for c in _NUMERIC_LINEITEM:
         x = f"CAST({c.name} AS DOUBLE)"
         parts.append(f"SELECT 'lineitem.parquet' AS file_name, '{c.name}' AS \"column\", "
                      f"count(*) AS row_count, count({x}) AS n, count(*) - count({x}) AS null_count, "
-                     f"{exact_mean_sql(x)} AS mean, min({x}) AS min, max({x}) AS max FROM lineitem")
+                     f"{exact_mean_sql(x)} AS mean, {round_sql(f'stddev_samp({x})', 6)} AS std, "
+                     f"min({x}) AS min, max({x}) AS max FROM lineitem")
     return "\nUNION ALL\n".join(parts)
 
 

@@ -7,7 +7,7 @@ stopped.  No ``foreachBatch`` (its Python callback needs a local port): the
 callback-free sinks are used instead.
 
 * ST1 ``incremental_profile`` - per-file profile aggregates (rows, non-null
-  and null counts, exact mean, min, max of every numeric column), a stateful
+  and null counts, exact mean, sample std, min, max of every numeric column), a stateful
   streaming aggregation written in complete mode to the in-memory table
   ``queryName`` (one row per file and column: bounded by files x schema
   width).
@@ -60,6 +60,7 @@ def incremental_profile(stream: DataFrame, query_name: str | None = None,
         mean = (exact_mean(F.col(f"`{c}`").cast("long"), True) if c in integral
                 else exact_mean(x))
         aggs += [F.count(x).alias(f"n{i}"), mean.alias(f"m{i}"),
+                 F.round(F.stddev_samp(x), 6).alias(f"sd{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     per_file = src.groupBy("file_name").agg(*aggs)
     name = query_name or f"profile_{uuid.uuid4().hex[:10]}"
@@ -69,7 +70,8 @@ def incremental_profile(stream: DataFrame, query_name: str | None = None,
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("rows").alias("row_count"),
                               F.col(f"n{i}").alias("n"),
                               (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
-                              F.col(f"m{i}").alias("mean"), F.col(f"lo{i}").alias("min"),
+                              F.col(f"m{i}").alias("mean"), F.col(f"sd{i}").alias("std"),
+                              F.col(f"lo{i}").alias("min"),
                               F.col(f"hi{i}").alias("max")) for i, c in enumerate(numeric)])
     return table.select("file_name", F.inline(rows))
 
