@@ -159,10 +159,16 @@ def rank_by_pointers(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     rounds.  A round is one equi-join on the node id (unique on the looked-up
     side; a pointer target shared by many nodes is a skewed key that AQE
     splits) and ends with a reliable checkpoint.  The only driver-side work is
-    counting the unresolved nodes after each round.
+    counting the unresolved nodes after each round.  A node whose parent is
+    missing from the table is the root of its (broken) chain.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
+    # A parent that is not in the table ends its chain: that node is a root.
+    known = edges.select(F.col("id").alias("parent_id"), F.lit(True).alias("__known"))
+    edges = (edges.join(known, "parent_id", "left")
+                  .withColumn("parent_id", F.when(F.col("__known"), F.col("parent_id")))
+                  .drop("__known"))
     state = edges.select(
         F.col("id"), F.col("parent_id").alias("nxt"),
         F.when(F.col("parent_id").isNull(), F.col("id")).alias("root_id"),

@@ -86,3 +86,9 @@ def test_listing_is_newest_first_and_limited(spark):
     rows = L.listing(metadata, commits, projects, file_type="csv", limit=3).collect()
     assert [r["id"] for r in rows] == [9, 7, 5]
     assert [r["indexed_at"] for r in rows][0] == "2020-01-10T00:00:00"
+
+
+def test_rank_by_pointers_with_missing_parent(spark):
+    edges = spark.createDataFrame([(1, None), (2, 1), (5, 4), (6, 5)], "id long, parent_id long")
+    got = {r["id"]: (r["root_id"], r["depth"]) for r in L.rank_by_pointers(edges).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 5: (5, 0), 6: (5, 1)}
