@@ -141,15 +141,17 @@ def first_tree_entry(entries: DataFrame, tree_col: str = "tree_id", id_col: str
 CHAIN_SCHEMA = "id long, parent_hash string, commit_hash string"
 
 
-def _fold_chains(group_cols, message_col, blob_col):
+def _fold_chains(group_cols, message_col, blob_col, start_col=None):
     def fold(batches):
         last_key, last_hash = None, None
         for pdf in batches:
             keys = list(zip(*[pdf[g] for g in group_cols])) if group_cols else [()] * len(pdf)
+            starts = pdf[start_col] if start_col else [None] * len(pdf)
             parents, hashes = [], []
-            for key, msg, blob in zip(keys, pdf[message_col], pdf[blob_col]):
+            for key, msg, blob, start in zip(keys, pdf[message_col], pdf[blob_col], starts):
                 if key != last_key:
-                    last_key, last_hash = key, None
+                    last_key = key
+                    last_hash = start if isinstance(start, str) and start else None
                 text = (last_hash or "") + (msg or "") + (blob or "")
                 parents.append(last_hash)
                 last_hash = hashlib.sha256(text.encode("utf-8")).hexdigest()
@@ -161,21 +163,25 @@ def _fold_chains(group_cols, message_col, blob_col):
 
 def commit_chain(commits: DataFrame, group_cols=("project_id", "branch"),
                  order_cols=("created_at", "id"), message_col: str = "message",
-                 blob_col: str = "blob_hash") -> DataFrame:
+                 blob_col: str = "blob_hash", start_col: str | None = None) -> DataFrame:
     """H5: ``commit_hash = sha256(parent_hash || message || blob_hash)`` per chain.
 
     A chain is the commits of one (project, branch) in (created_at, id) order;
-    the root has parent '' in the hash input and NULL as parent.  Chains are
+    the root has parent '' in the hash input and NULL as parent, unless
+    ``start_col`` gives the hash an appended chain continues from (the same
+    value on every row of that chain, e.g. the current branch head).  Chains are
     hash-partitioned, sorted within partitions and folded while streaming the
     Arrow batches of each partition.  Returns (id, parent_hash, commit_hash).
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     src = commits.select(*group_cols, *[c for c in order_cols if c not in group_cols],
-                         *([] if "id" in order_cols else ["id"]), message_col, blob_col)
+                         *([] if "id" in order_cols else ["id"]), message_col, blob_col,
+                         *([start_col] if start_col else []))
     # Partitioned by chain without a fixed count, so AQE can coalesce small
     # partitions (fewer Python workers on small data) and keep many on big.
     ordered = src.repartition(*group_cols).sortWithinPartitions(*group_cols, *order_cols)
-    return ordered.mapInPandas(_fold_chains(group_cols, message_col, blob_col), CHAIN_SCHEMA)
+    return ordered.mapInPandas(_fold_chains(group_cols, message_col, blob_col, start_col),
+                               CHAIN_SCHEMA)
 
 
 def verify_chain(stored: DataFrame, group_cols=("project_id", "branch"),
