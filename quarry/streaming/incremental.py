@@ -77,14 +77,20 @@ def incremental_profile(stream: DataFrame, query_name: str | None = None,
 
 
 def stream_dedup(stream: DataFrame, text_col: str, out: str | None = None,
-                 checkpoint: str | None = None) -> DataFrame:
-    """ST2: store each distinct content once; returns the stored blobs."""
+                 checkpoint: str | None = None, registry: DataFrame | None = None) -> DataFrame:
+    """ST2: store each distinct content once; returns the newly stored blobs.
+
+    ``registry`` (static, column ``blob_hash``): contents stored before the
+    stream started; they are dropped by a stream-static anti join.
+    """
     spark = stream.sparkSession
     out = out or scratch_dir(spark, f"blobs-{uuid.uuid4().hex[:10]}")
     ckpt = checkpoint or f"{out}-ckpt"
-    blobs = (stream.select(F.sha2(F.col(text_col), 256).alias("blob_hash"),
-                           F.octet_length(text_col).cast("long").alias("size_bytes"))
-                   .dropDuplicates(["blob_hash"]))
+    blobs = stream.select(F.sha2(F.col(text_col), 256).alias("blob_hash"),
+                          F.octet_length(text_col).cast("long").alias("size_bytes"))
+    if registry is not None:
+        blobs = blobs.join(registry.select("blob_hash"), "blob_hash", "left_anti")
+    blobs = blobs.dropDuplicates(["blob_hash"])
     _run_available(blobs.writeStream.format("parquet").option("path", out).outputMode("append"), ckpt)
     return spark.read.schema("blob_hash string, size_bytes bigint").parquet(out)
 

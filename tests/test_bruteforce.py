@@ -62,3 +62,13 @@ def test_incremental_profile_counts(spark):
     pdf = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
     assert got["l_quantity"]["n"] == len(pdf)
     assert got["l_quantity"]["max"] == pdf["l_quantity"].max()
+
+
+def test_stream_dedup_skips_registered_contents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = docs.toPandas()["text"]
+    stored = sorted({hashlib.sha256(t.encode()).hexdigest() for t in texts})[:5]
+    registry = spark.createDataFrame([(h,) for h in stored], "blob_hash string")
+    got = ST.stream_dedup(_stream_src(spark, SF, "documents"), "text", registry=registry)
+    want = {hashlib.sha256(t.encode()).hexdigest() for t in texts} - set(stored)
+    assert {r["blob_hash"] for r in got.collect()} == want
