@@ -38,7 +38,8 @@ def stats_preview(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     prof = prof if prof is not None else P.profile_table(df)
     first = prof.where(F.col("ordinal") < PREVIEW_COLUMNS)
     return (first.join(_top_text(df, prof), "column", "left")
-                 .select("column", "ordinal", *PREVIEW_STATS, "top_values"))
+                 .select("column", "ordinal", *PREVIEW_STATS, "top_values",
+                         (F.col("null_pct") > 0).alias("null_alert")))
 
 
 def _num(c):

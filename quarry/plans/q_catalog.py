@@ -217,7 +217,7 @@ def q_version_detail(spark, sf):
     cat = _cat(spark, sf)
     m = L.version_details(cat.metadata, cat.commits, cat.projects, cat.tree_entries)
     return (m.select(
-        "id", "project_name", "blob_hash",
+        "id", "project_name", "blob_hash", F.substring("blob_hash", 1, 8).alias("short_hash"),
         L.json_field("stats", "file_name").alias("file_name"),
         L.json_field("stats", "row_count").try_cast("long").alias("row_count"),
         L.json_field("stats", "custom_metrics.accuracy.latest").try_cast("double").alias("accuracy")))
@@ -267,7 +267,12 @@ def q_project_owner(spark, sf):
 def q_list_projects(spark, sf):
     cat = _cat(spark, sf)
     u = cat.users.select(F.col("id").alias("owner_id"), F.col("username").alias("owner"))
-    return cat.projects.join(u, "owner_id", "left").select("id", "name", "description", "owner")
+    # A project is created with its first commit; shown as an ISO date.
+    first = (cat.commits.groupBy(F.col("project_id").alias("id"))
+             .agg(F.min("created_at").alias("first_commit")))
+    return (cat.projects.join(u, "owner_id", "left").join(first, "id", "left")
+            .select("id", "name", "description", "owner",
+                    F.date_format(F.to_date("first_commit"), "yyyy-MM-dd").alias("created_at")))
 
 
 def q_new_projects(spark, sf):
@@ -509,6 +514,7 @@ SELECT m.id, p.name AS project_name FROM metadata m JOIN commits c ON m.target_i
 JOIN projects p ON c.project_id = p.id""", "metadata", "commits", "projects"),
     "version_detail": with_catalog(f"""
 SELECT m.id, m.project_name, coalesce(f.blob_hash, CAST(m.target_id AS VARCHAR)) AS blob_hash,
+       substr(coalesce(f.blob_hash, CAST(m.target_id AS VARCHAR)), 1, 8) AS short_hash,
        json_extract_string(m.stats, '$.file_name') AS file_name,
        TRY_CAST(json_extract_string(m.stats, '$.row_count') AS BIGINT) AS row_count,
        TRY_CAST(json_extract_string(m.stats, '$.custom_metrics.accuracy.latest') AS DOUBLE) AS accuracy
@@ -538,8 +544,11 @@ SELECT c.id, u.username AS author FROM commits c LEFT JOIN users u ON c.author_i
 SELECT p.id, p.name, u.username AS owner FROM projects p LEFT JOIN users u ON p.owner_id = u.id""",
         "projects", "users"),
     "list_projects": with_catalog("""
-SELECT p.id, p.name, p.description, u.username AS owner FROM projects p
-LEFT JOIN users u ON p.owner_id = u.id""", "projects", "users"),
+SELECT p.id, p.name, p.description, u.username AS owner,
+       strftime(CAST(f.first_commit AS DATE), '%Y-%m-%d') AS created_at FROM projects p
+LEFT JOIN users u ON p.owner_id = u.id
+LEFT JOIN (SELECT project_id, min(created_at) AS first_commit FROM commits GROUP BY project_id) f
+  ON f.project_id = p.id""", "projects", "users", "commits"),
     "new_projects": with_catalog("""
 SELECT DISTINCT name FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation)
 WHERE name NOT IN (SELECT name FROM projects)""", "projects"),

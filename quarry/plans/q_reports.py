@@ -187,7 +187,8 @@ FROM ({top_values_sql('orders', ORDERS, k=5)}) GROUP BY "column\""""
 
 _PREVIEW = f"""
 WITH prof AS ({_PREVIEW_PROF}), tops AS ({_TOPTXT})
-SELECT p."column", p.ordinal, p.dtype, p.mean, p.std, p.min, p.max, p.null_pct, t.top_values
+SELECT p."column", p.ordinal, p.dtype, p.mean, p.std, p.min, p.max, p.null_pct, t.top_values,
+       p.null_pct > 0 AS null_alert
 FROM prof p LEFT JOIN tops t ON p."column" = t."column" WHERE p.ordinal < 5"""
 
 _CONTEXT = f"""
