@@ -78,3 +78,20 @@ def test_grouped_profile_same_with_shuffle_joins(spark, monkeypatch):
     monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
     shuffled = sorted(tuple(r) for r in P.profile_by_group(li, ["l_returnflag"]).collect())
     assert broadcast == shuffled
+
+
+def test_profile_document_histogram_matches_numpy(spark):
+    import json
+
+    from quarry.operators.summary import profile_document
+    vals = [0.5, 1.25, 1.25, 2.0, 3.75, 7.0, None, 9.5, 10.0]
+    df = spark.createDataFrame([(v, "a" if v and v > 2 else "b") for v in vals], "x double, s string")
+    doc = json.loads(profile_document(df, "t.csv", "csv").collect()[0]["stats"])
+    dist = {d["column"]: d for d in doc["distributions"]}
+    clean = np.array([v for v in vals if v is not None])
+    counts, edges = np.histogram(clean, bins=10)
+    assert dist["x"]["counts"] == counts.tolist()
+    assert dist["x"]["bin_edges"] == [round(e, 4) for e in edges.tolist()]
+    assert doc["row_count"] == len(vals) and doc["column_count"] == 2
+    assert doc["columns_schema"] == {"x": "double", "s": "string"}
+    assert doc["summary"].startswith("9 rows, 2 cols. t.csv (CSV) focus.")
