@@ -81,6 +81,8 @@ def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, proje
     proj = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
     if project is not None:
         proj = proj.where(F.col("project") == project)
+        if proj.limit(1).count() == 0:  # the reference answers 404 here
+            raise LookupError(f"project not found: {project}")
     c = filter_log(commits.join(proj, "project_id", "inner"), branch=branch, since=since, until=until)
     authors = users.select(F.col("id").alias("author_id"), F.col("username").alias("author"))
     c = c.join(authors, "author_id", "left")
@@ -106,6 +108,16 @@ def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, proje
                 .drop("__ts"))
 
 
+def lookup(df: DataFrame, column: str, value) -> DataFrame:
+    """the row(s) whose ``column`` equals ``value``; LookupError when there
+    is none (the reference answers 404).  A filter pushed into the scan and a
+    one-row probe."""
+    hit = df.where(F.col(column) == F.lit(value))
+    if hit.limit(1).count() == 0:
+        raise LookupError(f"{column} = {value!r} not found")
+    return hit
+
+
 def parent_commits(commits: DataFrame) -> DataFrame:
     """The parent of a commit is the previous commit of its (project, branch)
     in (created_at, id) order; skew-safe lag."""

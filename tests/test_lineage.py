@@ -92,3 +92,17 @@ def test_rank_by_pointers_with_missing_parent(spark):
     edges = spark.createDataFrame([(1, None), (2, 1), (5, 4), (6, 5)], "id long, parent_id long")
     got = {r["id"]: (r["root_id"], r["depth"]) for r in L.rank_by_pointers(edges).collect()}
     assert got == {1: (1, 0), 2: (1, 1), 5: (5, 0), 6: (5, 1)}
+
+
+def test_unknown_project_and_missing_key_raise(spark):
+    import pytest
+    commits, _, _ = _catalog(spark)
+    projects = spark.createDataFrame([(1, "p1")], "id int, name string")
+    users = spark.createDataFrame([(7, "u7")], "id long, username string")
+    metadata = spark.createDataFrame([], "id long, target_id long, stats string")
+    with pytest.raises(LookupError):
+        L.project_log(commits, users, metadata, projects, project="nope")
+    assert L.project_log(commits, users, metadata, projects, project="p1").count() == 2
+    assert L.lookup(commits, "id", 2).count() == 1
+    with pytest.raises(LookupError):
+        L.lookup(commits, "id", 42)
