@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metric_name,
-                                    kind_of, normalized)
+                                    normalized)
 from quarry.functions.numeric import exact_mean, mean_from_parts, mean_parts
 from quarry.plans.ordered import SLICE, join_on, prefix_sum, range_slices
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.clean import kind_of
 from quarry.functions.text import capitalize, fixed2, thousands
 from quarry.operators import profile as P
 
@@ -128,7 +129,7 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
         F.min_by(F.struct("column", "mean", "min", "max"), "ordinal").alias("nm"))
     # The top value of a categorical column is its mode (count desc, value asc).
     cats = [f.name for f in df.schema.fields
-            if P.kind_of(f.dataType) in ("string", "bool")]
+            if kind_of(f.dataType) in ("string", "bool")]
     tops = (prof.where(F.col("column").isin(cats) & F.col("mode").isNotNull())
                 .agg(F.min_by(F.struct("column", F.col("mode").alias("value")), "ordinal")
                      .alias("tv")))
