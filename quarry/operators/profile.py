@@ -23,6 +23,8 @@ would expand every row once per column).
 
 from __future__ import annotations
 
+import functools
+import inspect
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +50,30 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _private_keys(fn):
+    """Run ``fn`` with its group ``keys`` renamed to private names (so a key
+    may be called like an internal column: cidx, l, d, s, cnt, ...) and give
+    the keys their names back on the output."""
+    sig = inspect.signature(fn)
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        bound = sig.bind(*args, **kwargs)
+        bound.apply_defaults()
+        keys = list(bound.arguments.get("keys") or [])
+        private = [f"__key{i}" for i in range(len(keys))]
+        if not keys or keys == private:
+            return fn(*bound.args, **bound.kwargs)
+        bound.arguments["df"] = bound.arguments["df"].withColumnsRenamed(dict(zip(keys, private)))
+        bound.arguments["keys"] = private
+        out = fn(*bound.args, **bound.kwargs)
+
+        def back(d):
+            return d.withColumnsRenamed(dict(zip(private, keys)))
+        return tuple(back(o) for o in out) if isinstance(out, tuple) else back(out)
+    return wrapper
+
+
 def _by_ordinal(specs: list[ColumnSpec], attr: str) -> Column:
     """Per-row lookup of a column's name/dtype from its ordinal ``cidx``: a
     literal array indexed in the expression, no join and no driver table."""
@@ -307,6 +333,7 @@ def profile_table(df: DataFrame, keys: list[str] | None = None, exact: bool = Tr
     return profile_tables(df, keys, exact)[0]
 
 
+@_private_keys
 def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = True,
                    bins: int = 10) -> tuple[DataFrame, DataFrame]:
     """(profile, histogram) of ``df``.  With ``exact=True`` the histograms come
@@ -399,6 +426,7 @@ def profile_by_group(df: DataFrame, keys: list[str], exact: bool = True) -> Data
 # top values, mode, histogram, duplicates, metrics
 # --------------------------------------------------------------------------
 
+@_private_keys
 def top_values(df: DataFrame, k: int = 5, keys: list[str] | None = None) -> DataFrame:
     """(column, rank, value, n): the k most frequent values of categorical columns.
 
@@ -417,6 +445,7 @@ def top_values(df: DataFrame, k: int = 5, keys: list[str] | None = None) -> Data
                        "value", F.col("cnt").alias("n")))
 
 
+@_private_keys
 def mode(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(column, mode, mode_count): most frequent non-null value, smallest on ties."""
     keys = list(keys or [])
@@ -479,6 +508,7 @@ def _histogram_of(cells: DataFrame, specs: list[ColumnSpec], keys: list[str], bi
 _EMPTY_HIST = "column string, bin int, lo double, hi double, n bigint"
 
 
+@_private_keys
 def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> DataFrame:
     """(column, bin, lo, hi, n): equal-width bins, last bin closed.
 
@@ -532,6 +562,7 @@ def metric_columns(df: DataFrame) -> list[str]:
             if is_metric_name(s.name) and s.kind in ("integral", "fractional", "bool")]
 
 
+@_private_keys
 def custom_metrics(df: DataFrame, order_by: str | list[str], keys: list[str] | None = None) -> DataFrame:
     """(metric, latest, max, mean) for every metric column.
 

@@ -95,3 +95,12 @@ def test_profile_document_histogram_matches_numpy(spark):
     assert doc["row_count"] == len(vals) and doc["column_count"] == 2
     assert doc["columns_schema"] == {"x": "double", "s": "string"}
     assert doc["summary"].startswith("9 rows, 2 cols. t.csv (CSV) focus.")
+
+
+def test_group_keys_may_share_internal_names(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 3.0), ("b", 2, 5.0)]
+    df = spark.createDataFrame(rows, "s string, cnt int, x double")
+    got = {(r["s"], r["cnt"]): r for r in P.profile_by_group(df, ["s", "cnt"]).collect()}
+    assert got[("a", 1)]["median"] == 2.0 and got[("b", 2)]["row_count"] == 1
+    assert P.histogram(df, keys=["s", "cnt"]).columns[:2] == ["s", "cnt"]
+    assert P.top_values(df.select("s", "cnt"), keys=["cnt"]).count() == 2
