@@ -34,6 +34,7 @@ from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metr
                                     normalized)
 from quarry.functions.numeric import exact_mean, mean_from_parts, mean_parts
 from quarry.plans.ordered import SLICE, join_on, prefix_sum, range_slices
+from quarry.sources.readers import file_order
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
 
@@ -563,20 +564,28 @@ def metric_columns(df: DataFrame) -> list[str]:
 
 
 @_private_keys
-def custom_metrics(df: DataFrame, order_by: str | list[str], keys: list[str] | None = None) -> DataFrame:
+def custom_metrics(df: DataFrame, order_by: str | list[str] | None = None,
+                   keys: list[str] | None = None) -> DataFrame:
     """(metric, latest, max, mean) for every metric column.
 
     ``latest`` is the value of the last non-null row in ``order_by`` order
-    (``max_by``: an aggregate, no sort and no window).
+    (``max_by``: an aggregate, no sort and no window); without ``order_by``
+    the file row order of a Parquet input is used.
     """
     keys = list(keys or [])
-    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    if order_by is None:
+        order_cols = file_order(df)
+        if order_cols is None:
+            raise ValueError("order_by is needed for inputs without a file row order")
+    else:
+        order = [order_by] if isinstance(order_by, str) else list(order_by)
+        order_cols = [_q(o) for o in order]
     names = metric_columns(df)
     if not names:
         return df.sparkSession.createDataFrame(
             [], "metric string, latest double, max double, mean double")
     norm = normalized(df)
-    ord_struct = F.struct(*[_q(o) for o in order])
+    ord_struct = F.struct(*order_cols)
     aggs, fields = [], []
     kinds = {sp.name: sp.kind for sp in column_specs(df)}
     for i, n in enumerate(names):

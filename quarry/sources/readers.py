@@ -95,10 +95,25 @@ def load_dataset(spark: SparkSession, path: str, file_type: str | None = None) -
     return scan_parquet(spark, path)
 
 
-def preview_rows(df: DataFrame, order_by: list[str], n: int = 100) -> DataFrame:
+def file_order(df: DataFrame):
+    """Columns that give the file row order of a Parquet-backed DataFrame
+    (``_metadata.file_path``, ``_metadata.row_index``), or None elsewhere."""
+    cols = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        df.select(*cols).schema
+    except Exception:  # not a Parquet scan: no row index
+        return None
+    return cols
+
+
+def preview_rows(df: DataFrame, order_by: list[str] | None = None, n: int = 100) -> DataFrame:
     """The first ``n`` rows in a stable order, NaN shown as NULL.
 
-    ``orderBy().limit()`` plans as a top-k (TakeOrderedAndProject): each task
-    keeps n rows, no full sort.
+    Without ``order_by`` the order is the file order (Parquet inputs), which
+    is what "the first rows of the file" means.  ``orderBy().limit()`` plans as
+    a top-k (TakeOrderedAndProject): each task keeps n rows, no full sort.
     """
-    return nan_to_null(df.orderBy(*order_by).limit(n))
+    cols = [F.col(c) for c in order_by] if order_by else file_order(df)
+    if cols is None:
+        raise ValueError("order_by is needed for inputs without a file row order")
+    return nan_to_null(df.orderBy(*cols).limit(n))

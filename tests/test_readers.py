@@ -57,3 +57,19 @@ def test_export_version_round_trip(spark, tmp_folder):
             sorted(tuple(r) for r in o.collect())
     with pytest.raises(ValueError):
         export_version(o, os.path.join(tmp_folder, "x"), "xlsx")
+
+
+def test_file_order_defaults(spark):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from quarry.operators import profile as P
+    path = "/root/testdata/sf0.001/events.parquet"
+    want = pq.read_table(path).to_pandas()
+    got = [r["event_id"] for r in R.preview_rows(spark.read.parquet(path), n=5).collect()]
+    assert got == want["event_id"].head(5).tolist()
+    ev = spark.read.parquet(path).select(F.col("value").alias("score"))
+    m = P.custom_metrics(ev).collect()[0]
+    assert m["latest"] == round(float(want["value"].dropna().iloc[-1]), 6)
+    with pytest.raises(ValueError):
+        R.preview_rows(spark.createDataFrame([(1,)], "a int"))
