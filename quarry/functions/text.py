@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 
 def iso(ts: Column) -> Column:
-    """Timestamp -> ISO-8601 text the way Python's ``isoformat`` prints it
-    (``T`` separator, microseconds only when not zero)."""
-    full = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.regexp_replace(full, r"\.000000$", "")
+    """Timestamp without time zone -> ISO-8601 text the way Python's
+    ``isoformat`` prints it (``T`` separator, 6-digit microseconds only when
+    not zero).
+
+    Built from the zone-free text cast of the value: ``date_format`` would
+    first convert to a session-zone timestamp, which moves wall times that do
+    not exist in that zone (daylight-saving gaps).
+    """
+    text = ts.cast("timestamp_ntz").cast("string")
+    with_frac = F.concat(F.substring_index(text, ".", 1), F.lit("."),
+                         F.rpad(F.substring_index(text, ".", -1), 6, "0"))
+    full = F.when(F.instr(text, ".") > 0, with_frac).otherwise(text)
+    return F.regexp_replace(full, " ", "T")
 
 
 def iso_sql(ts: str) -> str:

@@ -272,7 +272,7 @@ def q_list_projects(spark, sf):
              .agg(F.min("created_at").alias("first_commit")))
     return (cat.projects.join(u, "owner_id", "left").join(first, "id", "left")
             .select("id", "name", "description", "owner",
-                    F.date_format(F.to_date("first_commit"), "yyyy-MM-dd").alias("created_at")))
+                    F.to_date("first_commit").cast("string").alias("created_at")))
 
 
 def q_new_projects(spark, sf):

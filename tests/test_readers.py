@@ -73,3 +73,20 @@ def test_file_order_defaults(spark):
     assert m["latest"] == round(float(want["value"].dropna().iloc[-1]), 6)
     with pytest.raises(ValueError):
         R.preview_rows(spark.createDataFrame([(1,)], "a int"))
+
+
+def test_iso_text_is_zone_free(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from quarry.functions.text import iso
+    vals = [datetime(1999, 10, 3), datetime(2024, 1, 1, 0, 0, 7, 100000), datetime(2020, 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame([(v.isoformat(),) for v in vals], "t string").select(
+        F.col("t").cast("timestamp_ntz").alias("ts"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")  # midnight gap on 1999-10-03
+        assert [r[0] for r in df.select(iso(F.col("ts"))).collect()] == [v.isoformat() for v in vals]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
