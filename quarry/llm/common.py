@@ -9,6 +9,7 @@ mixing step; they are the same in every process and on every machine.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,11 @@ U64 = np.uint64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table; also tells Python workers where this package lies."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, paths]))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe
+from quarry.llm import bpe, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
+    "op7_token_ids": token_ids.op7_token_ids,
 }
 ORACLE: dict[str, str] = {}
