@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -148,12 +149,10 @@ def load_codec(path: str) -> dict:
     return {"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec.get("added_tokens")}
 
 
-_LIVE: dict[int, BytePairCodec] = {}
+_LIVE: dict[int, BytePairCodec] = {}  # one codec per Python worker
 
 
-def _codec(shared) -> BytePairCodec:
-    """One codec per Python worker and broadcast."""
-    key = getattr(shared, "id", None) or id(shared)
+def _codec(shared, key: int) -> BytePairCodec:
     if key not in _LIVE:
         _LIVE.clear()
         _LIVE[key] = BytePairCodec(shared.value)
@@ -168,14 +167,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
     is broadcast.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_codec(vocabulary))
+    spec = load_codec(vocabulary)
+    shared, key = spark.sparkContext.broadcast(spec), zlib.crc32(repr(spec["model"]["merges"]).encode())
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if ids:
         schema += ", token_ids array<int>, decoded string"
 
     def run(batches):
-        codec = _codec(shared)
+        codec = _codec(shared, key)
         for batch in batches:
             n, hashes, backs, all_ids, texts = [], [], [], [], []
             for t in batch.column(1):

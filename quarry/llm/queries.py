@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, token_ids
+from quarry.llm import bpe, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_token_ids": token_ids.op7_token_ids,
 }
 ORACLE: dict[str, str] = {}
