@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, minhash, substring_dedup, token_ids, toxicity
+from quarry.llm import bpe, minhash, pii, substring_dedup, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_pii": pii.op2_pii,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_token_ids": token_ids.op7_token_ids,
