@@ -22,6 +22,7 @@ null ids come first.  Extra columns are ignored.  An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,17 +43,22 @@ from quarry.session import ensure_checkpoint_dir
 SHARD_IDS = 1 << 20
 PARTITION_BYTES = 16 << 20  # text in one range partition
 CACHE = 400_000  # chunks in each of the two generations that a worker remembers
+SPACER = "\x01"
 _HEAD = struct.Struct("<4sBxxxQ")
 _CHUNKS = regex.compile(r"[^\x20\x09-\x0D]+").findall
+# The split pattern of the vocabulary's pre-tokenizer, for lower-cased ASCII text.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+").findall
 SHARD_SCHEMA = "part int, seq int, first long, n_ids long, doc_ids array<long>, payload binary"
 
 
 class ChunkEncoder:
-    """Ids of a text, chunk by chunk between ASCII white space.
+    """Ids of a text, chunk by chunk.
 
     The tokenizer drops white space and none of its rules looks across it, so
-    a text's ids are those of its chunks; each distinct chunk goes through the
-    library once while it is remembered.
+    a text's ids are those of its chunks between ASCII white space; each
+    distinct chunk goes through the library once while it is remembered.
+    ASCII texts without special tokens are lower-cased and cut further, into
+    the pre-tokens that the tokenizer itself would take one by one.
     """
 
     def __init__(self, spec: str):
@@ -63,6 +69,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        (self.spacer,) = self.tokenizer.encode(SPACER, add_special_tokens=False).ids
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -75,17 +82,26 @@ class ChunkEncoder:
                 todo.append(c)
             else:
                 self.recent[c] = got
-        for c, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            self.recent[c] = np.array(e.ids, self.kind).tobytes()
+        # many chunks a call, kept apart by a character that stands for itself
+        alone = [c for c in todo if SPACER in c or "<|" in c]
+        todo = [c for c in todo if not (SPACER in c or "<|" in c)]
+        parts = [todo[k: k + 256] for k in range(0, len(todo), 256)]
+        joined = [f" {SPACER} ".join(p) for p in parts] + alone
+        for p, e in zip([*parts, *([c] for c in alone)], self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = np.flatnonzero(ids == self.spacer) if len(p) > 1 else []
+            for c, x, y in zip(p, [0, *(k + 1 for k in cuts)], [*cuts, len(ids)]):
+                self.recent[c] = ids[x:y].tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text with ``end`` appended, as bytes."""
-        split = [_CHUNKS(t) for t in texts]
+        split = [_ASCII(t.lower()) if t.isascii() and "<|" not in t else _CHUNKS(t) for t in texts]
         recent = self.recent
-        missing = {c for s in split for c in s if c not in recent}
+        distinct = set().union(*split)
+        missing = distinct.difference(recent)
         if len(recent) + len(missing) > CACHE and len(recent) > 0:
             self.older, self.recent = recent, {}
-            missing = {c for s in split for c in s}
+            missing = distinct
         self.learn(missing)
         get, tail = self.recent.__getitem__, np.array([end], self.kind).tobytes()
         return [b"".join(map(get, s)) + tail for s in split]
