@@ -17,11 +17,24 @@ SAMPLE = 256
 _HEAD = struct.Struct("<QQBxxxI")  # values, universe, low bits, bytes of the bit vector
 
 
+BATCH = 1 << 14  # values packed at once; a multiple of 8, so that each part ends on a byte
+
+
 def _pack(values: np.ndarray, width: int) -> bytes:
-    if not width or not len(values):
+    if not width:
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    places = np.arange(width, dtype=np.uint64)
+    parts = [((values[k: k + BATCH, None] >> places) & np.uint64(1)).astype(np.uint8) for k in range(0, len(values), BATCH)]
+    return b"".join([np.packbits(p.ravel(), bitorder="little").tobytes() for p in parts])
+
+
+def _unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
+    out, weight = np.zeros(n, np.int64), 1 << np.arange(width, dtype=np.int64)
+    for k in range(0, n, BATCH):
+        m = min(BATCH, n - k)
+        bits = np.unpackbits(data[k * width // 8:], bitorder="little", count=m * width)
+        out[k: k + m] = bits.reshape(m, width) @ weight
+    return out
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -86,6 +99,5 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         out = (ones - np.arange(self.n)) << self.low
         if self.low:
-            bits = np.unpackbits(self.lows, bitorder="little", count=self.n * self.low).reshape(self.n, self.low)
-            out += bits.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+            out += _unpack(self.lows, self.low, self.n)
         return out
