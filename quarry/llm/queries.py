@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, minhash, ngram_lm, pii, substring_dedup, token_ids, toxicity
+from quarry.llm import bpe, decontaminate, minhash, ngram_lm, pii, substring_dedup, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_pii": pii.op2_pii,
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_token_ids": token_ids.op7_token_ids,
     "op9_ngram_lm": ngram_lm.op9_ngram_lm,
     "op10_minhash": minhash.op10_minhash,
