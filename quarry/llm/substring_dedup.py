@@ -173,7 +173,7 @@ def _candidates(width: int, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = _marks(batch.column(2))
+            marks = _marks(batch.column(3))
             docs, places, one, two = [], [], [], []
             for a, b, p in pieces(*utf8_column(batch.column(1))):
                 change = np.zeros(len(p.starts) + 1, np.int64)
@@ -228,7 +228,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id
                    keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept``, the text that is left) of each row."""
     d = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    d = d.withColumn("key", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 2 * KEY)))
+    # never null, and known not to be, so that inner joins add no filter below the shared exchange
+    key = F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 2 * KEY))
+    d = d.withColumn("key", F.coalesce(key, F.lit(bytes(KEY))))
     n = buckets_for(text_bytes(d), BUCKET_BYTES)
     texts = d.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
@@ -236,8 +238,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id
         return (blobs.groupBy("bucket").applyInPandas(_settle, HITS)
                 .groupBy("key").agg(F.collect_list("pos").alias("pos")))  # at most a text's own positions
 
-    found = hits(texts.select("key", "text").mapInArrow(_anchors(width, n), BLOB))
-    windows = hits(texts.select("key", "text").join(found, "key").select("key", "text", "pos").mapInArrow(_candidates(width, n), BLOB))
+    # every branch takes all three columns, so that they share one exchange of the texts
+    found = hits(texts.mapInArrow(_anchors(width, n), BLOB))
+    windows = hits(texts.join(found, "key").select("key", "text", "copies", "pos").mapInArrow(_candidates(width, n), BLOB))
     result = (texts.join(windows, "key", "left").select("key", "text", "copies", "pos")
               .mapInArrow(_removal(width), "key binary, n_words long, n_removed long, kept_sha256 string, kept string"))
     if not keep_text:
