@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, minhash, ngram_lm, pii, substring_dedup, token_ids, toxicity
+from quarry.llm import bpe, decontaminate, html_text, minhash, ngram_lm, pii, substring_dedup, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_token_ids": token_ids.op7_token_ids,
+    "op8_html_text": html_text.op8_html_text,
     "op9_ngram_lm": ngram_lm.op9_ngram_lm,
     "op10_minhash": minhash.op10_minhash,
 }
