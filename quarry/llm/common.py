@@ -9,6 +9,7 @@ mixing step; they are the same in every process and on every machine.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -38,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that nothing refers to any more.
+
+    The cleaner follows the driver's garbage collector, which may otherwise
+    not run before the next large shuffle is written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column over all rows (one aggregate over the scan)."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"])

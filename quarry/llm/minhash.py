@@ -7,13 +7,14 @@ per set); one member stands for the class.
 
 Representatives get ``BANDS * ROWS`` minima of 2-universal hash functions.
 Two sets of similarity 0.8 share no band with a chance below 1e-5, of 0.85
-below 1e-7.  Within each bucket of a band, every member is paired with the
-bucket's smallest id; pairs are screened by signature (a link would have to be
-seven standard deviations off to be missed) and confirmed on the full sets.
-After the components are known, buckets that still hold several components
-have all their pairs across components screened, block by block, and confirmed,
-so no link between different texts that share a band is lost, without emitting
-the pairs inside a group.
+below 1e-7.  Candidate pairs are screened by signature (a link would have to be
+five standard deviations off to be missed) and confirmed on the full sets, in
+three rounds with components after each: every member of a bucket with the
+bucket's smallest id; then, in buckets that still hold several components,
+every member with the most similar one of another component; last, in buckets
+that are still open, all pairs across components, block by block, each in the
+first band that both share.  So no link between different texts that share a
+band is lost, and pairs inside a component are never emitted.
 
 Null texts are empty; texts of any length are used whole; rows with a null id
 are never linked and kept; rows with the same id count as one document;
@@ -33,7 +34,7 @@ from quarry.llm.common import Hasher, U64, cut, mix, pieces, read, utf8_column
 from quarry.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
-MARGIN = 0.25  # signature similarity that a link may fall short of the threshold
+SIGMAS = 5  # standard deviations of the signature's estimate that a link may fall short of the threshold
 BLOCK = 512  # bucket members compared at once in the exhaustive step
 HASH = Hasher(1010)
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -105,11 +106,16 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(ROWS):
                 h = mix(h * U64(0x100000001B3) + sig[:, :, k])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "rep"])
+            [pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)),
+             pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "nth", "rep"])
+
+
+def _least(threshold: float) -> float:
+    return threshold - SIGMAS * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
 
 
 def _screen(threshold: float):
-    least = threshold - MARGIN
+    least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,25 +146,37 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _across(threshold: float):
-    """Pairs across components within two blocks of a bucket that pass the signature screen."""
-    least = threshold - MARGIN
+def _across(threshold: float, best: bool):
+    """Pairs across components within two blocks of a bucket that pass the signature screen.
+
+    ``best``: for each member only the most similar one; else all pairs whose first common band this is.
+    """
+    least = _least(threshold)
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        block = table["block"].to_numpy()
+        block, nth = table["block"].to_numpy(), table["nth"][0].as_py()
         rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(rep), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        one, two = [], []
-        for x in left:
-            other = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            if len(other):
-                hit = other[(sig[other] == sig[x]).mean(axis=1) >= least]
+        ways = [(i, j), (j, i)] if best and i != j else [(i, j)]
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for left, right in ((np.flatnonzero(block == x), np.flatnonzero(block == y)) for x, y in ways):
+            for x in left:
+                other = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j and not best else True)]
+                if not len(other):
+                    continue
+                same = sig[other] == sig[x]
+                near = same.mean(axis=1)
+                if best:
+                    k = np.argmax(near)
+                    hit = other[k: k + 1] if near[k] >= least else other[:0]
+                else:
+                    ok = np.flatnonzero(near >= least)
+                    ok = ok[np.argmax(same[ok].reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == nth]
+                    hit = other[ok]
                 one.append(np.minimum(rep[hit], rep[x]))
                 two.append(np.maximum(rep[hit], rep[x]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(one or empty), "b": np.concatenate(two or empty)})
+        return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)})
     return run
 
 
@@ -171,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     reps = cut(described.where("key is not null and doc_id is not null")
                .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     sigs = reps.select("rep", "sig")
-    bands = sigs.select("rep", "sig").mapInArrow(_band_rows, "band long, rep long")
+    bands = sigs.select("rep", "sig").mapInArrow(_band_rows, "band long, nth int, rep long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Screened pairs (a, b) that are links on the full sets."""
@@ -190,23 +208,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
                 .join(sigs.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
                 .mapInArrow(_screen(threshold), "a long, b long"))
     links = confirmed(screened)
-    first = cut(connected_components(links))
-
-    # buckets that still hold several components: all pairs across them, in blocks
-    named = sigs.join(first, sigs["rep"] == first["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    named = cut(named)
-    members = cut(bands.join(centres.select("band"), "band").join(named, "rep"))
-    open_buckets = cut(members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
-                       .where("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = (members.join(open_buckets, "band").join(sigs, "rep")
-            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
-                    "block", "rep", "comp", "sig"))
-    more = rows.groupBy("band", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
-    tested = star.select("a", "b")
-    links = links.union(confirmed(more.join(tested, ["a", "b"], "left_anti")))
-    final = cut(connected_components(links))
+    tested, known = star, None
+    for best in (True, False):
+        if known is None:
+            known = cut(connected_components(links))
+            named = cut(sigs.join(known, sigs["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp")))
+            members = cut(bands.join(centres.select("band"), "band").join(named, "rep"))
+            still = cut(members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
+                        .where("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+            if still.isEmpty():
+                break
+        # members of buckets that still hold several components, in blocks
+        rows = (members.join(still, "band").join(sigs, "rep")
+                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .select("band", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
+                        "nth", "block", "rep", "comp", "sig"))
+        pairs = rows.groupBy("band", "i", "j").applyInArrow(_across(threshold, best), "a long, b long").distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links, tested, known = links.union(confirmed(pairs)), tested.union(pairs), None
+    final = known if known is not None else cut(connected_components(links))
     by_key = cut(reps.select("key", "rep").join(final, F.col("rep") == F.col("node"), "left")
                  .select("key", F.coalesce("component", "rep").alias("least")))
     out = described.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")

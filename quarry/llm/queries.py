@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, html_text, minhash, ngram_lm, pii, substring_dedup, token_ids, toxicity
+from quarry.llm import bpe, decontaminate, embedding_dedup, html_text, minhash, ngram_lm, pii, substring_dedup, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_token_ids": token_ids.op7_token_ids,
     "op8_html_text": html_text.op8_html_text,
     "op9_ngram_lm": ngram_lm.op9_ngram_lm,
