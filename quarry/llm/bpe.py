@@ -21,6 +21,7 @@ import json
 import zlib
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -177,22 +178,27 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_column: str = "doc_id"
     def run(batches):
         codec = _codec(shared, key)
         for batch in batches:
-            n, hashes, backs, all_ids, texts = [], [], [], [], []
-            for t in batch.column(1):
-                encoded = codec.encode_text(t.as_py() or "")
-                decoded = codec.decode_text(encoded)
-                n.append(encoded.count(",") + 1 if encoded else 0)
-                hashes.append(hashlib.sha256(encoded.encode()).hexdigest())
-                backs.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if ids:
-                    all_ids.append([int(x) for x in encoded.split(",")] if encoded else [])
-                    texts.append(decoded)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
-            names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
+            for at in range(0, batch.num_rows, 512):
+                yield piece(codec, batch.slice(at, 512))
+
+    def piece(codec, batch):
+        n, hashes, backs, all_ids, texts = [], [], [], [], []
+        for t in batch.column(1):
+            encoded = codec.encode_text(t.as_py() or "")
+            decoded = codec.decode_text(encoded)
+            n.append(encoded.count(",") + 1 if encoded else 0)
+            hashes.append(hashlib.sha256(encoded.encode()).hexdigest())
+            backs.append(hashlib.sha256(decoded.encode()).hexdigest())
             if ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["token_ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                all_ids.append(np.array(encoded.split(",") if encoded else [], np.int32))
+                texts.append(decoded)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
+        names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if ids:
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(ends, np.concatenate(all_ids or [np.zeros(0, np.int32)])), pa.array(texts, pa.string())]
+            names += ["token_ids", "decoded"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_column), F.col(text_column).alias("text")).mapInArrow(run, schema)
 

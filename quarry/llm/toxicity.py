@@ -116,12 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, folds:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str = "doc_id",
           text_column: str = "text", folds: int = 5, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; ``keep`` returns all input columns and the score."""
+    """doc_id, held_out, score, predicted for each row; ``keep`` returns all input columns and ``_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns if keep else [id_column, text_column]
     d = docs.select(*names)
     text_at = names.index(text_column)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields) + "score double"
+    score_name = "_score" if keep else "score"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields) + f"{score_name} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, values = shared.value
@@ -136,7 +137,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str
                 pairs = np.unique(doc[used] << BITS | slot[used])
                 np.add.at(out, a + (pairs >> BITS), weight[pairs & ((1 << BITS) - 1)])
             p = 1.0 / (1.0 + np.exp(-np.clip(out, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, score_name])
 
     scored = d.mapInArrow(run, schema)
     if keep:
