@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Hasher, U64, cut, mix, pieces, read, utf8_column
+from quarry.llm.common import Hasher, U64, cut, mix, pieces, read, release, utf8_column
 from quarry.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
@@ -183,7 +183,7 @@ def _across(threshold: float, best: bool):
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: sets linked when 100*|A&B| >= percent*|A|B|."""
-    threshold = percent / 100
+    threshold, spark = percent / 100, docs.sparkSession
     d = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     described = cut(d.mapInArrow(_describe(width), "doc_id long, n_shingles long, key binary, sig binary"))
     reps = cut(described.where("key is not null and doc_id is not null")
@@ -207,28 +207,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     screened = (star.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a")
                 .join(sigs.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
                 .mapInArrow(_screen(threshold), "a long, b long"))
-    links = confirmed(screened)
-    tested, known = star, None
+    tested, edges = star, confirmed(screened)
     for best in (True, False):
-        if known is None:
-            known = cut(connected_components(links))
-            named = cut(sigs.join(known, sigs["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp")))
-            members = cut(bands.join(centres.select("band"), "band").join(named, "rep"))
-            still = cut(members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
-                        .where("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-            if still.isEmpty():
-                break
+        known = cut(connected_components(edges))
+        named = sigs.join(known, sigs["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+        members = cut(bands.join(centres.select("band"), "band").join(named, "rep"))
+        still = (members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
+                 .where("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
         # members of buckets that still hold several components, in blocks
-        rows = (members.join(still, "band").join(sigs, "rep")
+        rows = (members.join(cut(still), "band").join(sigs, "rep")
                 .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 .select("band", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
                         "nth", "block", "rep", "comp", "sig"))
         pairs = rows.groupBy("band", "i", "j").applyInArrow(_across(threshold, best), "a long, b long").distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links, tested, known = links.union(confirmed(pairs)), tested.union(pairs), None
-    final = known if known is not None else cut(connected_components(links))
+        new = confirmed(pairs)
+        # the components so far stand for the links that made them
+        edges = cut(known.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(new))
+        tested = tested.union(pairs)
+        release(spark)
+        if not best and new.isEmpty():
+            break
+    else:
+        known = cut(connected_components(edges))
+    final = known
     by_key = cut(reps.select("key", "rep").join(final, F.col("rep") == F.col("node"), "left")
                  .select("key", F.coalesce("component", "rep").alias("least")))
     out = described.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
