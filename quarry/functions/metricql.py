@@ -72,6 +72,12 @@ def metrics_map(stats_json: Column, field: str = "custom_metrics") -> Column:
     return F.from_json(stats_json, f"struct<{field}:map<string,string>>")[field]
 
 
+def _number(raw: Column) -> Column:
+    """JSON scalar text as a double: numbers, and booleans as 1 and 0; no type suffixes."""
+    return (F.when(raw == "true", F.lit(1.0)).when(raw == "false", F.lit(0.0))
+             .when(~raw.rlike(r"[0-9.]\s*[dDfF]\s*$"), raw.try_cast("double")))
+
+
 def metric_value(m: Column, key: str) -> Column:
     """Numeric value of metric ``key`` in a parsed metrics map, reference rules."""
     raw = m.getItem(key)
@@ -79,10 +85,10 @@ def metric_value(m: Column, key: str) -> Column:
     inner = F.from_json(raw, "map<string,string>")
     is_obj = F.ltrim(raw).startswith("{")
     latest = F.when(F.coalesce(F.map_contains_key(inner, "latest"), F.lit(False)),
-                    inner.getItem("latest").try_cast("double")).otherwise(F.lit(0.0))
+                    _number(inner.getItem("latest"))).otherwise(F.lit(0.0))
     return (F.when(~present, F.lit(0.0))
              .when(is_obj, latest)
-             .otherwise(raw.try_cast("double")))
+             .otherwise(_number(raw)))
 
 
 def _compare(v: Column, op: str, num: float) -> Column:

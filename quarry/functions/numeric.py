@@ -4,33 +4,50 @@ A floating-point ``avg`` depends on the order in which partial sums are
 merged, which on a cluster is the order shuffle blocks arrive.  Means of
 decimal-like data (prices with two decimals) often sit exactly on a rounding
 tie at the 6th digit, so that order would decide the reported digit.  The mean
-is therefore an exact, order-independent integer sum: every value as a whole
-number of 1e-9 units (a long, cheap per row), summed with overflow checks,
-divided by the count as a decimal and rounded half-up.  When a value is not
-such a whole number or the sum overflows, the floating-point mean is used.
+is therefore an exact, order-independent decimal sum: every value as a decimal
+with nine digits after the point, summed as decimal(38,9) (decimal(38,0) for
+whole numbers), turned into a whole number of 1e-9 units, divided by the count
+and rounded half-up once.  Totals fit up to 1e25 (1e38 for whole numbers), so
+the rule does not change with the number of rows.  Only values of 1e15 and
+above in magnitude, whose doubles carry no more digits than the result, and
+non-finite ones make the floating-point mean take over.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNIT_DIGITS = 9
-_UNIT = float(10 ** UNIT_DIGITS)
+LARGEST = 1e15
+_BILLION = Decimal(10 ** UNIT_DIGITS)
+
+
+def exact_units(x: Column, integral: bool = False) -> Column:
+    """``x`` as an exact decimal, NULL when it is too large for one."""
+    if integral:
+        return x.cast("decimal(20,0)")
+    return F.when(F.abs(x.cast("double")) < LARGEST, x.cast("decimal(24,9)"))
 
 
-def _units(x: Column, integral: bool) -> Column:
-    """``x`` as a long count of 1e-9 units, NULL when that is not exact."""
+def unit_mean(total: Column, n: Column, integral: bool = False) -> Column:
+    """``total / n`` rounded half-up to 6 digits, from an exact decimal total."""
+    count = n.cast("decimal(19,0)")
     if integral:
-        return x.cast("long")
-    scaled = F.round(x * F.lit(_UNIT)).try_cast("long")
-    return F.when((F.abs(x) < 9.0e9) & ((scaled.cast("double") / F.lit(_UNIT)) == x), scaled)
+        return F.try_divide(total.cast("decimal(38,0)"), count.cast("decimal(38,0)"))
+    t = total.try_cast("decimal(34,9)")
+    whole = F.floor(t)
+    part = (t - whole).cast("decimal(10,9)") * F.lit(_BILLION)
+    units = whole.cast("decimal(26,0)") * F.lit(_BILLION) + part.cast("decimal(10,0)")
+    return F.try_divide(units.cast("decimal(38,0)"), (count * F.lit(_BILLION)).cast("decimal(38,0)"))
 
 
 def mean_parts(x: Column, integral: bool = False) -> list[Column]:
     """Aggregates from which :func:`mean_from_parts` builds the mean: the exact
-    unit sum, the counts of exact and of all values, and the floating mean."""
-    u = _units(x, integral)
+    sum, the counts of exact and of all values, and the floating mean."""
+    u = exact_units(x, integral)
     return [F.try_sum(u), F.count(u), F.count(x), F.avg(x.cast("double"))]
 
 
@@ -38,16 +55,12 @@ def mean_from_parts(isum: Column, n_units: Column, n: Column, fmean: Column,
                     integral: bool = False) -> tuple[Column, Column]:
     """(mean rounded half-up to 6 digits, floating mean for centring)."""
     ok = (n_units == n) & isum.isNotNull() & (n > 0)
-    scale = 1 if integral else 10 ** UNIT_DIGITS
-    dmean = (isum.cast("decimal(38,0)")
-             / (n.cast("decimal(38,0)") * F.lit(scale).cast("decimal(38,0)")))
-    rounded = F.when(ok, F.round(dmean, 6).cast("double")).otherwise(F.round(fmean, 6))
+    rounded = F.when(ok, F.round(unit_mean(isum, n, integral), 6).cast("double")).otherwise(F.round(fmean, 6))
     return rounded, fmean
 
 
 def exact_mean(x: Column, integral: bool = False) -> Column:
-    """Aggregate: mean of ``x``, exact when every value is a whole number of
-    1e-9 units (always for integral columns), rounded half-up to 6 digits."""
+    """Aggregate: mean of ``x``, from an exact sum, rounded half-up to 6 digits."""
     isum, n_units, n, fmean = mean_parts(x, integral)
     return mean_from_parts(isum, n_units, n, fmean, integral)[0]
 

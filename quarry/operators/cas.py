@@ -207,27 +207,33 @@ def verify_chain(stored: DataFrame, group_cols=("project_id", "branch"),
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
-def _empty_files(spark, path_glob: str) -> list[str]:
-    """Paths of zero-length files matching the glob (file statuses only)."""
+def _empty_files(spark, path: str) -> list[str]:
+    """Paths of zero-length files at or below the path or glob (file statuses only)."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(path_glob)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(path) or []
-    return [st.getPath().toString() for st in statuses if st.isFile() and st.getLen() == 0]
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for top in fs.globStatus(where) or []:
+        listing = fs.listFiles(top.getPath(), True)
+        while listing.hasNext():
+            st = listing.next()
+            if st.getLen() == 0 and st.getPath().getName()[0] not in "._":  # as Spark's readers skip them
+                out.append(st.getPath().toString())
+    return out
 
 
-def hash_files(spark, path_glob: str) -> DataFrame:
-    """SHA-256 and byte size of every file under a path (binaryFile source).
+def hash_files(spark, path: str) -> DataFrame:
+    """SHA-256 and byte size of every file at or below a path or glob.
 
     Spark's file sources produce no row for a zero-length file, so those are
     taken from the file listing (metadata only) with the hash of no bytes.
     Files are hashed whole, one task per file; a file above the 2 GB a binary
-    value can hold must be hashed by rows instead (content_hash).
+    value can hold fails and must be hashed by rows instead (content_hash).
     """
-    files = (spark.read.format("binaryFile").load(path_glob)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
                   .select(F.col("path"), F.sha2(F.col("content"), 256).alias("blob_hash"),
                           F.col("length").alias("size_bytes")))
-    empty = _empty_files(spark, path_glob)
+    empty = _empty_files(spark, path)
     if empty:
         extra = spark.createDataFrame([(p, EMPTY_SHA256, 0) for p in empty],
                                       "path string, blob_hash string, size_bytes long")

@@ -10,7 +10,7 @@ otherwise.  Per-key "latest"/"first" choices are aggregates (``max_by`` /
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,8 @@ def _try_ts(text: str | None):
 def _ntz(ts: datetime):
     """Timestamp literal without time zone, built from ISO text so neither the
     Python process zone nor the session zone can shift it."""
+    if ts.tzinfo is not None:  # stored times are UTC
+        ts = ts.astimezone(timezone.utc)
     return F.lit(ts.replace(tzinfo=None).isoformat()).cast("timestamp_ntz")
 
 

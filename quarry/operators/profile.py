@@ -29,19 +29,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metric_name,
                                     normalized)
-from quarry.functions.numeric import exact_mean, mean_from_parts, mean_parts
+from quarry.functions.numeric import exact_mean, exact_units, mean_from_parts, mean_parts, unit_mean
 from quarry.plans.ordered import SLICE, join_on, prefix_sum, range_slices
 from quarry.sources.readers import file_order
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
 
-# Per-(group, column) tables up to this many rows are broadcast; the count is
-# read from the checkpointed table before the plan is built.
-BROADCAST_ROWS = 200_000
-
 PROFILE_COLUMNS = ["column", "ordinal", "dtype", "row_count", "null_count", "null_pct",
                    "unique_count", "mean", "std", "min", "max", "median", "q1", "q3",
                    "skewness", "kurtosis", "mode"]
@@ -191,21 +188,15 @@ def _value_num() -> Column:
     return F.coalesce(F.col("d"), F.col("l").cast("double"))
 
 
-# Values of fractional columns are summed exactly as integers in units of
-# 1e-9 when every value is such an integer (true for decimal-like data).
-SCALE_DIGITS = 9
-
-
 def _column_stats(vc_all: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
     """One aggregation over the value counts (NULL cells included) per
     (group, column): row and non-null counts, distinct count, mode, and for
     numeric columns min, max and the mean.
 
-    Mean: exact integer sum (value x count, in units of 1e-9 for fractional
-    columns) divided by the count as a decimal, rounded half-up at 6 digits;
-    it falls back to the floating-point mean when a value is not such an
-    integer or the sum overflows.  ``mu`` is the full-precision floating mean
-    used to centre the moments (the decimal quotient carries 6 digits only).
+    Mean: exact decimal sum of value x count (see ``functions.numeric``),
+    rounded half-up at 6 digits; one rule at every size.  ``mu`` is the
+    full-precision floating mean used to centre the moments (the decimal
+    quotient carries 6 digits only).
     """
     numeric = [s.ordinal for s in specs if s.numeric]
     nn = _not_null_cell()
@@ -214,30 +205,25 @@ def _column_stats(vc_all: DataFrame, specs: list[ColumnSpec], keys: list[str]) -
     w = F.col("cnt").cast("double")
     order_key = F.when(nn, F.struct((-F.col("cnt")).alias("nc"), v.alias("v"),
                                     F.col("s").alias("s"), F.col("l").alias("l")))
-    scale = float(10 ** SCALE_DIGITS)
     d = F.when(isnum, F.col("d"))
-    scaled = F.round(d * F.lit(scale)).try_cast("long")
-    ok = (F.abs(d) < 9.0e9) & ((scaled.cast("double") / F.lit(scale)) == d)
-    units = F.when(nn & isnum, F.when(d.isNull(), F.col("l")).when(ok, scaled))
+    times = F.col("cnt").cast("decimal(13,0)")
+    whole = F.when(nn & isnum & d.isNull(), exact_units(F.col("l"), True))
+    real = F.when(nn & isnum, exact_units(d))
     stats = vc_all.groupBy(*keys, "cidx").agg(
         F.sum("cnt").alias("row_count"),
         F.sum(F.when(nn, F.col("cnt")).otherwise(F.lit(0))).alias("n"),
         F.count(F.when(nn, F.lit(1))).alias("unique_count"),
         F.min_by(F.when(nn, _value_text(specs)), order_key).alias("mode"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.sum(w * v).alias("fsum"),
-        F.try_sum(F.try_multiply(units, F.col("cnt"))).alias("isum"),
-        F.count(units).alias("iok"), F.count(v).alias("nvals"),
-        F.max(F.when(nn & isnum, F.when(d.isNull(), F.lit(0)).otherwise(F.lit(SCALE_DIGITS))))
-         .alias("digits"))
-    exact_ok = (F.col("iok") == F.col("nvals")) & F.col("isum").isNotNull()
-    dmean = (F.col("isum").cast("decimal(38,0)")
-             / (F.col("n").cast("decimal(38,0)")
-                * F.pow(F.lit(10), F.col("digits")).cast("decimal(38,0)")))
+        F.try_sum(F.try_multiply(whole, times)).alias("wsum"), F.try_sum(F.try_multiply(real, times)).alias("rsum"),
+        F.count(whole).alias("wholes"), F.count(real).alias("reals"), F.count(v).alias("nvals"))
+    # a column holds whole numbers or reals, never both
+    dmean = (F.when(F.col("wholes") == F.col("nvals"), unit_mean(F.col("wsum"), F.col("n"), True))
+              .when(F.col("reals") == F.col("nvals"), unit_mean(F.col("rsum"), F.col("n"))))
     fmean = F.col("fsum") / F.col("n").cast("double")
     return stats.select(
         *keys, "cidx", "row_count", "n", "unique_count", "mode", "min", "max",
-        F.when(F.col("nvals") > 0, F.when(exact_ok, F.round(dmean, 6).cast("double"))
-               .otherwise(F.round(fmean, 6))).alias("mean"),
+        F.when(F.col("nvals") > 0, F.coalesce(F.round(dmean, 6).cast("double"), F.round(fmean, 6))).alias("mean"),
         F.when(F.col("nvals") > 0, fmean).alias("mu"))
 
 
@@ -364,7 +350,9 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
         # The per-(group, column) stats feed three consumers; checkpointed
         # once, and their row count is the size check for the broadcasts.
         stats = _column_stats(vc_all, specs, keys).checkpoint(eager=True)
-        small = (not keys) or stats.count() <= BROADCAST_ROWS
+        # Without group keys these tables have one row per column of the
+        # schema; with keys they grow with the data and are left to AQE.
+        small = not keys
         quant = _exact_quantiles(vc, stats, specs, keys, small)
         cm = _central_moments(vc, stats, specs, keys, small)
         # quant and cm hold one row per (group, column): broadcast behind the
@@ -533,6 +521,19 @@ def histogram(df: DataFrame, bins: int = 10, keys: list[str] | None = None) -> D
     return _histogram_of(cells, specs, keys, bins, df.sparkSession)
 
 
+def _comparable(c: Column, kind: T.DataType) -> Column:
+    """``c`` with every map in it as an array of its entries in key order."""
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_keys(c), lambda k: F.struct(
+            _comparable(k, kind.keyType).alias("key"), _comparable(F.element_at(c, k), kind.valueType).alias("value"))))
+        return entries
+    if isinstance(kind, T.ArrayType) and "map<" in kind.simpleString():
+        return F.transform(c, lambda x: _comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and "map<" in kind.simpleString():
+        return F.when(c.isNotNull(), F.struct(*[_comparable(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: number of rows equal to an earlier row (NULLs compare equal).
 
@@ -546,6 +547,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
        column - already partitioned by the hash, so no second shuffle - which
        removes any hash collision from the count.
     """
+    # maps can be neither hashed nor grouped: their entries in key order stand for them
+    df = df.select(*[_comparable(_q(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
     cols = [_q(c) for c in df.columns]
     keyed = df.select(F.xxhash64(*cols).alias("__h1"), F.hash(*cols).alias("__h2"), *cols)
     cand = (keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__c"))
@@ -604,6 +607,15 @@ def custom_metrics(df: DataFrame, order_by: str | list[str] | None = None,
                      F.round("max", 6).alias("max"), F.round("mean", 6).alias("mean")))
 
 
+def null_ratios(df: DataFrame) -> DataFrame:
+    """(column, null_count, null_pct) of every column: one aggregate over the scan (NaN counts as missing)."""
+    norm = normalized(df)
+    parts = [F.struct(F.lit(c).alias("column"), (F.count(F.lit(1)) - F.count(_q(c))).alias("null_count"),
+                      F.round(F.try_divide(F.count(F.lit(1)) - F.count(_q(c)), F.count(F.lit(1))) * 100, 2).alias("null_pct"))
+             for c in norm.columns]
+    return norm.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+
+
 def high_null_columns(profile: DataFrame, threshold: float = 5.0) -> DataFrame:
     """profile rows with null_pct > threshold."""
     return profile.where(F.col("null_pct") > threshold)

@@ -48,16 +48,19 @@ SLICE_BYTES = 64 << 20
 
 
 def slice_count(df: DataFrame) -> int:
-    """Number of range slices: about one per 64 MB of planned input, at least
-    the number of cores and at most ``spark.sql.shuffle.partitions``."""
+    """Number of range slices: one per 64 MB of the inputs' bytes, without an
+    upper cap, and at least the number of cores.  The inputs are the plan's
+    leaves (a join's own estimate is the product of its sides)."""
     spark = df.sparkSession
-    upper = shuffle_partitions(spark)
     try:
         cores = spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # no JVM-side plan access: use the configured count
-        return upper
-    return max(1, min(upper, max(cores, -(-size // SLICE_BYTES))))
+        return shuffle_partitions(spark)
+    if any(s >= 1 << 60 for s in sizes):  # a leaf of unknown size
+        return max(cores, shuffle_partitions(spark))
+    return max(cores, -(-sum(sizes) // SLICE_BYTES))
 
 
 def _ranged(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -93,7 +96,7 @@ def range_slices(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
                weight: str, out: str = "cum_before", parts: int | None = None,
-               broadcast_offsets: bool = True, presliced: bool = False) -> DataFrame:
+               broadcast_offsets: bool = False, presliced: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over the rows before each row of its group.
 
     Rows must be totally ordered within a group by ``order_cols`` (ties get an
@@ -115,8 +118,8 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(_PID, *group_cols,
                             F.coalesce(F.sum("__t").over(off_w), F.lit(0)).alias("__off"))
-    # offsets has at most P + #groups rows; callers with an unbounded number
-    # of groups pass broadcast_offsets=False after checking that count.
+    # offsets has at most P + #groups rows: a forced broadcast only where the
+    # caller knows that the number of groups is bounded.
     off_side = F.broadcast(offsets) if broadcast_offsets else offsets
     return (join_on(local, off_side, [_PID, *group_cols], "inner")
                  .withColumn(out, F.col("__off") + F.col("__local"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.metricql import metric_predicate, metric_predicate_sql, metrics_map
@@ -9,6 +11,7 @@ from quarry.functions.text import iso_sql
 from quarry.operators import cas
 from quarry.operators import lineage as L
 from quarry.plans.catalog import CATALOG_SQL, Catalog, with_catalog
+from quarry.session import scratch_dir
 from quarry.sources.tables import table
 
 METRIC_ONE = "accuracy > 0.5"
@@ -106,9 +109,13 @@ def q_verify_chain(spark, sf):
 
 
 def q_hash_files(spark, sf):
-    return (cas.hash_files(spark, f"{sf.rstrip('/')}/*.parquet")
-               .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-                       "blob_hash", "size_bytes"))
+    # one text file per supplier, in a folder of its own
+    folder = scratch_dir(spark, f"files-{uuid.uuid4().hex}")
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    return (cas.hash_files(spark, folder)
+               .select(F.regexp_extract("path", r"s_suppkey=([^/]+)/", 1).cast("long").alias("file_key"),
+                       "blob_hash", F.col("size_bytes").cast("long").alias("size_bytes")))
 
 
 # ---------------------------------------------------------------------------
@@ -230,15 +237,14 @@ def q_resolve_blob(spark, sf):
 
 def q_version_by_id(spark, sf):
     md = _cat(spark, sf).metadata
-    key = md.where(F.col("target_id") > 0).agg(F.max("id").alias("id"))
-    return md.join(key, "id").select("id", "target_id",
-                                     L.json_field("stats", "file_name").alias("file_name"))
+    key = md.where(F.col("target_id") > 0).agg(F.max("id")).first()[0]
+    return L.lookup(md, "id", key).select("id", "target_id", L.json_field("stats", "file_name").alias("file_name"))
 
 
 def q_commit_by_key(spark, sf):
     c = _cat(spark, sf).commits
-    key = c.agg(F.max("id").alias("id"))
-    return c.join(key, "id").select("id", "project_id", "author_id", "branch", "message")
+    key = c.agg(F.max("id")).first()[0]
+    return L.lookup(c, "id", key).select("id", "project_id", "author_id", "branch", "message")
 
 
 def q_commit_metadata_view(spark, sf):
@@ -604,6 +610,8 @@ def _rec(body: str, *names: str) -> str:
     return f"WITH RECURSIVE {ctes},\n{body}"
 
 
+ORACLE["hash_files"] = ("SELECT s_suppkey AS file_key, sha256(s_name || chr(10)) AS blob_hash, "
+                        "CAST(octet_length(encode(s_name)) + 1 AS BIGINT) AS size_bytes FROM supplier")
 ORACLE["commit_chain"] = _rec(CHAIN_SQL + "\nSELECT id, parent_hash, commit_hash FROM chain",
                               "commits", "tree_entries")
 ORACLE["verify_chain"] = _rec(CHAIN_SQL + """

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.clean import NA_TOKENS
 from quarry.operators import lineage as L
 from quarry.operators import summary as S
 from quarry.plans.catalog import Catalog, with_catalog
@@ -35,7 +36,16 @@ def q_load_dataset(spark, sf):
 def q_scan_csv(spark, sf):
     out = K.new_location(spark, "orders-csv")
     table(spark, sf, "orders").write.option("header", True).csv(out)
-    return R.load_dataset(spark, out, "csv")
+    return R.scan_csv(spark, out, times=True)
+
+
+def q_scan_csv_quoted(spark, sf):
+    # whole texts: commas, doubled quotes, line ends inside fields, missing-value tokens
+    out = K.new_location(spark, "documents-csv")
+    (table(spark, sf, "documents").withColumn("code", F.concat(F.col("n_chars").cast("string"), F.lit("d")))
+        .write.option("header", True).option("quoteAll", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))
+    return R.scan_csv(spark, out, multiline=True)
 
 
 def q_scan_json(spark, sf):
@@ -94,6 +104,7 @@ QUERIES = {
     "scan_parquet": q_scan_parquet,
     "load_dataset": q_load_dataset,
     "scan_csv": q_scan_csv,
+    "scan_csv_quoted": q_scan_csv_quoted,
     "scan_json": q_scan_json,
     "index_append": q_index_append,
     "audit_append": q_audit_append,
@@ -125,6 +136,9 @@ ORACLE = {
 WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'""",
     "load_dataset": f"SELECT {ORDER_COLS} FROM orders",
     "scan_csv": f"SELECT {ORDER_COLS} FROM orders",
+    "scan_csv_quoted": f"""
+SELECT doc_id, CASE WHEN text IN ({", ".join(f"'{t}'" for t in NA_TOKENS)}) THEN NULL ELSE text END AS text,
+       lang, source, n_chars, n_chars || 'd' AS code FROM documents""",
     "scan_json": f"SELECT {EVENT_COLS} FROM events",
     "index_append": f"""
 WITH prof AS ({profile_sql('lineitem', LINEITEM)})

@@ -54,10 +54,9 @@ def q_histogram(spark, sf):
 
 
 def q_duplicate_rows(spark, sf):
-    # Projection with repeats: (lang, source) pairs of the documents and the
-    # full rows of lineitem's flag/status/quantity.
-    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
-    return P.duplicate_rows(li)
+    # Whole rows; the large orders' lines come a second time.
+    li = table(spark, sf, "lineitem")
+    return P.duplicate_rows(li.unionAll(li.where("l_quantity > 45")))
 
 
 def q_custom_metrics(spark, sf):
@@ -77,11 +76,9 @@ def q_high_null_columns(spark, sf):
     li = table(spark, sf, "lineitem")
     # Missing values made from the data itself: zero discount / zero tax are
     # treated as unknown, which is what a NULLIF projection in the SQL does.
-    proj = li.select(F.nullif("l_discount", F.lit(0.0)).alias("l_discount"),
-                     F.nullif("l_tax", F.lit(0.0)).alias("l_tax"),
-                     "l_quantity")
-    return (P.high_null_columns(P.profile_table(proj))
-            .select("column", "null_count", "null_pct"))
+    li = (li.withColumn("l_discount", F.nullif("l_discount", F.lit(0.0)))
+            .withColumn("l_tax", F.nullif("l_tax", F.lit(0.0))))
+    return P.high_null_columns(P.null_ratios(li))
 
 
 def q_metric_column_select(spark, sf):
@@ -120,9 +117,9 @@ ORACLE = {
     "top_values": top_values_sql("orders", ORDERS),
     "mode": mode_sql("events", [c for c in EVENTS if c.name in ("user_id", "event_type", "value")]),
     "histogram": histogram_sql("lineitem", LINEITEM),
-    "duplicate_rows": ("SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, "
-                       "l_linestatus, l_quantity FROM lineitem)) AS BIGINT) AS duplicate_rows "
-                       "FROM lineitem"),
+    "duplicate_rows": ("WITH r AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 45) "
+                       "SELECT CAST((SELECT count(*) FROM r) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r)) AS BIGINT) "
+                       "AS duplicate_rows"),
     "custom_metrics": f"""
 SELECT metric, {R('latest', 6)} AS latest, {R('mx', 6)} AS max, mn AS mean FROM (
   SELECT 'score' AS metric, arg_max(value, event_id) FILTER (WHERE value IS NOT NULL) AS latest,

@@ -31,12 +31,13 @@ from quarry.session import scratch_dir
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType,
-                files_per_batch: int = 1) -> DataFrame:
-    """Streaming read of the files in ``folder`` matching ``file_glob``."""
-    return (spark.readStream.format("parquet").schema(schema)
-                 .option("pathGlobFilter", file_glob)
-                 .option("maxFilesPerTrigger", files_per_batch)
-                 .load(folder))
+                files_per_batch: int | None = None) -> DataFrame:
+    """Streaming read of the files in ``folder`` matching ``file_glob``; a batch
+    takes all waiting files unless ``files_per_batch`` bounds it."""
+    reader = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", file_glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(folder)
 
 
 def _run_available(writer, checkpoint: str):

@@ -73,3 +73,12 @@ def test_tree_hash_escapes_like_json_dumps(spark):
     e = spark.createDataFrame(entries, "tree_id int, name string, object_hash string")
     text = json.dumps({n: h for _, n, h in entries}, sort_keys=True)
     assert cas.tree_hash(e).collect()[0]["tree_hash"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_hash_files_below_folders(spark, tmp_folder):
+    os.makedirs(f"{tmp_folder}/sub/deep")
+    for name, data in (("empty.bin", b""), ("sub/none.bin", b""), ("sub/deep/one.bin", b"1")):
+        with open(f"{tmp_folder}/{name}", "wb") as f:
+            f.write(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["blob_hash"], r["size_bytes"]) for r in cas.hash_files(spark, tmp_folder).collect()}
+    assert got == {n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in (("empty.bin", b""), ("none.bin", b""), ("one.bin", b"1"))}

@@ -106,3 +106,14 @@ def test_unknown_project_and_missing_key_raise(spark):
     assert L.lookup(commits, "id", 2).count() == 1
     with pytest.raises(LookupError):
         L.lookup(commits, "id", 42)
+
+
+def test_zoned_bounds_and_booleans(spark):
+    from quarry.functions.metricql import metric_predicate
+
+    commits = spark.createDataFrame([(1, "m")], "id long, branch string").withColumn(
+        "created_at", F.lit("2024-01-01T00:30:00").cast("timestamp_ntz"))
+    assert L.filter_log(commits, since="2024-01-01T01:00:00+02:00").count() == 1
+    assert L.filter_log(commits, since="2024-01-01T01:00:00").count() == 0
+    rows = spark.createDataFrame([('{"k": true}',), ('{"k": "1d"}',), ('{"k": 1}',)], "m string")
+    assert rows.where(metric_predicate("k == 1", F.col("m"))).count() == 2

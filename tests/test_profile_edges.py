@@ -121,3 +121,9 @@ def test_nested_columns_profile_as_json_text(spark):
     p = {r["column"]: r for r in P.profile_table(e).collect()}
     assert p["embedding"]["dtype"] == "array<float>"
     assert p["embedding"]["unique_count"] > 0 and p["embedding"]["mean"] is None
+
+
+def test_duplicate_rows_with_maps(spark):
+    df = spark.sql(
+        "SELECT map('a', 1, 'b', 2) AS m, 1 AS i UNION ALL SELECT map('b', 2, 'a', 1), 1 UNION ALL SELECT NULL, 1 UNION ALL SELECT map('a', 1), 1")
+    assert P.duplicate_rows(df).first()[0] == 1

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -72,12 +73,14 @@ def test_grouped_profile_with_null_group_key(spark):
     assert got["a"]["median"] == 4.0 and got["a"]["row_count"] == 3
 
 
-def test_grouped_profile_same_with_shuffle_joins(spark, monkeypatch):
-    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    broadcast = sorted(tuple(r) for r in P.profile_by_group(li, ["l_returnflag"]).collect())
-    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
-    shuffled = sorted(tuple(r) for r in P.profile_by_group(li, ["l_returnflag"]).collect())
-    assert broadcast == shuffled
+def test_means_of_large_totals_use_one_rule(spark):
+    # totals of 1e11 and 2e19 units above what a long of 1e-9 units holds
+    df = spark.range(40).select((F.lit(5e9) + F.col("id") * 0.01).alias("x"), (F.lit(1e14) + F.col("id") * 10000 * 0.5).alias("y"),
+                                (F.lit(9 * 10 ** 17) + F.col("id")).alias("z"))
+    got = {r["column"]: r["mean"] for r in P.profile_table(df).collect()}
+    assert got == {"x": 5000000000.195, "y": 1e14 + 97500.0, "z": float(9 * 10 ** 17 + 19.5)}
+    from quarry.functions.numeric import exact_mean
+    assert df.agg(exact_mean(F.col("x"))).first()[0] == 5000000000.195
 
 
 def test_profile_document_histogram_matches_numpy(spark):

@@ -20,7 +20,8 @@ def test_csv_tokens_and_types(spark, tmp_folder):
     p = os.path.join(tmp_folder, "t.csv")
     with open(p, "w") as fh:
         fh.write("a,b,c,d,e\n1,1.5,True,x,2024-01-01 00:00:00\nNA,n/a,False,NULL,\n3,2,true,y,2024-01-02 10:00:00\n")
-    df = R.load_dataset(spark, p)
+    assert dict(R.load_dataset(spark, p).dtypes)["e"] == "string"  # times stay text unless asked for
+    df = R.scan_csv(spark, p, times=True)
     types = dict(df.dtypes)
     assert types == {"a": "bigint", "b": "double", "c": "boolean", "d": "string", "e": "timestamp_ntz"}
     rows = df.orderBy("e").collect()
@@ -90,3 +91,25 @@ def test_iso_text_is_zone_free(spark):
         assert [r[0] for r in df.select(iso(F.col("ts"))).collect()] == [v.isoformat() for v in vals]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_csv_quotes_suffixes_and_malformed_rows(spark, tmp_folder):
+    path = f"{tmp_folder}/q.csv"
+    with open(path, "w") as f:
+        f.write('a,b,c\n"x ""quoted"" word, x",10d,2020-01\n"two\nlines",20f,2020-02\n,NA,\n')
+    rows = [tuple(r) for r in R.scan_csv(spark, path, multiline=True).collect()]
+    assert rows == [('x "quoted" word, x', "10d", "2020-01"), ("two\nlines", "20f", "2020-02"), (None, None, None)]
+    for k, bad in enumerate(("1,2,3,4\n", '"open,2,3\n')):
+        with open(f"{tmp_folder}/bad{k}.csv", "w") as f:
+            f.write("a,b,c\n" + bad)
+        with pytest.raises(Exception, match="malformed CSV row"):
+            R.scan_csv(spark, f"{tmp_folder}/bad{k}.csv").collect()
+
+
+def test_json_folder_of_mixed_kinds_raises(spark, tmp_folder):
+    for name, text in (("a.json", '{"x": 1}\n{"x": 2}\n'), ("b.json", '[{"x": 3},\n {"x": 4}]')):
+        with open(f"{tmp_folder}/{name}", "w") as f:
+            f.write(text)
+    assert R.scan_json(spark, f"{tmp_folder}/a.json").count() == R.scan_json(spark, f"{tmp_folder}/b.json").count() == 2
+    with pytest.raises(ValueError, match="mixes"):
+        R.scan_json(spark, tmp_folder)
