@@ -120,6 +120,12 @@ def lookup(df: DataFrame, column: str, value) -> DataFrame:
     return hit
 
 
+def newest_records(records: DataFrame, by: str, time: str = "indexed_at", tie: str = "id") -> DataFrame:
+    """The newest record of each ``by`` (the larger ``tie`` among equal times): one aggregate, no window."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in records.columns])
+    return (records.groupBy(by).agg(F.max_by(whole, F.struct(time, tie)).alias("__r")).select("__r.*"))
+
+
 def parent_commits(commits: DataFrame) -> DataFrame:
     """The parent of a commit is the previous commit of its (project, branch)
     in (created_at, id) order; skew-safe lag."""

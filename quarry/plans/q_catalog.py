@@ -74,7 +74,8 @@ def q_first_occurrence(spark, sf):
 
 def q_dedup_blobs(spark, sf):
     cat = _cat(spark, sf)
-    registry = cat.blobs.where(F.col("origin") == "part")
+    # the registry holds the parts and some of the documents already
+    registry = cat.blobs.where((F.col("origin") == "part") | F.col("blob_hash").rlike("^[0-4]"))
     return (cas.dedup_blobs(_docs(spark, sf), registry)
                .select("blob_hash", F.col("first_seq").alias("first_doc_id"), "size_bytes", "copies"))
 
@@ -85,7 +86,9 @@ def q_dedup_savings(spark, sf):
 
 def q_is_duplicate_blob(spark, sf):
     cat = _cat(spark, sf)
-    batch = cat.tree_entries.select("id", F.col("object_hash").alias("blob_hash"))
+    # every seventh upload has new content
+    new = F.sha2(F.concat(F.col("object_hash"), F.lit("+")), 256)
+    batch = cat.tree_entries.select("id", F.when(F.col("id") % 7 == 0, new).otherwise(F.col("object_hash")).alias("blob_hash"))
     return cas.is_duplicate_blob(batch, cat.blobs).select("id", "blob_hash", "is_duplicate")
 
 
@@ -104,7 +107,10 @@ def q_commit_chain(spark, sf):
 
 def q_verify_chain(spark, sf):
     cb, chain = _chain(_cat(spark, sf))
-    stored = cb.join(chain, "id")
+    # some messages and parent pointers have been tampered with
+    stored = (cb.join(chain, "id")
+                .withColumn("message", F.when(F.col("id") % 11 == 0, F.concat("message", F.lit("!"))).otherwise(F.col("message")))
+                .withColumn("parent_hash", F.when(F.col("id") % 13 == 0, F.lit("forged")).otherwise(F.col("parent_hash"))))
     return cas.verify_chain(stored)
 
 
@@ -235,6 +241,15 @@ def q_resolve_blob(spark, sf):
     return L.resolve_blob(cat.metadata, cat.commits, cat.tree_entries)
 
 
+def q_newest_metadata(spark, sf):
+    # every third commit has been indexed again, a day later, under another name
+    md = _cat(spark, sf).metadata.where("target_id > 0").select("id", "target_id", L.json_field("stats", "file_name").alias("file_name"), "indexed_at")
+    again = md.where("target_id % 3 = 0").select(
+        (F.col("id") + 2000000000000).alias("id"), "target_id", F.concat(F.lit("again_"), "file_name").alias("file_name"),
+        (F.col("indexed_at") + F.expr("INTERVAL 1 DAY")).alias("indexed_at"))
+    return L.newest_records(md.unionByName(again), "target_id").select("id", "target_id", "file_name")
+
+
 def q_version_by_id(spark, sf):
     md = _cat(spark, sf).metadata
     key = md.where(F.col("target_id") > 0).agg(F.max("id")).first()[0]
@@ -383,6 +398,7 @@ QUERIES = {
     "metadata_in_project": q_metadata_in_project,
     "version_detail": q_version_detail,
     "resolve_blob": q_resolve_blob,
+    "newest_metadata": q_newest_metadata,
     "version_by_id": q_version_by_id,
     "commit_by_key": q_commit_by_key,
     "commit_metadata_view": q_commit_metadata_view,
@@ -457,7 +473,7 @@ SELECT seq AS doc_id, blob_hash, min(seq) OVER (PARTITION BY blob_hash) AS first
        seq > min(seq) OVER (PARTITION BY blob_hash) AS is_duplicate FROM ({DOCS_SQL})""",
     "dedup_blobs": with_catalog(f"""
 SELECT blob_hash, min(seq) AS first_doc_id, min(size_bytes) AS size_bytes, count(*) AS copies
-FROM ({DOCS_SQL}) d WHERE blob_hash NOT IN (SELECT blob_hash FROM blobs WHERE origin = 'part')
+FROM ({DOCS_SQL}) d WHERE blob_hash NOT IN (SELECT blob_hash FROM blobs WHERE origin = 'part' OR regexp_matches(blob_hash, '^[0-4]'))
 GROUP BY blob_hash""", "blobs"),
     "dedup_savings": f"""
 SELECT CAST(sum(n) AS BIGINT) AS uploads, count(*) AS distinct_blobs,
@@ -465,9 +481,9 @@ SELECT CAST(sum(n) AS BIGINT) AS uploads, count(*) AS distinct_blobs,
        CAST(sum(n * sz) - sum(sz) AS BIGINT) AS saved_bytes
 FROM (SELECT blob_hash, count(*) AS n, min(size_bytes) AS sz FROM ({DOCS_SQL}) GROUP BY blob_hash)""",
     "is_duplicate_blob": with_catalog("""
-SELECT e.id, e.object_hash AS blob_hash,
-       EXISTS (SELECT 1 FROM blobs b WHERE b.blob_hash = e.object_hash) AS is_duplicate
-FROM tree_entries e""", "tree_entries", "blobs"),
+SELECT e.id, e.blob_hash, EXISTS (SELECT 1 FROM blobs b WHERE b.blob_hash = e.blob_hash) AS is_duplicate
+FROM (SELECT id, CASE WHEN id % 7 = 0 THEN sha256(object_hash || '+') ELSE object_hash END AS blob_hash
+      FROM tree_entries) e""", "tree_entries", "blobs"),
     "tree_hash": with_catalog("""
 SELECT tree_id, sha256('{' || string_agg('"' || name || '": "' || object_hash || '"', ', ' ORDER BY name)
        || '}') AS tree_hash, count(*) AS entries FROM tree_entries GROUP BY tree_id""", "tree_entries"),
@@ -531,6 +547,10 @@ LEFT JOIN ({FIRST_ENTRY_SQL}) f ON f.tree_id = c.tree_id""", "metadata", "commit
 SELECT m.id, m.target_id, coalesce(f.blob_hash, CAST(m.target_id AS VARCHAR)) AS blob_hash
 FROM metadata m LEFT JOIN commits c ON m.target_id = c.id
 LEFT JOIN ({FIRST_ENTRY_SQL}) f ON f.tree_id = c.tree_id""", "metadata", "commits", "tree_entries"),
+    "newest_metadata": with_catalog("""
+SELECT id + CASE WHEN target_id % 3 = 0 THEN 2000000000000 ELSE 0 END AS id, target_id,
+       CASE WHEN target_id % 3 = 0 THEN 'again_' ELSE '' END || json_extract_string(stats, '$.file_name') AS file_name
+FROM metadata WHERE target_id > 0""", "metadata"),
     "version_by_id": with_catalog("""
 SELECT id, target_id, json_extract_string(stats, '$.file_name') AS file_name FROM metadata
 WHERE id = (SELECT max(id) FROM metadata WHERE target_id > 0)""", "metadata"),
@@ -615,10 +635,12 @@ ORACLE["hash_files"] = ("SELECT s_suppkey AS file_key, sha256(s_name || chr(10))
 ORACLE["commit_chain"] = _rec(CHAIN_SQL + "\nSELECT id, parent_hash, commit_hash FROM chain",
                               "commits", "tree_entries")
 ORACLE["verify_chain"] = _rec(CHAIN_SQL + """
-SELECT id, sha256(coalesce(parent_hash, '') || c2.message || c2.blob_hash) = commit_hash AS hash_ok,
-       parent_hash IS NOT DISTINCT FROM lag(commit_hash) OVER (
-           PARTITION BY chain.project_id, chain.branch ORDER BY chain.rn) AS parent_ok
-FROM chain JOIN c AS c2 USING (id)""", "commits", "tree_entries")
+SELECT id, sha256(coalesce(parent_hash, '') || message || blob_hash) = commit_hash AS hash_ok,
+       parent_hash IS NOT DISTINCT FROM lag(commit_hash) OVER (PARTITION BY project_id, branch ORDER BY rn) AS parent_ok
+FROM (SELECT id, chain.project_id, chain.branch, chain.rn, commit_hash, c2.blob_hash,
+             CASE WHEN id % 11 = 0 THEN c2.message || '!' ELSE c2.message END AS message,
+             CASE WHEN id % 13 = 0 THEN 'forged' ELSE parent_hash END AS parent_hash
+      FROM chain JOIN c AS c2 USING (id))""", "commits", "tree_entries")
 ORACLE["ancestry"] = _rec(f"""
 par AS ({PARENT_SQL}),
 heads AS (SELECT arg_max(id, (created_at, id)) AS id FROM commits GROUP BY project_id, branch),

@@ -54,8 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared folder chosen by the operator and is only
-    read here.  Only when the setting is absent (local tests) a fresh scratch
-    folder is created and set.
+    read here.  Only on a local master without the setting (tests) a fresh
+    scratch folder is created and set; elsewhere a missing setting raises.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -65,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
         if sc is not None:

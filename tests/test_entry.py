@@ -97,3 +97,22 @@ def test_pointer_jumping_ranks_and_ancestry(spark):
             want.add((h, v, d))
             v, d = parent[v], d + 1
     assert anc == want
+
+
+def test_cluster_without_shared_folder_raises():
+    import pytest
+
+    from quarry.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
