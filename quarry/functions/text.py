@@ -36,6 +36,21 @@ def fixed2(c: Column) -> Column:
     return F.format_string("%.2f", F.round(c, 2))
 
 
+def float_text(c: Column) -> Column:
+    """A double as Python prints it: plain from 1e-4 up to 1e16, else with a
+    two-digit signed exponent (Java switches to ``E`` at 1e7 and 1e-3)."""
+    text = c.cast("string")
+    size = F.abs(c.cast("double"))
+    plain = F.regexp_replace(c.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_extract(text, "^(-?[0-9.]+)E", 1), r"\.0$", "")
+    scientific = F.concat(digits, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                          F.format_string("%02d", F.abs(power)))
+    return (F.when(~text.contains("E"), text)
+             .when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific))
+
+
 def thousands(c: Column) -> Column:
     """Integer with ``,`` thousands separators (Python ``{:,}``)."""
     return F.format_number(c.cast("long"), 0)

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metric_name,
                                     normalized)
 from quarry.functions.numeric import exact_mean, exact_units, mean_from_parts, mean_parts, unit_mean
+from quarry.functions.text import float_text
 from quarry.plans.ordered import SLICE, join_on, prefix_sum, range_slices
 from quarry.sources.readers import file_order
 
@@ -178,7 +179,7 @@ def _not_null_cell() -> Column:
 def _value_text(specs: list[ColumnSpec]) -> Column:
     bools = [s.ordinal for s in specs if s.kind == "bool"]
     as_bool = bool_text(F.col("l") == 1)
-    txt = F.coalesce(F.col("s"), F.col("l").cast("string"), F.col("d").cast("string"))
+    txt = F.coalesce(F.col("s"), F.col("l").cast("string"), float_text(F.col("d")))
     if bools:
         txt = F.when(F.col("cidx").isin(bools), as_bool).otherwise(txt)
     return txt

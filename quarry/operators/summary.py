@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.clean import kind_of
-from quarry.functions.text import capitalize, fixed2, thousands
+from quarry.functions.text import capitalize, fixed2, float_text, thousands
 from quarry.operators import profile as P
 
 PREVIEW_COLUMNS = 5
@@ -86,7 +86,7 @@ def _metrics_text(df: DataFrame, order_by: str | None, external_metrics: str | N
         frames.append(P.custom_metrics(df, order_by).select(
             "metric", pos[F.col("metric")].cast("long").alias("dpos"),
             F.concat(F.lit(" Recorded '"), F.col("metric"), F.lit("' peak: "),
-                     F.col("max").cast("string"), F.lit(".")).alias("dt")))
+                     float_text(F.col("max")), F.lit(".")).alias("dt")))
     if external_metrics:
         entries = F.posexplode(F.map_entries(F.from_json(F.lit(external_metrics),
                                                          "map<string,string>")))
@@ -124,19 +124,17 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
     columns, metric peaks and supplied metric values).  ``prof``: an already
     computed :func:`profile_table` of ``df`` to reuse."""
     prof = prof if prof is not None else P.profile_table(df, exact=exact)
-    rows = prof.agg(F.max("row_count").alias("rows"))
-    num = prof.where(F.col("mean").isNotNull()).agg(
-        F.min_by(F.struct("column", "mean", "min", "max"), "ordinal").alias("nm"))
     # The top value of a categorical column is its mode (count desc, value asc).
     cats = [f.name for f in df.schema.fields
             if kind_of(f.dataType) in ("string", "bool")]
-    tops = (prof.where(F.col("column").isin(cats) & F.col("mode").isNotNull())
-                .agg(F.min_by(F.struct("column", F.col("mode").alias("value")), "ordinal")
-                     .alias("tv")))
-    nulls = prof.where(F.col("null_pct") > 5).agg(F.slice(F.array_sort(F.collect_list(F.struct(
-        "ordinal", F.concat("column", F.lit(" ("), F.col("null_pct").cast("string"), F.lit("%)"))
-        .alias("t")))), 1, 2).alias("hn"))
-    parts = [rows, num, tops, nulls]
+    top = F.col("column").isin(cats) & F.col("mode").isNotNull()
+    high = F.struct("ordinal", F.concat("column", F.lit(" ("), F.col("null_pct").cast("string"), F.lit("%)")).alias("t"))
+    # one aggregate over the profile, so that it is planned once
+    parts = [prof.agg(
+        F.max("row_count").alias("rows"),
+        F.min_by(F.struct("column", "mean", "min", "max"), F.when(F.col("mean").isNotNull(), F.col("ordinal"))).alias("nm"),
+        F.min_by(F.struct("column", F.col("mode").alias("value")), F.when(top, F.col("ordinal"))).alias("tv"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("null_pct") > 5, high))), 1, 2).alias("hn"))]
     metrics_txt = F.lit("")
     mt = _metrics_text(df, order_by, external_metrics)
     if mt is not None:
@@ -145,8 +143,8 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
     one = _one_row_join(parts)
     num_txt = F.when(F.col("nm").isNotNull(), F.concat(
         F.lit(" Notably, '"), F.col("nm.column"), F.lit("' averages "), fixed2(F.col("nm.mean")),
-        F.lit(" (range: "), F.col("nm.min").cast("string"), F.lit(" to "),
-        F.col("nm.max").cast("string"), F.lit(")."))).otherwise(F.lit(""))
+        F.lit(" (range: "), float_text(F.col("nm.min")), F.lit(" to "),
+        float_text(F.col("nm.max")), F.lit(")."))).otherwise(F.lit(""))
     cat_txt = F.when(F.col("tv").isNotNull(), F.concat(
         F.lit(" The most frequent '"), F.col("tv.column"), F.lit("' is '"), F.col("tv.value"),
         F.lit("'."))).otherwise(F.lit(""))

@@ -107,3 +107,10 @@ def test_group_keys_may_share_internal_names(spark):
     assert got[("a", 1)]["median"] == 2.0 and got[("b", 2)]["row_count"] == 1
     assert P.histogram(df, keys=["s", "cnt"]).columns[:2] == ["s", "cnt"]
     assert P.top_values(df.select("s", "cnt"), keys=["cnt"]).count() == 2
+
+
+def test_float_text_is_python_text(spark):
+    from quarry.functions.text import float_text
+    vals = [0.0, 1.0, -2.5, 29000000.0, 4e-4, 1e-5, -1.25e-7, 1e16, 9.5e15, 1.5e300, 123456789.125]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "x double").select(float_text(F.col("x"))).collect()]
+    assert got == [str(v) for v in vals]
