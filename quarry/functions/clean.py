@@ -73,7 +73,7 @@ def column_specs(df: DataFrame) -> list[ColumnSpec]:
 
 
 def normalized(df: DataFrame) -> DataFrame:
-    """NaN -> NULL on floating columns, decimals -> double, nested -> JSON text.
+    """NaN -> NULL on floating columns, nested -> JSON text; decimals stay exact.
 
     After this every missing value is a NULL, which is what the profile
     counts as missing (a NaN is missing for the reference too).
@@ -84,8 +84,6 @@ def normalized(df: DataFrame) -> DataFrame:
         dt = f.dataType
         if isinstance(dt, FRACTIONAL):
             c = F.when(F.isnan(c), F.lit(None).cast(dt)).otherwise(c)
-        elif isinstance(dt, T.DecimalType):
-            c = c.cast("double")
         elif isinstance(dt, NESTED):
             c = F.to_json(c)
         out.append(c.alias(f.name))

@@ -135,7 +135,10 @@ def _sketch_pass(norm: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> D
 # --------------------------------------------------------------------------
 
 def _cell(s: ColumnSpec) -> Column:
-    """Typed slot of one cell: integral/bool -> l, fractional -> d, else s."""
+    """Typed slot of one cell: integral/bool -> l, fractional -> d, else s.
+
+    A decimal has its value in d and its exact text in s, so that distinct
+    values beyond double precision stay distinct."""
     c = _q(s.name)
     null_l = F.lit(None).cast("long")
     null_d = F.lit(None).cast("double")
@@ -145,7 +148,7 @@ def _cell(s: ColumnSpec) -> Column:
     elif s.kind == "bool":
         parts = (c.cast("int").cast("long"), null_d, null_s)
     elif s.kind == "fractional":
-        parts = (null_l, c.cast("double"), null_s)
+        parts = (null_l, c.cast("double"), c.cast("string") if s.dtype.startswith("decimal") else null_s)
     else:
         parts = (null_l, null_d, c.cast("string"))
     return F.struct(F.lit(s.ordinal).alias("cidx"), parts[0].alias("l"),

@@ -127,3 +127,11 @@ def test_duplicate_rows_with_maps(spark):
     df = spark.sql(
         "SELECT map('a', 1, 'b', 2) AS m, 1 AS i UNION ALL SELECT map('b', 2, 'a', 1), 1 UNION ALL SELECT NULL, 1 UNION ALL SELECT map('a', 1), 1")
     assert P.duplicate_rows(df).first()[0] == 1
+
+
+def test_decimals_beyond_double_precision_stay_distinct(spark):
+    df = spark.sql("SELECT CAST(x AS DECIMAL(38,2)) AS d FROM VALUES ('100000000000000000000.01'), ('100000000000000000000.02'), "
+                   "('100000000000000000000.02'), (NULL) AS t(x)")
+    r = P.profile_table(df).first()
+    assert (r["unique_count"], r["null_count"], r["mode"]) == (2, 1, "100000000000000000000.02")
+    assert P.high_null_columns(P.null_ratios(df)).first()["null_pct"] == 25.0
