@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 # The split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000  # pre-tokens in each of the two generations that a worker remembers
+CACHE = 150_000  # pre-tokens in each of the two generations that a worker remembers
 
 
 def byte_symbols() -> list[str]:

@@ -91,21 +91,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, folds:
             .repartition(1).sortWithinPartitions("h", "doc_id").select("text", "toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kept = Ftrl(), []
-        bias = np.array([BIAS])
+        model, kept = Ftrl(), []  # kept: slots of a piece's texts in one array, their bounds and labels
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, piece in pieces(*utf8_column(batch.column(0)), lower=True):
                 doc, slot = feature_slots(piece)
-                pairs = np.unique(doc << BITS | slot)
+                pairs = np.unique(np.concatenate([doc << BITS | slot, np.arange(b - a) << BITS | BIAS]))
                 ends = np.searchsorted(pairs, np.arange(b - a + 1) << BITS)
-                pairs &= (1 << BITS) - 1
-                for k in range(b - a):
-                    at = np.concatenate([bias, pairs[ends[k]: ends[k + 1]]])
-                    kept.append((at.astype(np.int32), int(label[a + k])))
+                kept.append(((pairs & ((1 << BITS) - 1)).astype(np.int32), ends, label[a:b].astype(int)))
         for _ in range(EPOCHS):
-            for at, y in kept:
-                model.learn(at, y)
+            for slots, ends, labels_here in kept:
+                for k, y in enumerate(labels_here):
+                    model.learn(slots[ends[k]: ends[k + 1]], int(y))
         w = model.weights(np.arange(1 << BITS))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], ["slot", "weight"])
