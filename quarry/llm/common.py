@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,10 @@ def release(spark: SparkSession) -> None:
     The cleaner follows the driver's garbage collector, which may otherwise
     not run before the next large shuffle is written.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the listener queue still held the first time goes the second time
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
