@@ -2,7 +2,9 @@
 
 Both sides are normalised (A-Z lower-cased, white space collapsed).  Each
 benchmark item becomes one pattern, or several overlapping windows of
-``WINDOW`` bytes if it is longer.  A region of a document that matches a
+``WINDOW`` bytes at a stride of ``STRIDE`` if it is longer, so a passage is
+found from any WINDOW + STRIDE - 1 bytes of it on, however it is clipped.  A
+region of a document that matches a
 pattern of length m with at most e = m * ``EDITS`` edits shares at least
 m + 1 - q (1 + e) q-grams with it, all on diagonals within e of each other.
 Shared q-grams are counted in overlapping diagonal bands; bands that reach the
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import LOWER, U64, _SEPARATOR, mix, read, slices, utf8_column
 
-Q = 12
-EDITS = 0.05
-WINDOW, STRIDE = 160, 80
+Q, SHORT = 9, 4
+EDITS = 0.09
+WINDOW, STRIDE = 80, 20
 LEAST = 24
 BLOCK = 4 << 20
 BITMAP = 22
@@ -46,7 +48,7 @@ def normalise(text: str | None) -> bytes:
 def patterns_of(text: bytes) -> list[bytes]:
     if len(text) < LEAST:
         return []
-    if len(text) <= WINDOW + STRIDE:
+    if len(text) <= WINDOW:
         return [text]
     starts = [*range(0, len(text) - WINDOW, STRIDE), len(text) - WINDOW]
     return [text[s: s + WINDOW] for s in starts]
@@ -64,7 +66,7 @@ def _grams(buf: np.ndarray) -> np.ndarray:
         return np.zeros(0, U64)
     data = np.ascontiguousarray(buf)
     eight = np.ndarray((n,), "<u8", data, 0, (1,))
-    four = np.ndarray((n,), "<u4", data, 8, (1,)).astype(U64)
+    four = np.ndarray((n,), "<u4", data, Q - 4, (1,)).astype(U64)
     return mix(eight * U64(0x9E3779B97F4A7C15) + four * U64(0xC2B2AE3D27D4EB4F))
 
 
@@ -76,8 +78,8 @@ class Index:
         self.patterns = [p for _, t in items for p in patterns_of(t)]
         grams = [_grams(np.frombuffer(p, np.uint8)) for p in self.patterns]
         code = np.concatenate(grams) if grams else np.zeros(0, U64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
         order = np.argsort(code, kind="stable")
         self.code, self.owner, self.place = code[order], owner[order], place[order]
         self.bitmap = np.zeros(1 << BITMAP, bool)
@@ -116,7 +118,7 @@ class Index:
         fan = np.searchsorted(self.code, codes, "right") - first
         skip = np.repeat(np.cumsum(fan) - fan, fan)
         post = np.repeat(first, fan) + np.arange(int(fan.sum())) - skip
-        owner, diagonal = self.owner[post], np.repeat(at, fan) - self.place[post]
+        owner, diagonal = self.owner[post].astype(np.int64), np.repeat(at, fan) - self.place[post]
         # overlapping bands: [k, k + 2) * band, so every run of `band` diagonals lies in one
         k = diagonal // self.band + self.reach
         key = np.concatenate([owner * (1 << 40) + k, owner * (1 << 40) + k - 1])
@@ -139,6 +141,10 @@ def aligned(pattern: bytes, text: np.ndarray, low: int, high: int, edits: int) -
         return True
     if not edits or not part:
         return False
+    # the lemma again with short q-grams, over the stretch: an edit spoils at most SHORT of the pattern's
+    short = {part[k: k + SHORT] for k in range(len(part) - SHORT + 1)}
+    if sum(pattern[k: k + SHORT] in short for k in range(len(pattern) - SHORT + 1)) < len(pattern) + 1 - SHORT * (1 + edits):
+        return False
     low, width = low - edits - a, high - low + 2 * edits + 1
     # row[j]: least edits of pattern[:i] ending on diagonal low + j; starting anywhere is free
     row = [0 if 0 <= low + j <= len(part) else edits + 1 for j in range(width)]

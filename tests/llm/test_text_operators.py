@@ -263,6 +263,27 @@ def test_decontamination(spark):
     assert got == want
 
 
+def test_decontamination_of_clipped_and_edited_passages(spark):
+    from quarry.llm.decontaminate import contaminated_items
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))[:n].strip()
+    items = {i: text(n) for i, n in enumerate((118, 200, 240, 300, 394))}
+    clipped = {0: [(0, 112), (6, 118)], 1: [(0, 189), (60, 160)], 2: [(13, 240), (31, 130)], 3: [(0, 222), (47, 269)], 4: [(100, 322), (295, 394)]}
+    rows, want = [], {}
+    for i, cuts in clipped.items():
+        rows += [(len(rows) + k, f"{text(50)} {items[i][a:b]} {text(50)}") for k, (a, b) in enumerate(cuts)]
+        want |= {r[0]: [i] for r in rows[-len(cuts):]}
+    for i in range(1, 5):  # one word in ten replaced
+        want[len(rows)] = [i]
+        rows.append((len(rows), f"{text(50)} {' '.join('zzzzz' if k % 10 == 5 else w for k, w in enumerate(items[i].split()))} {text(50)}"))
+    rows += [(100, text(2000)), (101, items[4][:60])]
+    want |= {100: [], 101: []}
+    got = contaminated_items(frame(spark, rows), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["_items"] for r in got} == want
+
+
 def test_pages(spark):
     from quarry.llm.html_text import common_lines, extract_text
 
