@@ -307,6 +307,20 @@ def test_pages(spark):
         assert len(common_lines(a, b)) == longest(a, b)
 
 
+def test_pages_at_partition_edges(spark, monkeypatch):
+    from quarry.llm import html_text
+
+    page = lambda k, h: f"<div>Menu of {h}</div><div>Text {k} of {h}</div><div>Imprint of {h}</div>"
+    rows = [(k, f"http://{h}.x/{k:03}", page(k, h)) for k, h in enumerate("a" * 10 + "b" + "c" * 10)]
+    rows += [(100 + k, f"http://c.x/copy{k}", page("copied", "c")) for k in range(6)] + [(200, "http://c.x/d", page("last", "c"))]
+    lines = {i: re.findall("<div>(.*?)</div>", p) for i, _, p in rows}
+    want = {i: "\n\n".join(x) if i == 10 else x[1] for i, x in lines.items()}  # page 10 is alone on its host
+    frame_ = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1 << 20, 200, 60, 20):  # one partition, some, about one page each, more partitions than pages
+        monkeypatch.setattr(html_text, "PARTITION_BYTES", size)
+        assert {r["page_id"]: r["text"] for r in html_text.extract_text(frame_).collect()} == want
+
+
 def test_embeddings(spark):
     from quarry.llm.embedding_dedup import embedding_duplicates
 
