@@ -321,6 +321,33 @@ def test_pages_at_partition_edges(spark, monkeypatch):
         assert {r["page_id"]: r["text"] for r in html_text.extract_text(frame_).collect()} == want
 
 
+def test_near_copied_pages_keep_their_text(spark, monkeypatch):
+    from quarry.llm import html_text
+
+    div = lambda *x: "".join(f"<div>{t}</div>" for t in x)
+    body = lambda k: [f"Paragraph {j} of text {k} " + "tells something new " * 4 + f"{k}." for j in range(6)]
+    menu = [f"Entry {j}" for j in range(20)]
+    rows, want = [], {}
+
+    def add(host, name, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}.x/{name}", div(*menu, *text, "Imprint")))
+    for k in range(5):
+        add("a", f"a{k}", body(k))
+    for k in range(12):  # near copies: one line differs
+        add("a", f"m{k:02}", [f"Date {k}", *body("m")])
+    for k in range(5):
+        add("a", f"z{k}", body(10 + k))
+    for k in range(12):  # nothing but near copies on a host
+        add("b", f"{k:02}", [f"Date {k}", *body("b")])
+        want[len(rows) - 1] = [*menu, *want[len(rows) - 1], "Imprint"]
+    want = {i: "\n\n".join(t.strip() for t in x) for i, x in want.items()}
+    frame_ = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1 << 20, 3000, 1000):
+        monkeypatch.setattr(html_text, "PARTITION_BYTES", size)
+        assert {r["page_id"]: r["text"] for r in html_text.extract_text(frame_).collect()} == want
+
+
 def test_embeddings(spark):
     from quarry.llm.embedding_dedup import embedding_duplicates
 
