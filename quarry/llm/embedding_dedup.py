@@ -11,8 +11,11 @@ a batch run in step, so that NumPy does the distance work.
 
 Every shard is queried by the representatives of every shard of its label, a
 pair of shards a task.  A brute-force audit over a stated sample of the
-queries measures the recall of the links; while it is below ``AUDIT`` the beam
-is doubled, up to the shard's size, where the search is exhaustive.  A link
+vectors counts the links between different representatives that a task should
+have found and did find.  Both are pooled over all shards of a label, and labels
+whose recall is below ``AUDIT`` run again with a beam twice as wide, up to the
+shard's size, where the search is exhaustive.  Without a sampled link the recall
+is 1.  The recall of each round is logged.  A link
 needs a cosine of at least ``least`` in double precision.  Tasks return, for
 each representative, the number of vectors linked to it, and a spanning forest
 of the links, so no list of pairs leaves a task.
@@ -25,6 +28,8 @@ returned, unlinked and kept; extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -167,20 +172,8 @@ class Graph:
         return self._beam(q, at, 0, width)[0]
 
 
-def _links(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(query, node) pairs with cosine >= least, the audited recall and the beam used."""
-    sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT_QUERIES)).astype(int))
-    truth = (q[sample] @ graph.x.T) >= least
-    width = BEAM
-    while True:
-        got = graph.search(q[sample], width)
-        hit = np.zeros_like(truth)
-        hit[np.arange(len(sample))[:, None], np.maximum(got, 0)] |= got >= 0
-        recall = (hit & truth).sum() / max(1, truth.sum())
-        full = (truth.sum(axis=1) >= width).any()
-        if width >= len(graph.x) or recall >= AUDIT and not full:
-            break
-        width *= 2
+def _links(graph: Graph, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs with cosine >= least among the ``width`` best nodes found."""
     one, two = [], []
     step = max(1, min(1024, (1 << 21) // max(1, width)))
     for a in range(0, len(q), step):
@@ -195,11 +188,28 @@ def _links(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
             one.append(a + todo[r])
             two.append(ids[r, c])
             todo, w = todo[more], 2 * w
-    return np.concatenate(one), np.concatenate(two), float(recall), width
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _audit(xa: np.ndarray, xb: np.ndarray, within: bool, pairs: np.ndarray, least: float) -> tuple[int, int]:
+    """Links of a sample of both sides that are among ``pairs`` (row * len(xb) + column), and how many there are."""
+    n, true = len(xb), []
+    for side, x in ((0, xa), (1, xb))[: 1 if within else 2]:
+        sample = np.unique(np.linspace(0, len(x) - 1, min(len(x), AUDIT_QUERIES)).astype(int))
+        # a little above the bound, where the order of summation does not decide
+        cosines = xa[sample] @ xb.T if side == 0 else xa @ xb[sample].T
+        r, c = np.nonzero(cosines >= least + 1e-12)
+        true.append(sample[r] * n + c if side == 0 else r * n + sample[c])
+    codes = np.concatenate(true)
+    if within:
+        r, c = codes // n, codes % n
+        codes = (np.minimum(r, c) * n + np.maximum(r, c))[r != c]
+    codes = np.unique(codes)
+    return int(np.isin(codes, pairs).sum()), len(codes)
 
 
-def _pair_task(least: float):
-    """Links between two shards (or within one): counts per representative and a spanning forest."""
+def _pair_task(least: float, width: int):
+    """Links between two shards (or within one): counts per representative, a spanning forest and the audit."""
     def run(table):
         out: dict[str, list] = {"rep": [], "linked": [], "u": [], "v": []}
         r = table.to_pylist()[0]
@@ -207,16 +217,17 @@ def _pair_task(least: float):
         two = (np.frombuffer(r["reps_b"], np.int64), np.frombuffer(r["copies_b"], np.int64), np.frombuffer(r["x_b"], np.float64))
         xa, xb = one[2].reshape(len(one[0]), -1), two[2].reshape(len(two[0]), -1)
         if r["a"] == r["b"]:
-            p, q, recall, _ = _links(Graph(xa), xa, least)
+            p, q = _links(Graph(xa), xa, least, width)
             p, q = np.concatenate([p, q]), np.concatenate([q, p])
             keep = p < q
             pairs = np.unique(p[keep] * len(xa) + q[keep])
             p, q = pairs // len(xa), pairs % len(xa)
         else:
-            p1, q1, r1, _ = _links(Graph(xb), xa, least)
-            q2, p2, r2, _ = _links(Graph(xa), xb, least)
+            p1, q1 = _links(Graph(xb), xa, least, width)
+            q2, p2 = _links(Graph(xa), xb, least, width)
             pairs = np.unique(np.concatenate([p1 * len(xb) + q1, p2 * len(xb) + q2]))
             p, q = pairs // len(xb), pairs % len(xb)
+        hits, truth = _audit(xa, xb, r["a"] == r["b"], pairs, least)
         left, right = one[0][p], two[0][q]
         nodes = np.concatenate([one[0], two[0]])
         extra = np.concatenate([np.bincount(p, weights=two[1][q], minlength=len(one[0])), np.bincount(q, weights=one[1][p], minlength=len(two[0]))]).astype(np.int64)
@@ -234,14 +245,39 @@ def _pair_task(least: float):
                 parent[max(a, b)] = min(a, b)
                 forest.append((u, v))
         k = len(some)
-        out["rep"] = [*nodes[some].tolist(), *[None] * len(forest)]
-        out["linked"] = [*extra[some].tolist(), *[None] * len(forest)]
-        out["u"] = [*[None] * k, *[u for u, _ in forest]]
-        out["v"] = [*[None] * k, *[v for _, v in forest]]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
+        out["rep"] = [*nodes[some].tolist(), *[None] * (len(forest) + 1)]
+        out["linked"] = [*extra[some].tolist(), *[None] * (len(forest) + 1)]
+        out["u"] = [*[None] * k, *[u for u, _ in forest], None]
+        out["v"] = [*[None] * k, *[v for _, v in forest], None]
+        for c, x in (("hits", hits), ("truth", truth), ("nodes", max(len(xa), len(xb)))):
+            out[c] = [*[None] * (k + len(forest)), x]
+        rows = k + len(forest) + 1
+        return pa.table({"label": pa.array([r["label"]] * rows, pa.string()), "size": pa.array([r["size"]] * rows, pa.int32()),
+                         **{c: pa.array(x, pa.int64()) for c, x in out.items()}})
     return run
 
 
+def _found(pairs: DataFrame, least: float) -> DataFrame:
+    """Rows of ``_pair_task`` for all pairs of shards, each label with the first beam whose pooled recall is enough."""
+    width, whole = BEAM, None
+    while True:
+        found = cut(pairs.groupBy("label", "size", "a", "b").applyInArrow(
+            _pair_task(least, width), "label string, size int, rep long, linked long, u long, v long, hits long, truth long, nodes long"))
+        audit = cut(found.where("truth is not null").groupBy("label", "size")
+                    .agg(F.sum("hits").alias("hits"), F.sum("truth").alias("truth"), F.max("nodes").alias("nodes"))
+                    .withColumn("recall", F.when(F.col("truth") > 0, F.col("hits") / F.col("truth")).otherwise(1.0)))
+        bad = audit.where((F.col("recall") < AUDIT) & (F.col("nodes") > width)).select("label", "size")
+        t = audit.agg(F.sum("hits").alias("hits"), F.sum("truth").alias("truth"), F.min("recall").alias("least")).first()
+        again = bad.count()
+        logging.getLogger(__name__).info("beam %d: %s of %s sampled links found, least recall of a label %s, %d labels again",
+                                         width, t["hits"], t["truth"], t["least"], again)
+        good = found.join(bad, ["label", "size"], "left_anti") if again else found
+        whole = good if whole is None else whole.unionByName(good)
+        if not again:
+            return whole
+        pairs, width = pairs.join(bad, ["label", "size"], "left_semi"), 2 * width
+
+
 def _shard_rows(table):
     """One row of packed arrays for a shard."""
     x = np.array(table["unit"].to_pylist(), np.float64)
@@ -275,7 +311,7 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str
     one = shards.select("label", "size", F.col("shard").alias("a"), F.col("reps").alias("reps_a"), F.col("copies").alias("copies_a"), F.col("x").alias("x_a"))
     two = shards.select("label", "size", F.col("shard").alias("b"), F.col("reps").alias("reps_b"), F.col("copies").alias("copies_b"), F.col("x").alias("x_b"))
     pairs = one.join(two, ["label", "size"]).where("a <= b")
-    found = cut(pairs.groupBy("label", "size", "a", "b").applyInArrow(_pair_task(least), "rep long, linked long, u long, v long"))
+    found = _found(pairs, least)
     linked = found.where("rep is not null").groupBy("rep").agg(F.sum("linked").alias("linked"))
     comps = connected_components(found.where("u is not null").select("u", "v"))
     by_class = cut(classes.select("label", "key", "key2", "rep", "copies").join(linked, "rep", "left")

@@ -365,6 +365,30 @@ def test_embeddings(spark):
     assert embedding_duplicates(frame_.limit(0)).count() == 0
 
 
+def test_embeddings_in_several_shards(spark, monkeypatch, caplog):
+    from quarry.llm import embedding_dedup as e
+
+    monkeypatch.setattr(e, "SHARD", 100)
+    rng = np.random.Generator(np.random.PCG64(6))
+    x = np.repeat(rng.standard_normal((150, 16)), 2, axis=0)
+    x[1::2] += 0.1 * rng.standard_normal((150, 16))
+    x = np.concatenate([x, rng.standard_normal((300, 16))])
+    rows = [(i, v.tolist(), int(i >= 300)) for i, v in enumerate(x)]  # label 1 has no links
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = [(a, b) for a, b in itertools.combinations(range(600), 2) if (a < 300) == (b < 300) and unit[a] @ unit[b] >= 0.98]
+    assert links and all(b < 300 for _, b in links)
+    comp, n = groups(range(600), links), collections.Counter(i for p in links for i in p)
+    with caplog.at_level("INFO", e.__name__):
+        got = sorted(tuple(r) for r in e.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted((i, n[i], comp[i], comp[i] == i) for i in comp)
+    assert [m for m in caplog.messages if m.startswith("beam")][-1].endswith(" 0 labels again")
+    # a vector's own row is no link, a missed link counts, and no link at all asks for no wider beam
+    two = unit[[links[0][0], links[0][1], 400]]
+    assert e._audit(two, two, True, np.array([1]), 0.98) == (1, 1) and e._audit(two, two, True, np.zeros(0, int), 0.98) == (0, 1)
+    assert e._audit(unit[300:400], unit[400:], False, np.zeros(0, int), 0.98) == (0, 0)
+    assert not [m for m in caplog.messages if m.startswith("beam 128")]
+
+
 def test_pipeline_stages(spark, rows):
     import corpus_pipeline as pipeline
 
