@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, embedding_dedup, html_text, minhash, ngram_lm, pii, sharding, substring_dedup, token_ids, toxicity
+from quarry.llm import bpe, decontaminate, embedding_dedup, html_text, minhash, ngram_lm, pii, sharding, spelling, substring_dedup, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_lm": ngram_lm.op9_ngram_lm,
     "op10_minhash": minhash.op10_minhash,
     "op11_sharding": sharding.op11_sharding,
+    "op12_spelling": spelling.op12_spelling,
 }
 ORACLE: dict[str, str] = {}
