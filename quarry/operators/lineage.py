@@ -229,7 +229,10 @@ def ancestry_by_pointers(edges: DataFrame, of: DataFrame) -> DataFrame:
 def state_at(commits: DataFrame, entries: DataFrame, as_of: str, branch: str | None = None) -> DataFrame:
     """For every (project, branch, file name) the object it had as of ``as_of``:
     the entry of the newest commit at or before that time (as-of by max_by)."""
-    ts = _ntz(_try_ts(as_of))
+    at = _try_ts(as_of)
+    if at is None:
+        raise ValueError(f"cannot read the time {as_of!r}")
+    ts = _ntz(at)
     c = commits.where(F.col("created_at") <= ts)
     if branch is not None:
         c = c.where(F.col("branch") == branch)

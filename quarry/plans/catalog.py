@@ -41,6 +41,7 @@ from quarry.sources.tables import table
 
 PART_PREFIX = "part:"
 PART_SIZE_UNIT = 100000
+SHIPPED_BEFORE = "1995-06-01"
 
 
 def _file_type_of_status(c):
@@ -88,7 +89,15 @@ class Catalog:
 
     @property
     def tree_entries(self) -> DataFrame:
-        li = self._t("lineitem")
+        return self._entries(self._t("lineitem"))
+
+    @property
+    def shipped_entries(self) -> DataFrame:
+        """The entries of lines shipped before ``SHIPPED_BEFORE``: the ones still referenced when blobs are collected."""
+        return self._entries(self._t("lineitem").where(F.col("l_shipdate") < F.lit(SHIPPED_BEFORE).cast("timestamp_ntz")))
+
+    @staticmethod
+    def _entries(li: DataFrame) -> DataFrame:
         ext = (F.when(F.min("l_returnflag") == "A", F.lit(".csv"))
                 .when(F.min("l_returnflag") == "R", F.lit(".json"))
                 .when(F.min("l_linestatus") == "O", F.lit(".parquet"))
@@ -178,6 +187,15 @@ class Catalog:
 # DuckDB twins (CTE bodies)
 # ---------------------------------------------------------------------------
 
+def _entries_sql(where: str = "") -> str:
+    return f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS tree_id,
+        'line_' || CAST(l_linenumber AS VARCHAR) ||
+        CASE WHEN min(l_returnflag) = 'A' THEN '.csv' WHEN min(l_returnflag) = 'R' THEN '.json'
+             WHEN min(l_linestatus) = 'O' THEN '.parquet' ELSE '.txt' END AS name,
+        'file' AS mode, sha256('{PART_PREFIX}' || CAST(min(l_partkey) AS VARCHAR)) AS object_hash
+        FROM lineitem {where} GROUP BY l_orderkey, l_linenumber"""
+
+
 CATALOG_SQL = {
     "users": """SELECT c_custkey AS id, c_name AS username,
         lower(replace(c_name, '#', '_')) || '@example.org' AS email,
@@ -189,12 +207,8 @@ CATALOG_SQL = {
         o_orderpriority AS branch, 'order ' || CAST(o_orderkey AS VARCHAR) AS message,
         o_orderdate AS created_at, o_orderkey AS tree_id
         FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "tree_entries": f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS tree_id,
-        'line_' || CAST(l_linenumber AS VARCHAR) ||
-        CASE WHEN min(l_returnflag) = 'A' THEN '.csv' WHEN min(l_returnflag) = 'R' THEN '.json'
-             WHEN min(l_linestatus) = 'O' THEN '.parquet' ELSE '.txt' END AS name,
-        'file' AS mode, sha256('{PART_PREFIX}' || CAST(min(l_partkey) AS VARCHAR)) AS object_hash
-        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "tree_entries": _entries_sql(),
+    "shipped_entries": _entries_sql(f"WHERE l_shipdate < TIMESTAMP '{SHIPPED_BEFORE}'"),
     "blobs": f"""SELECT sha256('{PART_PREFIX}' || CAST(p_partkey AS VARCHAR)) AS blob_hash,
         CAST(p_size AS BIGINT) * {PART_SIZE_UNIT} AS size_bytes, 'part' AS origin FROM part
         UNION ALL

@@ -316,19 +316,19 @@ def q_supported_extension(spark, sf):
 
 def q_orphan_blobs(spark, sf):
     cat = _cat(spark, sf)
-    return L.orphan_blobs(cat.blobs, cat.tree_entries).select("blob_hash", "size_bytes")
+    return L.orphan_blobs(cat.blobs, cat.shipped_entries).select("blob_hash", "size_bytes")
 
 
 def q_orphans(spark, sf):
     cat = _cat(spark, sf)
-    return (L.orphan_blobs(cat.blobs, cat.tree_entries)
+    return (L.orphan_blobs(cat.blobs, cat.shipped_entries)
             .select("blob_hash", "size_bytes", "origin",
                     F.round(F.col("size_bytes") / 1024.0, 1).alias("size_kb")))
 
 
 def q_gc_summary(spark, sf):
     cat = _cat(spark, sf)
-    return L.gc_summary(L.orphan_blobs(cat.blobs, cat.tree_entries))
+    return L.gc_summary(L.orphan_blobs(cat.blobs, cat.shipped_entries))
 
 
 def q_storage_by_author(spark, sf):
@@ -464,7 +464,7 @@ FROM metadata m LEFT JOIN commits c ON m.target_id = c.id LEFT JOIN projects p O
 _STORAGE_JOIN = """FROM commits c JOIN tree_entries e ON c.tree_id = e.tree_id
 JOIN blobs b ON b.blob_hash = e.object_hash"""
 
-_ORPHANS = "SELECT * FROM blobs WHERE blob_hash NOT IN (SELECT DISTINCT object_hash FROM tree_entries)"
+_ORPHANS = "SELECT * FROM blobs WHERE blob_hash NOT IN (SELECT DISTINCT object_hash FROM shipped_entries)"
 
 ORACLE = {
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
@@ -584,13 +584,13 @@ SELECT id, name, regexp_extract(lower(name), '(\\.[^./]+)$', 1) AS ext FROM tree
 WHERE regexp_extract(lower(name), '(\\.[^./]+)$', 1) IN ('.csv', '.json', '.parquet')""",
         "tree_entries"),
     "orphan_blobs": with_catalog(f"SELECT blob_hash, size_bytes FROM ({_ORPHANS})",
-                                 "blobs", "tree_entries"),
+                                 "blobs", "shipped_entries"),
     "orphans": with_catalog(f"""
 SELECT blob_hash, size_bytes, origin, round(size_bytes / 1024.0, 1) AS size_kb FROM ({_ORPHANS})""",
-        "blobs", "tree_entries"),
+        "blobs", "shipped_entries"),
     "gc_summary": with_catalog(f"""
 SELECT count(*) AS removed_blobs, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS removed_bytes
-FROM ({_ORPHANS})""", "blobs", "tree_entries"),
+FROM ({_ORPHANS})""", "blobs", "shipped_entries"),
     "storage_by_author": with_catalog(f"""
 SELECT c.author_id, CAST(sum(b.size_bytes) AS BIGINT) AS used_bytes {_STORAGE_JOIN}
 GROUP BY c.author_id""", "commits", "tree_entries", "blobs"),
