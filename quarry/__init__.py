@@ -15,7 +15,8 @@ from quarry.operators.profile import (custom_metrics, duplicate_rows, histogram,
                                       profile_by_group, profile_table, profile_tables,
                                       top_values)
 from quarry.operators.push import push
-from quarry.operators.summary import profile_context, profile_document, rule_summary
+from quarry.operators.documents import profile_document
+from quarry.operators.summary import profile_context, rule_summary
 from quarry.session import build_session
 from quarry.sources.readers import load_dataset, preview_rows
 

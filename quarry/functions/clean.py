@@ -78,6 +78,11 @@ def normalized(df: DataFrame) -> DataFrame:
     After this every missing value is a NULL, which is what the profile
     counts as missing (a NaN is missing for the reference too).
     """
+    return normalized_with(df, [])
+
+
+def normalized_with(df: DataFrame, more: list[Column]) -> DataFrame:
+    """:func:`normalized` with further columns behind it (such as file metadata)."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -87,7 +92,7 @@ def normalized(df: DataFrame) -> DataFrame:
         elif isinstance(dt, NESTED):
             c = F.to_json(c)
         out.append(c.alias(f.name))
-    return df.select(*out)
+    return df.select(*out, *more)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

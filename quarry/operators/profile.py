@@ -332,65 +332,77 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
     over the rows)."""
     keys = list(keys or [])
     norm, specs = _data_specs(df, keys)
-    spark = df.sparkSession
-    meta = (spark.range(len(specs)).select(F.col("id").cast("int").alias("cidx"))
-                 .select("cidx", _by_ordinal(specs, "name").alias("column"),
-                         _by_ordinal(specs, "dtype").alias("dtype")))
-    grp = [*keys, "cidx"]
-    if exact and specs:
-        # One pass over the rows: the value counts (NULL cells included) are
-        # materialised once with a reliable checkpoint and feed every
-        # statistic; without it each consumer would re-run the scan and the
-        # shuffle (the consumers' filters differ, so Spark cannot reuse it).
-        # It is range-partitioned by (group, column, value) first: the slices
-        # give the quantile ranks their order without another shuffle, and
-        # text values are part of the key so no column lands in one slice.
-        numeric = [s.ordinal for s in specs if s.numeric]
-        vc_all = value_counts(norm, specs, keys, include_nulls=True).withColumn(
-            "__v", F.when(F.col("cidx").isin(numeric), _value_num()) if numeric
-            else F.lit(None).cast("double"))
-        vc_all = range_slices(vc_all, [*keys, "cidx"], ["__v", "s", "l"])
-        vc = vc_all.where(_not_null_cell())
-        # The per-(group, column) stats feed three consumers; checkpointed
-        # once, and their row count is the size check for the broadcasts.
-        stats = _column_stats(vc_all, specs, keys).checkpoint(eager=True)
-        # Without group keys these tables have one row per column of the
-        # schema; with keys they grow with the data and are left to AQE.
-        small = not keys
-        quant = _exact_quantiles(vc, stats, specs, keys, small)
-        cm = _central_moments(vc, stats, specs, keys, small)
-        # quant and cm hold one row per (group, column): broadcast behind the
-        # same size check as above.
-        if small:
-            quant, cm = F.broadcast(quant), F.broadcast(cm)
-        out = (join_on(join_on(stats, quant, grp, "left"), cm, grp, "left")
-                    .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
-        hs = [s for s in specs if s.histogram]
-        hist = (_histogram_of(vc.where(F.col("cidx").isin([s.ordinal for s in hs]))
-                                .select(*keys, "cidx", _value_num().alias("v"),
-                                        F.col("cnt").alias("w")), specs, keys, bins, spark)
-                if hs else spark.createDataFrame([], _EMPTY_HIST))
-    else:
-        hist = histogram(df, bins, keys)
-        mom = _sketch_pass(norm, specs, keys)
-        cats = [s for s in specs if s.categorical]
-        vc = value_counts(norm, cats, keys)
-        summ = _vc_summary(vc, specs, keys).drop("unique_count")
-        out = (join_on(mom, summ, grp, "left")
-                  .withColumn("unique_count", F.col("approx_unique")))
+    if exact:
+        prof, hist, _ = profile_of_counts(value_counts(norm, specs, keys, include_nulls=True), specs, keys, bins)
+        return prof, hist
+    mom = _sketch_pass(norm, specs, keys)
+    summ = _vc_summary(value_counts(norm, [s for s in specs if s.categorical], keys), specs, keys).drop("unique_count")
+    out = join_on(mom, summ, [*keys, "cidx"], "left").withColumn("unique_count", F.col("approx_unique"))
+    return _profile_rows(out, specs, keys), histogram(df, bins, keys)
+
+
+def profile_of_counts(counts: DataFrame, specs: list[ColumnSpec], keys: list[str] | None = None, bins: int = 10,
+                      k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile, histogram, top values) from value counts ``(keys, cidx, l, d, s, cnt)``.
+
+    The counts are a mergeable state: those of several files or versions are
+    added up per value, and give the exact profile of the whole without the
+    rows.  They are materialised once with a reliable checkpoint and feed every
+    statistic; without it each consumer would re-run what made them (the
+    consumers' filters differ, so Spark cannot reuse it).  They are
+    range-partitioned by (group, column, value) first: the slices give the
+    quantile ranks their order without another shuffle, and text values are
+    part of the key so no column lands in one slice.
+    """
+    keys, spark, grp = list(keys or []), counts.sparkSession, [*(keys or []), "cidx"]
+    if not specs:
+        empty = [*[f"`{x}` string" for x in keys]]
+        none = spark.range(0).select(*[F.lit(None).cast("string").alias(x) for x in keys], F.lit(0).alias("cidx"))
+        stats = none.select("*", *[F.lit(None).cast("double").alias(c) for c in
+                                   ("mean", "std", "min", "max", "median", "q1", "q3", "skew", "kurt")],
+                            *[F.lit(0).cast("long").alias(c) for c in ("row_count", "n", "unique_count")], F.lit("").alias("mode"),
+                            F.lit("").alias("column"), F.lit("").alias("dtype"))
+        hist = spark.createDataFrame([], ", ".join([*empty, _EMPTY_HIST]))
+        return _named(stats, keys), hist, spark.createDataFrame([], ", ".join([*empty, "column string, rank int, value string, n bigint"]))
+    numeric = [s.ordinal for s in specs if s.numeric]
+    vc_all = counts.withColumn("__v", F.when(F.col("cidx").isin(numeric), _value_num()) if numeric else F.lit(None).cast("double"))
+    vc_all = range_slices(vc_all, grp, ["__v", "s", "l"])
+    vc = vc_all.where(_not_null_cell())
+    # The per-(group, column) stats feed three consumers; checkpointed once.
+    stats = _column_stats(vc_all, specs, keys).checkpoint(eager=True)
+    # Without group keys these tables have one row per column of the schema
+    # and are broadcast; with keys they grow with the data and are left to AQE.
+    small = not keys
+    quant = _exact_quantiles(vc, stats, specs, keys, small)
+    cm = _central_moments(vc, stats, specs, keys, small)
+    if small:
+        quant, cm = F.broadcast(quant), F.broadcast(cm)
+    out = (join_on(join_on(stats, quant, grp, "left"), cm, grp, "left")
+           .select("*", *[_interpolated(n, q).alias(n) for n, q in QUANTILES]))
+    hs = [s for s in specs if s.histogram]
+    hist = (_histogram_of(vc.where(F.col("cidx").isin([s.ordinal for s in hs]))
+                            .select(*keys, "cidx", _value_num().alias("v"), F.col("cnt").alias("w")), specs, keys, bins, spark)
+            if hs else spark.createDataFrame([], ", ".join([*[f"`{x}` string" for x in keys], _EMPTY_HIST])))
+    return _profile_rows(out, specs, keys), hist, _top_of_counts(vc, specs, keys, k)
+
+
+def _profile_rows(out: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
+    """Per-(group, column) statistics in their final form and order."""
+    name, dtype = _by_ordinal(specs, "name"), _by_ordinal(specs, "dtype")
     if keys:
-        out = out.select("*", _by_ordinal(specs, "name").alias("column"),
-                         _by_ordinal(specs, "dtype").alias("dtype"))
-    else:
-        # Every column gets a row, also when the table is empty.
-        out = (F.broadcast(meta).join(out, "cidx", "left")
-                   .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))
-                   .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-                   .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long"))))
+        return _named(out.select("*", name.alias("column"), dtype.alias("dtype")), keys)
+    # Every column gets a row, also when the table is empty.
+    meta = (out.sparkSession.range(len(specs)).select(F.col("id").cast("int").alias("cidx"))
+            .select("cidx", name.alias("column"), dtype.alias("dtype")))
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("row_count", "n", "unique_count")}
+    return _named(F.broadcast(meta).join(out, "cidx", "left").withColumns(zero), keys)
+
+
+def _named(out: DataFrame, keys: list[str]) -> DataFrame:
     nulls = F.col("row_count") - F.col("n")
     r6 = lambda c: F.round(F.col(c), 6)
     r4 = lambda c: F.round(F.col(c), 4)
-    prof = out.select(
+    return out.select(
         *keys,
         F.col("column"), F.col("cidx").alias("ordinal"), F.col("dtype"),
         F.col("row_count"), nulls.alias("null_count"),
@@ -400,7 +412,6 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
         r6("max").alias("max"), r6("median").alias("median"), r6("q1").alias("q1"),
         r6("q3").alias("q3"), r4("skew").alias("skewness"), r4("kurt").alias("kurtosis"),
         F.col("mode"))
-    return prof, hist
 
 
 def column_presence(df: DataFrame) -> DataFrame:
@@ -430,7 +441,12 @@ def top_values(df: DataFrame, k: int = 5, keys: list[str] | None = None) -> Data
     keys = list(keys or [])
     norm, specs = _data_specs(df, keys)
     cats = [s for s in specs if s.categorical]
-    vc = value_counts(norm, cats, keys).withColumn("value", _value_text(specs))
+    return _top_of_counts(value_counts(norm, cats, keys), specs, keys, k)
+
+
+def _top_of_counts(counts: DataFrame, specs: list[ColumnSpec], keys: list[str], k: int) -> DataFrame:
+    cats = [s.ordinal for s in specs if s.categorical]
+    vc = counts.where(F.col("cidx").isin(cats)).withColumn("value", _value_text(specs))
     w = Window.partitionBy(*keys, "cidx").orderBy(F.col("cnt").desc(), F.col("value"))
     top = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return (top.withColumn("column", _by_ordinal(specs, "name"))

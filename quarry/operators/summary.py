@@ -1,4 +1,4 @@
-"""Text reports and profile documents (T1, T2, F13, S8 document).
+"""Text reports.
 
 Built from the long-form profile with aggregates over at most one row per
 column (``min_by`` by ordinal, ``collect_list`` of schema-width lists): no
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.clean import kind_of
@@ -124,23 +124,33 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
     columns, metric peaks and supplied metric values).  ``prof``: an already
     computed :func:`profile_table` of ``df`` to reuse."""
     prof = prof if prof is not None else P.profile_table(df, exact=exact)
-    # The top value of a categorical column is its mode (count desc, value asc).
-    cats = [f.name for f in df.schema.fields
-            if kind_of(f.dataType) in ("string", "bool")]
-    top = F.col("column").isin(cats) & F.col("mode").isNotNull()
-    high = F.struct("ordinal", F.concat("column", F.lit(" ("), F.col("null_pct").cast("string"), F.lit("%)")).alias("t"))
+    cats = [f.name for f in df.schema.fields if kind_of(f.dataType) in ("string", "bool")]
     # one aggregate over the profile, so that it is planned once
-    parts = [prof.agg(
-        F.max("row_count").alias("rows"),
-        F.min_by(F.struct("column", "mean", "min", "max"), F.when(F.col("mean").isNotNull(), F.col("ordinal"))).alias("nm"),
-        F.min_by(F.struct("column", F.col("mode").alias("value")), F.when(top, F.col("ordinal"))).alias("tv"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("null_pct") > 5, high))), 1, 2).alias("hn"))]
+    parts = [prof.agg(*summary_parts(cats))]
     metrics_txt = F.lit("")
     mt = _metrics_text(df, order_by, external_metrics)
     if mt is not None:
         parts.append(mt)
         metrics_txt = F.coalesce(F.array_join(F.transform("mt", lambda e: e["t"]), ""), F.lit(""))
     one = _one_row_join(parts)
+    text = summary_text(F.lit(file_name), F.lit(file_type), len(df.columns), metrics_txt)
+    return one.select(F.lit(file_name).alias("file_name"), text.alias("summary"))
+
+
+def summary_parts(categorical: list[str]) -> list[Column]:
+    """Aggregates over a profile that :func:`summary_text` reads: rows, first numeric
+    column, top value of the first categorical column (its mode), high-null columns."""
+    top = F.col("column").isin(categorical) & F.col("mode").isNotNull()
+    high = F.struct("ordinal", F.concat("column", F.lit(" ("), F.col("null_pct").cast("string"), F.lit("%)")).alias("t"))
+    return [
+        F.max("row_count").alias("rows"),
+        F.min_by(F.struct("column", "mean", "min", "max"), F.when(F.col("mean").isNotNull(), F.col("ordinal"))).alias("nm"),
+        F.min_by(F.struct("column", F.col("mode").alias("value")), F.when(top, F.col("ordinal"))).alias("tv"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("null_pct") > 5, high))), 1, 2).alias("hn")]
+
+
+def summary_text(file_name: Column, file_type: Column, columns: int, metrics: Column) -> Column:
+    """The report sentence from the columns of :func:`summary_parts`."""
     num_txt = F.when(F.col("nm").isNotNull(), F.concat(
         F.lit(" Notably, '"), F.col("nm.column"), F.lit("' averages "), fixed2(F.col("nm.mean")),
         F.lit(" (range: "), float_text(F.col("nm.min")), F.lit(" to "),
@@ -152,47 +162,5 @@ def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str |
         F.lit(" Quality issues: High nulls in "),
         F.array_join(F.transform("hn", lambda e: e["t"]), ", "), F.lit(".")
     )).otherwise(F.lit(" Data quality appears robust with minimal nulls."))
-    text = F.concat(thousands(F.col("rows")), F.lit(f" rows, {len(df.columns)} cols. "),
-                    F.lit(f"{file_name} ({file_type.upper()}) focus."),
-                    num_txt, cat_txt, null_txt, metrics_txt)
-    return one.select(F.lit(file_name).alias("file_name"), F.trim(text).alias("summary"))
-
-
-def profile_document(df: DataFrame, file_name: str, file_type: str,
-                     order_by: str | None = None, exact: bool = True) -> DataFrame:
-    """S8 document: one row with the profile of a dataset and its JSON ``stats``.
-
-    The per-column lists are schema-width; the rows themselves are only
-    touched by the profile, histogram, duplicate and metric jobs.
-    """
-    prof, hist = P.profile_tables(df, exact=exact)
-    summary = rule_summary(df, file_name, file_type, order_by, prof=prof).select("summary")
-    stats = prof.agg(F.array_sort(F.collect_list(F.struct(*P.PROFILE_COLUMNS[1:2], "column",
-                                                           *P.PROFILE_COLUMNS[2:])))
-                     .alias("statistics"),
-                     F.max("row_count").alias("row_count"))
-    dist = (hist.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("bin", "lo", "hi", "n")))
-                                      .alias("h"))
-                .agg(F.collect_list(F.struct("column",
-                                             F.transform("h", lambda e: e["n"]).alias("counts"),
-                                             F.concat(F.transform("h", lambda e: e["lo"]),
-                                                      F.array(F.element_at("h", -1)["hi"]))
-                                             .alias("bin_edges"))).alias("distributions")))
-    dup = P.duplicate_rows(df)
-    parts = [stats, dist, dup, summary]
-    if order_by is not None and P.metric_columns(df):
-        parts.append(P.custom_metrics(df, order_by).agg(
-            F.collect_list(F.struct("metric", "latest", "max", "mean")).alias("custom_metrics")))
-    one = _one_row_join(parts)
-    if "custom_metrics" not in one.columns:
-        one = one.withColumn("custom_metrics", F.array().cast(
-            "array<struct<metric:string,latest:double,max:double,mean:double>>"))
-    schema_map = F.create_map(*[x for f in df.schema.fields
-                                for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
-    doc = one.select(
-        F.lit(file_name).alias("file_name"), F.lit(file_type).alias("file_type"),
-        F.col("row_count"), F.lit(len(df.columns)).alias("column_count"), "duplicate_rows",
-        schema_map.alias("columns_schema"), "statistics", "distributions", "custom_metrics",
-        "summary")
-    return doc.withColumn("stats", F.to_json(F.struct(*[c for c in doc.columns])))
-
+    return F.trim(F.concat(thousands(F.col("rows")), F.lit(f" rows, {columns} cols. "), file_name, F.lit(" ("), F.upper(file_type),
+                           F.lit(") focus."), num_txt, cat_txt, null_txt, metrics))

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.clean import NA_TOKENS
+from quarry.operators import documents as D
 from quarry.operators import lineage as L
-from quarry.operators import summary as S
 from quarry.plans.catalog import Catalog, with_catalog
-from quarry.plans.q_profile import LINEITEM
-from quarry.plans.sql_profile import profile_sql
+from quarry.plans.q_profile import EVENTS, LINEITEM
+from quarry.plans.q_reports import summary_sql
+from quarry.plans.sql_profile import histogram_sql, profile_sql, top_values_sql
+from quarry.plans.stored import EXTERNAL_METRICS, stored_document
 from quarry.sources import readers as R
 from quarry.sources import sinks as K
 from quarry.sources.tables import table
@@ -55,17 +57,31 @@ def q_scan_json(spark, sf):
 
 
 def q_index_append(spark, sf):
-    out = K.new_location(spark, "metadata-index")
-    doc = S.profile_document(table(spark, sf, "lineitem"), "lineitem.parquet", "parquet")
-    K.index_append(doc.select("file_name", "file_type", "row_count", "column_count",
-                              "duplicate_rows", "stats"), out)
-    back = spark.read.parquet(out)
-    stats = F.from_json("stats", "struct<statistics:array<struct<ordinal:int,column:string,"
-                                 "unique_count:bigint>>>")
-    return back.select("file_name", "file_type", "row_count", "column_count", "duplicate_rows",
-                       F.inline(stats["statistics"])).select(
-        "file_name", "file_type", "row_count", "column_count", "duplicate_rows", "column",
-        "unique_count")
+    doc = stored_document(spark, sf, "lineitem.parquet")
+    whole = ["file_name", "file_type", "column_count", "duplicate_rows", "summary"]
+    dtype = F.try_element_at("columns_schema", F.col("column"))
+    return (D.long_profile(doc.select(*whole, "columns_schema", "statistics"), [*whole, "columns_schema"])
+            .withColumn("schema_dtype", dtype).drop("columns_schema"))
+
+
+def q_stored_top_values(spark, sf):
+    return D.long_top_values(stored_document(spark, sf, "lineitem.parquet"))
+
+
+def q_stored_histogram(spark, sf):
+    return D.long_histogram(stored_document(spark, sf, "lineitem.parquet"))
+
+
+def q_stored_metrics(spark, sf):
+    return D.long_metrics(stored_document(spark, sf, "events.parquet"))
+
+
+def q_stored_json(spark, sf):
+    # the JSON form of the document holds the same statistics
+    kind = "array<struct<column:string,row_count:bigint,unique_count:bigint,mode:string>>"
+    doc = stored_document(spark, sf, "events.parquet")
+    parsed = F.from_json("stats", f"struct<file_name:string,row_count:bigint,duplicate_rows:bigint,statistics:{kind}>")
+    return doc.select(parsed.alias("d")).select("d.file_name", "d.duplicate_rows", F.inline("d.statistics"))
 
 
 def q_audit_append(spark, sf):
@@ -88,7 +104,8 @@ def _stream_src(spark, sf, name):
 
 
 def q_incremental_profile(spark, sf):
-    return ST.incremental_profile(_stream_src(spark, sf, "lineitem"))
+    index = ST.incremental_profile(_stream_src(spark, sf, "lineitem"))
+    return D.long_profile(index, ["file_name"])
 
 
 def q_stream_dedup(spark, sf):
@@ -107,6 +124,10 @@ QUERIES = {
     "scan_csv_quoted": q_scan_csv_quoted,
     "scan_json": q_scan_json,
     "index_append": q_index_append,
+    "stored_top_values": q_stored_top_values,
+    "stored_histogram": q_stored_histogram,
+    "stored_metrics": q_stored_metrics,
+    "stored_json": q_stored_json,
     "audit_append": q_audit_append,
     "json_sink": q_json_sink,
     "incremental_profile": q_incremental_profile,
@@ -114,21 +135,6 @@ QUERIES = {
     "audit_stream": q_audit_stream,
 }
 
-_NUMERIC_LINEITEM = [c for c in LINEITEM if c.kind in ("integral", "fractional")]
-
-
-def _incremental_sql():
-    from quarry.functions.numeric import exact_mean_sql, round_sql
-    parts = []
-    for c in _NUMERIC_LINEITEM:
-        x = f"CAST({c.name} AS DOUBLE)"
-        parts.append(f"SELECT 'lineitem.parquet' AS file_name, '{c.name}' AS \"column\", "
-                     f"count(*) AS row_count, count({x}) AS n, count(*) - count({x}) AS null_count, "
-                     f"{exact_mean_sql(x)} AS mean, {round_sql(f'stddev_samp({x})', 6)} AS std, "
-                     f"min({x}) AS min, max({x}) AS max FROM lineitem")
-    return "\nUNION ALL\n".join(parts)
-
-
 _AUDIT = """SELECT id, user_id, action, record_id, details, performed_at FROM audit_log"""
 
 ORACLE = {
@@ -141,17 +147,24 @@ SELECT doc_id, CASE WHEN text IN ({", ".join(f"'{t}'" for t in NA_TOKENS)}) THEN
        lang, source, n_chars, n_chars || 'd' AS code FROM documents""",
     "scan_json": f"SELECT {EVENT_COLS} FROM events",
     "index_append": f"""
-WITH prof AS ({profile_sql('lineitem', LINEITEM)})
-SELECT 'lineitem.parquet' AS file_name, 'parquet' AS file_type, (SELECT count(*) FROM lineitem) AS row_count,
-       11 AS column_count,
-       (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem))
-         AS duplicate_rows,
-       "column", unique_count FROM prof""",
+WITH prof AS ({profile_sql('lineitem', LINEITEM)}), said AS ({summary_sql('lineitem', 'lineitem.parquet', LINEITEM)})
+SELECT 'lineitem.parquet' AS file_name, 'parquet' AS file_type, 11 AS column_count,
+       (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows,
+       (SELECT summary FROM said) AS summary, dtype AS schema_dtype, prof.* FROM prof""",
+    "stored_top_values": top_values_sql("lineitem", LINEITEM),
+    "stored_histogram": histogram_sql("lineitem", LINEITEM),
+    "stored_metrics": f"""
+SELECT 'score' AS metric, 'external' AS source, CAST(NULL AS DOUBLE) AS latest, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, '0.99' AS value
+UNION ALL SELECT k, 'external', NULL, NULL, NULL, json_extract_string('{EXTERNAL_METRICS}', '$.' || k)
+FROM (SELECT unnest(['optimizer', 'lr']) AS k)""",
+    "stored_json": f"""
+SELECT 'events.parquet' AS file_name, (SELECT count(*) FROM events) - (SELECT count(*) FROM (SELECT DISTINCT * FROM events)) AS duplicate_rows,
+       CASE "column" WHEN 'value' THEN 'score' ELSE "column" END AS "column", row_count, unique_count, mode FROM ({profile_sql('events', EVENTS)})""",
     "audit_append": with_catalog(_AUDIT, "audit_log"),
     "json_sink": with_catalog("""
 SELECT project_id, branch, arg_max(id, (created_at, id)) AS head_id, count(*) AS commits
 FROM commits GROUP BY project_id, branch""", "commits"),
-    "incremental_profile": _incremental_sql(),
+    "incremental_profile": f"SELECT 'lineitem.parquet' AS file_name, * FROM ({profile_sql('lineitem', LINEITEM)})",
     "stream_dedup": "SELECT DISTINCT sha256(text) AS blob_hash, CAST(strlen(text) AS BIGINT) AS size_bytes "
                     "FROM documents",
     "audit_stream": with_catalog(_AUDIT, "audit_log"),

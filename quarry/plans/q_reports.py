@@ -6,66 +6,45 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import exact_mean_sql as M
 from quarry.functions.numeric import round_sql as R
+from quarry.operators import documents as D
 from quarry.operators import lineage as L
 from quarry.operators import profile as P
 from quarry.operators import summary as S
 from quarry.plans.catalog import Catalog, with_catalog
 from quarry.plans.q_profile import EVENTS, LINEITEM, ORDERS
 from quarry.plans.sql_profile import Col, profile_sql, top_values_sql
+from quarry.plans.stored import EXTERNAL_METRICS, YEAR_A, YEAR_B, events_scored, stored_document, version
 from quarry.sources.readers import preview_rows
 from quarry.sources.tables import table
 
-# Two versions of the orders data set: the 1995 orders without the priority
-# column, and the 1996 orders with every column.
-YEAR_A, YEAR_B = 1995, 1996
-EXTERNAL_METRICS = '{"score": 0.99, "optimizer": "adam", "lr": 0.001}'
-
-
-def _version(spark, sf, year, drop=()):
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") == year)
-    return o.drop(*drop)
-
-
-def _profiles(spark, sf):
-    pa = P.profile_table(_version(spark, sf, YEAR_A, drop=("o_orderpriority",)))
-    pb = P.profile_table(_version(spark, sf, YEAR_B))
-    return pa, pb
+DOC_A, DOC_B = f"orders_{YEAR_A}.parquet", f"orders_{YEAR_B}.parquet"
 
 
 def q_compare_commits(spark, sf):
-    return L.compare_profiles(*_profiles(spark, sf))
+    # from the stored documents of both versions, not from their rows
+    a, b = stored_document(spark, sf, DOC_A), stored_document(spark, sf, DOC_B)
+    return L.compare_profiles(D.long_profile(a), D.long_profile(b))
 
 
 def _set(name):
     def q(spark, sf):
-        pa = P.column_presence(_version(spark, sf, YEAR_A, drop=("o_orderpriority",)))
-        pb = P.column_presence(_version(spark, sf, YEAR_B))
+        pa = P.column_presence(version(spark, sf, YEAR_A, drop=("o_orderpriority",)))
+        # version B lost the status column
+        pb = P.column_presence(version(spark, sf, YEAR_B, drop=("o_orderstatus",)))
         return L.schema_sets(pa, pb)[name]
     return q
 
 
-def _events_scored(spark, sf):
-    return table(spark, sf, "events").withColumnRenamed("value", "score")
-
-
 def q_merge_metrics(spark, sf):
     ev = table(spark, sf, "events").select(
         "event_id", F.col("value").alias("score"), (F.col("value") / 100).alias("val_loss"))
-    detected = P.custom_metrics(ev, order_by="event_id")
-    ext = (spark.range(1).select(F.explode(F.from_json(F.lit(EXTERNAL_METRICS), "map<string,string>")))
-           .select(F.col("key").alias("metric"), F.col("value").alias("ext_value")))
-    j = detected.join(ext, "metric", "full_outer")
-    is_ext = F.col("ext_value").isNotNull()
-    return j.select("metric",
-                    F.when(is_ext, F.lit("external")).otherwise(F.lit("detected")).alias("source"),
-                    *[F.when(is_ext, F.lit(None).cast("double")).otherwise(F.col(c)).alias(c)
-                      for c in ("latest", "max", "mean")],
-                    F.col("ext_value").alias("value"))
+    detected = P.custom_metrics(ev, order_by="event_id").withColumn("position", F.lit(0))
+    return D.merge_metrics(detected, EXTERNAL_METRICS).drop("position")
 
 
 def q_rule_summary(spark, sf):
     li = S.rule_summary(table(spark, sf, "lineitem"), "lineitem.parquet", "parquet")
-    ev = S.rule_summary(_events_scored(spark, sf), "events.parquet", "parquet", order_by="event_id",
+    ev = S.rule_summary(events_scored(spark, sf), "events.parquet", "parquet", order_by="event_id",
                         external_metrics=EXTERNAL_METRICS)
     return li.unionByName(ev)
 
@@ -135,7 +114,7 @@ _SETS = {
 }
 
 
-def _rule_summary_sql(source: str, file_name: str, cols: list[Col], metric_cols=(), external=None):
+def summary_sql(source: str, file_name: str, cols: list[Col], metric_cols=(), external=None):
     prof = profile_sql(file_name, cols, source=source)
     tv = top_values_sql(source, cols, k=1)
     ordinals = " ".join(f"WHEN '{c.name}' THEN {i}" for i, c in enumerate(cols))
@@ -221,11 +200,11 @@ FROM detected d FULL OUTER JOIN ext e ON d.metric = e.metric"""
 
 ORACLE = {
     "compare_commits": _COMPARE,
-    **{f"schema_{k}": f"WITH a AS ({_PA}), b AS ({_PB}) {v}" for k, v in _SETS.items()},
+    **{f"schema_{k}": f"WITH a AS ({_PA}), b AS (SELECT * FROM ({_PB}) WHERE \"column\" <> 'o_orderstatus') {v}" for k, v in _SETS.items()},
     "merge_metrics": _MERGE,
-    "rule_summary": ("SELECT * FROM (" + _rule_summary_sql("lineitem", "lineitem.parquet", LINEITEM)
+    "rule_summary": ("SELECT * FROM (" + summary_sql("lineitem", "lineitem.parquet", LINEITEM)
                      + ")\nUNION ALL\nSELECT * FROM ("
-                     + _rule_summary_sql(_EV_SCORED, "events.parquet", _EV_COLS,
+                     + summary_sql(_EV_SCORED, "events.parquet", _EV_COLS,
                                          metric_cols=((4, "score"),), external=EXTERNAL_METRICS)
                      + ")"),
     "profile_context": _CONTEXT,

@@ -4,16 +4,19 @@ Each arriving file is an "upload".  All three use a file source with a fixed
 schema and ``trigger(availableNow=True)`` (process what is there, then stop),
 and a checkpoint folder, so a restarted query resumes exactly where it
 stopped.  No ``foreachBatch`` (its Python callback needs a local port): the
-callback-free sinks are used instead.
-
-* ST1 ``incremental_profile`` - per-file profile aggregates (rows, non-null
-  and null counts, exact mean, sample std, min, max of every numeric column), a stateful
-  streaming aggregation written in complete mode to the in-memory table
-  ``queryName`` (one row per file and column: bounded by files x schema
-  width).
-* ST2 ``stream_dedup`` - ``dropDuplicates(["blob_hash"])`` with no watermark:
-  a content hash never expires, so the state store *is* the blob registry;
-  new blobs go to a Parquet sink (append).
+callback-free append-mode file sink is used instead.
+
+* ST1 ``incremental_profile`` - the stream turns the rows of new files into a
+  *profile state*, value counts per (file, column, value), and appends them to
+  a state table; states add up, so nothing of it is ever recomputed.  Files
+  whose document is not in the index yet (anti join) are then profiled from
+  their state alone, with the exact statistics of ``profile_table``, and their
+  documents appended to the index.  Whatever step is lost, the next run goes on
+  from what was committed.
+* ST2 ``stream_dedup`` - new contents are appended to the blob registry, a
+  table in buckets of the hash.  Each run reads back only the buckets that its
+  batch touches; the stream's own state store holds the hashes of the running
+  query (``dropDuplicates`` without watermark).
 * ST3 ``audit_stream`` - append-only audit rows to a Parquet sink.
 """
 
@@ -25,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.clean import INTEGRAL, FRACTIONAL
-from quarry.functions.numeric import exact_mean
+from quarry.functions.clean import column_specs, normalized_with
+from quarry.operators import documents as D
+from quarry.operators import profile as P
 from quarry.session import scratch_dir
 
 
@@ -48,33 +52,127 @@ def _run_available(writer, checkpoint: str):
     return q
 
 
-def incremental_profile(stream: DataFrame, query_name: str | None = None,
-                        checkpoint: str | None = None) -> DataFrame:
-    """ST1: run the per-file profile stream to completion; return its table."""
+FILE = ["file_path", "modified"]
+STATE_SCHEMA = "file_path string, modified timestamp, cidx int, l bigint, d double, s string, cnt bigint, slot int"
+STATE_SLOTS = 64  # partitions of the state table, by file
+HELD = 400_000  # cells that a task counts before it hands counts on
+ROW_CELL, METRIC_CELL = -1, -2  # column numbers of whole rows, and downwards of metric columns' latest values
+
+
+def _partial_counts(keys: list[str], held: int, row_cell: int):
+    """Counts cells (file, column, value, cnt) within a task; of metric cells the latest of each file stays.
+
+    Returned as a closure, so that tasks need no import of this package.
+    """
+    def counted(parts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        t = pa.Table.from_batches(parts)
+        plain = t.filter(pc.greater_equal(t["cidx"], row_cell))
+        cell = [*keys, "cidx", "l", "d", "s"]
+        out = [plain.group_by(cell).aggregate([("cnt", "sum")]).rename_columns([*cell, "cnt"])]
+        late = t.filter(pc.less(t["cidx"], row_cell))
+        if late.num_rows:
+            last = late.sort_by([("l", "descending")]).group_by([*keys, "cidx"], use_threads=False)
+            last = last.aggregate([("l", "first"), ("d", "first"), ("s", "first"), ("cnt", "first")])
+            out.append(last.rename_columns([*cell, "cnt"]))
+        whole = pa.concat_tables([o.select(t.schema.names) for o in out]).cast(t.schema)
+        return whole.combine_chunks().to_batches(max_chunksize=50_000)
+
+    def run(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= held:
+                yield from counted(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from counted(waiting)
+    return run
+
+
+def profile_state(stream: DataFrame) -> DataFrame:
+    """Stateless map of a file stream (or a batch read of files) to its profile state.
+
+    Cells of all columns (NULL cells included), a cell per row with a 128-bit
+    hash of the row (for the duplicate count), and for metric columns the value
+    and its row number (for ``latest``).
+    """
+    specs = column_specs(stream)
+    meta = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_modification_time").alias("__modified"),
+            F.col("_metadata.row_index").alias("__row")]
+    norm = normalized_with(stream, meta)
+    none = {"l": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
+
+    def cell(number, **slots):
+        v = {**none, **slots}
+        return F.struct(F.lit(number).alias("cidx"), v["l"].alias("l"), v["d"].alias("d"), v["s"].alias("s"))
+    whole = [F.col(f"`{c.name}`") for c in specs]
+    cells = [P._cell(c) for c in specs]
+    cells.append(cell(ROW_CELL, l=F.xxhash64(*whole), s=F.hex(F.xxhash64(F.lit(1), *whole))))
+    for k, name in enumerate(P.metric_columns(stream)):
+        x = F.col(f"`{name}`").cast("double")
+        cells.append(F.when(x.isNotNull(), cell(METRIC_CELL - k, l=F.col("__row"), d=x)))
+    rows = norm.select("__file", "__modified", F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull())
+    return (rows.select(F.col("__file").alias("file_path"), F.col("__modified").alias("modified"), "c.*", F.lit(1).cast("long").alias("cnt"))
+            .mapInArrow(_partial_counts(FILE, HELD, ROW_CELL), STATE_SCHEMA.rsplit(",", 1)[0])
+            .withColumn("slot", F.pmod(F.xxhash64("file_path"), F.lit(STATE_SLOTS)).cast("int")))
+
+
+def documents_of_state(state: DataFrame, schema: T.StructType, file_type: str, external_metrics: str | None = None) -> DataFrame:
+    """One document per file of a profile state (partial counts are added up first)."""
+    spark = state.sparkSession
+    empty = spark.createDataFrame([], schema)
+    specs = column_specs(empty)
+    counts = state.where(F.col("cidx") >= ROW_CELL).groupBy(*FILE, "cidx", "l", "d", "s").agg(F.sum("cnt").alias("cnt")).checkpoint()
+    prof, hist, top = P.profile_of_counts(counts.where("cidx >= 0"), specs, FILE)
+    duplicates = (counts.where(F.col("cidx") == ROW_CELL).groupBy(*FILE).agg(F.sum(F.col("cnt") - 1).alias("duplicate_rows")))
+    names = P.metric_columns(empty)
+    if names:
+        place = {n: i for i, n in enumerate(empty.columns)}
+        by_cell = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(METRIC_CELL - k), F.struct(F.lit(n).alias("n"), F.lit(place[n]).alias("p")))])
+        late = (state.where(F.col("cidx") < ROW_CELL).groupBy(*FILE, "cidx").agg(F.round(F.max_by("d", "l"), 6).alias("latest"))
+                .select(*FILE, by_cell[F.col("cidx")]["n"].alias("column"), by_cell[F.col("cidx")]["p"].alias("position"), "latest"))
+        kinds = {c.name: c.kind for c in specs}
+        ones = F.col("column").isin([n for n in names if kinds[n] == "bool"])
+        bools = (counts.where(F.col("cidx").isin([c.ordinal for c in specs if c.kind == "bool" and c.name in names])).where("l is not null")
+                 .groupBy(*FILE, "cidx").agg(F.max("l").cast("double").alias("bmax"), F.round(F.sum(F.col("l") * F.col("cnt")) / F.sum("cnt"), 6).alias("bmean"))
+                 .withColumn("column", P._by_ordinal(specs, "name")).drop("cidx"))
+        detected = (late.join(prof.select(*FILE, "column", "max", "mean"), [*FILE, "column"]).join(bools, [*FILE, "column"], "left")
+                    .select(*FILE, F.col("column").alias("metric"), "latest", F.when(ones, F.col("bmax")).otherwise(F.col("max")).alias("max"),
+                            F.when(ones, F.col("bmean")).otherwise(F.col("mean")).alias("mean"), "position"))
+    else:
+        detected = spark.createDataFrame([], "file_path string, modified timestamp, metric string, latest double, max double, mean double, position int")
+    metrics = D.merge_metrics(detected, external_metrics, FILE)
+    name = F.regexp_extract("file_path", r"([^/]+)$", 1)
+    return D.assemble(schema, prof, hist, top, duplicates, metrics, FILE, name, file_type)
+
+
+def incremental_profile(stream: DataFrame, index: str | None = None, state: str | None = None, checkpoint: str | None = None,
+                        file_type: str = "parquet", external_metrics: str | None = None) -> DataFrame:
+    """ST1: profile the files that have arrived since the last run; returns the index.
+
+    ``index``, ``state`` and ``checkpoint`` are folders on the shared storage;
+    give the same ones to go on.  A file that was replaced (same path, newer)
+    is a new version with a document of its own.  Files without rows leave no
+    state and get no document.
+    """
     spark = stream.sparkSession
-    numeric = [f.name for f in stream.schema.fields if isinstance(f.dataType, INTEGRAL + FRACTIONAL)]
-    src = stream.withColumn("file_name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    integral = {f.name for f in stream.schema.fields if isinstance(f.dataType, INTEGRAL)}
-    for i, c in enumerate(numeric):
-        x = F.col(f"`{c}`").cast("double")
-        mean = (exact_mean(F.col(f"`{c}`").cast("long"), True) if c in integral
-                else exact_mean(x))
-        aggs += [F.count(x).alias(f"n{i}"), mean.alias(f"m{i}"),
-                 F.round(F.stddev_samp(x), 6).alias(f"sd{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    per_file = src.groupBy("file_name").agg(*aggs)
-    name = query_name or f"profile_{uuid.uuid4().hex[:10]}"
-    ckpt = checkpoint or scratch_dir(spark, f"ckpt-{name}")
-    _run_available(per_file.writeStream.format("memory").queryName(name).outputMode("complete"), ckpt)
-    table = spark.table(name)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("rows").alias("row_count"),
-                              F.col(f"n{i}").alias("n"),
-                              (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
-                              F.col(f"m{i}").alias("mean"), F.col(f"sd{i}").alias("std"),
-                              F.col(f"lo{i}").alias("min"),
-                              F.col(f"hi{i}").alias("max")) for i, c in enumerate(numeric)])
-    return table.select("file_name", F.inline(rows))
+    index = index or scratch_dir(spark, f"profile-index-{uuid.uuid4().hex[:10]}")
+    state, checkpoint = state or f"{index}-state", checkpoint or f"{index}-checkpoint"
+    schema = stream.schema
+    _run_available(profile_state(stream).writeStream.format("parquet").partitionBy("slot").option("path", state).outputMode("append"), checkpoint)
+    held = spark.read.schema(STATE_SCHEMA).parquet(state)
+    keys = "file_path string, modified timestamp"
+    spark.createDataFrame([], f"{keys}, {D.INDEX_SCHEMA}").write.mode("append").parquet(index)  # the folder exists from now on
+    done = D.read_index(spark, index, keys).select(*FILE)
+    new = held.select(*FILE, "slot").distinct().join(done, FILE, "left_anti").checkpoint()
+    if not new.isEmpty():  # only the state partitions that hold new files are read
+        fresh = held.join(new, [*FILE, "slot"], "left_semi").drop("slot")
+        documents_of_state(fresh, schema, file_type, external_metrics).write.mode("append").partitionBy("file_type").parquet(index)
+    return D.read_index(spark, index, keys)
 
 
 def stream_dedup(stream: DataFrame, text_col: str, out: str | None = None,

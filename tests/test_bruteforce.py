@@ -57,13 +57,6 @@ def test_audit_stream_appends_every_event(spark):
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
-def test_incremental_profile_counts(spark):
-    got = {r["column"]: r for r in ST.incremental_profile(_stream_src(spark, SF, "lineitem")).collect()}
-    pdf = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
-    assert got["l_quantity"]["n"] == len(pdf)
-    assert got["l_quantity"]["max"] == pdf["l_quantity"].max()
-
-
 def test_stream_dedup_skips_registered_contents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = docs.toPandas()["text"]

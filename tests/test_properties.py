@@ -86,7 +86,7 @@ def test_means_of_large_totals_use_one_rule(spark):
 def test_profile_document_histogram_matches_numpy(spark):
     import json
 
-    from quarry.operators.summary import profile_document
+    from quarry.operators.documents import profile_document
     vals = [0.5, 1.25, 1.25, 2.0, 3.75, 7.0, None, 9.5, 10.0]
     df = spark.createDataFrame([(v, "a" if v and v > 2 else "b") for v in vals], "x double, s string")
     doc = json.loads(profile_document(df, "t.csv", "csv").collect()[0]["stats"])
