@@ -14,9 +14,9 @@ Plan shape of :func:`profile_table` (``exact=True``) - one pass over the rows:
 * exact quantiles from ranks: prefix sums of the counts inside the slices
   (:mod:`quarry.plans.ordered`), so no task ever holds a whole column.
 
-``exact=False`` is the sketch path: one wide ``agg`` over the rows with
-``approx_count_distinct``, ``percentile_approx`` and the built-in moment
-aggregates, plus value counts of the categorical columns only (their mode).
+``exact=False`` is the sketch path (:mod:`quarry.operators.sketches`): one wide
+aggregate over the rows with HLL and KLL sketches and power sums, plus value
+counts of the categorical columns only (their mode).
 Several ``count_distinct`` in one ``agg`` are avoided on both paths (they
 would expand every row once per column).
 """
@@ -89,47 +89,6 @@ def _data_specs(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[ColumnS
     return norm, specs
 
 
-# --------------------------------------------------------------------------
-# sketch path
-# --------------------------------------------------------------------------
-
-def _sketch_pass(norm: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:
-    """One wide aggregate over the rows (exact=False): counts, decimal-exact
-    mean, the built-in moments, approximate distinct counts and quantiles."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    per_col = []
-    none_d = lambda n: F.lit(None).cast("double").alias(n)
-    moments = ["std", "min", "max", "skew", "kurt"]
-    for s in specs:
-        c = _q(s.name)
-        i = s.ordinal
-        aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"u{i}")]
-        fields = [F.lit(i).alias("cidx"), F.col(f"n{i}").alias("n"),
-                  F.col(f"u{i}").alias("approx_unique")]
-        if s.numeric:
-            x = c.cast("double")
-            integral = s.kind == "integral"
-            isum, nu, nn, fm = mean_parts(c if integral else x, integral)
-            aggs += [isum.alias(f"is{i}"), nu.alias(f"nu{i}"), nn.alias(f"nn{i}"),
-                     fm.alias(f"fm{i}"),
-                     F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                     F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"skew{i}"),
-                     F.kurtosis(x).alias(f"kurt{i}"),
-                     F.percentile_approx(x, [q for _, q in QUANTILES]).alias(f"pq{i}")]
-            mean, _ = mean_from_parts(F.col(f"is{i}"), F.col(f"nu{i}"), F.col(f"nn{i}"),
-                                      F.col(f"fm{i}"), integral)
-            fields.append(mean.alias("mean"))
-            fields += [F.col(f"{m}{i}").alias(m) for m in moments]
-            fields += [F.col(f"pq{i}")[j].alias(n) for j, (n, _) in enumerate(QUANTILES)]
-        else:
-            fields += [none_d(m) for m in ["mean", *moments]]
-            fields += [none_d(n) for n, _ in QUANTILES]
-        per_col.append(F.struct(*fields))
-    grouped = norm.groupBy(*keys).agg(*aggs) if keys else norm.agg(*aggs)
-    return grouped.select(*keys, F.col("__rows").alias("row_count"),
-                          F.inline(F.array(*per_col)))
-
-
 # --------------------------------------------------------------------------
 # pass B: value counts
 # --------------------------------------------------------------------------
@@ -335,10 +294,12 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
     if exact:
         prof, hist, _ = profile_of_counts(value_counts(norm, specs, keys, include_nulls=True), specs, keys, bins)
         return prof, hist
-    mom = _sketch_pass(norm, specs, keys)
-    summ = _vc_summary(value_counts(norm, [s for s in specs if s.categorical], keys), specs, keys).drop("unique_count")
-    out = join_on(mom, summ, [*keys, "cidx"], "left").withColumn("unique_count", F.col("approx_unique"))
-    return _profile_rows(out, specs, keys), histogram(df, bins, keys)
+    from quarry.operators.sketches import profile_of_sketches, sketch_rows
+
+    rows = profile_of_sketches(sketch_rows(df, keys), keys)
+    modes = (_vc_summary(value_counts(norm, [s for s in specs if s.categorical], keys), specs, keys)
+             .select(*keys, F.col("cidx").alias("ordinal"), "mode"))
+    return join_on(rows, modes, [*keys, "ordinal"], "left").select(*keys, *PROFILE_COLUMNS), histogram(df, bins, keys)
 
 
 def profile_of_counts(counts: DataFrame, specs: list[ColumnSpec], keys: list[str] | None = None, bins: int = 10,

@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import q_catalog, q_history, q_io, q_profile, q_reports
+from quarry.plans import q_catalog, q_history, q_io, q_profile, q_reports, q_sketches
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = (q_profile, q_catalog, q_history, q_reports, q_io)
+MODULES = (q_profile, q_sketches, q_catalog, q_history, q_reports, q_io)
 
 
 def queries() -> dict[str, QueryFn]:
