@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions.metricql import metric_predicate, metrics_map
 from quarry.functions.text import iso, to_mb
 from quarry.operators.cas import first_tree_entry
+from quarry.operators.metric_index import FIELDS, is_indexed, metric_condition
 from quarry.plans.ordered import lag_in_group, row_index_in_group
 from quarry.session import ensure_checkpoint_dir
 
@@ -28,6 +29,21 @@ def json_field(stats_col: str, path: str):
     return F.get_json_object(F.col(stats_col), f"$.{path}")
 
 
+def record_field(records: DataFrame, name: str):
+    """A field of metadata records: the typed column of an index, else read from the JSON text."""
+    if name in records.columns:
+        return F.col(name)
+    value = json_field("stats", name)
+    return (value if FIELDS[name] == "string" else value.try_cast(FIELDS[name])).alias(name)
+
+
+def with_metric(records: DataFrame, metric: str | None) -> DataFrame:
+    """Records that pass a metric filter; by pushed-down comparisons on an index, else on the JSON text."""
+    if is_indexed(records):
+        return records.where(metric_condition(records, metric))
+    return records.where(metric_predicate(metric, metrics_map(F.col("stats")), parsed=True))
+
+
 def commits_with_blob(commits: DataFrame, entries: DataFrame) -> DataFrame:
     """Commit rows plus the object hash of their tree's first entry ('' when none)."""
     first = first_tree_entry(entries).select(F.col("tree_id"), F.col("object_hash").alias("blob_hash"))
@@ -88,11 +104,9 @@ def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, proje
     c = filter_log(commits.join(proj, "project_id", "inner"), branch=branch, since=since, until=until)
     authors = users.select(F.col("id").alias("author_id"), F.col("username").alias("author"))
     c = c.join(authors, "author_id", "left")
-    md = (metadata.where(metric_predicate(metric, metrics_map(F.col("stats")), parsed=True))
+    md = (with_metric(metadata, metric)
           .select(F.col("target_id").alias("id"), F.col("id").alias("metadata_id"),
-                  json_field("stats", "file_name").alias("file_name"),
-                  json_field("stats", "row_count").try_cast("long").alias("row_count"),
-                  json_field("stats", "column_count").try_cast("long").alias("column_count")))
+                  *[record_field(metadata, c) for c in ("file_name", "row_count", "column_count")]))
     how = "inner" if drop_empty else "left"
     flat = c.join(md, "id", how).select(
         "project", F.col("id").alias("commit_id"), "message", "branch", "author",
@@ -373,12 +387,9 @@ def listing(metadata: DataFrame, commits: DataFrame, projects: DataFrame,
     if project is not None:
         m = m.where(F.col("project_name") == project)
     if file_type is not None:
-        m = m.where(json_field("stats", "file_type") == file_type)
+        m = m.where(record_field(metadata, "file_type") == file_type)
     out = m.select("id", "target_id", "project_name",
-                   json_field("stats", "file_name").alias("file_name"),
-                   json_field("stats", "file_type").alias("file_type"),
-                   json_field("stats", "row_count").try_cast("long").alias("row_count"),
-                   json_field("stats", "column_count").try_cast("long").alias("column_count"),
+                   *[record_field(metadata, c) for c in ("file_name", "file_type", "row_count", "column_count")],
                    iso(F.col("indexed_at")).alias("indexed_at"), F.col("indexed_at").alias("__ts"))
     out = out.orderBy(F.col("__ts").desc(), F.col("id").desc())
     if limit is not None:

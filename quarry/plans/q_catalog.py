@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quarry.functions.metricql import metric_predicate, metric_predicate_sql, metrics_map
+from quarry.functions.metricql import metric_predicate_sql
 from quarry.functions.text import iso_sql
 from quarry.operators import cas
 from quarry.operators import lineage as L
 from quarry.plans.catalog import CATALOG_SQL, Catalog, with_catalog
+from quarry.plans.stored import stored_metadata
 from quarry.session import scratch_dir
 from quarry.sources.tables import table
 
@@ -153,7 +154,7 @@ def q_state_at(spark, sf):
 
 def _log(spark, sf, **kw):
     cat = _cat(spark, sf)
-    return L.project_log(cat.commits, cat.users, cat.metadata, cat.projects, **kw)
+    return L.project_log(cat.commits, cat.users, stored_metadata(spark, sf), cat.projects, **kw)
 
 
 def q_project_log(spark, sf):
@@ -177,9 +178,7 @@ def q_commits_matching_metric(spark, sf):
 
 
 def _metric_rows(spark, sf, expr):
-    md = _cat(spark, sf).metadata
-    return (md.where(metric_predicate(expr, metrics_map(F.col("stats")), parsed=True))
-              .select("id", L.json_field("stats", "file_name").alias("file_name")))
+    return L.with_metric(stored_metadata(spark, sf), expr).select("id", "file_name")
 
 
 def q_metric_filter(spark, sf):
@@ -196,21 +195,15 @@ def q_metric_filter_or(spark, sf):
 
 def q_list_metadata(spark, sf):
     cat = _cat(spark, sf)
-    return L.listing(cat.metadata, cat.commits, cat.projects, limit=50)
+    return L.listing(stored_metadata(spark, sf), cat.commits, cat.projects, limit=50)
 
 
 def q_filter_file_type(spark, sf):
-    md = _cat(spark, sf).metadata
-    return (md.where(L.json_field("stats", "file_type") == "csv")
-              .select("id", L.json_field("stats", "file_name").alias("file_name")))
+    return stored_metadata(spark, sf).where("file_type = 'csv'").select("id", "file_name")
 
 
 def q_projection_list(spark, sf):
-    md = _cat(spark, sf).metadata
-    return md.select("id", L.json_field("stats", "file_name").alias("file_name"),
-                     L.json_field("stats", "file_type").alias("file_type"),
-                     L.json_field("stats", "row_count").try_cast("long").alias("row_count"),
-                     L.json_field("stats", "column_count").try_cast("long").alias("column_count"))
+    return stored_metadata(spark, sf).select("id", "file_name", "file_type", "row_count", "column_count")
 
 
 def q_metadata_with_project(spark, sf):

@@ -1,4 +1,5 @@
-"""The document index of the registered queries: each dataset version is profiled and stored once per session.
+"""The indexes of the registered queries: each dataset version is profiled and stored once per session,
+and so are the metadata records.
 
 The reference profiles a version when it is committed and answers every later
 question from the stored document; so do these queries.  The index lies under
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import documents as D
+from quarry.operators import metric_index as M
+from quarry.plans.catalog import Catalog
 from quarry.sources import sinks as K
 from quarry.sources.tables import table
 
@@ -55,3 +58,20 @@ def stored_document(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df, options = DATASETS[name](spark, sf)
     K.index_append(D.profile_document(df, name, "parquet", **options), path)
     return D.read_index(spark, path).where(F.col("file_name") == name)
+
+
+_METADATA: dict[tuple[str, str], str] = {}
+
+
+def stored_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived metadata records in an index with typed metric columns; written at the first call."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key in _METADATA:
+        try:
+            return M.read_metadata(spark, _METADATA[key])
+        except AnalysisException:  # the folder is gone
+            pass
+    path = K.new_location(spark, "metadata-index")
+    M.append_metadata(Catalog(spark, sf).metadata, path)
+    _METADATA[key] = path
+    return M.read_metadata(spark, path)
