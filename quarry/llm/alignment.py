@@ -65,7 +65,12 @@ class Vocabulary:
         self.data = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(size))), np.uint8)
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
-        return self.data[ranges(self.at[ids], self.size[ids])]
+        size = self.size[ids]
+        total = int(size.sum())
+        small = np.int32 if total < 1 << 31 else np.int64  # half the memory traffic
+        at = np.repeat((self.at[ids] - np.cumsum(size) + size).astype(small), size)
+        at += np.arange(total, dtype=small)
+        return self.data[at]
 
 
 class ByteLevel:
@@ -84,7 +89,10 @@ class ByteLevel:
         self.safe.encode_special_tokens = True
         self.vocabulary = Vocabulary({i: t for t, i in ranks.items()})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str], unbroken: bool = True) -> list[list[int]]:
+        """``unbroken``: some text may have a long run of one kind of character."""
+        if not unbroken:
+            return [self.fast.encode_ordinary(" " + t) for t in texts]
         return [self.safe.encode(" " + t, add_special_tokens=False).ids if _UNBROKEN.search(t) else self.fast.encode_ordinary(" " + t) for t in texts]
 
 
@@ -101,7 +109,7 @@ class Pieces:
             return bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode()
         self.vocabulary = Vocabulary({i: token(i) for i in range(self.model.get_piece_size())})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str], unbroken: bool = True) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
@@ -173,28 +181,53 @@ def _pairs(ids_a, first_a, count_a, ids_b, first_b, count_b) -> tuple[np.ndarray
     return key[at] // max(1, len(distinct)), key[at] % max(1, len(distinct)), np.add.reduceat(times, at) if len(at) else times, distinct
 
 
-def _encode(tokenizer, texts: list[str], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encode(tokenizer, texts: list[str], bounds: np.ndarray, unbroken: bool) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row, and the number of each text."""
     ids, counts = [], []
     for a, b in slices(bounds, CALL):
-        got = tokenizer.encode(texts[a:b])
+        got = tokenizer.encode(texts[a:b], unbroken)
         counts += map(len, got)
         ids.append(np.fromiter(itertools.chain.from_iterable(got), np.int64, sum(map(len, got))))
     return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array(counts, np.int64)
 
 
+# decimal text of each id and the sign behind it, in rows of six bytes, and how many of them count
+_DIGITS = np.array([list(f"{i},".encode().ljust(6, b"\0")) for i in range(1 << 16)], np.uint8)
+_USED = _DIGITS != 0
+
+
+def _digests(out: dict, group_at, ids_a, ids_b, group_a, group_b, first_a, first_b, count_a) -> None:
+    """sha256 of each document's groups: every token is its decimal id and one of , | ; behind it."""
+    place_a = np.arange(len(ids_a)) + first_b[group_a]  # behind the B tokens of the groups before
+    place_b = np.arange(len(ids_b)) + (first_a + count_a)[group_b]
+    ids = np.empty(len(ids_a) + len(ids_b), np.int64)
+    ids[place_a], ids[place_b] = ids_a, ids_b
+    if ids.max() >= 1 << 16:
+        raise ValueError("token ids above 65535")
+    used = _USED[ids]
+    text = _DIGITS[ids][used]
+    ends = np.cumsum(used.sum(axis=1))
+    text[ends[place_a[first_a + count_a - 1]] - 1] = ord("|")
+    text[ends[place_b[np.append(first_b[1:], len(ids_b)) - 1]] - 1] = ord(";")
+    starts = np.concatenate([[0], ends])[np.append(first_a + first_b, len(ids))]  # where each group's text begins
+    for k in np.flatnonzero(out["n_groups"]):
+        out["groups_sha256"][k] = hashlib.sha256(text[starts[group_at[k]]: starts[group_at[k + 1]] - 1]).hexdigest()
+
+
 def _align(byte_level: ByteLevel, pieces: Pieces, buf: np.ndarray, bounds: np.ndarray) -> dict:
     """What one row of the written table holds about some texts (given by bytes and bounds)."""
     texts = [buf[x:y].tobytes().decode() for x, y in zip(bounds, bounds[1:])]
     full = np.diff(bounds) > 0
     want = np.insert(buf, bounds[:-1][full], 32)  # a space before each text
     want_at = np.concatenate([[0], np.cumsum(np.diff(bounds) + full)])
+    white = np.flatnonzero(np.diff((buf <= 32) | (buf >= 128)))  # a run of 2000 of either kind is at least a stretch without such edges
+    unbroken = bool(np.diff(np.concatenate([[0], white, [len(buf)]])).max() >= 1000)
     ids, n, good = [], [], full.copy()
     for tokenizer in (byte_level, pieces):
-        x, count = _encode(tokenizer, texts, bounds)
+        x, count = _encode(tokenizer, texts, bounds, unbroken)
         count = np.where(full, count, 0)  # tokens of an empty text are dropped
         if len(x) != count.sum():
-            x, count = _encode(tokenizer, [t for t in texts if t], np.concatenate([[0], np.cumsum(np.diff(bounds)[full])]))
+            x, count = _encode(tokenizer, [t for t in texts if t], np.concatenate([[0], np.cumsum(np.diff(bounds)[full])]), unbroken)
             count = np.bincount(np.flatnonzero(full), weights=count, minlength=len(full)).astype(np.int64)
         have = tokenizer.vocabulary.joined(x)
         sums = np.concatenate([[0], np.cumsum(tokenizer.vocabulary.size[x])])
@@ -222,19 +255,16 @@ def _align(byte_level: ByteLevel, pieces: Pieces, buf: np.ndarray, bounds: np.nd
     out["n_links"] = np.diff(np.concatenate([[0], np.cumsum(count_a * count_b)])[group_at])
     one, kind = _same_groups(ids[0], first_a, count_a, ids[1], first_b, count_b)
 
-    written_a, written_b = (list(map(str, x.tolist())) for x in ids)
-    names = np.array([",".join(written_a[x: x + c]) + "|" + ",".join(written_b[y: y + d]) for x, c, y, d in
-                      zip(first_a[one].tolist(), count_a[one].tolist(), first_b[one].tolist(), count_b[one].tolist())], object)
-    for k in np.flatnonzero(out["n_groups"]):
-        out["groups_sha256"][k] = hashlib.sha256(";".join(names[kind[group_at[k]: group_at[k + 1]]]).encode()).hexdigest()
-
+    _digests(out, group_at, ids[0], ids[1], group_a, group_b, first_a, first_b, count_a)
     link_kind, pair, times, distinct = _pairs(ids[0], first_a[one], count_a[one], ids[1], first_b[one], count_b[one])
     # documents of each pair: distinct (document, kind), then distinct (document, pair)
-    in_doc = np.unique(doc * len(one) + kind)
+    in_doc = np.sort(doc * len(one) + kind)
+    in_doc = in_doc[_firsts(in_doc)]
     at = np.searchsorted(link_kind, np.arange(len(one) + 1))
     d, u = in_doc // len(one), in_doc % len(one)
     many = np.diff(at)[u]
-    held = np.unique(np.repeat(d, many) * len(distinct) + pair[ranges(at[u], many)])
+    held = np.sort(np.repeat(d, many) * len(distinct) + pair[ranges(at[u], many)])
+    held = held[_firsts(held)]
     out |= {"kinds": kind.astype(np.int32), "link_kind": link_kind.astype(np.int32), "link_pair": pair.astype(np.int32),
             "link_times": times.astype(np.int32), "a": (distinct >> 32).astype(np.int32), "b": (distinct & 0xFFFFFFFF).astype(np.int32),
             "n": np.bincount(held % len(distinct), minlength=len(distinct)).astype(np.int32)}
