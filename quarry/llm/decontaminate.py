@@ -206,7 +206,8 @@ def contaminated_items(docs: DataFrame, benchmark: DataFrame, text_column: str =
                        item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """All input columns and ``_items``: sorted ids of the benchmark items found in the text."""
     spark = docs.sparkSession
-    out = docs.withColumn("_items", F.array().cast("array<bigint>"))
+    # an input column of that name is replaced; the new one stands last, where the tasks look for it
+    out = docs.drop("_items").withColumn("_items", F.array().cast("array<bigint>"))
     for number, block in enumerate(_blocks(benchmark, item_column, item_text)):
         shared = spark.sparkContext.broadcast(block)
         key = (number, hash(tuple(block)))

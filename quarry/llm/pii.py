@@ -84,10 +84,17 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(value, F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
+PRIVATE = {"_text", "_candidate", "_secret", *(f"_{k}" for k in BASE)}  # columns that the steps below add
+
+
 def with_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """All input columns (null text as empty) and the span arrays email, ip, card, phone, candidate as ``_<kind>``."""
+    """All input columns, ``_text`` (null as empty) and the span arrays email, ip, card, phone, candidate as ``_<kind>``.
+
+    Other input columns with one of these names are replaced.
+    """
     t = F.col("_text")
-    d = docs.withColumn("_text", F.coalesce(F.col(text_column), F.lit("")))
+    d = docs.drop(*[c for c in docs.columns if c.lower() in PRIVATE and c != text_column])
+    d = d.withColumn("_text", F.coalesce(F.col(text_column), F.lit("")))
     none = F.array().cast("array<struct<s:int,e:int,m:string,before:string>>")
 
     def gate(needs: Column, pattern: str) -> Column:

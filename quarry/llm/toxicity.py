@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import Hasher, U64, mix, pieces, read, utf8_column
 
@@ -113,13 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, folds:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str = "doc_id",
           text_column: str = "text", folds: int = 5, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; ``keep`` returns all input columns and ``_score``."""
+    """doc_id, held_out, score, predicted for each row; ``keep`` returns all input columns and ``_score`` (replaced if it exists)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns if keep else [id_column, text_column]
-    d = docs.select(*names)
+    names = [c for c in docs.columns if c.lower() != "_score"] if keep else [id_column, text_column]
+    d = docs.select(*[F.col(f"`{c}`") for c in names])
     text_at = names.index(text_column)
     score_name = "_score" if keep else "score"
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields) + f"{score_name} double"
+    schema = T.StructType([*d.schema.fields, T.StructField(score_name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, values = shared.value
