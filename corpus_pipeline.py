@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, minhash, pii, toxicity
@@ -19,39 +19,51 @@ from quarry.session import ensure_checkpoint_dir
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``, a struct of the other columns, whose names then cannot meet those of a stage."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("row"))
+
+
+def _unpacked(done: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them with a new value."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col("row")[c] for c in docs.columns}
+    return done.select(*[changed.get(c, own[c]).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones among them, rejects go."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).where(F.col("_score") < 0.5).select(*docs.columns)
+    return _unpacked(toxicity.score(_packed(docs), model, keep=True).where(F.col("_score") < 0.5), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
-    Of several rows with the same id, the one with the smallest text hash
-    stays; rows without an id stay.
+    Rows with the same id count as one document; of those with equal texts one
+    stays.  Rows without an id stay.
     """
     kept = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = (docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(whole, F.xxhash64("text")).alias("_row"))
-           .join(kept, "doc_id", "left_semi").select("_row.*"))
-    return one.unionByName(docs.where("doc_id is null"))
+    one = (_packed(docs).where("doc_id is not null").join(kept, "doc_id", "left_semi")
+           .groupBy("doc_id", F.sha2("text", 256)).agg(F.min_by(F.struct("text", "row"), F.to_json(F.struct("row"))).alias("r"))
+           .select("doc_id", "r.*"))
+    return _unpacked(one.unionByName(_packed(docs).where("doc_id is null")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = decontaminate.contaminated_items(docs, read(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_items") == 0).select(*docs.columns)
+    found = decontaminate.contaminated_items(_packed(docs), read(spark, sf_dir, "benchmark"))
+    return _unpacked(found.where(F.size("_items") == 0), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by marks such as <EMAIL>; n_chars follows the new text."""
-    found = pii.find_pii(docs)
-    out = found.withColumn("text", pii.redact(found))
+    found = pii.find_pii(_packed(docs))
+    out = _unpacked(found, docs, text=pii.redact(found))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
