@@ -222,17 +222,59 @@ def _empty_files(spark, path: str) -> list[str]:
     return out
 
 
-def hash_files(spark, path: str) -> DataFrame:
+HASH_CHUNK = 8 << 20
+
+
+def _chunk_hasher(chunk: int):
+    """Paths in, (path, hash, bytes read) out; a file passes through memory ``chunk`` bytes at a time.
+
+    Returned as a closure, so that tasks need no import of this package.
+    """
+    def opened(path):
+        if path.startswith("file:"):
+            return open("/" + path[5:].lstrip("/"), "rb")
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        return where.open_input_stream(name)
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                digest, size = hashlib.sha256(), 0
+                with opened(path) as f:
+                    while part := f.read(chunk):
+                        digest.update(part)
+                        size += len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()]), pa.array([size], pa.int64())], ["path", "blob_hash", "size_bytes"])
+    return run
+
+
+def _readable_in_chunks(path: str) -> bool:
+    """Whether tasks can open files of this scheme themselves (local or mounted, or a store that Arrow knows)."""
+    scheme = path.split(":", 1)[0] if "://" in path or path.startswith("file:") else "file"
+    return scheme in ("file", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def hash_files(spark, path: str, chunk: int = HASH_CHUNK) -> DataFrame:
     """SHA-256 and byte size of every file at or below a path or glob.
 
-    Spark's file sources produce no row for a zero-length file, so those are
-    taken from the file listing (metadata only) with the hash of no bytes.
-    Files are hashed whole, one task per file; a file above the 2 GB a binary
-    value can hold fails and must be hashed by rows instead (content_hash).
+    The listing is Spark's (names and lengths only, large files in a partition
+    of their own); each file then passes through a running hash in chunks, so
+    its size does not matter.  Spark lists no zero-length files: those are
+    taken from the file statuses with the hash of no bytes.  In a store that
+    only Spark's readers open, files are hashed as binary values, which ends at
+    2 GB a file.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-                  .select(F.col("path"), F.sha2(F.col("content"), 256).alias("blob_hash"),
-                          F.col("length").alias("size_bytes")))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if _readable_in_chunks(path if ":" in path else spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")):
+        files = listed.select("path").mapInArrow(_chunk_hasher(chunk), "path string, blob_hash string, size_bytes long")
+    else:
+        files = listed.select("path", F.sha2(F.col("content"), 256).alias("blob_hash"), F.col("length").alias("size_bytes"))
     empty = _empty_files(spark, path)
     if empty:
         extra = spark.createDataFrame([(p, EMPTY_SHA256, 0) for p in empty],

@@ -112,6 +112,15 @@ def q_stream_dedup(spark, sf):
     return ST.stream_dedup(_stream_src(spark, sf, "documents"), "text")
 
 
+def q_stream_dedup_registry(spark, sf):
+    # the even documents arrive first; the second run stores only contents that are new with the odd ones
+    docs, out = table(spark, sf, "documents").select("doc_id", "text"), K.new_location(spark, "blob-registry")
+    for rest in (0, 1):
+        docs.where(F.abs("doc_id") % 2 == rest).write.mode("append").parquet(f"{out}/incoming")
+        new = ST.dedup_into_registry(ST.file_stream(spark, f"{out}/incoming", "*.parquet", docs.schema), "text", f"{out}/registry")
+    return new
+
+
 def q_audit_stream(spark, sf):
     return ST.audit_stream(_stream_src(spark, sf, "events")).select(
         "id", "user_id", "action", "record_id", "details", "performed_at")
@@ -132,6 +141,7 @@ QUERIES = {
     "json_sink": q_json_sink,
     "incremental_profile": q_incremental_profile,
     "stream_dedup": q_stream_dedup,
+    "stream_dedup_registry": q_stream_dedup_registry,
     "audit_stream": q_audit_stream,
 }
 
@@ -167,6 +177,9 @@ FROM commits GROUP BY project_id, branch""", "commits"),
     "incremental_profile": f"SELECT 'lineitem.parquet' AS file_name, * FROM ({profile_sql('lineitem', LINEITEM)})",
     "stream_dedup": "SELECT DISTINCT sha256(text) AS blob_hash, CAST(strlen(text) AS BIGINT) AS size_bytes "
                     "FROM documents",
+    "stream_dedup_registry": """
+SELECT DISTINCT sha256(text) AS blob_hash, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents
+WHERE abs(doc_id) % 2 = 1 AND text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE abs(doc_id) % 2 = 0 AND text IS NOT NULL)""",
     "audit_stream": with_catalog(_AUDIT, "audit_log"),
 }
 

@@ -13,10 +13,12 @@ callback-free append-mode file sink is used instead.
   their state alone, with the exact statistics of ``profile_table``, and their
   documents appended to the index.  Whatever step is lost, the next run goes on
   from what was committed.
-* ST2 ``stream_dedup`` - new contents are appended to the blob registry, a
-  table in buckets of the hash.  Each run reads back only the buckets that its
-  batch touches; the stream's own state store holds the hashes of the running
-  query (``dropDuplicates`` without watermark).
+* ST2 ``dedup_into_registry`` - the blob registry is a table in buckets of the
+  hash; the stream (stateless) appends what arrived, and each run adds the
+  contents that its buckets of the registry do not hold yet.  No state that
+  grows for ever, and the registry is an ordinary table.  ``stream_dedup`` is
+  the form with the registry in the query's own state store
+  (``dropDuplicates`` without watermark).
 * ST3 ``audit_stream`` - append-only audit rows to a Parquet sink.
 """
 
@@ -194,6 +196,34 @@ def stream_dedup(stream: DataFrame, text_col: str, out: str | None = None,
     return spark.read.schema("blob_hash string, size_bytes bigint").parquet(out)
 
 
+REGISTRY_SCHEMA = "blob_hash string, size_bytes bigint, run string, bucket string"
+
+
+def dedup_into_registry(stream: DataFrame, text_col: str, registry: str, checkpoint: str | None = None) -> DataFrame:
+    """ST2 on a table: append the contents that ``registry`` (a folder) does not hold yet; returns the ones this run added.
+
+    Only the buckets (first two digits of the hash, at most 256) that new
+    arrivals touch are read back.  Arrivals of a run that was lost before it
+    reached the registry are taken up by the next one.  Null texts are no content.
+    """
+    spark, run = stream.sparkSession, uuid.uuid4().hex
+    arrivals, blobs = f"{registry}/arrivals", f"{registry}/blobs"
+    rows = (stream.where(F.col(text_col).isNotNull())
+            .select(F.sha2(F.col(text_col), 256).alias("blob_hash"), F.octet_length(text_col).cast("long").alias("size_bytes"), F.lit(run).alias("run"))
+            .withColumn("bucket", F.substring("blob_hash", 1, 2)))
+    _run_available(rows.writeStream.format("parquet").partitionBy("run", "bucket").option("path", arrivals).outputMode("append"),
+                   checkpoint or f"{registry}/checkpoint")
+    spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("append").parquet(blobs)  # the folder exists from now on
+    stored = spark.read.schema(REGISTRY_SCHEMA).parquet(blobs)
+    arrived = spark.read.schema(REGISTRY_SCHEMA).parquet(arrivals)
+    waiting = arrived.join(stored.select("run").distinct(), "run", "left_anti")
+    fresh = waiting.groupBy("blob_hash", "bucket").agg(F.min("size_bytes").alias("size_bytes")).checkpoint()
+    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most 256
+    new = fresh.join(stored.where(F.col("bucket").isin(touched)).select("blob_hash"), "blob_hash", "left_anti")
+    new.select("blob_hash", "size_bytes", F.lit(run).alias("run"), "bucket").write.mode("append").partitionBy("bucket").parquet(blobs)
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(blobs).where(F.col("run") == run).select("blob_hash", "size_bytes")
+
+
 def audit_stream(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """ST3: append-only audit feed from an event stream; returns what was written."""
     spark = stream.sparkSession
