@@ -375,6 +375,33 @@ def _named(out: DataFrame, keys: list[str]) -> DataFrame:
         F.col("mode"))
 
 
+def light_profile(df: DataFrame) -> DataFrame:
+    """(column, ordinal, dtype, row_count, null_count, null_pct, mean, min, max, mode): what reports read.
+
+    One wide aggregate over the scan (exact means, no distinct counts, no
+    quantiles), and value counts of the categorical columns only, for their
+    mode.  Values equal those of :func:`profile_table`; the mode of other
+    columns is left out.
+    """
+    norm, specs = _data_specs(df, [])
+    rows = F.count(F.lit(1))
+    parts = []
+    for s in specs:
+        c = _q(s.name)
+        numbers = [F.lit(None).cast("double")] * 3
+        if s.numeric:
+            integral = s.kind == "integral"
+            numbers = [exact_mean(c.cast("long") if integral else c.cast("double"), integral), F.min(c.cast("double")), F.max(c.cast("double"))]
+        parts.append(F.struct(
+            F.lit(s.name).alias("column"), F.lit(s.ordinal).alias("ordinal"), F.lit(s.dtype).alias("dtype"), rows.alias("row_count"),
+            (rows - F.count(c)).alias("null_count"), F.round(F.try_divide(rows - F.count(c), rows) * 100, 2).alias("null_pct"),
+            *[F.round(x, 6).alias(n) for x, n in zip(numbers, ("mean", "min", "max"))]))
+    wide = norm.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+    cats = [s for s in specs if s.categorical]
+    modes = _vc_summary(value_counts(norm, cats, []), specs, []).select(F.col("cidx").alias("ordinal"), "mode")
+    return wide.join(F.broadcast(modes), "ordinal", "left").select("column", "ordinal", "dtype", "row_count", "null_count", "null_pct", "mean", "min", "max", "mode")
+
+
 def column_presence(df: DataFrame) -> DataFrame:
     """(column, n): every column of a dataset with its non-null count - one
     aggregate over the rows, enough for schema comparisons (U1-U3)."""

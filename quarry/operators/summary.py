@@ -25,7 +25,7 @@ def _one_row_join(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(F.broadcast(b), "__k"), keyed).drop("__k")
 
 
-def _top_text(df: DataFrame, prof: DataFrame, k: int = 5) -> DataFrame:
+def _top_text(df: DataFrame, k: int = 5) -> DataFrame:
     """(column, ordinal, top_values) with 'value:n' items in rank order."""
     tv = P.top_values(df, k=k)
     items = F.array_sort(F.collect_list(F.struct(
@@ -36,9 +36,9 @@ def _top_text(df: DataFrame, prof: DataFrame, k: int = 5) -> DataFrame:
 
 def stats_preview(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """the first five columns with dtype, mean, std, min, max, null_pct, top values."""
-    prof = prof if prof is not None else P.profile_table(df)
-    first = prof.where(F.col("ordinal") < PREVIEW_COLUMNS)
-    return (first.join(_top_text(df, prof), "column", "left")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns[:PREVIEW_COLUMNS]])  # the others are not read
+    first = prof.where(F.col("ordinal") < PREVIEW_COLUMNS) if prof is not None else P.profile_table(df)
+    return (first.join(_top_text(df), "column", "left")
                  .select("column", "ordinal", *PREVIEW_STATS, "top_values",
                          (F.col("null_pct") > 0).alias("null_alert")))
 
@@ -50,7 +50,6 @@ def _num(c):
 def profile_context(df: DataFrame, file_name: str, file_type: str,
                     prof: DataFrame | None = None) -> DataFrame:
     """Compact context text of a profile (header + one line per preview column)."""
-    prof = prof if prof is not None else P.profile_table(df)
     prev = stats_preview(df, prof)
     line = F.concat(
         F.lit("- "), F.col("column"), F.lit(" ("), F.col("dtype"), F.lit("): mean="), _num("mean"),
@@ -60,7 +59,7 @@ def profile_context(df: DataFrame, file_name: str, file_type: str,
          .otherwise(F.lit("")))
     lines = (prev.agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))).alias("ls"))
                  .select(F.array_join(F.transform("ls", lambda e: e["l"]), "\n").alias("lines")))
-    head = prof.agg(F.max("row_count").alias("rows"), F.count(F.lit(1)).alias("cols"))
+    head = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("cols"))
     out = _one_row_join([head, lines])
     return out.select(
         F.lit(file_name).alias("file_name"),
@@ -117,13 +116,12 @@ def _metrics_text(df: DataFrame, order_by: str | None, external_metrics: str | N
 
 
 def rule_summary(df: DataFrame, file_name: str, file_type: str, order_by: str | None = None,
-                 exact: bool = True, external_metrics: str | None = None,
-                 prof: DataFrame | None = None) -> DataFrame:
+                 external_metrics: str | None = None, prof: DataFrame | None = None) -> DataFrame:
     """One-sentence report of a dataset (rows, columns, first numeric column's
     mean and range, first categorical column's top value, up to two high-null
     columns, metric peaks and supplied metric values).  ``prof``: an already
-    computed :func:`profile_table` of ``df`` to reuse."""
-    prof = prof if prof is not None else P.profile_table(df, exact=exact)
+    computed :func:`profile_table` of ``df`` to reuse, else the light profile."""
+    prof = prof if prof is not None else P.light_profile(df)
     cats = [f.name for f in df.schema.fields if kind_of(f.dataType) in ("string", "bool")]
     # one aggregate over the profile, so that it is planned once
     parts = [prof.agg(*summary_parts(cats))]

@@ -52,8 +52,9 @@ def q_scan_csv_quoted(spark, sf):
 
 def q_scan_json(spark, sf):
     out = K.new_location(spark, "events-json")
-    table(spark, sf, "events").select(*EVENT_COLS.split(", ")).write.json(out)
-    return R.load_dataset(spark, out, "json").select(*EVENT_COLS.split(", "))
+    table(spark, sf, "events").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(out)
+    # times are text in JSON
+    return R.load_dataset(spark, out, "json").select(*EVENT_COLS.split(", "), F.to_timestamp_ntz("ts").alias("ts"))
 
 
 def q_index_append(spark, sf):
@@ -155,7 +156,7 @@ WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'""",
     "scan_csv_quoted": f"""
 SELECT doc_id, CASE WHEN text IN ({", ".join(f"'{t}'" for t in NA_TOKENS)}) THEN NULL ELSE text END AS text,
        lang, source, n_chars, n_chars || 'd' AS code FROM documents""",
-    "scan_json": f"SELECT {EVENT_COLS} FROM events",
+    "scan_json": f"SELECT {EVENT_COLS}, ts FROM events",
     "index_append": f"""
 WITH prof AS ({profile_sql('lineitem', LINEITEM)}), said AS ({summary_sql('lineitem', 'lineitem.parquet', LINEITEM)})
 SELECT 'lineitem.parquet' AS file_name, 'parquet' AS file_type, 11 AS column_count,

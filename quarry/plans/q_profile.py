@@ -46,7 +46,7 @@ def q_top_values(spark, sf):
 
 
 def q_mode(spark, sf):
-    return P.mode(table(spark, sf, "events").select("user_id", "event_type", "value"))
+    return P.mode(table(spark, sf, "events"))
 
 
 def q_histogram(spark, sf):
@@ -115,7 +115,7 @@ ORACLE = {
     "profile_table": profile_sql("lineitem", LINEITEM),
     "profile_by_group": profile_sql("lineitem", LINE_GROUPED, keys=["l_returnflag"]),
     "top_values": top_values_sql("orders", ORDERS),
-    "mode": mode_sql("events", [c for c in EVENTS if c.name in ("user_id", "event_type", "value")]),
+    "mode": mode_sql("events", EVENTS),
     "histogram": histogram_sql("lineitem", LINEITEM),
     "duplicate_rows": ("WITH r AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 45) "
                        "SELECT CAST((SELECT count(*) FROM r) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r)) AS BIGINT) "
