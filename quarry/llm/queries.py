@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import alignment, bpe, decontaminate, embedding_dedup, html_text, minhash, ngram_lm, pii, sharding, spelling, substring_dedup, token_ids, toxicity
+from quarry.llm import alignment, bpe, decontaminate, embedding_dedup, html_text, minhash, ngram_lm, oracles, pii, sharding, spelling, substring_dedup, token_ids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_spelling": spelling.op12_spelling,
     "op13_alignment": alignment.op13_alignment,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.ORACLE
