@@ -10,11 +10,15 @@ Two sets of similarity 0.8 share no band with a chance below 1e-5, of 0.85
 below 1e-7.  Candidate pairs are screened by signature (a link would have to be
 five standard deviations off to be missed) and confirmed on the full sets, in
 three rounds with components after each: every member of a bucket with the
-bucket's smallest id; then, in buckets that still hold several components,
-every member with the most similar one of another component; last, in buckets
-that are still open, all pairs across components, block by block, each in the
-first band that both share.  So no link between different texts that share a
-band is lost, and pairs inside a component are never emitted.
+bucket's smallest id; then, in buckets whose other members are in several
+components, the members of smaller components with the most similar one of
+another in a block; last, all members outside the bucket's largest component
+with all of other components, block by block, each pair in the first band that
+both share.  The last round ships the sets of members that have
+such a pair, confirms inside the task and returns at most one link a member (a
+spanning forest), so groups just under the threshold make no rows.  So no link
+between different texts that share a band is lost, and pairs inside a component
+are never emitted.
 
 Null texts are empty; texts of any length are used whole; rows with a null id
 are never linked and kept; rows with the same id count as one document;
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Hasher, U64, cut, mix, pieces, read, release, utf8_column
@@ -146,40 +150,105 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _across(threshold: float, best: bool):
-    """Pairs across components within two blocks of a bucket that pass the signature screen.
+def _set_rows(width: int):
+    """(rep, set) with the sorted shingle hashes of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, piece in pieces(*utf8_column(batch.column(1)), lower=True):
+                hashes, bounds = shingle_sets(piece, width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([hashes[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())], ["rep", "set"])
+    return run
+
+
+def _members(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rep = table["rep"].to_numpy()
+    return rep, table["comp"].to_numpy().copy(), np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(rep), -1)
+
+
+def _nearest(threshold: float):
+    """For each member outside the largest component of a task, the most similar one of another component."""
+    least = _least(threshold)
+
+    def run(key, table):
+        rep, comp, sig = _members(table)
+        kinds, n = np.unique(comp, return_counts=True)
+        one, two = [], []
+        for m in np.flatnonzero(comp != kinds[np.argmax(n)]):
+            other = np.flatnonzero(comp != comp[m])
+            near = (sig[other] == sig[m]).mean(axis=1)
+            k = int(np.argmax(near))
+            if near[k] >= least:
+                one.append(min(rep[m], rep[other[k]]))
+                two.append(max(rep[m], rep[other[k]]))
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+    return run
+
 
-    ``best``: for each member only the most similar one; else all pairs whose first common band this is.
+def _pairs_across(table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, those of other components that pass the screen and share no earlier band), each pair once.
+
+    ``side`` 0 holds members outside the bucket's largest component, ``side`` 1
+    any members; of two members that are both outside, the smaller id asks.
+    """
+    rep, comp, sig = _members(table)
+    side, small, nth = table["side"].to_numpy(), table["small"].to_numpy().astype(bool), table["nth"][0].as_py()
+    right = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0):
+        other = right[(comp[right] != comp[x]) & (~small[right] | (rep[right] > rep[x]))]
+        if len(other):
+            same = sig[other] == sig[x]
+            ok = np.flatnonzero(same.mean(axis=1) >= least)
+            ok = ok[np.argmax(same[ok].reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == nth]
+            if len(ok):
+                yield x, other[ok]
+
+
+def _worth_confirming(threshold: float):
+    """The rows of a task that are in any pair across components which has to be confirmed."""
+    least = _least(threshold)
+
+    def run(key, table):
+        wanted = np.zeros(table.num_rows, bool)
+        for x, other in _pairs_across(table, least):
+            wanted[x] = wanted[other] = True
+        return table.select([f.split()[0] for f in ROW.split(", ")]).filter(pa.array(wanted))
+    return run
+
+
+def _across(threshold: float, percent: int):
+    """Links across components within a task, confirmed on the full sets.
+
+    A pair is looked at in the first band that both share.  Members that
+    links of this task have joined are not joined again, so a task returns
+    fewer links than it has members, however many pairs are similar.
     """
     least = _least(threshold)
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        block, nth = table["block"].to_numpy(), table["nth"][0].as_py()
-        rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(rep), -1)
-        ways = [(i, j), (j, i)] if best and i != j else [(i, j)]
-        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for left, right in ((np.flatnonzero(block == x), np.flatnonzero(block == y)) for x, y in ways):
-            for x in left:
-                other = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j and not best else True)]
-                if not len(other):
-                    continue
-                same = sig[other] == sig[x]
-                near = same.mean(axis=1)
-                if best:
-                    k = np.argmax(near)
-                    hit = other[k: k + 1] if near[k] >= least else other[:0]
-                else:
-                    ok = np.flatnonzero(near >= least)
-                    ok = ok[np.argmax(same[ok].reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == nth]
-                    hit = other[ok]
-                one.append(np.minimum(rep[hit], rep[x]))
-                two.append(np.maximum(rep[hit], rep[x]))
-        return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)})
+        rep, comp, _ = _members(table)
+        sets = [np.frombuffer(x, U64) for x in table["set"].to_pylist()]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        one, two = [], []
+        for x, other in _pairs_across(table, least):
+            other = other[comp[other] != comp[x]]
+            if not len(other):
+                continue
+            theirs = np.concatenate([sets[y] for y in other])
+            at = np.minimum(np.searchsorted(sets[x], theirs), size[x] - 1)
+            both = np.add.reduceat((sets[x][at] == theirs).astype(np.int64), np.cumsum(size[other]) - size[other])
+            for y in other[(both > 0) & (100 * both >= percent * (size[x] + size[other] - both))]:
+                if comp[y] != comp[x]:
+                    comp[comp == comp[y]] = comp[x]
+                    one.append(rep[x])
+                    two.append(rep[y])
+        return pa.table({"u": pa.array(one, pa.int64()), "v": pa.array(two, pa.int64())})
     return run
 
 
+ROW = "band long, i int, j int, nth int, side int, small int, rep long, comp long"
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: sets linked when 100*|A&B| >= percent*|A|B|."""
@@ -207,30 +276,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     screened = (star.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a")
                 .join(sigs.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
                 .mapInArrow(_screen(threshold), "a long, b long"))
-    tested, edges = star, confirmed(screened)
-    for best in (True, False):
-        known = cut(connected_components(edges))
+    known = cut(connected_components(confirmed(screened)))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """Components with some more links; those so far stand for the links that made them."""
+        return cut(connected_components(known.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)))
+
+    def open_buckets() -> DataFrame | None:
+        """Members of buckets in which pairs across components are left; the centre's pairs are done."""
         named = sigs.join(known, sigs["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-        members = cut(bands.join(centres.select("band"), "band").join(named, "rep"))
-        still = (members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"))
-                 .where("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-        # members of buckets that still hold several components, in blocks
-        rows = (members.join(cut(still), "band").join(sigs, "rep")
-                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .select("band", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"),
-                        "nth", "block", "rep", "comp", "sig"))
-        pairs = rows.groupBy("band", "i", "j").applyInArrow(_across(threshold, best), "a long, b long").distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        new = confirmed(pairs)
-        # the components so far stand for the links that made them
-        edges = cut(known.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(new))
-        tested = tested.union(pairs)
+        members = bands.join(centres, "band").where("rep <> a").select("band", "nth", "rep").join(named, "rep")
+        still = cut(members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
+                    .agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n"))
+        return None if still.isEmpty() else members.join(still, "band")
+
+    def share(members: str) -> Column:
+        """Number of blocks of ``BLOCK`` members."""
+        return F.ceil(F.expr(members) / BLOCK).cast("int")
+
+    left = open_buckets()
+    if left is not None:
+        own = F.pmod(F.xxhash64("rep"), share("n")).cast("int").alias("i")  # each member meets those of its own block only
+        near = left.select("band", own, "rep", "comp").join(sigs, "rep").groupBy("band", "i").applyInArrow(_nearest(threshold), "a long, b long")
+        known = joined(confirmed(near.distinct().join(star, ["a", "b"], "left_anti")))
+        release(spark)
+        left = open_buckets()
+    if left is not None:
+        # members outside the largest component meet all members; those inside it do not meet each other
+        left = left.withColumn("small", (F.col("comp") != F.col("largest")).cast("int"))
+        asking = left.where("small = 1").select(
+            "band", F.pmod(F.xxhash64("rep"), share("n - most")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), share("n") - 1)).alias("j"),
+            "nth", F.lit(0).alias("side"), "small", "rep", "comp")
+        asked = left.select("band", F.explode(F.sequence(F.lit(0), share("n - most") - 1)).alias("i"),
+                            F.pmod(F.xxhash64("rep"), share("n")).cast("int").alias("j"), "nth", F.lit(1).alias("side"), "small", "rep", "comp")
+        rows = cut(asking.union(asked).join(sigs, "rep").groupBy("band", "i", "j").applyInArrow(_worth_confirming(threshold), ROW))
+        texts = d.where("doc_id is not null").join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+        sets = cut(texts.mapInArrow(_set_rows(width), "rep long, set binary").where("octet_length(set) > 0").distinct())
+        links = cut(rows.join(sigs, "rep").join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_across(threshold, percent), "u long, v long").distinct())
         release(spark)
-        if not best and new.isEmpty():
-            break
-    else:
-        known = cut(connected_components(edges))
+        if not links.isEmpty():
+            known = joined(links)
     final = known
     by_key = cut(reps.select("key", "rep").join(final, F.col("rep") == F.col("node"), "left")
                  .select("key", F.coalesce("component", "rep").alias("least")))
