@@ -86,7 +86,7 @@ def filter_log(commits: DataFrame, project_ids: DataFrame | None = None, branch:
 def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, projects: DataFrame,
                 project: str | None = None, branch: str | None = None, metric: str | None = None,
                 since: str | None = None, until: str | None = None,
-                drop_empty: bool = False, nested: bool = False) -> DataFrame:
+                drop_empty: bool = False, nested: bool = False, chain: DataFrame | None = None) -> DataFrame:
     """G1: commits of a project (all projects when ``project`` is None) with
     author name and the metadata records that pass the metric filter.
 
@@ -95,6 +95,8 @@ def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, proje
     commits with a matching record (the documented behaviour, F8).  Flat
     output has one row per (commit, record or NULL); ``nested=True`` gathers the
     records of a commit into an array (one commit = few records, bounded).
+    With ``chain(id, commit_hash, parent_hash)`` the log carries the hashes,
+    and the records their metrics (JSON text).
     """
     proj = projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
     if project is not None:
@@ -104,20 +106,25 @@ def project_log(commits: DataFrame, users: DataFrame, metadata: DataFrame, proje
     c = filter_log(commits.join(proj, "project_id", "inner"), branch=branch, since=since, until=until)
     authors = users.select(F.col("id").alias("author_id"), F.col("username").alias("author"))
     c = c.join(authors, "author_id", "left")
+    hashes, more = [], []
+    if chain is not None:
+        hashes, more = ["commit_hash", "parent_hash"], ["custom_metrics"]
+        c = c.join(chain.select("id", *hashes), "id", "left")
     md = (with_metric(metadata, metric)
           .select(F.col("target_id").alias("id"), F.col("id").alias("metadata_id"),
-                  *[record_field(metadata, c) for c in ("file_name", "row_count", "column_count")]))
+                  *[record_field(metadata, c) for c in ("file_name", "row_count", "column_count")],
+                  *[json_field("stats", c).alias(c) for c in more]))
     how = "inner" if drop_empty else "left"
     flat = c.join(md, "id", how).select(
-        "project", F.col("id").alias("commit_id"), "message", "branch", "author",
+        "project", F.col("id").alias("commit_id"), *hashes, "message", "branch", "author",
         iso(F.col("created_at")).alias("created_at"), F.col("created_at").alias("__ts"),
-        "metadata_id", "file_name", "row_count", "column_count")
+        "metadata_id", "file_name", "row_count", "column_count", *more)
     if not nested:
         # L1: newest first (commit id breaks ties between equal times).
         return flat.orderBy(F.col("__ts").desc(), F.col("commit_id").desc(),
                             F.col("metadata_id")).drop("__ts")
-    rec = F.struct("metadata_id", "file_name", "row_count", "column_count")
-    return (flat.groupBy("project", "commit_id", "message", "branch", "author", "created_at", "__ts")
+    rec = F.struct("metadata_id", "file_name", "row_count", "column_count", *more)
+    return (flat.groupBy("project", "commit_id", *hashes, "message", "branch", "author", "created_at", "__ts")
                 .agg(F.filter(F.collect_list(rec), lambda r: r["metadata_id"].isNotNull())
                      .alias("metadata"))
                 .orderBy(F.col("__ts").desc(), F.col("commit_id").desc())

@@ -19,6 +19,7 @@ METRIC_ONE = "accuracy > 0.5"
 METRIC_AND = "k > 50, k < 80"
 METRIC_OR = "k > 90 OR accuracy > 0.9, loss < 0.03"
 LOG_METRIC = "accuracy > 0.5, loss < 0.05"
+LOG_PROJECT = "NATION_1"
 LOG_BRANCH = "1-URGENT"
 LOG_SINCE, LOG_UNTIL = "1996-01-01", "1996-12-31T23:59:59"
 STATE_AS_OF = "1997-01-01T00:00:00"
@@ -161,6 +162,17 @@ def q_project_log(spark, sf):
     return _log(spark, sf)
 
 
+def q_project_log_records(spark, sf):
+    # one project, hashes of its commits, records nested in their commit
+    cat = _cat(spark, sf)
+    log = L.project_log(cat.commits, cat.users, stored_metadata(spark, sf), cat.projects, project=LOG_PROJECT, nested=True, chain=_chain(cat)[1])
+    return log.select("project", "commit_id", "commit_hash", "parent_hash", "message", "branch", "author", "created_at",
+                      F.size("metadata").cast("long").alias("records"),
+                      F.array_join(F.transform("metadata", lambda r: r["file_name"]), ",").alias("file_names"),
+                      F.aggregate("metadata", F.lit(0).cast("long"), lambda a, r: a + F.coalesce(r["row_count"], F.lit(0))).alias("rows"),
+                      F.get_json_object(F.get("metadata", F.lit(0))["custom_metrics"], "$.loss").try_cast("double").alias("loss"))
+
+
 def q_log_branch_filter(spark, sf):
     return _log(spark, sf, branch=LOG_BRANCH)
 
@@ -377,6 +389,7 @@ QUERIES = {
     "ancestry": q_ancestry,
     "state_at": q_state_at,
     "project_log": q_project_log,
+    "project_log_records": q_project_log_records,
     "log_branch_filter": q_log_branch_filter,
     "log_time_range": q_log_time_range,
     "log_with_metrics": q_log_with_metrics,
@@ -644,3 +657,13 @@ walk AS (
   SELECT w.start_id, p.parent_id, w.depth + 1 FROM walk w JOIN par p ON p.id = w.ancestor_id
   WHERE p.parent_id IS NOT NULL)
 SELECT start_id, ancestor_id, CAST(depth AS BIGINT) AS depth FROM walk""", "commits")
+ORACLE["project_log_records"] = _rec(CHAIN_SQL + f"""
+SELECT p.name AS project, c2.id AS commit_id, h.commit_hash, h.parent_hash, c2.message, c2.branch, u.username AS author,
+       {iso_sql('c2.created_at')} AS created_at, coalesce(m.records, 0) AS records, coalesce(m.file_names, '') AS file_names,
+       coalesce(m.n, 0) AS rows, m.loss
+FROM commits c2 JOIN projects p ON c2.project_id = p.id LEFT JOIN chain h ON h.id = c2.id LEFT JOIN users u ON u.id = c2.author_id
+LEFT JOIN (SELECT target_id, count(*) AS records, string_agg(json_extract_string(stats, '$.file_name'), ',') AS file_names,
+                  CAST(sum(TRY_CAST(json_extract_string(stats, '$.row_count') AS BIGINT)) AS BIGINT) AS n,
+                  min(TRY_CAST(json_extract_string(stats, '$.custom_metrics.loss') AS DOUBLE)) AS loss
+           FROM metadata GROUP BY target_id) m ON m.target_id = c2.id
+WHERE p.name = '{LOG_PROJECT}'""", "commits", "tree_entries", "projects", "users", "metadata")
