@@ -14,7 +14,7 @@ writes, for a whole batch at once:
 5. audit - one COMMIT_ACCEPTED row per commit.
 
 Profiling the accepted files and appending their documents is
-``summary.profile_document`` + ``sinks.index_append``; the streaming form is
+``documents.profile_document`` + ``sinks.index_append``; the streaming form is
 ``streaming.incremental``.
 """
 

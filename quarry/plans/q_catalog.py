@@ -68,6 +68,11 @@ def q_content_hash(spark, sf):
               .select("doc_id", "content_hash")
 
 
+def q_table_fingerprint(spark, sf):
+    docs = table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    return cas.table_fingerprint(cas.content_hash(docs, "text"), "content_hash")
+
+
 def q_first_occurrence(spark, sf):
     return (cas.first_occurrence(_docs(spark, sf), "blob_hash", "seq")
                .select(F.col("seq").alias("doc_id"), "blob_hash",
@@ -374,6 +379,7 @@ def q_open_pulls(spark, sf):
 
 QUERIES = {
     "content_hash": q_content_hash,
+    "table_fingerprint": q_table_fingerprint,
     "first_occurrence": q_first_occurrence,
     "dedup_blobs": q_dedup_blobs,
     "dedup_savings": q_dedup_savings,
@@ -474,6 +480,8 @@ _ORPHANS = "SELECT * FROM blobs WHERE blob_hash NOT IN (SELECT DISTINCT object_h
 
 ORACLE = {
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
+    "table_fingerprint": """
+SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(sha256(coalesce(text, '')), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS hash_sum FROM documents""",
     "first_occurrence": f"""
 SELECT seq AS doc_id, blob_hash, min(seq) OVER (PARTITION BY blob_hash) AS first_doc_id,
        seq > min(seq) OVER (PARTITION BY blob_hash) AS is_duplicate FROM ({DOCS_SQL})""",

@@ -82,3 +82,13 @@ def test_hash_files_below_folders(spark, tmp_folder):
             f.write(data)
     got = {r["path"].rsplit("/", 1)[1]: (r["blob_hash"], r["size_bytes"]) for r in cas.hash_files(spark, tmp_folder).collect()}
     assert got == {n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in (("empty.bin", b""), ("none.bin", b""), ("one.bin", b"1"))}
+
+
+def test_table_fingerprint_is_order_free_and_additive(spark):
+    from quarry.operators.cas import content_hash, table_fingerprint
+
+    def mark(rows):
+        return table_fingerprint(content_hash(spark.createDataFrame([(r,) for r in rows], "t string"), "t"), "content_hash").first()
+    a, b = ["x", "y", "y", ""], ["z", "x"]
+    assert mark(a) == mark(a[::-1]) and mark(a) != mark(["x", "y", ""])
+    assert int(mark(a + b).hash_sum) == int(mark(a).hash_sum) + int(mark(b).hash_sum) and mark(a + b).n_rows == 6
