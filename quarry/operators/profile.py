@@ -11,8 +11,9 @@ Plan shape of :func:`profile_table` (``exact=True``) - one pass over the rows:
 * one aggregate over ``vc`` per (group, column): row and null counts,
   distinct count, mode, min, max and the exact mean;
 * a second pass over ``vc`` for the central moments (std, skewness, kurtosis);
-* exact quantiles from ranks: prefix sums of the counts inside the slices
-  (:mod:`quarry.plans.ordered`), so no task ever holds a whole column.
+* exact quantiles from ranks: counts per slice first, then running sums inside
+  the slices that hold a target rank, so no task ever holds a whole column and
+  the value counts are not moved again.
 
 ``exact=False`` is the sketch path (:mod:`quarry.operators.sketches`): one wide
 aggregate over the rows with HLL and KLL sketches and power sums, plus value
@@ -35,7 +36,7 @@ from quarry.functions.clean import (ColumnSpec, bool_text, column_specs, is_metr
                                     normalized)
 from quarry.functions.numeric import exact_mean, exact_units, mean_from_parts, mean_parts, unit_mean
 from quarry.functions.text import float_text
-from quarry.plans.ordered import SLICE, join_on, prefix_sum, range_slices
+from quarry.plans.ordered import SLICE, join_on, range_slices
 from quarry.sources.readers import file_order
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
@@ -225,16 +226,14 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     """(keys, cidx, q1, median, q3): linear interpolation between the values at
     ranks floor((n-1)q) and ceil((n-1)q).
 
-    Ranks come from a skew-safe prefix sum of the counts in value order; each
-    column then needs the rows whose rank range holds one of its 6 target
-    ranks, found by a join with the (small) target table and gathered in one
-    conditional aggregate.
+    Two steps, so that the value counts are not moved once more: counts per
+    (slice, column) tell which slices hold the six target ranks of a column;
+    only the rows of those slices are ranked by a local running sum.
     """
     numeric = [s.ordinal for s in specs if s.numeric]
     grp = [*keys, "cidx"]
     nv = (vc.where(F.col("cidx").isin(numeric))
             .select(*keys, "cidx", F.col("__v").alias("v"), "cnt", SLICE))
-    ranked = prefix_sum(nv, grp, ["v"], "cnt", out="cb", broadcast_offsets=small, presliced=True)
     ends = []
     for name, q in QUANTILES:
         pos = (F.col("n") - 1).cast("double") * F.lit(q)
@@ -243,15 +242,22 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     targets = (stats.where(F.col("cidx").isin(numeric) & (F.col("n") > 0))
                     .select(*grp, F.explode(F.array(*ends)).alias("t"))
                     .select(*grp, "t.e", "t.r"))
-    r = ranked.alias("r")
-    t = (F.broadcast(targets) if small else targets).alias("t")
-    cond = [F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}")) for g in grp]
-    cond += [F.col("t.r") >= F.col("r.cb"), F.col("t.r") < F.col("r.cb") + F.col("r.cnt")]
-    hit = (r.join(t, reduce(lambda a, b: a & b, cond), "inner")
-            .select(*[F.col(f"r.{g}").alias(g) for g in grp], "t.e", "r.v"))
-    names = [f"{n}_{side}" for n, _ in QUANTILES for side in ("lo", "hi")]
-    return hit.groupBy(*grp).agg(*[F.max(F.when(F.col("e") == e, F.col("v"))).alias(e)
-                                   for e in names])
+    earlier = Window.partitionBy(*grp).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    held = (nv.groupBy(*grp, SLICE).agg(F.sum("cnt").alias("inside"))
+              .withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0).cast("long"))))
+    # at most six rows per (group, column)
+    places = (join_on(held, targets, grp).where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("inside")))
+              .select(*grp, SLICE, "before", "e", "r").checkpoint(eager=True))
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+    part = join_on(nv, side(places.select(*grp, SLICE, "before").distinct()), [*grp, SLICE])
+    local = Window.partitionBy(*grp, SLICE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = part.withColumn("cb", F.col("before") + F.coalesce(F.sum("cnt").over(local), F.lit(0).cast("long"))).drop("before")
+    hit = (join_on(ranked, side(places.drop("before")), [*grp, SLICE])
+           .where((F.col("r") >= F.col("cb")) & (F.col("r") < F.col("cb") + F.col("cnt"))))
+    names = [f"{n}_{end}" for n, _ in QUANTILES for end in ("lo", "hi")]
+    return hit.groupBy(*grp).agg(*[F.max(F.when(F.col("e") == e, F.col("v"))).alias(e) for e in names])
 
 
 def _interpolated(name: str, q: float) -> Column:
