@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.ordered import lag_in_group
+from quarry.session import ensure_checkpoint_dir, shuffle_partitions
 
 
 def content_hash(df: DataFrame, cols: str | list[str], out: str = "content_hash") -> DataFrame:
@@ -222,6 +223,39 @@ def _empty_files(spark, path: str) -> list[str]:
     return out
 
 
+def _empty_below(deep: bool):
+    """Folders in, (path, folder?) of zero-length files out, and of sub-folders unless ``deep`` goes through them."""
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            todo, out = ["/" + p[5:].lstrip("/") for p in batch.column(0).to_pylist()], []
+            while todo:
+                with os.scandir(todo.pop()) as entries:
+                    for e in entries:
+                        if e.is_dir():
+                            todo.append(e.path) if deep else out.append((f"file:{e.path}", True))
+                        elif e.name[0] not in "._" and e.stat().st_size == 0:
+                            out.append((f"file:{e.path}", False))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([d for _, d in out], pa.bool_())], ["path", "folder"])
+    return run
+
+
+def _empty_local_files(spark, path: str) -> DataFrame:
+    """:func:`_empty_files` of a file system that tasks see: they walk a folder each, the driver only resolves the path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tops = [(st.getPath().toString(), st.isDirectory(), st.getLen()) for st in fs.globStatus(where) or []]
+    kind = "path string, folder boolean"
+    files = spark.createDataFrame([(p, False) for p, d, size in tops if not d and size == 0 and p.rsplit("/", 1)[1][0] not in "._"], kind)
+    level = spark.createDataFrame([(p,) for p, d, _ in tops if d], "path string").mapInArrow(_empty_below(False), kind).checkpoint()
+    below = (level.where("folder").select("path").repartition(shuffle_partitions(spark)).mapInArrow(_empty_below(True), kind))
+    return files.unionByName(level.where("not folder")).unionByName(below).select("path")
+
+
 HASH_CHUNK = 8 << 20
 
 
@@ -266,15 +300,20 @@ def hash_files(spark, path: str, chunk: int = HASH_CHUNK) -> DataFrame:
     The listing is Spark's (names and lengths only, large files in a partition
     of their own); each file then passes through a running hash in chunks, so
     its size does not matter.  Spark lists no zero-length files: those are
-    taken from the file statuses with the hash of no bytes.  In a store that
+    taken from the file statuses with the hash of no bytes, by tasks where they
+    see the files (the driver asks one status at a time).  In a store that
     only Spark's readers open, files are hashed as binary values, which ends at
     2 GB a file.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    if _readable_in_chunks(path if ":" in path else spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")):
+    whole = path if ":" in path else spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if _readable_in_chunks(whole):
         files = listed.select("path").mapInArrow(_chunk_hasher(chunk), "path string, blob_hash string, size_bytes long")
     else:
         files = listed.select("path", F.sha2(F.col("content"), 256).alias("blob_hash"), F.col("length").alias("size_bytes"))
+    if whole.startswith("file:"):
+        ensure_checkpoint_dir(spark)
+        return files.unionByName(_empty_local_files(spark, path).select("path", F.lit(EMPTY_SHA256).alias("blob_hash"), F.lit(0).cast("long").alias("size_bytes")))
     empty = _empty_files(spark, path)
     if empty:
         extra = spark.createDataFrame([(p, EMPTY_SHA256, 0) for p in empty],

@@ -13,6 +13,7 @@ from quarry.operators import lineage as L
 from quarry.plans.catalog import CATALOG_SQL, Catalog, with_catalog
 from quarry.plans.stored import stored_metadata
 from quarry.session import scratch_dir
+from quarry.sources.sinks import text_files
 from quarry.sources.tables import table
 
 METRIC_ONE = "accuracy > 0.5"
@@ -122,12 +123,10 @@ def q_verify_chain(spark, sf):
 
 
 def q_hash_files(spark, sf):
-    # one text file per supplier, in a folder of its own
-    folder = scratch_dir(spark, f"files-{uuid.uuid4().hex}")
-    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    # one text file per supplier
+    folder = text_files(table(spark, sf, "supplier"), scratch_dir(spark, f"files-{uuid.uuid4().hex}"), "s_suppkey", "s_name")
     return (cas.hash_files(spark, folder)
-               .select(F.regexp_extract("path", r"s_suppkey=([^/]+)/", 1).cast("long").alias("file_key"),
+               .select(F.regexp_extract("path", r"s_suppkey=([^/]+?)(/|\.txt$)", 1).cast("long").alias("file_key"),
                        "blob_hash", F.col("size_bytes").cast("long").alias("size_bytes")))
 
 
