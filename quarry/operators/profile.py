@@ -38,6 +38,7 @@ from quarry.functions.numeric import exact_mean, exact_units, mean_from_parts, m
 from quarry.functions.text import float_text
 from quarry.plans.ordered import SLICE, join_on, range_slices
 from quarry.sources.readers import file_order
+from quarry.sources.sinks import new_location
 
 QUANTILES = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
 
@@ -555,11 +556,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     duplicates:
 
     1. count rows per 96-bit row hash (``xxhash64`` and ``hash`` of all
-       columns); this shuffles 12-byte keys, pre-aggregated per task;
-    2. rows whose hash occurs more than once (semi join; AQE broadcasts the
-       candidate hashes when they are few) are grouped by the hash *and* every
-       column - already partitioned by the hash, so no second shuffle - which
-       removes any hash collision from the count.
+       columns); this shuffles 12-byte keys, pre-aggregated per task; the
+       candidate hashes, those that occur more than once, are written;
+    2. rows with such a hash (semi join; as their size is known by now, Spark
+       broadcasts the candidates when they are few and no other row is moved)
+       are grouped by the hash *and* every column, which removes any hash
+       collision from the count.
     """
     # maps can be neither hashed nor grouped: their entries in key order stand for them
     df = df.select(*[_comparable(_q(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
@@ -567,6 +569,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     keyed = df.select(F.xxhash64(*cols).alias("__h1"), F.hash(*cols).alias("__h2"), *cols)
     cand = (keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__c"))
                  .where(F.col("__c") > 1).select("__h1", "__h2"))
+    where = new_location(df.sparkSession, "duplicate-hashes")
+    cand.write.parquet(where)
+    cand = df.sparkSession.read.schema(cand.schema).parquet(where)
     groups = (keyed.join(cand, ["__h1", "__h2"], "left_semi")
                    .groupBy("__h1", "__h2", *cols).agg(F.count(F.lit(1)).alias("__c")))
     return groups.agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0).cast("long"))

@@ -4,7 +4,9 @@ import hashlib
 import os
 
 from quarry.operators import cas
+from quarry.operators import profile as P
 from quarry.plans import q_catalog, q_sketches
+from pyspark.sql import functions as F
 
 
 def _plan(df):
@@ -32,3 +34,11 @@ def test_hash_files_finds_empty_files_in_tasks(spark, tmp_folder, monkeypatch):
         f.write(b"1")
     got = [r["path"].rsplit(tmp_folder, 1)[1] for r in cas.hash_files(spark, tmp_folder).collect()]
     assert sorted(got) == ["/a/b/none", "/a/none", "/a/one", "/none"]
+
+
+def test_duplicate_rows_moves_no_row_without_a_candidate(spark):
+    df = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    out = P.duplicate_rows(df.unionByName(df.where("id < 3")).unionByName(df.where("id = 1")))
+    assert out.first()[0] == 4
+    plan = _plan(P.duplicate_rows(df))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
