@@ -223,12 +223,12 @@ def _central_moments(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
 
 
 def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
-                     keys: list[str], small: bool = True) -> DataFrame:
-    """(keys, cidx, q1, median, q3): linear interpolation between the values at
-    ranks floor((n-1)q) and ceil((n-1)q).
+                     keys: list[str], small: bool = True, quantiles: list[tuple[str, float]] = QUANTILES) -> DataFrame:
+    """(keys, cidx, <name>_lo, <name>_hi): of each quantile the values at ranks
+    floor((n-1)q) and ceil((n-1)q), to be interpolated between.
 
     Two steps, so that the value counts are not moved once more: counts per
-    (slice, column) tell which slices hold the six target ranks of a column;
+    (slice, column) tell which slices hold the target ranks of a column;
     only the rows of those slices are ranked by a local running sum.
     """
     numeric = [s.ordinal for s in specs if s.numeric]
@@ -236,7 +236,7 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     nv = (vc.where(F.col("cidx").isin(numeric))
             .select(*keys, "cidx", F.col("__v").alias("v"), "cnt", SLICE))
     ends = []
-    for name, q in QUANTILES:
+    for name, q in quantiles:
         pos = (F.col("n") - 1).cast("double") * F.lit(q)
         ends.append(F.struct(F.lit(f"{name}_lo").alias("e"), F.floor(pos).cast("long").alias("r")))
         ends.append(F.struct(F.lit(f"{name}_hi").alias("e"), F.ceil(pos).cast("long").alias("r")))
@@ -246,7 +246,7 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     earlier = Window.partitionBy(*grp).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     held = (nv.groupBy(*grp, SLICE).agg(F.sum("cnt").alias("inside"))
               .withColumn("before", F.coalesce(F.sum("inside").over(earlier), F.lit(0).cast("long"))))
-    # at most six rows per (group, column)
+    # at most two rows per (group, column) and quantile
     places = (join_on(held, targets, grp).where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("inside")))
               .select(*grp, SLICE, "before", "e", "r").checkpoint(eager=True))
 
@@ -257,7 +257,7 @@ def _exact_quantiles(vc: DataFrame, stats: DataFrame, specs: list[ColumnSpec],
     ranked = part.withColumn("cb", F.col("before") + F.coalesce(F.sum("cnt").over(local), F.lit(0).cast("long"))).drop("before")
     hit = (join_on(ranked, side(places.drop("before")), [*grp, SLICE])
            .where((F.col("r") >= F.col("cb")) & (F.col("r") < F.col("cb") + F.col("cnt"))))
-    names = [f"{n}_{end}" for n, _ in QUANTILES for end in ("lo", "hi")]
+    names = [f"{n}_{end}" for n, _ in quantiles for end in ("lo", "hi")]
     return hit.groupBy(*grp).agg(*[F.max(F.when(F.col("e") == e, F.col("v"))).alias(e) for e in names])
 
 
@@ -309,9 +309,18 @@ def profile_tables(df: DataFrame, keys: list[str] | None = None, exact: bool = T
     return join_on(rows, modes, [*keys, "ordinal"], "left").select(*keys, *PROFILE_COLUMNS), histogram(df, bins, keys)
 
 
+def profile_with_quantiles(df: DataFrame, quantiles: list[tuple[str, float]]) -> tuple[DataFrame, DataFrame]:
+    """(:func:`profile_table`, (column, <name>...)): the profile, and further exact quantiles of the
+    numeric columns from the same value counts, by distributed ranks."""
+    norm, specs = _data_specs(df, [])
+    prof, _, _, found = profile_of_counts(value_counts(norm, specs, [], include_nulls=True), specs, quantiles=quantiles)
+    return prof, found
+
+
 def profile_of_counts(counts: DataFrame, specs: list[ColumnSpec], keys: list[str] | None = None, bins: int = 10,
-                      k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile, histogram, top values) from value counts ``(keys, cidx, l, d, s, cnt)``.
+                      k: int = 5, quantiles: list[tuple[str, float]] | None = None) -> tuple[DataFrame, ...]:
+    """(profile, histogram, top values) from value counts ``(keys, cidx, l, d, s, cnt)``; with
+    ``quantiles`` (names and fractions) also (keys, column, <name>...).
 
     The counts are a mergeable state: those of several files or versions are
     added up per value, and give the exact profile of the whole without the
@@ -331,7 +340,8 @@ def profile_of_counts(counts: DataFrame, specs: list[ColumnSpec], keys: list[str
                             *[F.lit(0).cast("long").alias(c) for c in ("row_count", "n", "unique_count")], F.lit("").alias("mode"),
                             F.lit("").alias("column"), F.lit("").alias("dtype"))
         hist = spark.createDataFrame([], ", ".join([*empty, _EMPTY_HIST]))
-        return _named(stats, keys), hist, spark.createDataFrame([], ", ".join([*empty, "column string, rank int, value string, n bigint"]))
+        nothing = _named(stats, keys), hist, spark.createDataFrame([], ", ".join([*empty, "column string, rank int, value string, n bigint"]))
+        return nothing if quantiles is None else (*nothing, spark.createDataFrame([], ", ".join([*empty, "column string", *[f"`{n}` double" for n, _ in quantiles]])))
     numeric = [s.ordinal for s in specs if s.numeric]
     vc_all = counts.withColumn("__v", F.when(F.col("cidx").isin(numeric), _value_num()) if numeric else F.lit(None).cast("double"))
     vc_all = range_slices(vc_all, grp, ["__v", "s", "l"])
@@ -351,7 +361,11 @@ def profile_of_counts(counts: DataFrame, specs: list[ColumnSpec], keys: list[str
     hist = (_histogram_of(vc.where(F.col("cidx").isin([s.ordinal for s in hs]))
                             .select(*keys, "cidx", _value_num().alias("v"), F.col("cnt").alias("w")), specs, keys, bins, spark)
             if hs else spark.createDataFrame([], ", ".join([*[f"`{x}` string" for x in keys], _EMPTY_HIST])))
-    return _profile_rows(out, specs, keys), hist, _top_of_counts(vc, specs, keys, k)
+    found = (_profile_rows(out, specs, keys), hist, _top_of_counts(vc, specs, keys, k))
+    if quantiles is None:
+        return found
+    ends = join_on(stats, _exact_quantiles(vc, stats, specs, keys, small, quantiles), grp, "inner")
+    return *found, ends.select(*keys, _by_ordinal(specs, "name").alias("column"), *[_interpolated(n, q).alias(n) for n, q in quantiles])
 
 
 def _profile_rows(out: DataFrame, specs: list[ColumnSpec], keys: list[str]) -> DataFrame:

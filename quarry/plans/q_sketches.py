@@ -21,12 +21,11 @@ def q_sketch_profile(spark, sf):
     li, out = table(spark, sf, "lineitem"), new_location(spark, "sketches")
     S.sketch_rows(li.withColumn("year", F.year("l_shipdate")), ["year"]).write.parquet(out)
     merged = S.profile_of_sketches(S.merge_sketches(spark.read.parquet(out)))
-    exact = P.profile_table(li).select("column", F.col("unique_count").alias("distinct"))
-    numeric = [c.name for c in LINEITEM if c.kind in ("integral", "fractional")]
-    bands = [q + d for q in (0.25, 0.5, 0.75) for d in (-RANK_ERROR, RANK_ERROR)]
-    ranks = li.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.percentile(F.col(c).cast("double"), bands).alias("b")) for c in numeric]).alias("a"))
-    inside = [F.col(c).between(F.get("b", F.lit(2 * i)), F.get("b", F.lit(2 * i + 1))) for i, c in enumerate(("q1", "median", "q3"))]
-    return (merged.join(exact, "column").join(ranks.select(F.inline("a")), "column", "left").select(
+    bands = [(f"b{i}", q + d) for i, (q, d) in enumerate((q, d) for q in (0.25, 0.5, 0.75) for d in (-RANK_ERROR, RANK_ERROR))]
+    profile, ranks = P.profile_with_quantiles(li, bands)
+    exact = profile.select("column", F.col("unique_count").alias("distinct"))
+    inside = [F.col(c).between(F.col(f"b{2 * i}"), F.col(f"b{2 * i + 1}")) for i, c in enumerate(("q1", "median", "q3"))]
+    return (merged.join(exact, "column").join(ranks, "column", "left").select(
         *EXACT, F.round("std", 3).alias("std"), (F.abs(F.col("unique_count") - F.col("distinct")) <= DISTINCT_ERROR * F.col("distinct")).alias("distinct_ok"),
         (inside[0] & inside[1] & inside[2]).alias("ranks_ok")))
 

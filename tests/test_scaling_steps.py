@@ -3,6 +3,8 @@
 import hashlib
 import os
 
+import numpy as np
+
 from quarry.operators import cas
 from quarry.operators import profile as P
 from quarry.plans import q_catalog, q_sketches
@@ -36,6 +38,19 @@ def test_hash_files_finds_empty_files_in_tasks(spark, tmp_folder, monkeypatch):
     assert sorted(got) == ["/a/b/none", "/a/none", "/a/one", "/none"]
 
 
+def test_further_quantiles_by_distributed_ranks(spark, tmp_folder):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=500).round(2)
+    df = spark.createDataFrame([(float(v), int(v * 10), None) for v in x], "x double, y long, t string")
+    marks = [("a", 0.0), ("b", 0.24), ("c", 0.51), ("d", 1.0)]
+    prof, found = P.profile_with_quantiles(df, marks)
+    got = {r["column"]: [r[n] for n, _ in marks] for r in found.collect()}
+    for name, v in (("x", x), ("y", [int(k * 10) for k in x])):
+        assert np.allclose(got[name], np.quantile(v, [q for _, q in marks]))
+    assert set(got) == {"x", "y"} and prof.count() == 3
+    assert "percentile" not in _plan(q_sketches.q_sketch_profile(spark, "/root/testdata/sf0.001"))
+
+
 def test_duplicate_rows_moves_no_row_without_a_candidate(spark):
     df = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t"))
     out = P.duplicate_rows(df.unionByName(df.where("id < 3")).unionByName(df.where("id = 1")))
