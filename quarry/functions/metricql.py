@@ -78,17 +78,19 @@ def _number(raw: Column) -> Column:
              .when(~raw.rlike(r"[0-9.]\s*[dDfF]\s*$"), raw.try_cast("double")))
 
 
-def metric_value(m: Column, key: str) -> Column:
-    """Numeric value of metric ``key`` in a parsed metrics map, reference rules."""
-    raw = m.getItem(key)
-    present = F.coalesce(F.map_contains_key(m, key), F.lit(False))
+def metric_number(raw: Column) -> Column:
+    """Number of a metric that is there, from its JSON text: an object's ``latest`` (0 without one) or a scalar."""
     inner = F.from_json(raw, "map<string,string>")
     is_obj = F.ltrim(raw).startswith("{")
     latest = F.when(F.coalesce(F.map_contains_key(inner, "latest"), F.lit(False)),
                     _number(inner.getItem("latest"))).otherwise(F.lit(0.0))
-    return (F.when(~present, F.lit(0.0))
-             .when(is_obj, latest)
-             .otherwise(_number(raw)))
+    return F.when(is_obj, latest).otherwise(_number(raw))
+
+
+def metric_value(m: Column, key: str) -> Column:
+    """Numeric value of metric ``key`` in a parsed metrics map, reference rules."""
+    present = F.coalesce(F.map_contains_key(m, key), F.lit(False))
+    return F.when(~present, F.lit(0.0)).otherwise(metric_number(m.getItem(key)))
 
 
 def _compare(v: Column, op: str, num: float) -> Column:

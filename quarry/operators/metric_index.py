@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.metricql import _compare, metric_value, metrics_map, parse
+from quarry.functions.metricql import _compare, metric_number, metric_value, metrics_map, parse
 
 MOST = 32
 FIELDS = {"file_name": "string", "file_type": "string", "row_count": "bigint", "column_count": "bigint"}
@@ -46,16 +46,20 @@ def frequent_names(records: DataFrame, most: int = MOST, stats: str = "stats") -
 
 
 def with_metric_columns(records: DataFrame, names: list[str], stats: str = "stats") -> DataFrame:
-    """``records`` with the fields and metrics of their JSON as typed columns; the JSON is parsed once a row."""
+    """``records`` with the fields and metrics of their JSON as typed columns.
+
+    The JSON is parsed once a row and each metric that a row has is read once, however many names there are.
+    """
     fields = ", ".join(f"{k}: string" for k in FIELDS)
     parsed = records.withColumn("__p", F.from_json(stats, f"struct<{fields}, custom_metrics: map<string,string>>"))
     m = F.coalesce(F.col("__p.custom_metrics"), F.create_map().cast("map<string,string>"))
     out = parsed.withColumns({k: F.col(f"__p.{k}").try_cast(t) for k, t in FIELDS.items()})
+    out = out.withColumn("__m", F.transform_values(m, lambda _, raw: F.struct(metric_number(raw).alias("v")))).drop("__p")
+    typed = {}
     for n in names:
-        value = F.when(F.map_contains_key(m, n), metric_value(m, n))
-        mark = F.when(F.map_contains_key(m, n) & value.isNull(), F.lit(True))
-        out = out.withColumns({value_column(n): value, mark_column(n): mark})
-    return out.drop("__p")
+        entry = F.col("__m").getItem(n)
+        typed |= {value_column(n): entry["v"], mark_column(n): F.when(entry.isNotNull() & entry["v"].isNull(), F.lit(True))}
+    return out.withColumns(typed).drop("__m")
 
 
 def is_indexed(records: DataFrame) -> bool:

@@ -5,7 +5,9 @@ import os
 
 import numpy as np
 
+from quarry.functions.metricql import metric_value, metrics_map
 from quarry.operators import cas
+from quarry.operators import metric_index as M
 from quarry.operators import profile as P
 from quarry.plans import q_catalog, q_sketches
 from pyspark.sql import functions as F
@@ -57,3 +59,16 @@ def test_duplicate_rows_moves_no_row_without_a_candidate(spark):
     assert out.first()[0] == 4
     plan = _plan(P.duplicate_rows(df))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_metric_columns_read_each_metric_once(spark):
+    names = [f"m{i}" for i in range(12)]
+    rows = [(1, '{"custom_metrics":{"m0":1,"m1":{"latest":2.5},"m2":"x","m3":true,"m4":null,"m5":{"max":3},"m6":"4d"}}'), (2, "{}"), (3, None), (4, "no json")]
+    records = spark.createDataFrame(rows, "id long, stats string")
+    out = M.with_metric_columns(records, names)
+    assert _plan(out).count("from_json") <= 6
+    m = F.coalesce(metrics_map(F.col("stats")), F.create_map().cast("map<string,string>"))
+    want = records.select("id", *[F.when(F.map_contains_key(m, n), metric_value(m, n)).alias(M.value_column(n)) for n in names])
+    assert out.select(*want.columns).sort("id").collect() == want.sort("id").collect()
+    first = out.where("id = 1").first()
+    assert [n for n in names if first[M.mark_column(n)]] == ["m2", "m4", "m6"]
