@@ -84,9 +84,18 @@ def state_at_commits(lifting: DataFrame, commits: DataFrame, entries: DataFrame,
 
 # -- reference counts ---------------------------------------------------------
 
+def _count_by_hash(entries: DataFrame, out: str) -> DataFrame:
+    """(blob_hash, <out>): entries of each hash.  Hex digests are moved as their bytes, half as long; other texts as they are."""
+    c = F.col("object_hash")
+    digest = c.rlike("^[0-9a-f]{64}$")
+    n = (entries.select(F.when(digest, F.unhex(c)).otherwise(c.cast("binary")).alias("k"), digest.alias("digest"))
+         .groupBy("k", "digest").agg(F.count(F.lit(1)).alias(out)))
+    return n.select(F.when(F.col("digest"), F.lower(F.hex("k"))).otherwise(F.col("k").cast("string")).alias("blob_hash"), out)
+
+
 def reference_counts(blobs: DataFrame, entries: DataFrame) -> DataFrame:
     """(blob_hash, size_bytes, refs): how many entries hold each registered blob; zero when none does."""
-    held = entries.groupBy(F.col("object_hash").alias("blob_hash")).agg(F.count(F.lit(1)).alias("n"))
+    held = _count_by_hash(entries, "n")
     return blobs.join(held, "blob_hash", "left").select("blob_hash", "size_bytes", F.coalesce("n", F.lit(0)).cast("long").alias("refs"))
 
 
@@ -103,8 +112,7 @@ def update_counts(counts: DataFrame, added: DataFrame | None = None, removed: Da
                      .select("blob_hash", "size_bytes", F.lit(0).cast("long").alias("refs")).dropDuplicates(["blob_hash"]))
     for part, sign in ((added, 1), (removed, -1)):
         if part is not None:
-            parts.append(part.groupBy(F.col("object_hash").alias("blob_hash")).agg((F.count(F.lit(1)) * sign).alias("refs"))
-                         .select("blob_hash", F.lit(None).cast("long").alias("size_bytes"), "refs"))
+            parts.append(_count_by_hash(part, "n").select("blob_hash", F.lit(None).cast("long").alias("size_bytes"), (F.col("n") * sign).alias("refs")))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -34,7 +34,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.tables import table
@@ -94,7 +94,24 @@ class Catalog:
     @property
     def shipped_entries(self) -> DataFrame:
         """The entries of lines shipped before ``SHIPPED_BEFORE``: the ones still referenced when blobs are collected."""
-        return self._entries(self._t("lineitem").where(F.col("l_shipdate") < F.lit(SHIPPED_BEFORE).cast("timestamp_ntz")))
+        return self._entries(self._t("lineitem").where(self._shipped()))
+
+    @staticmethod
+    def _shipped() -> Column:
+        return F.col("l_shipdate") < F.lit(SHIPPED_BEFORE).cast("timestamp_ntz")
+
+    @property
+    def entry_parts(self) -> DataFrame:
+        """(id, pk, now, kept): the part of every entry among all lines, and among the shipped ones if it is ``kept`` there;
+        ``tree_entries`` and ``shipped_entries`` side by side, from one aggregate."""
+        shipped = F.coalesce(self._shipped(), F.lit(False))
+        return (self._t("lineitem").groupBy("l_orderkey", "l_linenumber")
+                .agg(F.min("l_partkey").alias("pk"), F.min(F.when(shipped, F.col("l_partkey"))).alias("now"), F.bool_or(shipped).alias("kept"))
+                .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "pk", "now", "kept"))
+
+    @staticmethod
+    def part_hash(pk: str) -> Column:
+        return F.sha2(F.concat(F.lit(PART_PREFIX), F.col(pk).cast("string")), 256)
 
     @staticmethod
     def _entries(li: DataFrame) -> DataFrame:
@@ -109,12 +126,12 @@ class Catalog:
             F.col("l_orderkey").alias("tree_id"),
             F.concat(F.lit("line_"), F.col("l_linenumber").cast("string"), F.col("ext")).alias("name"),
             F.lit("file").alias("mode"),
-            F.sha2(F.concat(F.lit(PART_PREFIX), F.col("pk").cast("string")), 256).alias("object_hash"))
+            Catalog.part_hash("pk").alias("object_hash"))
 
     @property
     def blobs(self) -> DataFrame:
         p = self._t("part").select(
-            F.sha2(F.concat(F.lit(PART_PREFIX), F.col("p_partkey").cast("string")), 256).alias("blob_hash"),
+            self.part_hash("p_partkey").alias("blob_hash"),
             (F.col("p_size").cast("long") * PART_SIZE_UNIT).alias("size_bytes"),
             F.lit("part").alias("origin"))
         d = (self._t("documents")

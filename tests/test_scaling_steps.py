@@ -82,3 +82,28 @@ def test_duplicates_of_a_state_by_whole_hashes(spark):
              .select("file_path", when, "cidx", "l", F.lit(None).cast("double").alias("d"), "s", "cnt"))
     assert {r["file_path"]: r["duplicate_rows"] for r in ST._duplicates(state).collect()} == {"f": 2}
     assert "BroadcastHashJoin" in _plan(ST._duplicates(state))
+
+
+def test_reference_counts_aggregate_the_lines_once(spark, tmp_folder, monkeypatch):
+    from datetime import datetime
+
+    from quarry.plans import q_history
+    from quarry.plans.catalog import Catalog
+    early, late = datetime(1994, 1, 1), datetime(1998, 1, 1)
+    lines = [(1, 1, 1, early), (2, 1, 2, late), (3, 1, 3, None), (4, 1, 4, late), (4, 1, 5, early), (5, 1, 6, early), (5, 2, 6, late)]
+    (spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp_ntz")
+     .select("*", F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus")).write.parquet(f"{tmp_folder}/lineitem.parquet"))
+    spark.createDataFrame([(k, k) for k in range(1, 8)], "p_partkey long, p_size int").write.parquet(f"{tmp_folder}/part.parquet")
+    spark.createDataFrame([(1, "abc")], "doc_id long, text string").write.parquet(f"{tmp_folder}/documents.parquet")
+    for name in ("tree_entries", "shipped_entries"):
+        monkeypatch.setattr(Catalog, name, property(lambda self: 1 / 0))
+    got = sorted(r["size_bytes"] for r in q_history.q_gc_reference_counts(spark, tmp_folder).collect())
+    assert got == [3, 200000, 300000, 400000, 700000]  # parts 1, 5 and 6 are held by shipped lines
+
+
+def test_hashes_are_counted_whatever_their_form(spark):
+    from quarry.operators import history as H
+    digest = hashlib.sha256(b"x").hexdigest()
+    rows = [digest, digest, digest.upper(), "h4", "h4", "", None]
+    got = {r["blob_hash"]: r["n"] for r in H._count_by_hash(spark.createDataFrame([(r,) for r in rows], "object_hash string"), "n").collect()}
+    assert got == {digest: 2, digest.upper(): 1, "h4": 2, "": 1, None: 1}
