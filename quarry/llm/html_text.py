@@ -7,7 +7,9 @@ and each page is paired with its neighbours in that order on the same host.
 Each partition hands the pages at its two edges on, one row per edge; pages that
 look beyond an edge join the row of the partition there.  A row that cannot
 answer (an empty partition, or a run of copies) takes over the next one's first,
-over twice the distance each round.  The lines of a
+over twice the distance each round.  An edge hands on a few pages; the hosts of
+pages that are copies of all of those are done again with edges that hand on
+more, until no page is left undecided.  The lines of a
 pair are aligned by their longest common subsequence, and lines shared with a
 neighbour are template: they are deleted - unless they lie inside an explicit
 article or main element, whose own repeated sentences belong to the text.
@@ -41,7 +43,8 @@ from quarry.llm.common import buckets_for, cut, read, text_bytes
 
 PARTITION_BYTES = 2 << 20
 COPY_SHARE = 0.8
-EDGE_PAGES = 4  # pages an edge hands on: its outermost page, the nearest that is no copy of it, and so on
+EDGE_PAGES = 4  # pages an edge hands on at first: its outermost page, the nearest that is no copy of it, and so on
+MORE_PAGES = 8  # times as many for the hosts with a page that is a copy of all of them
 # Names of HTML elements and of common page parts.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "noembed", "noframes", "xmp"}
 NEVER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "fieldset", "head"}
@@ -214,18 +217,19 @@ def unpack(data: bytes | None):
     return json.loads(zlib.decompress(data)) if data is not None else None
 
 
-def _edge(pages: list[Lines], host: list[str], before: list[int]) -> tuple[str | None, list[Lines], bool]:
-    """Host and pages that the last page's side hands on, and whether pages further on may belong to them."""
+def _edge(pages: list[Lines], host: list[str], before: list[int], most: int) -> tuple[str | None, list[Lines], bool, bool]:
+    """Host and pages that the last page's side hands on, whether pages further on may belong to them, and whether more were left out."""
     if not pages:
-        return None, [], True
+        return None, [], True, False
     chain, at = [], len(pages) - 1
-    while at >= 0 and len(chain) < EDGE_PAGES:
+    while at >= 0 and len(chain) < most:
         chain.append(pages[at])
         at = before[at]
-    return host[-1], chain, len(chain) < EDGE_PAGES and host[0] == host[-1] != ""
+    beyond = host[0] == host[-1] != ""
+    return host[-1], chain, len(chain) < most and beyond, len(chain) == most and (at >= 0 or beyond)
 
 
-def _widen(table: pa.RecordBatch) -> pa.RecordBatch:
+def _widen(table: pa.RecordBatch, most: int) -> pa.RecordBatch:
     """Open edges, prolonged by the edges further on."""
     out = []
     for r in table.to_pylist():
@@ -234,30 +238,32 @@ def _widen(table: pa.RecordBatch) -> pa.RecordBatch:
             if far is None:
                 r["open"] = False
             elif r["host"] is None:
-                r |= {"host": r["far_host"], "pages": r["far_pages"], "open": r["far_open"]}
+                r |= {"host": r["far_host"], "pages": r["far_pages"], "open": r["far_open"], "more": r["far_more"]}
             elif r["far_host"] is None:
                 r["open"] = r["far_open"]
             elif r["host"] != r["far_host"]:
                 r["open"] = False
             else:
                 found = nearest(pages[-1], far)
-                pages = (pages + far[found[0]:])[:EDGE_PAGES] if found else pages
-                r |= {"pages": pack(pages), "open": r["far_open"] and len(pages) < EDGE_PAGES}
-        out.append({c: r[c] for c in ("side", "at", "host", "pages", "open")})
+                pages += far[found[0]:] if found else []
+                full = len(pages) >= most
+                r |= {"pages": pack(pages[:most]), "open": r["far_open"] and not full, "more": r["far_more"] or len(pages) > most or full and r["far_open"]}
+        out.append({c: r[c] for c in EDGES.names})
     return pa.RecordBatch.from_pylist(out, EDGES)
 
 
-EDGES = pa.schema([("side", pa.string()), ("at", pa.int64()), ("host", pa.string()), ("pages", pa.binary()), ("open", pa.bool_())])
+EDGES = pa.schema([("side", pa.string()), ("at", pa.int64()), ("host", pa.string()), ("pages", pa.binary()), ("open", pa.bool_()), ("more", pa.bool_())])
+EDGE_KIND = "side string, at long, host string, pages binary, open boolean, more boolean"
 
 
-def _resolved(edges: DataFrame) -> DataFrame:
+def _resolved(edges: DataFrame, most: int) -> DataFrame:
     """Edge rows of which none waits for pages further on."""
-    step, kind = 1, "side string, at long, host string, pages binary, open boolean"
+    step = 1
     edges = cut(edges)
     while edges.where("open").limit(1).count():
         far = edges.select("side", (F.col("at") + step).alias("at"), F.col("host").alias("far_host"), F.col("pages").alias("far_pages"),
-                           F.col("open").alias("far_open"))
-        edges = cut(edges.join(far, ["side", "at"], "left").mapInArrow(lambda batches: map(_widen, batches), kind))
+                           F.col("open").alias("far_open"), F.col("more").alias("far_more"))
+        edges = cut(edges.join(far, ["side", "at"], "left").mapInArrow(lambda batches: (_widen(b, most) for b in batches), EDGE_KIND))
         step *= 2
     return edges
 
@@ -269,8 +275,13 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     path = F.regexp_extract(F.col(url_column), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
     d = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"),
                      F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    d = d.withColumn("tie", F.xxhash64("html"))
-    order = ["host", "path", "page_id", "tie"]
+    out = _texts(d.withColumn("tie", F.xxhash64("html")), kind, EDGE_PAGES).select("page_id", "url", "text", "n_chars")
+    return out.withColumnsRenamed({"page_id": id_column, "url": url_column})
+
+
+def _texts(d: DataFrame, kind: str, most: int) -> DataFrame:
+    """page_id, url, text, n_chars, host of pages (page_id, url, html, host, path, tie), with edges of ``most`` pages at first."""
+    whole, order = d, ["host", "path", "page_id", "tie"]
     d = d.repartitionByRange(buckets_for(text_bytes(d, "html"), PARTITION_BYTES, least=1), *order).sortWithinPartitions(*order)
     ids = pa.from_numpy_dtype({"bigint": "int64", "int": "int32"}.get(kind, "int64")) if kind != "string" else pa.string()
     rows = pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.binary()), ("left", pa.int64()), ("right", pa.int64()),
@@ -295,45 +306,55 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
             template = one[i] | two[j]
             left, right = (at < 0 and host[i] == host[end] != "" for at, end in ((before[i], 0), (after[j], -1)))
             # places that no edge has where a side needs none
-            row = {"page_id": name, "url": url, "left": part - 1 if left else -2 - part, "right": -part - 1 if right else 1 + part}
+            row = {"page_id": name, "url": url, "host": host[i], "left": part - 1 if left else -2 - part, "right": -part - 1 if right else 1 + part}
             if not left and not right:
                 row["text"] = zlib.compress(main_text(lines[i], template).encode("utf-8", "surrogatepass"), 1)
             else:
-                row |= {"host": host[i], "pages": pack(lines[i]), "template": pack(sorted(template))}
+                row |= {"pages": pack(lines[i]), "template": pack(sorted(template))}
             held.append(row)
             size += len(row.get("text") or row["pages"])
             if size > 4 << 20:
                 yield pa.RecordBatch.from_pylist(held, rows)
                 held, size = [], 0
-        for side, at, edge in (("left", part, _edge(lines, host, before)), ("right", -part, _edge(lines[::-1], host[::-1], after))):
-            held.append({"side": side, "at": at, "host": edge[0], "pages": pack(edge[1]), "open": edge[2]})
+        for side, at, edge in (("left", part, _edge(lines, host, before, most)), ("right", -part, _edge(lines[::-1], host[::-1], after, most))):
+            held.append({"side": side, "at": at, "host": edge[0], "pages": pack(edge[1]), "open": edge[2], "more": edge[3]})
         yield pa.RecordBatch.from_pylist(held, rows)
 
+    done_rows = pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host", pa.string()), ("undecided", pa.bool_())])
+    done_kind = f"page_id {kind}, url string, text string, n_chars long, host string, undecided boolean"
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(a, 256) for batch in batches for a in range(0, batch.num_rows, 256)):
             out = []
             for r in part.to_pylist():
+                undecided = False
                 if r["text"] is not None:
                     text = zlib.decompress(r["text"]).decode("utf-8", "surrogatepass")
                 else:
                     lines, template = unpack(r["pages"]), set(unpack(r["template"]))
                     for side in ("left", "right"):
                         if r[f"{side}_host"] == r["host"]:
-                            template |= (nearest(lines, unpack(r[f"{side}_pages"])) or (0, set()))[1]
+                            found = nearest(lines, unpack(r[f"{side}_pages"]))
+                            template |= found[1] if found else set()
+                            undecided |= found is None and r[f"{side}_more"]
                     text = main_text(lines, template)
-                out.append({"page_id": r["page_id"], "url": r["url"], "text": text, "n_chars": len(text)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]))
+                out.append({"page_id": r["page_id"], "url": r["url"], "text": text, "n_chars": len(text), "host": r["host"], "undecided": undecided})
+            yield pa.RecordBatch.from_pylist(out, done_rows)
 
-    done = cut(d.drop("path", "tie").mapInArrow(run, f"page_id {kind}, url string, text binary, left long, right long, template binary, "
-                                                     "side string, at long, host string, pages binary, open boolean"))
-    edges = _resolved(done.where("side is not null").select("side", "at", "host", "pages", "open"))
-    texts = done.where("side is null and text is not null").select("page_id", "url", "text")
+    done = cut(d.drop("path", "tie").mapInArrow(run, f"page_id {kind}, url string, text binary, left long, right long, template binary, {EDGE_KIND}"))
+    edges = _resolved(done.where("side is not null").select(*EDGES.names), most)
+    texts = done.where("side is null and text is not null").select("page_id", "url", "text", "host")
     open_ = done.where("side is null and text is null").select("page_id", "url", "text", "left", "right", "template", "host", "pages")
     for side in ("left", "right"):
         open_ = open_.join(edges.where(F.col("side") == side).select(F.col("at").alias(side), F.col("host").alias(f"{side}_host"),
-                                                                     F.col("pages").alias(f"{side}_pages")), side, "left")
-    out = texts.unionByName(open_, allowMissingColumns=True).mapInArrow(finish, f"page_id {kind}, url string, text string, n_chars long")
-    return out.withColumnsRenamed({"page_id": id_column, "url": url_column})
+                                                                     F.col("pages").alias(f"{side}_pages"), F.col("more").alias(f"{side}_more")), side, "left")
+    last = cut(open_.mapInArrow(finish, done_kind))
+    out = texts.mapInArrow(finish, done_kind).unionByName(last)
+    late = last.where("undecided").select("host").distinct()
+    if late.limit(1).count():
+        again = _texts(whole.join(late, "host", "left_semi").select(*whole.columns), kind, most * MORE_PAGES)
+        return out.drop("undecided").join(late, "host", "left_anti").select(*again.columns).unionByName(again)
+    return out.drop("undecided")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
