@@ -21,6 +21,7 @@ null ids come first.  Extra columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -30,35 +31,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import elias_fano
-from quarry.llm.bpe import vocabulary_path
+from quarry.llm.bpe import byte_symbols, vocabulary_path
 from quarry.llm.common import buckets_for, read, text_bytes
 from quarry.session import ensure_checkpoint_dir
 
 SHARD_IDS = 1 << 20
 PARTITION_BYTES = 16 << 20  # text in one range partition
-CACHE = 400_000  # chunks in each of the two generations that a worker remembers
+CACHE = 400_000  # chunks, and as many parts of chunks, in each of the two generations that a worker remembers
 SPACER = "\x01"
 _HEAD = struct.Struct("<4sBxxxQ")
-_CHUNKS = regex.compile(r"[^\x20\x09-\x0D]+").findall
-# The split pattern of the vocabulary's pre-tokenizer, for lower-cased ASCII text.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+").findall
+# What the vocabulary's normalizer and pre-tokenizer do, and the same for lower-cased text of ASCII, Latin-1 letters and common marks.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ¡¿«»–—‘’“”…]*").fullmatch
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]+|\n").findall
 SHARD_SCHEMA = "part int, seq int, first long, n_ids long, doc_ids array<long>, payload binary"
 
 
+class Remembered:
+    """Values by key in two generations of bounded size."""
+
+    def __init__(self):
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def unknown(self, keys: set) -> list:
+        """Those of ``keys`` that are in neither generation; the others are in the recent one afterwards."""
+        missing = keys.difference(self.recent)
+        if len(self.recent) + len(missing) > CACHE and len(self.recent) > 0:
+            self.older, self.recent = self.recent, {}
+            missing = keys
+        todo, get = [], self.older.get
+        for k in missing:
+            got = get(k)
+            if got is None:
+                todo.append(k)
+            else:
+                self.recent[k] = got
+        return todo
+
+
 class ChunkEncoder:
     """Ids of a text, chunk by chunk.
 
     The tokenizer drops white space and none of its rules looks across it, so
-    a text's ids are those of its chunks between ASCII white space; each
-    distinct chunk goes through the library once while it is remembered.
-    ASCII texts without special tokens are lower-cased and cut further, into
-    the pre-tokens that the tokenizer itself would take one by one.
+    a text's ids are those of its chunks between ASCII white space
+    (``bytes.split`` of the UTF-8 text).  The ids of recent chunks are
+    remembered.  A new chunk of plain characters without special tokens is
+    lower-cased and cut into the pre-tokens that the tokenizer itself would
+    take one by one; these are remembered too, and a new one goes through the
+    library's BPE model once while it is.  Other new chunks, and all chunks
+    of a vocabulary with other rules, go through the whole tokenizer.
     """
 
     def __init__(self, spec: str):
@@ -68,42 +96,68 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         (self.spacer,) = self.tokenizer.encode(SPACER, add_special_tokens=False).ids
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Remember the ids of these chunks."""
-        todo = []
-        for c in chunks:
-            got = self.older.get(c)
-            if got is None:
-                todo.append(c)
-            else:
-                self.recent[c] = got
+        rules = json.loads(spec)
+        split = [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+                 {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.gap = np.array([np.iinfo(self.kind).max], self.kind).tobytes()  # between the ids of chunks
+        self.cuts = self.tokenizer.get_vocab_size() < 1 << 16 and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": split}
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.chunks, self.parts = Remembered(), Remembered()
+
+    def _sliced(self, ids: list[int], bounds: list[int]) -> Iterator[bytes]:
+        width, data = self.kind.itemsize, np.array(ids, self.kind).tobytes()
+        return (data[x * width: y * width] for x, y in zip(bounds, bounds[1:]))
+
+    def _of_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each pre-token."""
+        ids, bounds, tokenize, symbols = [], [0], self.model.tokenize, self.symbols
+        for p in parts:
+            if not (p.isascii() and p.isprintable()):
+                p = p.encode().decode("latin-1").translate(symbols)
+            ids += [t.id for t in tokenize(p)]
+            bounds.append(len(ids))
+        return self._sliced(ids, bounds)
+
+    def _of_chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each chunk with its ids, by the whole tokenizer."""
         # many chunks a call, kept apart by a character that stands for itself
-        alone = [c for c in todo if SPACER in c or "<|" in c]
-        todo = [c for c in todo if not (SPACER in c or "<|" in c)]
-        parts = [todo[k: k + 256] for k in range(0, len(todo), 256)]
-        joined = [f" {SPACER} ".join(p) for p in parts] + alone
-        for p, e in zip([*parts, *([c] for c in alone)], self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        alone = [c for c in chunks if SPACER in c or "<|" in c]
+        todo = [c for c in chunks if not (SPACER in c or "<|" in c)]
+        groups = [todo[k: k + 256] for k in range(0, len(todo), 256)]
+        joined = [f" {SPACER} ".join(g) for g in groups] + alone
+        for g, e in zip([*groups, *([c] for c in alone)], self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            cuts = np.flatnonzero(ids == self.spacer) if len(p) > 1 else []
-            for c, x, y in zip(p, [0, *(k + 1 for k in cuts)], [*cuts, len(ids)]):
-                self.recent[c] = ids[x:y].tobytes()
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Ids of each text with ``end`` appended, as bytes."""
-        split = [_ASCII(t.lower()) if t.isascii() and "<|" not in t else _CHUNKS(t) for t in texts]
-        recent = self.recent
-        distinct = set().union(*split)
-        missing = distinct.difference(recent)
-        if len(recent) + len(missing) > CACHE and len(recent) > 0:
-            self.older, self.recent = recent, {}
-            missing = distinct
-        self.learn(missing)
-        get, tail = self.recent.__getitem__, np.array([end], self.kind).tobytes()
+            at = np.flatnonzero(ids == self.spacer).tolist() if len(g) > 1 else []
+            for c, x, y in zip(g, [0, *(k + 1 for k in at)], [*at, len(ids)]):
+                yield c, ids[x:y].tobytes()
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Remember the ids of these chunks."""
+        recent, plain, others = self.chunks.recent, chunks if self.cuts else [], [] if self.cuts else chunks
+        text = b"\n".join(plain).decode()
+        if "<|" in text or not _PLAIN(text):
+            fits = [b"<|" not in c and bool(_PLAIN(c.decode())) for c in plain]
+            plain, others = [c for c, f in zip(plain, fits) if f], [c for c, f in zip(plain, fits) if not f]
+            text = b"\n".join(plain).decode()
+        if plain:
+            parts = _PARTS(text.lower())
+            new = self.parts.unknown(set(parts).difference("\n"))
+            known = self.parts.recent
+            known.update(zip(new, self._of_parts(new)))
+            ids = b"".join([known[x] if x != "\n" else self.gap for x in parts])
+            at = np.flatnonzero(np.frombuffer(ids, self.kind) == np.frombuffer(self.gap, self.kind)) * len(self.gap)
+            recent.update((c, ids[x:y]) for c, x, y in zip(plain, [0, *(at + len(self.gap)).tolist()], [*at.tolist(), len(ids)]))
+        for s, ids in self._of_chunks([c.decode() for c in others]):
+            recent[s.encode()] = ids
+
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """Ids of each text (UTF-8) with ``end`` appended, as bytes."""
+        split = [t.split() for t in texts]
+        self.learn(self.chunks.unknown(set().union(*split)))
+        get, tail = self.chunks.recent.__getitem__, np.array([end], self.kind).tobytes()
         return [b"".join(map(get, s)) + tail for s in split]
 
 
@@ -171,7 +225,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end: int, id_co
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
+                texts = [t or b"" for t in piece.column(1).cast(pa.binary()).to_pylist()]
                 for i, b in zip(piece.column(0).to_pylist(), encoder.encode(texts, end)):
                     ids.append(i)
                     data.append(b)

@@ -403,3 +403,17 @@ def test_pipeline_stages(spark, rows):
     clean = {r["doc_id"]: r for r in pipeline.redact_personal_data(spark, docs, "").where(F.col("doc_id") == 300).collect()}
     assert clean[300]["text"] == "mail <EMAIL> now" and clean[300]["n_chars"] == 16
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "benchmark_decontamination", "pii", "bpe"]
+
+
+def test_token_ids_of_new_chunks():
+    """New chunks of plain characters share their words' ids; all ids are the tokenizer's."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from quarry.llm.token_ids import ChunkEncoder
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = ChunkEncoder(f.read())
+    texts = ["Été, été. «été» ÉTÉ!", "Don't I'LL d'été it’S", "1é2 É\x01é é\x7f\x05 a\x1cb", "ñ́ é ×÷ª ÿŸ İK 🙂x b　c d\x85e", "<| Ça<|x|> <|endoftext|>", "", " \n"]
+    assert encoder.encode([texts[0].encode()], 2) and {"été", ",", ".", "«", "»", "!"} == set(encoder.parts.recent)
+    for text, got in zip(texts, encoder.encode([t.encode() for t in texts], 2)):
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, encoder.kind).tolist() == [*want, 2], text
