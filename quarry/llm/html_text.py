@@ -9,7 +9,8 @@ look beyond an edge join the row of the partition there.  A row that cannot
 answer (an empty partition, or a run of copies) takes over the next one's first,
 over twice the distance each round.  An edge hands on a few pages; the hosts of
 pages that are copies of all of those are done again with edges that hand on
-more, until no page is left undecided.  The lines of a
+more, until no page is left undecided.  Pages are moved compressed, and finished
+texts are kept in compressed blocks until the edges are known.  The lines of a
 pair are aligned by their longest common subsequence, and lines shared with a
 neighbour are template: they are deleted - unless they lie inside an explicit
 article or main element, whose own repeated sentences belong to the text.
@@ -28,6 +29,7 @@ ignored; pages of any length are used whole.
 
 from __future__ import annotations
 
+import bz2
 import html
 import json
 import re
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import buckets_for, cut, read, text_bytes
 
 PARTITION_BYTES = 2 << 20
+BLOCK_CHARS = 800_000  # text of finished pages that is compressed at once
 COPY_SHARE = 0.8
 EDGE_PAGES = 4  # pages an edge hands on at first: its outermost page, the nearest that is no copy of it, and so on
 MORE_PAGES = 8  # times as many for the hosts with a page that is a copy of all of them
@@ -279,77 +282,102 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     return out.withColumnsRenamed({"page_id": id_column, "url": url_column})
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with compressed pages."""
+    for batch in batches:
+        pages = pa.array([zlib.compress(x or b"") for x in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pages, *batch.columns[3:]], batch.schema.names)
+
+
 def _texts(d: DataFrame, kind: str, most: int) -> DataFrame:
     """page_id, url, text, n_chars, host of pages (page_id, url, html, host, path, tie), with edges of ``most`` pages at first."""
     whole, order = d, ["host", "path", "page_id", "tie"]
-    d = d.repartitionByRange(buckets_for(text_bytes(d, "html"), PARTITION_BYTES, least=1), *order).sortWithinPartitions(*order)
+    packed = d.mapInArrow(_packed, f"page_id {kind}, url string, html binary, host string, path string, tie long")
+    d = packed.repartitionByRange(buckets_for(text_bytes(d, "html"), PARTITION_BYTES, least=1), *order).sortWithinPartitions(*order)
     ids = pa.from_numpy_dtype({"bigint": "int64", "int": "int32"}.get(kind, "int64")) if kind != "string" else pa.string()
-    rows = pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.binary()), ("left", pa.int64()), ("right", pa.int64()),
+    rows = pa.schema([("page_id", ids), ("url", pa.string()), ("texts", pa.binary()), ("left", pa.int64()), ("right", pa.int64()),
                       ("template", pa.binary()), *EDGES])
+    done_rows = pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host", pa.string()), ("undecided", pa.bool_())])
+    done_kind = f"page_id {kind}, url string, text string, n_chars long, host string, undecided boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pages, those that look beyond an edge with their lines; then the two edges of the partition."""
+        """Blocks of finished pages; pages that look beyond an edge with their lines; then the two edges of the partition."""
         part = TaskContext.get().partitionId()
         names, host, lines = [], [], []
         for batch in batches:
             for i, u, page, h in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 names.append((i, u))
                 host.append(h)
-                lines.append(lines_of(page or ""))
+                lines.append(lines_of(zlib.decompress(page).decode("utf-8", "surrogatepass")))
                 if len(lines) > 1 and lines[-1] == lines[-2]:
                     lines[-1] = lines[-2]
         before, one = difference(lines, host)
         after, two = difference(lines[::-1], host[::-1])
-        held, size = [], 0
+        held, size, finished, length = [], 0, [], 0
+
+        def block() -> dict:
+            table = pa.RecordBatch.from_pylist(finished, done_rows)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, done_rows) as writer:
+                writer.write_batch(table)
+            finished.clear()
+            return {"texts": bz2.compress(sink.getvalue())}
+
         for i, (name, url) in enumerate(names):
             j = len(names) - 1 - i
             template = one[i] | two[j]
             left, right = (at < 0 and host[i] == host[end] != "" for at, end in ((before[i], 0), (after[j], -1)))
-            # places that no edge has where a side needs none
-            row = {"page_id": name, "url": url, "host": host[i], "left": part - 1 if left else -2 - part, "right": -part - 1 if right else 1 + part}
             if not left and not right:
-                row["text"] = zlib.compress(main_text(lines[i], template).encode("utf-8", "surrogatepass"), 1)
+                text = main_text(lines[i], template)
+                finished.append({"page_id": name, "url": url, "text": text, "n_chars": len(text), "host": host[i], "undecided": False})
+                length += len(text)
+                if length > BLOCK_CHARS:
+                    held.append(block())
+                    size, length = size + len(held[-1]["texts"]), 0
             else:
-                row |= {"pages": pack(lines[i]), "template": pack(sorted(template))}
-            held.append(row)
-            size += len(row.get("text") or row["pages"])
+                # places that no edge has where a side needs none
+                held.append({"page_id": name, "url": url, "host": host[i], "left": part - 1 if left else -2 - part, "right": -part - 1 if right else 1 + part,
+                             "pages": pack(lines[i]), "template": pack(sorted(template))})
+                size += len(held[-1]["pages"])
             if size > 4 << 20:
                 yield pa.RecordBatch.from_pylist(held, rows)
                 held, size = [], 0
+        if finished:
+            held.append(block())
         for side, at, edge in (("left", part, _edge(lines, host, before, most)), ("right", -part, _edge(lines[::-1], host[::-1], after, most))):
             held.append({"side": side, "at": at, "host": edge[0], "pages": pack(edge[1]), "open": edge[2], "more": edge[3]})
         yield pa.RecordBatch.from_pylist(held, rows)
 
-    done_rows = pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host", pa.string()), ("undecided", pa.bool_())])
-    done_kind = f"page_id {kind}, url string, text string, n_chars long, host string, undecided boolean"
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages of the blocks."""
+        for batch in batches:
+            for data in batch.column(0):
+                yield from pa.ipc.open_stream(bz2.decompress(data.as_py()))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(a, 256) for batch in batches for a in range(0, batch.num_rows, 256)):
             out = []
             for r in part.to_pylist():
                 undecided = False
-                if r["text"] is not None:
-                    text = zlib.decompress(r["text"]).decode("utf-8", "surrogatepass")
-                else:
-                    lines, template = unpack(r["pages"]), set(unpack(r["template"]))
-                    for side in ("left", "right"):
-                        if r[f"{side}_host"] == r["host"]:
-                            found = nearest(lines, unpack(r[f"{side}_pages"]))
-                            template |= found[1] if found else set()
-                            undecided |= found is None and r[f"{side}_more"]
-                    text = main_text(lines, template)
+                lines, template = unpack(r["pages"]), set(unpack(r["template"]))
+                for side in ("left", "right"):
+                    if r[f"{side}_host"] == r["host"]:
+                        found = nearest(lines, unpack(r[f"{side}_pages"]))
+                        template |= found[1] if found else set()
+                        undecided |= found is None and r[f"{side}_more"]
+                text = main_text(lines, template)
                 out.append({"page_id": r["page_id"], "url": r["url"], "text": text, "n_chars": len(text), "host": r["host"], "undecided": undecided})
             yield pa.RecordBatch.from_pylist(out, done_rows)
 
-    done = cut(d.drop("path", "tie").mapInArrow(run, f"page_id {kind}, url string, text binary, left long, right long, template binary, {EDGE_KIND}"))
+    done = cut(d.drop("path", "tie").mapInArrow(run, f"page_id {kind}, url string, texts binary, left long, right long, template binary, {EDGE_KIND}"))
     edges = _resolved(done.where("side is not null").select(*EDGES.names), most)
-    texts = done.where("side is null and text is not null").select("page_id", "url", "text", "host")
-    open_ = done.where("side is null and text is null").select("page_id", "url", "text", "left", "right", "template", "host", "pages")
+    texts = done.where("texts is not null").select("texts")
+    open_ = done.where("side is null and texts is null").select("page_id", "url", "left", "right", "template", "host", "pages")
     for side in ("left", "right"):
         open_ = open_.join(edges.where(F.col("side") == side).select(F.col("at").alias(side), F.col("host").alias(f"{side}_host"),
                                                                      F.col("pages").alias(f"{side}_pages"), F.col("more").alias(f"{side}_more")), side, "left")
     last = cut(open_.mapInArrow(finish, done_kind))
-    out = texts.mapInArrow(finish, done_kind).unionByName(last)
+    out = texts.mapInArrow(opened, done_kind).unionByName(last)
     late = last.where("undecided").select("host").distinct()
     if late.limit(1).count():
         again = _texts(whole.join(late, "host", "left_semi").select(*whole.columns), kind, most * MORE_PAGES)
