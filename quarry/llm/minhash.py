@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Hasher, U64, cut, mix, pieces, read, release, utf8_column
+from quarry.llm.common import SMALL_PIECE, Hasher, U64, cut, mix, pieces, read, release, utf8_column
 from quarry.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
@@ -83,7 +83,7 @@ def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for a, b, piece in pieces(*utf8_column(batch.column(1)), lower=True):
+            for a, b, piece in pieces(*utf8_column(batch.column(1)), lower=True, limit=SMALL_PIECE):
                 hashes, bounds = shingle_sets(piece, width)
                 n = np.diff(bounds)
                 keys = np.zeros((b - a, 2), U64)
@@ -133,7 +133,7 @@ def _screen(threshold: float):
 def _confirm(width: int, percent: int):
     def sets(column: pa.Array) -> list[np.ndarray]:
         out = []
-        for _, _, piece in pieces(*utf8_column(column), lower=True):
+        for _, _, piece in pieces(*utf8_column(column), lower=True, limit=SMALL_PIECE):
             hashes, bounds = shingle_sets(piece, width)
             out += [hashes[x:y] for x, y in zip(bounds, bounds[1:])]
         return out
@@ -154,7 +154,7 @@ def _set_rows(width: int):
     """(rep, set) with the sorted shingle hashes of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, piece in pieces(*utf8_column(batch.column(1)), lower=True):
+            for a, b, piece in pieces(*utf8_column(batch.column(1)), lower=True, limit=SMALL_PIECE):
                 hashes, bounds = shingle_sets(piece, width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([hashes[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())], ["rep", "set"])

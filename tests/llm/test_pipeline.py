@@ -122,3 +122,18 @@ def test_across_returns_a_forest(spark):
                       "sig": pa.array([sig] * 2 * n, pa.binary()), "set": pa.array([one.tobytes()] * 2 * n, pa.binary())})
     out = minhash._across(0.85, 85)([None, pa.scalar(0), pa.scalar(0)], table)
     assert out.num_rows == n - 1
+
+
+def test_hash_tables_stay_small():
+    """The two stages that hash words keep a few MB of tables in a worker, whatever the size of a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.llm import common, minhash, toxicity
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(97 + x) if x < 26 else " " for x in rng.integers(0, 30, 4000)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts)], ["doc_id", "text"])
+    minhash.HASH.bytes_powers = common.Powers(int(minhash.HASH.bytes_powers.base))
+    assert sum(b.num_rows for b in minhash._describe(5)([batch])) == 1200
+    assert toxicity.SMALL_PIECE == common.SMALL_PIECE
+    assert minhash.HASH.bytes_powers.up.nbytes + minhash.HASH.bytes_powers.down.nbytes < 16 << 20
