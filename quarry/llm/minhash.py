@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SMALL_PIECE, Hasher, U64, cut, mix, pieces, read, release, utf8_column
+from quarry.llm.common import SMALL_PIECE, Hasher, U64, cut, mix, pieces, read, release, tasks_for, utf8_column
 from quarry.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
 SIGMAS = 5  # standard deviations of the signature's estimate that a link may fall short of the threshold
 BLOCK = 512  # bucket members compared at once in the exhaustive step
+TASK_TEXTS, TASK_SHINGLES = 8192, 2_000_000  # texts and shingles that a task of the steps after the signatures stands for
 HASH = Hasher(1010)
 _RNG = np.random.Generator(np.random.PCG64(77))
 A = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | U64(1)
@@ -255,40 +256,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     threshold, spark = percent / 100, docs.sparkSession
     d = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     described = cut(d.mapInArrow(_describe(width), "doc_id long, n_shingles long, key binary, sig binary"))
-    reps = cut(described.where("key is not null and doc_id is not null")
-               .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    amount = described.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
+    tasks = tasks_for(spark, max(amount["n"] / TASK_TEXTS, amount["shingles"] / TASK_SHINGLES))
+
+    def few(df: DataFrame) -> DataFrame:
+        """The steps after the signatures are many and small: as many tasks as the amount of text asks for."""
+        return df.coalesce(tasks)
+
+    d, described = few(d), few(described)
+    reps = cut(few(described.where("key is not null and doc_id is not null")
+                   .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))))
     sigs = reps.select("rep", "sig")
     bands = sigs.select("rep", "sig").mapInArrow(_band_rows, "band long, nth int, rep long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Screened pairs (a, b) that are links on the full sets."""
-        wanted = cut(pairs)
-        ids = wanted.select(F.col("a").alias("doc_id")).union(wanted.select("b")).distinct()
-        texts = cut(d.where("doc_id is not null").join(ids, "doc_id"))
+        wanted = cut(few(pairs))
+        ids = few(wanted.select(F.col("a").alias("doc_id")).union(wanted.select("b")).distinct())
+        texts = cut(few(d.where("doc_id is not null").join(ids, "doc_id")))
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return cut(wanted.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-                   .mapInArrow(_confirm(width, percent), "u long, v long").distinct())
+        return cut(few(few(few(wanted.join(left, "a")).join(right, "b").select("a", "b", "text_a", "text_b"))
+                       .mapInArrow(_confirm(width, percent), "u long, v long").distinct()))
 
     # every member of a bucket with the bucket's smallest id
-    centres = cut(bands.groupBy("band").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"))
-    star = cut(bands.join(centres, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    screened = (star.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a")
-                .join(sigs.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
-                .mapInArrow(_screen(threshold), "a long, b long"))
-    known = cut(connected_components(confirmed(screened)))
+    centres = cut(few(bands.groupBy("band").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")))
+    star = cut(few(few(bands.join(centres, "band").where("rep <> a").select("a", F.col("rep").alias("b"))).distinct()))
+    screened = few(few(star.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a"))
+                   .join(sigs.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")).mapInArrow(
+                       _screen(threshold), "a long, b long")
+    known = cut(few(connected_components(confirmed(screened), tasks)))
 
     def joined(links: DataFrame) -> DataFrame:
         """Components with some more links; those so far stand for the links that made them."""
-        return cut(connected_components(known.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)))
+        return cut(few(connected_components(
+            known.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), tasks)))
 
     def open_buckets() -> DataFrame | None:
         """Members of buckets in which pairs across components are left; the centre's pairs are done."""
-        named = sigs.join(known, sigs["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-        members = bands.join(centres, "band").where("rep <> a").select("band", "nth", "rep").join(named, "rep")
-        still = cut(members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
-                    .agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n"))
-        return None if still.isEmpty() else members.join(still, "band")
+        named = few(sigs.join(known, sigs["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp")))
+        members = few(few(bands.join(centres, "band").where("rep <> a").select("band", "nth", "rep")).join(named, "rep"))
+        still = cut(few(few(members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))).groupBy("band")
+                        .agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")))
+        return None if still.isEmpty() else few(members.join(still, "band"))
 
     def share(members: str) -> Column:
         """Number of blocks of ``BLOCK`` members."""
@@ -297,8 +307,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     left = open_buckets()
     if left is not None:
         own = F.pmod(F.xxhash64("rep"), share("n")).cast("int").alias("i")  # each member meets those of its own block only
-        near = left.select("band", own, "rep", "comp").join(sigs, "rep").groupBy("band", "i").applyInArrow(_nearest(threshold), "a long, b long")
-        known = joined(confirmed(near.distinct().join(star, ["a", "b"], "left_anti")))
+        near = few(few(left.select("band", own, "rep", "comp").join(sigs, "rep")).groupBy("band", "i").applyInArrow(_nearest(threshold), "a long, b long"))
+        known = joined(confirmed(few(near.distinct()).join(star, ["a", "b"], "left_anti")))
         release(spark)
         left = open_buckets()
     if left is not None:
@@ -309,17 +319,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
             "nth", F.lit(0).alias("side"), "small", "rep", "comp")
         asked = left.select("band", F.explode(F.sequence(F.lit(0), share("n - most") - 1)).alias("i"),
                             F.pmod(F.xxhash64("rep"), share("n")).cast("int").alias("j"), "nth", F.lit(1).alias("side"), "small", "rep", "comp")
-        rows = cut(asking.union(asked).join(sigs, "rep").groupBy("band", "i", "j").applyInArrow(_worth_confirming(threshold), ROW))
-        texts = d.where("doc_id is not null").join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-        sets = cut(texts.mapInArrow(_set_rows(width), "rep long, set binary").where("octet_length(set) > 0").distinct())
-        links = cut(rows.join(sigs, "rep").join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_across(threshold, percent), "u long, v long").distinct())
+        rows = cut(few(few(asking.union(asked).join(sigs, "rep")).groupBy("band", "i", "j").applyInArrow(_worth_confirming(threshold), ROW)))
+        texts = few(d.where("doc_id is not null").join(few(rows.select(F.col("rep").alias("doc_id")).distinct()), "doc_id"))
+        sets = cut(few(texts.mapInArrow(_set_rows(width), "rep long, set binary").where("octet_length(set) > 0").distinct()))
+        links = cut(few(few(few(few(rows.join(sigs, "rep")).join(sets, "rep")).groupBy("band", "i", "j").applyInArrow(_across(threshold, percent), "u long, v long"))
+                        .distinct()))
         release(spark)
         if not links.isEmpty():
             known = joined(links)
     final = known
-    by_key = cut(reps.select("key", "rep").join(final, F.col("rep") == F.col("node"), "left")
-                 .select("key", F.coalesce("component", "rep").alias("least")))
-    out = described.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
+    by_key = cut(few(reps.select("key", "rep").join(final, F.col("rep") == F.col("node"), "left")
+                     .select("key", F.coalesce("component", "rep").alias("least"))))
+    out = few(described.select("doc_id", "n_shingles", "key").join(by_key, "key", "left"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     return out.select(F.col("doc_id").alias(id_column), "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

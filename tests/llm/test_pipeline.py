@@ -137,3 +137,44 @@ def test_hash_tables_stay_small():
     assert sum(b.num_rows for b in minhash._describe(5)([batch])) == 1200
     assert toxicity.SMALL_PIECE == common.SMALL_PIECE
     assert minhash.HASH.bytes_powers.up.nbytes + minhash.HASH.bytes_powers.down.nbytes < 16 << 20
+
+
+def test_estimates_of_components_stay_small(spark, capsys):
+    """Spark's estimate of the size of the edges does not multiply from round to round."""
+    from quarry.llm.components import connected_components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    out = connected_components(chain)
+    assert {(r["node"], r["component"]) for r in out.collect()} == {(i, 0) for i in range(61)}
+    capsys.readouterr()
+    out.explain(mode="cost")
+    powers = [int(x) for x in re.findall(r"sizeInBytes=[0-9.]+E\+([0-9]+)", capsys.readouterr().out)]
+    assert max([0, *powers]) < 60
+
+
+def test_small_steps_have_few_tasks(spark, monkeypatch):
+    """However many partitions the shuffle has, the tables of the steps after the signatures have as many as the texts ask for."""
+    from quarry.llm import components, minhash
+
+    rng = random.Random(5)
+    base = words(rng, 60).split()
+    rows = [(i, " ".join(base[: i % 60] + [f"edit{i}"] + base[i % 60 + 1:])) for i in range(40)]
+    made = []
+
+    def kept(df, cut=minhash.cut):
+        out = cut(df)
+        made.append(out.rdd.getNumPartitions())
+        return out
+    monkeypatch.setattr(minhash, "cut", kept)
+    monkeypatch.setattr(components, "cut", kept)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 40 and {r["component_id"] for r in got} == {0}
+    assert len(made) > 10 and max(made) <= max(2 * spark.sparkContext.defaultParallelism, 16)
