@@ -170,6 +170,67 @@ def test_language_model(spark, rows):
     assert lm_scores(frame(spark, [])).count() == 0
 
 
+def test_language_model_of_three_words(spark, tmp_path):
+    from quarry.llm import ngram_lm
+    from quarry.llm.ngram_lm import ALPHA
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(400)]
+    rows += [(1000 + i, "x a y") for i in range(60)] + [(2000 + i, "z a v") for i in range(60)]  # what follows a is told by the word before it
+    rows += [(3000, None), (3001, ""), (None, "x a v"), (3002, "z a y"), (1001, "x a y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    end, grams, held = object(), [collections.Counter() for _ in range(4)], collections.Counter()
+    tokens = lambda t: [end, end, *(t or "").split(), end]
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            w = tokens(t)
+            for k in range(2, len(w)):
+                for n in (1, 2, 3):
+                    grams[n][tuple(w[k - n + 1: k + 1])] += 1
+                held[tuple(w[k - 2: k])] += 1  # as a context
+    n, v = sum(grams[1].values()), len(grams[1])
+
+    def log_p(a, b, c):
+        p = (grams[1][c,] + 0.1) / (n + 0.1 * (v + 1))
+        p = (grams[2][b, c] + ALPHA * p) / (grams[1][b,] + ALPHA)
+        return math.log10((grams[3][a, b, c] + ALPHA * p) / (held[a, b] + ALPHA))
+    got = {(r["doc_id"], r["n_tokens"]): r for r in ngram_lm.op9_ngram_lm(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        w = tokens(t)
+        want = sum(log_p(*w[k - 2: k + 1]) for k in range(2, len(w)))
+        assert abs(got[i, len(w) - 2]["score"] - want) <= 0.005 * len(w)
+    assert got[1000, 4]["score"] > got[3002, 4]["score"] + 0.3 and got[2000, 4]["score"] > got[None, 4]["score"] + 0.3
+    documents = frame(spark, rows)
+    assert ngram_lm.lm_scores(documents, order=4).count() == len(rows) and ngram_lm.lm_scores(documents.limit(0), order=3).count() == 0
+
+
+def test_trie():
+    from quarry.llm.elias_fano import EliasFano, encode
+    from quarry.llm.ngram_lm import Trie, _counts
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    for n, top in ((0, 5), (1, 1), (1, 1 << 61), (2000, 2100), (20_000, 10 ** 9)):
+        v = np.unique(rng.integers(0, top, n))
+        coded, ask = EliasFano(encode(v)), np.concatenate([v, rng.integers(0, top + 10, 500)])
+        assert (coded.at(np.arange(len(v))) == v).all()
+        assert (coded.find(ask) == [{x: k for k, x in enumerate(v.tolist())}.get(x, -1) for x in ask.tolist()]).all()
+        assert (coded.find(v, np.arange(len(v)), np.arange(len(v)) + 1) == np.arange(len(v))).all() and (coded.find(v, np.arange(len(v)) + 1) == -1).all()
+    held = collections.Counter(map(tuple, rng.zipf(1.4, (5000, 3)).clip(max=300).tolist()))  # (context, word, word before)
+    asked = sorted({*held, *map(tuple, rng.integers(1, 320, (2000, 3)).tolist())})
+    contexts, pairs = sorted({x[0] for x in asked}), sorted({x[:2] for x in asked})
+    up = [np.array([contexts.index(x[0]) for x in pairs]), np.array([pairs.index(x[:2]) for x in asked])]
+    word = [np.array([x[1] for x in pairs]), np.array([x[2] for x in asked])]
+    trie = Trie(Trie.build(np.array(contexts), up, word, np.array([held[x] for x in asked])))
+    two = collections.Counter()
+    for x, k in held.items():
+        two[x[:2]] += k
+    for codes, want, (*_, step, _) in zip(trie.lookup(np.array(contexts), up, word), ([two[x] for x in pairs], [held[x] for x in asked]), trie.levels):
+        assert np.allclose(_counts(step)[codes], want, rtol=0.03, atol=0) and ((np.array(want) == 0) == (codes == 0)).all()
+    empty = Trie(Trie.build(np.array(contexts), up, word, np.zeros(len(asked))))
+    assert not any(x.any() for x in empty.lookup(np.array(contexts), up, word))
+
+
 def luhn(digits):
     doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
     return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
