@@ -44,7 +44,9 @@ from quarry.llm.bpe import SPLIT, byte_symbols, vocabulary_path
 from quarry.llm.common import U64, mix, ranges, read, slices, utf8_column
 from quarry.session import ensure_checkpoint_dir
 
-PIECE = 3 << 20  # bytes of text aligned at once
+PIECE = 3 << 20  # bytes of text in a row of the written table
+BLOCK = 256 << 10  # bytes of it tokenized and merged at once
+ROWS = 8  # rows of that table in a file: readers and writers hold a file's rows at once
 CALL = 256 << 10  # bytes of text per tokenizer call
 WIDTH = 128  # steps of a merge piece
 LARGE = 4096  # links of a group above which its distinct ids are paired
@@ -149,14 +151,12 @@ def _firsts(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(group, prepend=-1))
 
 
-def _same_groups(ids_a, first_a, count_a, ids_b, first_b, count_b) -> tuple[np.ndarray, np.ndarray]:
-    """(one group of each kind, kind of each group)."""
+def _hashes(ids_a, first_a, count_a, ids_b, first_b, count_b) -> np.ndarray:
+    """Hash of each group's tokens."""
     def side(ids, first, count, salt):
         place = np.arange(len(ids)) - np.repeat(first, count)
         return np.add.reduceat(mix(ids.astype(U64) + (place.astype(U64) << U64(20)) + U64(salt)), first)
-    h = mix(side(ids_a, first_a, count_a, 1 << 60) + mix(side(ids_b, first_b, count_b, 1 << 61)))
-    _, one, kind = np.unique(h, return_index=True, return_inverse=True)
-    return one, kind
+    return mix(side(ids_a, first_a, count_a, 1 << 60) + mix(side(ids_b, first_b, count_b, 1 << 61)))
 
 
 def _pairs(ids_a, first_a, count_a, ids_b, first_b, count_b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,8 +214,8 @@ def _digests(out: dict, group_at, ids_a, ids_b, group_a, group_b, first_a, first
         out["groups_sha256"][k] = hashlib.sha256(text[starts[group_at[k]]: starts[group_at[k + 1]] - 1]).hexdigest()
 
 
-def _align(byte_level: ByteLevel, pieces: Pieces, buf: np.ndarray, bounds: np.ndarray) -> dict:
-    """What one row of the written table holds about some texts (given by bytes and bounds)."""
+def _groups(byte_level: ByteLevel, pieces: Pieces, buf: np.ndarray, bounds: np.ndarray) -> tuple[dict, tuple]:
+    """Columns of some texts (given by bytes and bounds); ids of both sides, tokens of each group, group hashes and documents."""
     texts = [buf[x:y].tobytes().decode() for x, y in zip(bounds, bounds[1:])]
     full = np.diff(bounds) > 0
     want = np.insert(buf, bounds[:-1][full], 32)  # a space before each text
@@ -243,9 +243,9 @@ def _align(byte_level: ByteLevel, pieces: Pieces, buf: np.ndarray, bounds: np.nd
         n[s] = np.where(good, n[s], 0)
     docs = len(texts)
     out = {"n_a": n[0], "n_b": n[1], "n_groups": np.zeros(docs, np.int64), "n_links": np.zeros(docs, np.int64), "groups_sha256": [""] * docs}
-    out |= dict.fromkeys(("kinds", "link_kind", "link_pair", "link_times"), np.zeros(0, np.int32)) | dict.fromkeys(("a", "b", "n"), np.zeros(0, np.int32))
+    none = np.zeros(0, np.int32)
     if not len(ids[0]):
-        return out
+        return out, (none, none, none, none, np.zeros(0, U64), none)
     group_a, group_b = merge_path(np.cumsum(byte_level.vocabulary.size[ids[0]]), np.cumsum(pieces.vocabulary.size[ids[1]]))
     first_a, first_b = _firsts(group_a), _firsts(group_b)
     count_a, count_b = np.diff(np.append(first_a, len(group_a))), np.diff(np.append(first_b, len(group_b)))
@@ -253,21 +253,52 @@ def _align(byte_level: ByteLevel, pieces: Pieces, buf: np.ndarray, bounds: np.nd
     out["n_groups"] = np.bincount(doc, minlength=docs)
     group_at = np.concatenate([[0], np.cumsum(out["n_groups"])])
     out["n_links"] = np.diff(np.concatenate([[0], np.cumsum(count_a * count_b)])[group_at])
-    one, kind = _same_groups(ids[0], first_a, count_a, ids[1], first_b, count_b)
-
     _digests(out, group_at, ids[0], ids[1], group_a, group_b, first_a, first_b, count_a)
-    link_kind, pair, times, distinct = _pairs(ids[0], first_a[one], count_a[one], ids[1], first_b[one], count_b[one])
-    # documents of each pair: distinct (document, kind), then distinct (document, pair)
-    in_doc = np.sort(doc * len(one) + kind)
-    in_doc = in_doc[_firsts(in_doc)]
+    return out, (*(x.astype(np.int32) for x in (*ids, count_a, count_b)), _hashes(ids[0], first_a, count_a, ids[1], first_b, count_b), doc.astype(np.int32))
+
+
+def _align(byte_level: ByteLevel, pieces: Pieces, buf: np.ndarray, bounds: np.ndarray) -> dict:
+    """What one row of the written table holds about some texts (given by bytes and bounds).
+
+    Texts are tokenized and merged ``BLOCK`` by ``BLOCK``; what stays of a block are its ids and a few numbers a group.
+    """
+    out: dict = {c: [] for c in _LISTS[1:]}
+    blocks = []
+    for x, y in slices(bounds, BLOCK):
+        r, block = _groups(byte_level, pieces, buf[bounds[x]: bounds[y]], bounds[x: y + 1] - bounds[x])
+        for c in out:
+            out[c].append(r[c])
+        blocks.append(block)
+    out = {c: list(itertools.chain.from_iterable(v)) if c == "groups_sha256" else np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+    out |= dict.fromkeys(("kinds", "link_kind", "link_pair", "link_times"), np.zeros(0, np.int32)) | dict.fromkeys(("a", "b", "n"), np.zeros(0, np.int32))
+    if not any(len(x[0]) for x in blocks):
+        return out
+    docs = [x[5] for x in blocks]
+    sides, hashes = [(0, 2), (1, 3)], np.concatenate([x[4] for x in blocks])
+    _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)  # one group of each kind, kind of each group
+    kind = kind.astype(np.int32)
+    of_kinds = []
+    for ids, count in sides:
+        held, counts = np.concatenate([x[ids] for x in blocks]), np.concatenate([x[count] for x in blocks]).astype(np.int64)
+        first = np.cumsum(counts) - counts
+        of_kinds += [held[ranges(first[one], counts[one])].astype(np.int64), np.cumsum(counts[one]) - counts[one], counts[one]]
+    del hashes, held, counts, first, blocks
+    link_kind, pair, times, distinct = _pairs(*of_kinds)
+    # documents of each pair, block by block: distinct (document, kind), then distinct (document, pair)
     at = np.searchsorted(link_kind, np.arange(len(one) + 1))
-    d, u = in_doc // len(one), in_doc % len(one)
-    many = np.diff(at)[u]
-    held = np.sort(np.repeat(d, many) * len(distinct) + pair[ranges(at[u], many)])
-    held = held[_firsts(held)]
-    out |= {"kinds": kind.astype(np.int32), "link_kind": link_kind.astype(np.int32), "link_pair": pair.astype(np.int32),
+    number, k = np.zeros(len(distinct), np.int64), 0
+    for doc in docs:
+        in_doc = np.sort(doc.astype(np.int64) * len(one) + kind[k: k + len(doc)])
+        k += len(doc)
+        in_doc = in_doc[_firsts(in_doc)]
+        d, u = in_doc // len(one), in_doc % len(one)
+        many = np.diff(at)[u]
+        held = np.sort(np.repeat(d, many) * len(distinct) + pair[ranges(at[u], many)])
+        held = held[_firsts(held)]
+        number += np.bincount(held % len(distinct), minlength=len(distinct))
+    out |= {"kinds": kind, "link_kind": link_kind.astype(np.int32), "link_pair": pair.astype(np.int32),
             "link_times": times.astype(np.int32), "a": (distinct >> 32).astype(np.int32), "b": (distinct & 0xFFFFFFFF).astype(np.int32),
-            "n": np.bincount(held % len(distinct), minlength=len(distinct)).astype(np.int32)}
+            "n": number.astype(np.int32)}
     return out
 
 
@@ -326,7 +357,7 @@ def align_tokenizers(docs: DataFrame, byte_level: str, pieces: str, id_column: s
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alignment-{uuid.uuid4().hex}"
     (docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).mapInArrow(run, _TABLE)
-     .write.option("compression", "zstd").parquet(f"{path}/pieces"))
+     .write.option("compression", "zstd").option("maxRecordsPerFile", ROWS).parquet(f"{path}/pieces"))
     table = spark.read.schema(_TABLE).parquet(f"{path}/pieces")
     held = table.select("piece", F.posexplode(F.arrays_zip("a", "b", "n")).alias("k", "p")).select("piece", "k", "p.a", "p.b", "p.n")
     summed = held.groupBy("a", "b").agg(F.sum("n").alias("count"))

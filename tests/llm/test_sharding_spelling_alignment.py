@@ -222,6 +222,34 @@ def test_alignment(spark, rows, monkeypatch):
     assert alignment.align_tokenizers(frame(spark, []), *paths)[0].count() == 0
 
 
+def test_alignment_block_by_block(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarry.llm import alignment
+    from quarry.llm.bpe import vocabulary_path
+    from quarry.llm.common import utf8_column
+
+    with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f, open(vocabulary_path("piece_bpe_32k.model"), "rb") as g:
+        tokenizers = alignment.ByteLevel(f.read()), alignment.Pieces(g.read())
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnoprstué") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    texts = ["", None, "x" * 5000, *(" ".join(rng.choice(words) for _ in range(rng.randrange(800))) for _ in range(600)), ""]
+    buf, bounds = utf8_column(pa.array(texts))
+    alignment._align(*tokenizers, buf[: bounds[10]], bounds[:11])
+    tracemalloc.start()
+    want = alignment._align(*tokenizers, buf, bounds)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * len(buf)  # about 100 bytes for each byte of text if all is held at once
+    for block in (1 << 30, 5000):
+        monkeypatch.setattr(alignment, "BLOCK", block)
+        got = alignment._align(*tokenizers, buf, bounds)
+        assert got.keys() == want.keys() and all(np.array_equal(got[c], want[c]) for c in want)
+    assert not len(alignment._align(*tokenizers, *utf8_column(pa.array(["", None])))["a"])
+
+
 def test_merge_path_pieces():
     from quarry.llm.alignment import merge_path
 
