@@ -1,24 +1,28 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs.
 
 Vectors with equal labels and equal components form a class at once; one
-member stands for it.  Representatives of a label are cut into shards of about
-``SHARD`` by hash, and every shard builds a graph: each node gets a level drawn
-from its id, searches descend from the entry node greedily and, on the level at
-hand, keep a beam of the best nodes; new nodes are linked to neighbours picked
-so that each is closer to the node than to the neighbours already picked.
-Nodes are added in batches that search the graph built so far, and searches of
-a batch run in step, so that NumPy does the distance work.
-
-Every shard is queried by the representatives of every shard of its label, a
-pair of shards a task.  A brute-force audit over a stated sample of the
-vectors counts the links between different representatives that a task should
-have found and did find.  Both are pooled over all shards of a label, and labels
-whose recall is below ``AUDIT`` run again with a beam twice as wide, up to the
-shard's size, where the search is exhaustive.  Without a sampled link the recall
-is 1.  The recall of each round is logged.  A link
-needs a cosine of at least ``least`` in double precision.  Tasks return, for
-each representative, the number of vectors linked to it, and a spanning forest
-of the links, so no list of pairs leaves a task.
+member stands for it.  A label of more than ``SHARD`` representatives is cut
+into cells by the closest of as many pivots as it has ``SHARD``s, and a dense
+cell into parts by hash; every such shard builds a graph once, which is stored.
+Each node gets a level drawn from its place, searches descend from the entry
+node greedily and, on the level at hand, keep a beam of the best nodes; new
+nodes are linked to neighbours picked so that each is closer to the node than
+to the neighbours already picked.  Nodes are added in batches that search the
+graph built so far, and searches of a batch run in step, so that NumPy does the
+distance work.
+
+A shard is queried by its own representatives, by those of other parts of its
+cell, and by those of other cells that lie near enough to the plane between the
+two pivots: of two linked vectors in different cells, one at least does.  A
+brute-force audit over a stated sample of the vectors counts the links between
+different representatives that a task should have found and did find.  Both are
+pooled over all shards of a label, and labels whose recall is below ``AUDIT``
+run again with a beam twice as wide, up to the shard's size, where the search
+is exhaustive.  Without a sampled link the recall is 1.  The recall of each
+round is logged.  A link needs a cosine of at least ``least`` in double
+precision.  Tasks return, for each representative, the number of vectors linked
+to it, and a spanning forest of the links' components, so no list of pairs
+leaves a task.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows
 with a null label, link with nothing.  Rows with the same id count as one
@@ -29,43 +33,54 @@ returned, unlinked and kept; extra columns are ignored.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import U64, cut, mix, read
+from quarry.llm.common import U64, cut, mix, read, release
 from quarry.llm.components import connected_components
 
 SHARD = 8192
 M = 12  # links a node keeps on upper levels; twice as many on the lowest
 BUILD_BEAM = 48
 BEAM = 64
+BLOCK = 4 * SHARD  # vectors searched in a shard by one task
+OPEN = 8  # nodes of a beam opened in a step
+SLACK = 1e-4  # of cosines in single precision
 AUDIT = 0.995
 AUDIT_QUERIES = 256
 
 
 class Graph:
-    """Navigable small-world graph over unit vectors; distance is 1 - cosine."""
+    """Navigable small-world graph over unit vectors; distance is 1 - cosine, in single precision while searching."""
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
+    def __init__(self, x: np.ndarray, stored: bytes | None = None):
+        self.x, self.y = x, x.astype(np.float32)
         n = len(x)
         draw = (mix(np.arange(n, dtype=U64)) >> U64(11)).astype(float) / 2.0 ** 53
         self.level = np.minimum((-np.log(np.maximum(draw, 1e-300)) / np.log(M)).astype(int), 6)
         self.links = [np.full((n, 2 * M if not k else M), -1, np.int32) for k in range(int(self.level.max()) + 1 if n else 1)]
-        self.entry, self.top = 0, 0
-        self._build()
-
-    def _build(self) -> None:
-        n = len(self.x)
-        if not n:
-            return
         order = np.argsort(-self.level, kind="stable")  # upper levels first
-        self.entry, self.top = int(order[0]), int(self.level[order[0]])
+        self.entry, self.top = (int(order[0]), int(self.level[order[0]])) if n else (0, 0)
+        if stored is None:
+            self._build(order)
+            return
+        at = 0
+        for k, links in enumerate(self.links):
+            nodes = np.flatnonzero(self.level >= k)
+            part = np.frombuffer(stored, np.int32, len(nodes) * links.shape[1], at)
+            links[nodes], at = part.reshape(len(nodes), -1), at + part.nbytes
+
+    def stored(self) -> bytes:
+        """The links; of a level, those of the nodes that are on it."""
+        return b"".join(links[self.level >= k].tobytes() for k, links in enumerate(self.links))
+
+    def _build(self, order: np.ndarray) -> None:
         done, size = 1, 1
-        while done < n:
+        while done < len(order):
             batch = order[done: done + size]
             batch = batch[self.level[batch] == self.level[batch[0]]]
             self._add(batch)
@@ -76,123 +91,180 @@ class Graph:
         level = int(self.level[batch[0]])
         at = np.full((len(batch), 1), self.entry)
         for k in range(self.top, -1, -1):
-            ids, near = self._beam(self.x[batch], at, k, 1 if k > level else BUILD_BEAM)
+            ids, near = self._beam(self.y[batch], at, k, 1 if k > level else BUILD_BEAM)
             at = ids[:, : 1 if k > level else 4]
             if k <= level:
                 self._connect(batch, ids, near, k)
 
-    def _pick(self, node: int, ids: np.ndarray, near: np.ndarray, most: int) -> list[int]:
-        """Neighbours in order of closeness, each closer to the node than to those picked before."""
-        picked: list[int] = []
-        between = self.x[ids] @ self.x[ids].T
-        chosen: list[int] = []
-        for k in range(len(ids)):
-            if len(picked) == most:
-                break
-            if not chosen or between[k, chosen].max() <= near[k]:
-                picked.append(int(ids[k]))
-                chosen.append(k)
-        for k in range(len(ids)):  # fill up with the closest left over
-            if len(picked) == most:
-                break
-            if k not in chosen:
-                picked.append(int(ids[k]))
-        return picked
+    def _pick(self, ids: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+        """Neighbours of some nodes from candidates in order of closeness (-1: none): those closer to the node than to any
+        picked before, then the closest left over."""
+        some = ids >= 0
+        v = self.y[np.maximum(ids, 0)]
+        between = v @ v.transpose(0, 2, 1)
+        blocked = np.full(ids.shape, -np.inf, np.float32)  # greatest cosine with one picked before
+        picked, count = np.zeros(ids.shape, bool), np.zeros(len(ids), int)
+        for k in range(ids.shape[1]):
+            ok = some[:, k] & (blocked[:, k] <= near[:, k]) & (count < most)
+            picked[:, k] = ok
+            count += ok
+            r = np.flatnonzero(ok)
+            blocked[r] = np.maximum(blocked[r], between[r, k])
+        first = np.argsort(np.where(picked, 0, np.where(some, 1, 2)), axis=1, kind="stable")[:, :most]
+        out = np.full((len(ids), most), -1, np.int32)
+        out[:, : first.shape[1]] = np.take_along_axis(ids, first, 1)
+        return out
 
     def _connect(self, batch: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> None:
         links, room = self.links[k], self.links[k].shape[1]
-        within = self.x[batch] @ self.x[batch].T
-        for r, node in enumerate(batch):
-            good = (ids[r] >= 0) & (ids[r] != node)
-            peers = np.argsort(-within[r])[: M + 1]
-            peers = peers[peers != r]
-            cand = np.concatenate([ids[r][good], batch[peers]])
-            sims = np.concatenate([near[r][good], within[r][peers]])
-            o = np.argsort(-sims, kind="stable")
-            cand, sims = cand[o], sims[o]
-            cand, first = np.unique(cand, return_index=True)
-            o = np.argsort(first)
-            cand, sims = cand[o], sims[np.sort(first)]
-            mine = self._pick(node, cand, sims, M)
-            links[node, : len(mine)] = mine
-            for other in mine:
-                row = links[other]
-                free = np.flatnonzero(row < 0)
-                if (row == node).any():
-                    continue
-                if len(free):
-                    row[free[0]] = node
-                else:
-                    old = np.append(row, node)
-                    s = self.x[old] @ self.x[other]
-                    o = np.argsort(-s, kind="stable")
-                    keep = self._pick(other, old[o], s[o], room)
-                    row[:] = -1
-                    row[: len(keep)] = keep
+        within = self.y[batch] @ self.y[batch].T
+        np.fill_diagonal(within, -np.inf)
+        peers = np.argsort(-within, axis=1)[:, :M]
+        cand = np.concatenate([ids, np.where(np.take_along_axis(within, peers, 1) > -np.inf, batch[peers], -1)], axis=1)
+        sims = np.concatenate([near, np.take_along_axis(within, peers, 1)], axis=1)
+        cand, sims = _sorted(np.where(cand == batch[:, None], -1, cand), sims, cand.shape[1])
+        mine = self._pick(cand, sims, M)
+        links[batch, :M] = mine
+        # and back: the closest new ones of each node join its links, picked anew where there are too many
+        r, c = np.nonzero(mine >= 0)
+        other, node = mine[r, c], batch[r]
+        fresh = ~(links[other] == node[:, None]).any(axis=1)
+        other, node = other[fresh], node[fresh]
+        s = np.einsum("kd,kd->k", self.y[other], self.y[node])
+        o = np.lexsort((-s, other))
+        other, node = other[o], node[o]
+        first = np.flatnonzero(np.diff(other, prepend=-1))
+        many = np.diff(np.append(first, len(other)))
+        place = np.arange(len(other)) - np.repeat(first, many)
+        group, nodes = np.repeat(np.arange(len(first)), many)[place < room], other[first]
+        new = np.full((len(first), min(room, int(many.max(initial=0)))), -1)
+        new[group, place[place < room]] = node[place < room]
+        total = (links[nodes] >= 0).sum(axis=1) + (new >= 0).sum(axis=1)
+        by = np.argsort(total)
+        for a in range(0, len(by), 1024):
+            g = by[a: a + 1024]
+            cand = np.concatenate([links[nodes[g]], new[g]], axis=1)
+            sims = np.einsum("gd,gcd->gc", self.y[nodes[g]], self.y[np.maximum(cand, 0)])
+            cand, sims = _sorted(cand, sims, int(total[g].max()))
+            links[nodes[g]] = -1
+            if cand.shape[1] > room:
+                cand = self._pick(cand, sims, room)
+            links[nodes[g], : cand.shape[1]] = cand
 
     def _beam(self, q: np.ndarray, start: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the ``width`` best nodes found for each query, best first."""
-        n, rows = len(q), np.arange(len(q))[:, None]
-        ids = np.full((n, width), -1)
-        sims = np.full((n, width), -np.inf)
+        """Ids and cosines of the ``width`` best nodes found for each query, best first; ``OPEN`` nodes are opened in a step."""
+        n, size, links = len(q), len(self.x), self.links[k]
         w = min(width, start.shape[1])
-        ids[:, :w], sims[:, :w] = start[:, :w], np.einsum("qd,qwd->qw", q, self.x[start[:, :w]])
-        sims[ids < 0] = -np.inf
+        ids, sims = np.full((n, width), -1), np.full((n, width), -np.inf, np.float32)
+        ids[:, :w] = start[:, :w]
+        sims[:, :w] = np.einsum("qd,qwd->qw", q, self.y[np.maximum(ids[:, :w], 0)])
+        ids, sims = _sorted(ids, sims, width)
         opened = np.zeros((n, width), bool)
-        seen = np.zeros((n, len(self.x)), bool)
-        seen[rows, np.maximum(ids, 0)] |= ids >= 0
+        seen, claim = np.zeros(n * size, bool), np.empty(n * size, np.int32)
+        r, c = np.nonzero(ids >= 0)
+        seen[r * size + ids[r, c]] = True
         active = np.arange(n)
-        while len(active):
-            score = np.where(opened[active] | (ids[active] < 0), -np.inf, sims[active])
-            best = score.argmax(axis=1)
-            go = score[np.arange(len(active)), best] > -np.inf
-            active, best = active[go], best[go]
+        while True:
+            open_ = ~opened[active] & (ids[active] >= 0)
+            open_ &= np.cumsum(open_, axis=1) <= OPEN
+            go = open_.any(axis=1)
+            active, open_ = active[go], open_[go]
             if not len(active):
-                break
-            opened[active, best] = True
-            next_ids = self.links[k][ids[active, best]]
-            fresh = (next_ids >= 0) & ~seen[active[:, None], np.maximum(next_ids, 0)]
-            seen[active[:, None], np.maximum(next_ids, 0)] |= next_ids >= 0
-            s = np.where(fresh, np.einsum("qd,qwd->qw", q[active], self.x[np.maximum(next_ids, 0)]), -np.inf)
-            all_ids = np.concatenate([ids[active], np.where(fresh, next_ids, -1)], axis=1)
-            all_sims = np.concatenate([sims[active], s], axis=1)
-            all_open = np.concatenate([opened[active], np.zeros_like(fresh)], axis=1)
+                return ids, sims
+            r, c = np.nonzero(open_)
+            opened[active[r], c] = True
+            found = links[ids[active[r], c]]
+            r, found = np.repeat(r, found.shape[1]), found.ravel()
+            code = active[r] * size + found
+            k = np.flatnonzero((found >= 0) & ~seen[np.maximum(code, 0)])
+            claim[code[k]] = np.arange(len(k), dtype=np.int32)
+            k = k[claim[code[k]] == np.arange(len(k))]  # a node found twice in this step counts once
+            r, found = r[k], found[k]
+            seen[code[k]] = True
+            many = np.bincount(r, minlength=len(active))
+            place = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+            more = int(many.max(initial=0))
+            all_ids = np.concatenate([ids[active], np.full((len(active), more), -1)], axis=1)
+            all_sims = np.concatenate([sims[active], np.full((len(active), more), -np.inf, np.float32)], axis=1)
+            all_open = np.concatenate([opened[active], np.zeros((len(active), more), bool)], axis=1)
+            all_ids[r, width + place] = found
+            all_sims[r, width + place] = np.einsum("kd,kd->k", q[active[r]], self.y[found])
             o = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
             ids[active], sims[active] = np.take_along_axis(all_ids, o, 1), np.take_along_axis(all_sims, o, 1)
             opened[active] = np.take_along_axis(all_open, o, 1)
-        return ids, sims
 
-    def search(self, q: np.ndarray, width: int) -> np.ndarray:
-        """Ids of the ``width`` best nodes for each query (-1: none); all nodes if the beam spans the graph."""
-        if width >= len(self.x):
-            return np.tile(np.arange(len(self.x)), (len(q), 1))
+    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the ``width`` best nodes for each query (-1: none)."""
         at = np.full((len(q), 1), self.entry)
         for k in range(self.top, 0, -1):
             at = self._beam(q, at, k, 1)[0]
-        return self._beam(q, at, 0, width)[0]
-
-
-def _links(graph: Graph, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with cosine >= least among the ``width`` best nodes found."""
-    one, two = [], []
-    step = max(1, min(1024, (1 << 21) // max(1, width)))
-    for a in range(0, len(q), step):
-        part = q[a: a + step]
-        todo, w = np.arange(len(part)), width
-        while len(todo):
-            ids = graph.search(part[todo], w)
-            sims = np.einsum("qd,qwd->qw", part[todo], graph.x[np.maximum(ids, 0)])
-            ok = (ids >= 0) & (sims >= least)
-            more = ok.all(axis=1) & (w < len(graph.x))  # the beam is full of links: widen it for these
-            r, c = np.nonzero(ok & ~more[:, None])
-            one.append(a + todo[r])
-            two.append(ids[r, c])
-            todo, w = todo[more], 2 * w
-    return np.concatenate(one), np.concatenate(two)
+        return self._beam(q, at, 0, width)
+
+    def around(self, q: np.ndarray, ids: np.ndarray, bound: float) -> np.ndarray:
+        """Which nodes have a cosine of ``bound`` or more, for each query, among those linked to ``ids`` through such nodes."""
+        out = np.zeros((len(q), len(self.x)), bool)
+        seen, claim = np.zeros(out.size, bool), np.empty(out.size, np.int32)
+        r, c = np.nonzero(ids >= 0)
+        ahead = [(r, ids[r, c])]
+        seen[r * len(self.x) + ids[r, c]] = True
+        out[r, ids[r, c]] = True
+        while ahead:
+            r, nodes = ahead.pop()
+            if len(r) > 1 << 15:
+                ahead.append((r[1 << 15:], nodes[1 << 15:]))
+                r, nodes = r[: 1 << 15], nodes[: 1 << 15]
+            found = self.links[0][nodes]
+            r, found = np.repeat(r, found.shape[1]), found.ravel()
+            code = r * len(self.x) + found
+            k = np.flatnonzero((found >= 0) & ~seen[np.maximum(code, 0)])
+            claim[code[k]] = np.arange(len(k), dtype=np.int32)
+            k = k[claim[code[k]] == np.arange(len(k))]
+            r, found = r[k], found[k]
+            seen[code[k]] = True
+            near = np.einsum("kd,kd->k", q[r], self.y[found]) >= bound
+            r, found = r[near], found[near]
+            out[r, found] = True
+            if len(r):
+                ahead.append((r, found))
+        return out
+
+
+def _sorted(ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` closest of each row, in order; places without a node (-1) last."""
+    sims = np.where(ids >= 0, sims, np.float32(-np.inf))
+    o = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(ids, o, 1), np.take_along_axis(sims, o, 1)
+
+
+def _links(graph: Graph, q: np.ndarray, least: float, width: int, own: bool = False) -> np.ndarray:
+    """Which nodes have cosine >= least with each query (a matrix), among the ``width`` best nodes found and, where all of
+    them are links, the nodes that more links lead to.  ``own``: the queries are the nodes; they are searched from themselves."""
+    found = np.zeros((len(q), len(graph.x)), bool)
+    if width >= len(graph.x):
+        for a in range(0, len(q), 1024):
+            found[a: a + 1024] = q[a: a + 1024] @ graph.x.T >= least
+        return found
+    single = q.astype(np.float32)
+    for a in range(0, len(q), 512):
+        part = single[a: a + 512]
+        ids, sims = graph._beam(part, np.arange(a, a + len(part))[:, None], 0, width) if own else graph.search(part, width)
+        maybe = (ids >= 0) & (sims >= least - SLACK)
+        r, c = np.nonzero(maybe)
+        found[a + r, ids[r, c]] = True
+        full = np.flatnonzero(maybe.all(axis=1))
+        for b in range(0, len(full), 128):
+            some = full[b: b + 128]
+            found[a + some] = graph.around(part[some], ids[some], least - SLACK)
+    for a in range(0, len(q), 256):
+        r, c = np.nonzero(found[a: a + 256])
+        for b in range(0, len(r), 1 << 15):
+            i, j = a + r[b: b + (1 << 15)], c[b: b + (1 << 15)]
+            found[i, j] = np.einsum("kd,kd->k", q[i], graph.x[j]) >= least
+    return found
 
 
 def _audit(xa: np.ndarray, xb: np.ndarray, within: bool, pairs: np.ndarray, least: float) -> tuple[int, int]:
-    """Links of a sample of both sides that are among ``pairs`` (row * len(xb) + column), and how many there are."""
+    """Links of a sample of both sides that are among ``pairs`` (row * len(xb) + column, or a matrix), and how many there are."""
     n, true = len(xb), []
     for side, x in ((0, xa), (1, xb))[: 1 if within else 2]:
         sample = np.unique(np.linspace(0, len(x) - 1, min(len(x), AUDIT_QUERIES)).astype(int))
@@ -205,63 +277,77 @@ def _audit(xa: np.ndarray, xb: np.ndarray, within: bool, pairs: np.ndarray, leas
         r, c = codes // n, codes % n
         codes = (np.minimum(r, c) * n + np.maximum(r, c))[r != c]
     codes = np.unique(codes)
-    return int(np.isin(codes, pairs).sum()), len(codes)
+    return int((pairs.ravel()[codes] if pairs.dtype == bool else np.isin(codes, pairs)).sum()), len(codes)
+
+
+def _roots(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``parent`` (least known node of each node's component) after some links more."""
+    while True:
+        a, b = parent[u], parent[v]
+        apart = a != b
+        if not apart.any():
+            return parent
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+
+
+def _searched(key, shard: dict, queries: pa.Table, least: float, width: int) -> list[dict]:
+    """What is found in a shard: matrices of links by rows (of the queries, or of the nodes themselves), and the audit."""
+    n = len(shard["reps"]) // 8
+    x = np.frombuffer(shard["x"], np.float64).reshape(n, -1)
+    graph, out = Graph(x, shard["links"]), []
+    if key["block"] == 0:
+        found = _links(graph, x, least, width, own=True)
+        found |= found.T.copy()
+        np.fill_diagonal(found, False)
+        audit = _audit(x, x, True, found, least)
+        out.append({"found": np.triu(found), "from": 0, "audit": audit})
+    node, cell = np.frombuffer(shard["probe_node"], np.int32), np.frombuffer(shard["probe_cell"], np.int32)
+    for a in range(0, queries.num_rows, SHARD):
+        some = queries.slice(a, SHARD)
+        q, homes = _matrix(some["unit"]), some["home"].to_numpy()
+        found = _links(graph, q, least, width)
+        audit = _audit(q, x, False, found, least)
+        # pairs whose nodes ask for each other's cell are counted where the query comes from the lower one
+        for h in np.unique(homes[homes > key["cell"]]):
+            found[np.ix_(homes == h, np.isin(np.arange(n), node[cell == h]))] = False
+        out.append({"found": found, "from": n + a, "audit": audit})
+    return out
 
 
 def _pair_task(least: float, width: int):
-    """Links between two shards (or within one): counts per representative, a spanning forest and the audit."""
-    def run(table):
-        out: dict[str, list] = {"rep": [], "linked": [], "u": [], "v": []}
-        r = table.to_pylist()[0]
-        one = (np.frombuffer(r["reps_a"], np.int64), np.frombuffer(r["copies_a"], np.int64), np.frombuffer(r["x_a"], np.float64))
-        two = (np.frombuffer(r["reps_b"], np.int64), np.frombuffer(r["copies_b"], np.int64), np.frombuffer(r["x_b"], np.float64))
-        xa, xb = one[2].reshape(len(one[0]), -1), two[2].reshape(len(two[0]), -1)
-        if r["a"] == r["b"]:
-            p, q = _links(Graph(xa), xa, least, width)
-            p, q = np.concatenate([p, q]), np.concatenate([q, p])
-            keep = p < q
-            pairs = np.unique(p[keep] * len(xa) + q[keep])
-            p, q = pairs // len(xa), pairs % len(xa)
-        else:
-            p1, q1 = _links(Graph(xb), xa, least, width)
-            q2, p2 = _links(Graph(xa), xb, least, width)
-            pairs = np.unique(np.concatenate([p1 * len(xb) + q1, p2 * len(xb) + q2]))
-            p, q = pairs // len(xb), pairs % len(xb)
-        hits, truth = _audit(xa, xb, r["a"] == r["b"], pairs, least)
-        left, right = one[0][p], two[0][q]
-        nodes = np.concatenate([one[0], two[0]])
-        extra = np.concatenate([np.bincount(p, weights=two[1][q], minlength=len(one[0])), np.bincount(q, weights=one[1][p], minlength=len(two[0]))]).astype(np.int64)
-        some = np.flatnonzero(extra)
-        parent: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while (u := parent.get(v, v)) != v:
-                parent[v] = v = parent.get(u, u)
-            return v
-        forest = []
-        for u, v in zip(left.tolist(), right.tolist()):
-            a, b = find(u), find(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                forest.append((u, v))
-        k = len(some)
-        out["rep"] = [*nodes[some].tolist(), *[None] * (len(forest) + 1)]
-        out["linked"] = [*extra[some].tolist(), *[None] * (len(forest) + 1)]
-        out["u"] = [*[None] * k, *[u for u, _ in forest], None]
-        out["v"] = [*[None] * k, *[v for _, v in forest], None]
-        for c, x in (("hits", hits), ("truth", truth), ("nodes", max(len(xa), len(xb)))):
-            out[c] = [*[None] * (k + len(forest)), x]
-        rows = k + len(forest) + 1
-        return pa.table({"label": pa.array([r["label"]] * rows, pa.string()), "size": pa.array([r["size"]] * rows, pa.int32()),
-                         **{c: pa.array(x, pa.int64()) for c, x in out.items()}})
+    """Links within a shard and to the vectors searched in it: counts per representative, a spanning forest and the audit."""
+    def run(key, shards, queries):
+        key = dict(zip(("label", "size", "cell", "part", "block"), (x.as_py() for x in key)))
+        shard = shards.to_pylist()[0]
+        nodes, of = (np.concatenate([np.frombuffer(shard[c], np.int64), queries[d].to_numpy()]) for c, d in (("reps", "rep"), ("copies", "copies")))
+        extra, parent, hits, truth = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), 0, 0
+        for part in _searched(key, shard, queries, least, width):
+            hits, truth = hits + part["audit"][0], truth + part["audit"][1]
+            for a in range(0, len(part["found"]), 256):
+                p, c = np.nonzero(part["found"][a: a + 256])
+                p += a + part["from"]
+                extra += np.bincount(p, weights=of[c], minlength=len(nodes)).astype(np.int64) + np.bincount(c, weights=of[p], minlength=len(nodes)).astype(np.int64)
+                parent = _roots(parent, p, c)
+        some, tree = np.flatnonzero(extra), np.flatnonzero(parent != np.arange(len(nodes)))
+        k, f = len(some), len(tree)
+        columns = {"rep": [*nodes[some].tolist(), *[None] * (f + 1)], "linked": [*extra[some].tolist(), *[None] * (f + 1)],
+                   "u": [*[None] * k, *nodes[tree].tolist(), None], "v": [*[None] * k, *nodes[parent[tree]].tolist(), None]}
+        for c, value in (("hits", hits), ("truth", truth), ("nodes", len(shard["reps"]) // 8)):
+            columns[c] = [*[None] * (k + f), value]
+        rows = k + f + 1
+        return pa.table({"label": pa.array([key["label"]] * rows, pa.string()), "size": pa.array([key["size"]] * rows, pa.int32()),
+                         **{c: pa.array(x, pa.int64()) for c, x in columns.items()}})
     return run
 
 
-def _found(pairs: DataFrame, least: float) -> DataFrame:
-    """Rows of ``_pair_task`` for all pairs of shards, each label with the first beam whose pooled recall is enough."""
-    width, whole = BEAM, None
+def _found(shards: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """Rows of ``_pair_task`` for all shards, each label with the first beam whose pooled recall is enough."""
+    width, whole, keys = BEAM, None, ["label", "size", "cell", "part", "block"]
     while True:
-        found = cut(pairs.groupBy("label", "size", "a", "b").applyInArrow(
+        found = cut(shards.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
             _pair_task(least, width), "label string, size int, rep long, linked long, u long, v long, hits long, truth long, nodes long"))
         audit = cut(found.where("truth is not null").groupBy("label", "size")
                     .agg(F.sum("hits").alias("hits"), F.sum("truth").alias("truth"), F.max("nodes").alias("nodes"))
@@ -275,16 +361,89 @@ def _found(pairs: DataFrame, least: float) -> DataFrame:
         whole = good if whole is None else whole.unionByName(good)
         if not again:
             return whole
-        pairs, width = pairs.join(bad, ["label", "size"], "left_semi"), 2 * width
+        shards, asked, width = shards.join(bad, ["label", "size"], "left_semi"), asked.join(bad, ["label", "size"], "left_semi"), 2 * width
+
+
+def _matrix(column) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _homes(pivots, least: float):
+    """The cell of each vector, that of the closest pivot of its label, and the other cells it must be searched in.
+
+    Of two vectors on different sides of the plane between two pivots, one is
+    no farther from it than half their distance.  So it is enough that a vector
+    is searched in the cells whose plane with its own is that near.
+    """
+    half = (2 - 2 * least) ** 0.5 / 2 + 1e-9 if least < 1 else 1e-7
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, size = batch.column("label").to_pylist(), batch.column("size").to_pylist()
+            home, probes = np.zeros(len(label), np.int32), [[]] * len(label)
+            places: dict = {}
+            for i, key in enumerate(zip(label, size)):
+                if key in pivots.value:
+                    places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                points = pivots.value[key]
+                apart = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
+                for a in range(0, len(at), 1024):
+                    some = at[a: a + 1024]
+                    near = _matrix(batch.column("unit").take(pa.array(some))) @ points.T
+                    own = near.argmax(axis=1)
+                    ask = near[np.arange(len(some)), own][:, None] - near <= half * apart[own] + 1e-9
+                    ask[np.arange(len(some)), own] = False
+                    home[some] = own
+                    for i, x in zip(some, ask):
+                        probes[i] = np.flatnonzero(x).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(probes, pa.list_(pa.int32()))], [*batch.schema.names, "home", "probes"])
+    return run
 
 
 def _shard_rows(table):
-    """One row of packed arrays for a shard."""
-    x = np.array(table["unit"].to_pylist(), np.float64)
-    return pa.table({"label": table["label"].slice(0, 1), "size": table["size"].slice(0, 1), "shard": table["shard"].slice(0, 1),
-                     "reps": pa.array([table["rep"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                     "copies": pa.array([table["copies"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                     "x": pa.array([x.tobytes()], pa.binary())})
+    """One row of packed arrays for a shard, with its graph."""
+    x = _matrix(table["unit"])
+    probes = table["probes"].to_pylist()
+    node = np.repeat(np.arange(len(probes), dtype=np.int32), [len(p) for p in probes])
+    cell = np.array([c for p in probes for c in p], np.int32)
+    return pa.table({**{c: table[c].slice(0, 1) for c in ("label", "size", "cell", "part")}, 
+                     **{c: pa.array([v], pa.binary()) for c, v in (("reps", table["rep"].to_numpy().astype(np.int64).tobytes()), ("copies", table["copies"].to_numpy().astype(np.int64).tobytes()), ("x", x.tobytes()), ("links", Graph(x).stored()), ("probe_node", node.tobytes()), ("probe_cell", cell.tobytes()))}})
+
+
+_SHARD = "label string, size int, cell int, part int, reps binary, copies binary, x binary, links binary, probe_node binary, probe_cell binary"
+
+
+def _shards(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The shards, and the vectors of other shards to be searched in each; both by block of such vectors."""
+    spark, key = classes.sparkSession, ["label", "size"]
+    rows = classes.select("label", F.size("unit").alias("size"), "rep", "copies", "unit")
+    sized = (rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("cells")).where("cells > 1"))
+    drawn = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 40))
+    few = rows.join(F.broadcast(sized), key).where(drawn < (2 * F.col("cells") + 20) * F.lit(float(1 << 40)) / F.col("n"))
+    chosen = (few.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("rep", F.lit(4)), "rep")))
+              .where("k <= cells").select(*key, "unit").collect())  # a vector for each SHARD
+    points: dict = {}
+    for r in chosen:
+        points.setdefault((r["label"], r["size"]), []).append(r["unit"])
+    pivots = spark.sparkContext.broadcast({k: np.array(v) for k, v in points.items()})
+    rows = rows.mapInArrow(_homes(pivots, least), "label string, size int, rep long, copies long, unit array<double>, home int, probes array<int>")
+    parts = cut(rows.groupBy(*key, F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts")))  # dense cells are cut by hash
+    rows = (rows.withColumn("cell", F.col("home")).join(F.broadcast(parts), [*key, "cell"])
+            .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts"))
+    shards = cut(rows.groupBy(*key, "cell", "part").applyInArrow(_shard_rows, _SHARD))
+    asked = (rows.withColumn("cell", F.explode(F.concat(F.array("home"), "probes"))).join(F.broadcast(parts), [*key, "cell"])
+             .withColumn("of", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .where("cell <> home or part > of").select(*key, "cell", "part", "rep", "copies", "unit", "home"))
+    if not points:
+        return shards.withColumn("block", F.lit(0)), asked.where(F.lit(False)).withColumn("block", F.lit(0))
+    release(spark)
+    blocks = cut(asked.groupBy(*key, "cell", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    shards = (shards.join(F.broadcast(blocks), [*key, "cell", "part"], "left")
+              .withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks"))
+    return shards, (asked.join(F.broadcast(blocks), [*key, "cell", "part"])
+                    .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")).drop("blocks"))
 
 
 def embedding_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding",
@@ -292,26 +451,18 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.98, id_column: str
     """vec_id, n_links, component_id, kept of each row."""
     v = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"),
                        F.col(vector_column).cast("array<double>").alias("x"))
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  the value is computed once a vector, not once a component
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e))
     fine = (F.col("x").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
             & F.coalesce(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False))
             & F.coalesce(F.exists("x", lambda e: e != 0), F.lit(False)))
     # divided by the largest component: squares stay finite, and equal vectors stay equal
-    scaled = F.transform("x", lambda e: (e + 0.0) / F.array_max(F.transform("x", lambda y: F.abs(y))))
+    scaled = once(F.array_max(F.transform("x", lambda y: F.abs(y))), lambda top: F.transform("x", lambda e: (e + 0.0) / top))
     v = v.withColumn("x", F.when(fine, scaled)).withColumn("key", F.when(fine, F.xxhash64("label", "x"))).withColumn("key2", F.when(fine, F.xxhash64("x", "label", F.lit(7))))
     classes = cut(v.where("key is not null").groupBy("label", "key", "key2")
                   .agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("x").alias("x"))
-                  .withColumn("unit", F.transform("x", lambda e: e / norm)).drop("x"))
-    sized = classes.groupBy("label", F.size("unit").alias("size")).agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
-    rows = (classes.withColumn("size", F.size("unit")).join(sized, ["label", "size"])
-            .withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-            .select("label", "size", "shard", "rep", "copies", "unit"))
-    shards = cut(rows.groupBy("label", "size", "shard").applyInArrow(
-        _shard_rows, "label string, size int, shard int, reps binary, copies binary, x binary"))
-    one = shards.select("label", "size", F.col("shard").alias("a"), F.col("reps").alias("reps_a"), F.col("copies").alias("copies_a"), F.col("x").alias("x_a"))
-    two = shards.select("label", "size", F.col("shard").alias("b"), F.col("reps").alias("reps_b"), F.col("copies").alias("copies_b"), F.col("x").alias("x_b"))
-    pairs = one.join(two, ["label", "size"]).where("a <= b")
-    found = _found(pairs, least)
+                  .withColumn("unit", once(norm, lambda n: F.transform("x", lambda e: e / n))).drop("x"))
+    found = _found(*_shards(classes, least), least)
     linked = found.where("rep is not null").groupBy("rep").agg(F.sum("linked").alias("linked"))
     comps = connected_components(found.where("u is not null").select("u", "v"))
     by_class = cut(classes.select("label", "key", "key2", "rep", "copies").join(linked, "rep", "left")

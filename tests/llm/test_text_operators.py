@@ -450,6 +450,48 @@ def test_embeddings_in_several_shards(spark, monkeypatch, caplog):
     assert not [m for m in caplog.messages if m.startswith("beam 128")]
 
 
+def test_embeddings_in_cells(spark, monkeypatch):
+    from quarry.llm import embedding_dedup as e
+
+    monkeypatch.setattr(e, "SHARD", 80)
+    monkeypatch.setattr(e, "BLOCK", 300)
+    rng = np.random.Generator(np.random.PCG64(8))
+    centres = np.eye(8)[:6]
+    x = [centres[k % 6] + 0.05 * rng.standard_normal(8) for k in range(420)]  # far apart: no shard need be searched by another's vectors
+    dense = np.ones(8) + 0.03 * rng.standard_normal((300, 8))  # more links than a beam, and one cell that is cut into parts
+    spread = rng.standard_normal((500, 8))  # cells that meet everywhere
+    vectors = [*((v, 0) for v in x), *((v, 1) for v in dense), *((v, 1) for v in rng.standard_normal((40, 8))), *((v, 2) for v in spread),
+               *((v + 0.05 * rng.standard_normal(8), 2) for v in spread)]
+    rows = [(i, v.tolist(), label) for i, (v, label) in enumerate(vectors)]
+    unit = np.array([v / np.linalg.norm(v) for v, _ in vectors])
+    label = np.array([c for _, c in vectors])
+    links = [(a, b) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.98)) if a < b and label[a] == label[b]]
+    comp, n = groups(range(len(rows)), links), collections.Counter(i for p in links for i in p)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in e.embedding_duplicates(vectors).collect()) == sorted((i, n[i], comp[i], comp[i] == i) for i in comp)
+    classes = spark.createDataFrame([(str(c), i, 1, unit[i].tolist()) for i, c in enumerate(label.tolist()) if c == 0], "label string, rep long, copies long, unit array<double>")
+    shards, asked = e._shards(classes, 0.98)
+    shards = shards.select("x", "links").collect()
+    assert len(shards) >= 5 and asked.count() < 420 * (len(shards) - 1) / 4  # a graph a shard; all pairs of shards: twice as many
+    for r in shards:
+        part = np.frombuffer(r["x"]).reshape(-1, 8)
+        assert all((a == b).all() for a, b in zip(e.Graph(part).links, e.Graph(part, r["links"]).links))
+
+
+def test_links_of_a_graph():
+    from quarry.llm import embedding_dedup as e
+
+    rng = np.random.Generator(np.random.PCG64(9))
+    x = np.concatenate([rng.standard_normal((1500, 32)), np.ones(32) + 0.05 * rng.standard_normal((300, 32))])
+    x = np.concatenate([x, x[:300] + 0.08 * rng.standard_normal((300, 32))])[rng.permutation(2100)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want, graph = x @ x.T >= 0.98, e.Graph(x)
+    for own in (True, False):
+        got = e._links(graph, x, 0.98, 64, own)
+        assert not (got & ~want).any() and (got & want).sum() >= 0.999 * want.sum()
+    assert (e._links(graph, x, 0.98, 4096) == want).all()
+
+
 def test_pipeline_stages(spark, rows):
     import corpus_pipeline as pipeline
 
